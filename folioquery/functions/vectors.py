@@ -39,8 +39,16 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return F.when(lengths != 0, dot(a, b) / lengths)
 
 
+def _plain_number(x: Column) -> Column:
+    """Shortest decimal form without exponent and without a trailing `.0`."""
+    text = x.cast("string")
+    expanded = F.regexp_replace(text.try_cast("decimal(38,30)").cast("string"), "0+\\z", "")
+    return F.regexp_replace(F.when(F.contains(text, F.lit("E")), expanded).otherwise(text), "\\.0?\\z", "")
+
+
 def vector_to_text(vector: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(vector.cast("array<string>"), ","), F.lit("]"))
+    """Text literal of a vector: `[0.5,-1,0.0001]`."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, _plain_number), ","), F.lit("]"))
 
 
 def vector_from_text(text: Column) -> Column:

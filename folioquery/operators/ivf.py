@@ -74,7 +74,7 @@ def save_inverted_file(index: InvertedFile, path: str) -> None:
 def top_k_ivf(questions: DataFrame, index: InvertedFile, nprobe: int = 1, **options) -> DataFrame:
     """Top-k among the vectors of the nprobe nearest lists; exact inside these lists."""
     probes = min(nprobe, len(index.centroids))
-    probing = _nearest(questions, index.centroids, probes, "scopes")
+    probing = _nearest(questions.drop("scopes"), index.centroids, probes, "scopes")
     return top_k(probing, index.vectors, scope="list_id", **options)
 
 
