@@ -1 +1,169 @@
-"""Queries."""
+"""Queries: task tables, retries, answer reuse, streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioquery.catalog import query
+from folioquery.catalog.inputs import DOCUMENTS, WIDTH, chunks_sql, timestamp_sql, timestamp_text
+from folioquery.catalog.tables import TABLES_SQL, events, per_document, stored_documents
+from folioquery.functions.retry import backoff_ms, handoff_wait_ms
+from folioquery.operators.cache import DEFAULT_TTL_SECONDS, reuse_within_ttl
+from folioquery.operators.maintenance import mark_failed
+from folioquery.operators.tasks import due_tasks, retry_state, task_route
+from folioquery.session import run_folder
+from folioquery.sources.store import load_tables
+from folioquery.streaming.stages import analyze_stage, parse_stage, read_file_stream, reuse_stage
+
+_K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+
+
+def tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as tasks: attempts, limit and type follow from the payload and the number."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    number = F.col("event_id") % 3
+    return events(spark, folder).select(
+        "event_id", "event_type", F.col("user_id").alias("document_id"), F.col("ts").alias("failed_at"),
+        (k % 6).cast("int").alias("attempts"), (k % 7).cast("int").alias("max_attempts"),
+        F.when(number == 0, "parse").when(number == 1, "analyze").alias("task_type"),
+        F.when(k % 10 != 0, F.col("ts") + F.make_dt_interval(secs=F.col("value"))).alias("not_before"),
+    )
+
+
+_RETRY = f"""
+t AS (SELECT event_id, event_type, user_id, ts, {_K} % 6 + 1 AS attempts,
+             CASE WHEN {_K} % 7 = 0 THEN 5 ELSE {_K} % 7 END AS bound FROM events),
+r AS (SELECT *, attempts >= bound AS dead, 1000 * CAST(pow(2, attempts) AS BIGINT) AS wait FROM t)"""
+
+
+@query(
+    "retry_tasks",
+    f"""
+WITH {_RETRY}
+SELECT event_id, CAST(attempts AS INTEGER) AS attempts, dead, CASE WHEN NOT dead THEN wait END AS delay_ms,
+       CASE WHEN NOT dead THEN {timestamp_sql('ts + to_microseconds(wait * 1000)')} END AS not_before
+FROM r""",
+)
+def _retry(spark: SparkSession, folder: str) -> DataFrame:
+    state = retry_state(tasks(spark, folder))
+    return state.select("event_id", "attempts", "dead", "delay_ms", timestamp_text("not_before").alias("not_before"))
+
+
+@query(
+    "mark_failed",
+    f"""
+WITH {_RETRY}
+SELECT doc_id AS document_id,
+       CASE WHEN doc_id IN (SELECT user_id FROM r WHERE dead AND event_type = 'error') THEN 'failed' ELSE 'processing' END AS status
+FROM documents""",
+)
+def _mark_failed(spark: SparkSession, folder: str) -> DataFrame:
+    dead = retry_state(tasks(spark, folder).where("event_type = 'error'")).where("dead")
+    return mark_failed(stored_documents(spark, folder), dead).select("document_id", "status")
+
+
+AS_OF = "2024-01-15 12:00:00"
+
+
+@query(
+    "due_tasks",
+    f"""
+WITH t AS (SELECT event_id, CASE WHEN {_K} % 10 <> 0 THEN ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) END AS nb FROM events)
+SELECT event_id, {timestamp_sql('nb')} AS not_before FROM t WHERE nb IS NULL OR nb <= TIMESTAMP '{AS_OF}'""",
+)
+def _due(spark: SparkSession, folder: str) -> DataFrame:
+    due = due_tasks(tasks(spark, folder), F.lit(AS_OF).cast("timestamp_ntz"))
+    return due.select("event_id", timestamp_text("not_before").alias("not_before"))
+
+
+@query(
+    "route_tasks",
+    """
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'tasks.parse' WHEN 1 THEN 'tasks.analyze' ELSE 'task type required' END AS route
+FROM events""",
+)
+def _route(spark: SparkSession, folder: str) -> DataFrame:
+    return tasks(spark, folder).select("event_id", task_route(["parse", "analyze"]).alias("route"))
+
+
+@query(
+    "backoff_schedule",
+    f"""
+SELECT event_id, 100 * CAST(pow(2, {_K} % 6) AS BIGINT) AS delay_ms,
+       CASE WHEN {_K} % 5 > 1 THEN 200 * CAST(pow(2, {_K} % 5 - 1) - 1 AS BIGINT) ELSE 0 END AS handoff_wait_ms
+FROM events""",
+)
+def _backoff(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return events(spark, folder).select(
+        "event_id", backoff_ms(k % 6, 100).alias("delay_ms"), handoff_wait_ms((k % 5).cast("int")).alias("handoff_wait_ms")
+    )
+
+
+def _reuse_sql(key: str) -> str:
+    return f"""
+WITH RECURSIVE asks AS (SELECT event_id AS ask_id, {key} AS key, ts FROM events),
+computed AS (
+  SELECT key, min(ts) AS ts FROM asks GROUP BY key
+  UNION ALL
+  SELECT m.key, min(a.ts) FROM computed m JOIN asks a ON a.key = m.key AND a.ts >= m.ts + INTERVAL 24 HOUR GROUP BY m.key, m.ts),
+sources AS (SELECT c.key, c.ts, min(a.ask_id) AS source_id FROM computed c JOIN asks a ON a.key = c.key AND a.ts = c.ts GROUP BY ALL)
+SELECT a.ask_id, a.key, s.source_id, a.ask_id <> s.source_id AS reused
+FROM asks a ASOF JOIN sources s ON a.key = s.key AND a.ts >= s.ts"""
+
+
+_USER_KEY = "concat(user_id, ':', event_type)"
+
+
+def ask_log(frame: DataFrame, *key: str) -> DataFrame:
+    return frame.select(
+        F.col("event_id").alias("ask_id"), F.concat_ws(":", *[F.col(c).cast("string") for c in key]).alias("key"), "ts"
+    )
+
+
+@query("ttl_reuse", _reuse_sql(_USER_KEY))
+def _reuse(spark: SparkSession, folder: str) -> DataFrame:
+    return reuse_within_ttl(ask_log(events(spark, folder), "user_id", "event_type")).drop("ts")
+
+
+@query("ttl_reuse_hot_keys", _reuse_sql("event_type"))
+def _reuse_hot(spark: SparkSession, folder: str) -> DataFrame:
+    """Few keys with a large share of the rows each; all of them take the sliced way."""
+    return reuse_within_ttl(ask_log(events(spark, folder), "event_type"), hot_rows=100).drop("ts")
+
+
+@query("stream_ttl_reuse", _reuse_sql(_USER_KEY))
+def _stream_reuse(spark: SparkSession, folder: str) -> DataFrame:
+    schema = spark.read.parquet(f"{folder.rstrip('/')}/events.parquet").schema
+    stream = read_file_stream(spark, folder, schema, "events.parquet")
+    target = run_folder(spark, "stream-reuse")
+    reuse_stage(ask_log(stream, "user_id", "event_type"), target, DEFAULT_TTL_SECONDS)
+    answers = spark.read.parquet(f"{target}/answers")
+    return answers.select("ask_id", "key", "source_id", (F.col("ask_id") != F.col("source_id")).alias("reused"))
+
+
+def document_stream(spark: SparkSession, folder: str) -> DataFrame:
+    schema = spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet").schema
+    stream = read_file_stream(spark, folder, schema, "documents.parquet")
+    return stream.select(
+        F.col("doc_id").alias("document_id"), F.col("text").alias("content"),
+        F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
+    )
+
+
+@query(
+    "stream_chunks",
+    f"WITH {DOCUMENTS}, {chunks_sql()} SELECT chunk_id, document_id, ord, text, token_count FROM c",
+)
+def _stream_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    target = run_folder(spark, "stream-chunks")
+    parse_stage(document_stream(spark, folder), target)
+    return spark.read.parquet(f"{target}/chunks")
+
+
+@query("stream_analyze", TABLES_SQL)
+def _stream_analyze(spark: SparkSession, folder: str) -> DataFrame:
+    target = run_folder(spark, "stream-analyze")
+    analyze_stage(document_stream(spark, folder), target, width=WIDTH)
+    return per_document(load_tables(spark, f"{target}/tables"))

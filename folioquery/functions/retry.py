@@ -16,7 +16,8 @@ TASK_BASE_MS = 1000
 def backoff_ms(attempt: Column, base_ms: int | Column) -> Column:
     """Delay before the next try: the base doubles with each attempt."""
     base = base_ms if isinstance(base_ms, Column) else F.lit(base_ms)
-    return base.cast("bigint") * F.shiftleft(F.lit(1).cast("bigint"), attempt.cast("int"))
+    doubled = F.call_function("shiftleft", F.lit(1).cast("bigint"), attempt.cast("int"))
+    return base.cast("bigint") * doubled
 
 
 def handoff_wait_ms(attempts: Column, base_ms: int = HANDOFF_BASE_MS) -> Column:

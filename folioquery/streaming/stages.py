@@ -17,10 +17,12 @@ from folioquery.plans.analyze import analyze_documents
 from folioquery.sources.store import save_tables
 
 
-def read_document_stream(spark: SparkSession, path: str, schema: T.StructType | str,
-                         files_per_batch: int = 1000) -> DataFrame:
-    """New parquet files below a path as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_file_stream(
+    spark: SparkSession, folder: str, schema: T.StructType | str, pattern: str = "*.parquet", files_per_batch: int = 1000
+) -> DataFrame:
+    """Parquet files as they appear in a folder."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.option("pathGlobFilter", pattern).parquet(folder)
 
 
 def run_to_end(writer, target: str) -> StreamingQuery:
