@@ -23,8 +23,7 @@ from folioquery.catalog.inputs import (
 )
 from folioquery.operators import answering
 from folioquery.operators.embedding import HASH_MODEL, embed_chunks, embed_questions
-from folioquery.operators.retrieval import attach_chunks, retrieve
-from folioquery.operators.similarity import top_k
+from folioquery.operators.retrieval import retrieve
 from folioquery.operators.summarizing import extractive_summaries
 from folioquery.plans.analyze import analyze_documents
 from folioquery.plans.ask import answer_questions
@@ -45,21 +44,15 @@ def text_questions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def chunk_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = enriched_chunks(spark, folder)
-    return embed_chunks(chunks, WIDTH).select("chunk_id", "vector", "model")
-
-
 def text_hits(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(questions, hits with chunk texts) over the whole corpus."""
     questions = text_questions(spark, folder)
     chunks = enriched_chunks(spark, folder)
     vectors = embed_chunks(chunks, WIDTH)
-    hits = top_k(
-        embed_questions(questions, "question", WIDTH).select("question_id", "vector"), vectors,
-        threshold=TEXT_THRESHOLD, k=K,
+    asked = embed_questions(questions, "question", WIDTH).select("question_id", "vector")
+    with_text = retrieve(
+        asked, vectors, chunks.select("chunk_id", "text"), scope=None, threshold=TEXT_THRESHOLD, k=K
     )
-    with_text = attach_chunks(hits, chunks.select("chunk_id", "text"), small_hits=True)
     return questions.drop("scopes"), with_text
 
 

@@ -17,6 +17,7 @@ from folioquery.session import materialize, run_folder
 DEFAULT_TTL_SECONDS = 24 * 60 * 60
 # -----------------------------------------------------------------------------
 HOT_ROWS = 5_000_000  # asks of one key that one task may walk through
+SENT_KEYS = 100_000  # keys (with a small state each) that may be broadcast
 
 
 def seconds(n: int) -> Column:
@@ -111,19 +112,26 @@ def reuse_within_ttl(
     """
     asks = asks.select("ask_id", "key", "ts")
     schema = T.StructType([*asks.schema.fields, T.StructField("source_id", asks.schema["ask_id"].dataType)])
-    hot = asks.groupBy("key").count().where(F.col("count") > hot_rows).select("key")
+    # At most rows / hot_rows keys can be hot: a short list, written once.
+    hot = materialize(asks.groupBy("key").count().where(F.col("count") > hot_rows).select("key"), "hot-keys")
     n_hot = hot.count()
     usual = asks if n_hot == 0 else asks.join(hot, "key", "left_anti")
     walked = usual.repartition("key").sortWithinPartitions("key", "ts", "ask_id").mapInPandas(
         _walk(ttl_seconds), schema
     )
     if n_hot:
-        # At most (rows / hot_rows) keys can be hot, so their list is small.
-        walked = walked.unionByName(_reuse_hot(asks.join(F.broadcast(hot), "key", "left_semi"), ttl_seconds))
+        walked = walked.unionByName(
+            _reuse_hot(asks.join(_sent(hot, n_hot), "key", "left_semi"), n_hot, ttl_seconds)
+        )
     return walked.withColumn("reused", F.col("ask_id") != F.col("source_id"))
 
 
-def _reuse_hot(asks: DataFrame, ttl_seconds: int) -> DataFrame:
+def _sent(keyed: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table of counted size, or leave the choice to Spark beyond the bound."""
+    return F.broadcast(keyed) if rows <= SENT_KEYS else keyed
+
+
+def _reuse_hot(asks: DataFrame, n_hot: int, ttl_seconds: int) -> DataFrame:
     """The same for keys with very many asks, one time slice of TTL length after the other.
 
     A slice as long as the TTL holds at most one computed ask per key: the first one
@@ -146,7 +154,7 @@ def _reuse_hot(asks: DataFrame, ttl_seconds: int) -> DataFrame:
         entering = carried.withColumn("slice", F.lit(number).cast("bigint"))
         computed = (
             placed.where(F.col("slice") == number)
-            .join(F.broadcast(carried), "key", "left")
+            .join(_sent(carried, n_hot), "key", "left")
             .where(F.col("expires").isNull() | (F.col("at") >= F.col("expires")))
             .groupBy("key")
             .agg(F.min(F.struct("at", "ask_id")).alias("first"))

@@ -17,6 +17,8 @@ from folioquery.functions.text import clean_text, words
 
 DEFAULT_WIDTH = 256
 HASH_MODEL = "feature-hash"
+STEP_BYTES = 16 * 1024 * 1024  # dense rows that one task holds at a time
+MODEL_BATCH = 256  # texts per call of a user model
 EMPTY_TEXT_ERROR = "text is empty after preprocessing"
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
@@ -65,6 +67,11 @@ class _Features(dict):
         return feature
 
 
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 def hash_embed(df: DataFrame, text: str, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Dense unit vectors of the same model, appended as `vector` (NULL for blank texts).
 
@@ -75,9 +82,11 @@ def hash_embed(df: DataFrame, text: str, width: int = DEFAULT_WIDTH) -> DataFram
     prepared = df.select(*kept, F.lower(clean_text(F.col(text))).alias("_text"))
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("vector", T.ArrayType(T.FloatType()))])
 
+    rows_per_step = max(1, STEP_BYTES // (8 * width))
+
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = _Features(width)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, rows_per_step)):
             texts = batch.column("_text").to_pylist()
             spoken = [[features[word] for word in text.split()] if text else [] for text in texts]
             signed = np.array([f for row in spoken for f in row], dtype=np.int64)
@@ -98,7 +107,9 @@ def hash_embed(df: DataFrame, text: str, width: int = DEFAULT_WIDTH) -> DataFram
     return prepared.mapInArrow(embed, schema)
 
 
-def embed_texts(df: DataFrame, embed_fn: Embedder, key: str, text: str) -> DataFrame:
+def embed_texts(
+    df: DataFrame, embed_fn: Embedder, key: str, text: str, batch_size: int = MODEL_BATCH
+) -> DataFrame:
     """Run a user model over cleaned texts in Arrow batches: (key, vector).
 
     Blank texts are dropped; a model that returns another number of vectors than
@@ -109,9 +120,7 @@ def embed_texts(df: DataFrame, embed_fn: Embedder, key: str, text: str) -> DataF
     schema = T.StructType([df.schema[key], T.StructField("vector", T.ArrayType(T.FloatType()))])
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
+        for batch in (whole[i : i + batch_size] for whole in batches for i in range(0, len(whole), batch_size)):
             matrix = np.asarray(embed_fn(batch["_text"].tolist()), dtype=np.float64)
             if len(matrix) != len(batch):
                 raise ValueError(f"expected {len(batch)} embeddings, got {len(matrix)}")

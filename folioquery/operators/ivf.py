@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioquery.functions.vectors import norm
 from folioquery.operators.similarity import _matrix, _unit_rows, top_k
 
 # --- fixed values -----------------------------------------------------------
@@ -54,7 +53,7 @@ def build_inverted_file(
     `train_fraction` lets a very large table train on a part of its rows; all rows
     are assigned in any case. Zero vectors have no direction and are not indexed.
     """
-    usable = vectors.where(norm(F.col("vector")) > 0)
+    usable = vectors.where(F.exists("vector", lambda x: x != 0))
     training = usable if train_fraction >= 1 else usable.sample(train_fraction, seed)
     model = KMeans(
         k=lists, distanceMeasure="cosine", maxIter=max_iter, seed=seed, featuresCol="features"

@@ -52,14 +52,20 @@ def mark_failed(documents: DataFrame, dead_letters: DataFrame) -> DataFrame:
 def cascade_delete(
     deleted: DataFrame, documents: DataFrame, chunks: DataFrame, summaries: DataFrame, embeddings: DataFrame
 ) -> dict[str, DataFrame]:
-    """The four tables without the deleted documents and everything that depends on them."""
+    """The four tables without the deleted documents and everything that depends on them.
+
+    Embeddings that carry their document_id need no detour over the chunk ids.
+    """
     gone = deleted.select("document_id").distinct()
-    gone_chunks = chunks.join(gone, "document_id", "left_semi").select("chunk_id")
+    if "document_id" in embeddings.columns:
+        gone_embeddings, key = gone, "document_id"
+    else:
+        gone_embeddings, key = chunks.join(gone, "document_id", "left_semi").select("chunk_id"), "chunk_id"
     return {
         "documents": documents.join(gone, "document_id", "left_anti"),
         "chunks": chunks.join(gone, "document_id", "left_anti"),
         "summaries": summaries.join(gone, "document_id", "left_anti"),
-        "embeddings": embeddings.join(gone_chunks, "chunk_id", "left_anti"),
+        "embeddings": embeddings.join(gone_embeddings, key, "left_anti"),
     }
 
 

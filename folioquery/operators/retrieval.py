@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from folioquery.functions.validation import TOP_K_MAX
 from folioquery.operators.similarity import BROADCAST_BYTES, MIN_SIMILARITY, measure_questions, top_k
 
-HIT_BYTES = 128  # one hit row: two ids, a similarity and a rank
+HIT_BYTES = 256  # one hit row: ids, model, similarity and rank
+
+
+def hits_are_small(n_questions: int, k: int = TOP_K_MAX, bound: int = BROADCAST_BYTES) -> bool:
+    """At most k hits per question: their size is known before they are computed."""
+    return n_questions * k * HIT_BYTES <= bound
 
 
 def attach_chunks(hits: DataFrame, chunks: DataFrame, small_hits: bool = False) -> DataFrame:
     """hits join chunks on chunk_id.
 
     Chunk texts join after the top-k, so they take no part in the similarity stage.
-    `small_hits` says that the number of hits is known to be bounded (questions x k):
-    they are then broadcast and the chunk table is scanned without being moved.
+    `small_hits` states the outcome of `hits_are_small`: the hits are then broadcast and
+    the chunk table is scanned without being moved. Else both sides are shuffled.
     """
     return (F.broadcast(hits) if small_hits else hits).join(chunks, "chunk_id")
 
@@ -35,7 +40,7 @@ def retrieve(
     questions: DataFrame,
     embeddings: DataFrame,
     chunks: DataFrame,
-    summaries: DataFrame,
+    summaries: DataFrame | None = None,
     *,
     scope: str | None = "document_id",
     threshold: float = MIN_SIMILARITY,
@@ -45,15 +50,14 @@ def retrieve(
 ) -> DataFrame:
     """Restrict, compare, cut at the threshold, take the k best, add chunk and summary.
 
-    questions(question_id, vector, scopes[, top_k]); embeddings(chunk_id, vector, model, <scope>).
+    questions(question_id, vector, scopes[, top_k]); embeddings(chunk_id, vector[, model], <scope>).
+    Without `summaries` their columns are left out.
     """
     size = measure_questions(questions)
+    carry = ("model",) if "model" in embeddings.columns else ()
     hits = top_k(
-        questions, embeddings, k=k, scope=scope, threshold=threshold, size=size,
+        questions, embeddings, k=k, scope=scope, threshold=threshold, size=size, carry=carry,
         broadcast_bytes=broadcast_bytes, **options,
     )
-    small = size.rows * TOP_K_MAX * HIT_BYTES <= broadcast_bytes
-    with_chunks = attach_chunks(hits, chunks, small)
-    if "model" in embeddings.columns:
-        with_chunks = attach_chunks(with_chunks, embeddings.select("chunk_id", "model"), small)
-    return attach_summaries(with_chunks, summaries)
+    found = attach_chunks(hits, chunks, hits_are_small(size.rows, TOP_K_MAX, broadcast_bytes))
+    return found if summaries is None else attach_summaries(found, summaries)

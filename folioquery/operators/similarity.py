@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from folioquery.functions.validation import TOP_K_MAX
@@ -67,72 +69,125 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, lengths, out=np.full_like(matrix, np.nan), where=lengths > 0)
 
 
-def best_pairs(
-    questions: np.ndarray, vectors: np.ndarray, id_rank: np.ndarray, k: int | None, threshold: float
+def candidates(
+    questions: np.ndarray, vectors: np.ndarray, floor: np.ndarray, k: int | None, id_rank
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers, column numbers and similarities of the pairs to keep.
+    """Row numbers, column numbers and similarities of the pairs worth keeping.
 
-    Keeps similarities >= threshold and, with k, the k best per question, where equal
-    similarities are ordered by id. Zero vectors have no similarity and never match.
+    Keeps similarities >= the floor of their question. With k, a product with many
+    such pairs is cut to the k best per question, where equal similarities are
+    ordered by id. Zero vectors have no similarity and never match.
     """
     sims = np.round(questions @ vectors.T, SCORE_DIGITS)
     sims[np.isnan(sims)] = -np.inf
-    keep = sims >= threshold
+    keep = sims >= floor[:, None]
     n = sims.shape[1]
-    if k is not None and n > k:
+    many = k is not None and n > k and np.count_nonzero(keep) > 4 * k * len(questions)
+    if many:
         keep &= sims >= np.partition(sims, n - k, axis=1)[:, n - k][:, None]
     rows, cols = np.nonzero(keep)
     values = sims[rows, cols]
-    if k is not None and len(rows):
-        order = np.lexsort((id_rank[cols], -values, rows))
-        rows, cols, values = rows[order], cols[order], values[order]
-        position = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-        best = position < k
+    if many:
+        best = _k_best(rows, values, id_rank()[cols], k)
         rows, cols, values = rows[best], cols[best], values[best]
     return rows, cols, values
 
 
-class _Pairs:
-    """Block product of a question table with vector batches; output as Arrow batches."""
-
-    def __init__(self, width: int, k: int | None, threshold: float, names: list[str]):
-        self.width, self.k, self.threshold, self.names = width, k, threshold, names
-
-    def batch(self, ids, tops, units, cells, chunk_ids, vectors, chunk_cells) -> Iterator[pa.RecordBatch]:
-        """`cells` maps a cell value to question row numbers; None means one common cell."""
-        id_rank = np.asarray(pc.rank(chunk_ids, sort_keys="ascending", tiebreaker="first"))
-        vectors = _unit_rows(vectors)
-        if cells is None:
-            groups = [(np.arange(len(units)), np.arange(len(vectors)))]
-        else:
-            encoded = chunk_cells.dictionary_encode()
-            codes = encoded.indices.to_numpy(zero_copy_only=False)
-            order = np.argsort(codes, kind="stable")
-            bounds = np.searchsorted(codes[order], np.arange(len(encoded.dictionary) + 1))
-            groups = [
-                (cells[value], order[bounds[i] : bounds[i + 1]])
-                for i, value in enumerate(encoded.dictionary.to_pylist())
-                if value in cells
-            ]
-        for question_rows, vector_rows in groups:
+def _k_best(rows: np.ndarray, values: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best values per row, ordered by row, value and id."""
+    order = np.lexsort((ids, -values, rows))
+    ordered = rows[order]
+    return order[np.arange(len(order)) - np.searchsorted(ordered, ordered, side="left") < k]
+
+
+def _id_rank(ids: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(pc.rank(ids, sort_keys="ascending", tiebreaker="first"))
+
+
+class _Search:
+    """One task's search: multiplies batches of vectors with the questions.
+
+    With k, the best pairs are kept across the batches of the task, and the k-th best
+    similarity found so far becomes the floor of its question, so that later batches
+    give few new candidates. The task holds at most a few times k pairs per question.
+    """
+
+    def __init__(self, questions: pa.Table, cells: str | None, width: int, k: int | None, threshold: float,
+                 schema: pa.Schema):
+        self.ids = questions.column("question_id").combine_chunks()
+        self.top_k = questions.column("top_k").combine_chunks()
+        self.units = _unit_rows(_matrix(questions.column("vector"), width))
+        self.cells = _rows_by_cell(questions.column(cells).to_pylist()) if cells else None
+        self.width, self.k, self.schema = width, k, schema
+        self.floor = np.full(len(self.units), threshold)
+        self.kept: list[pa.Table] = []
+        self.n_kept = 0
+        self.n_room = max(200_000, 4 * (k or 0) * len(self.units))
+
+    def add(self, batch: pa.RecordBatch, cell: str | None) -> Iterator[pa.RecordBatch]:
+        vectors = _unit_rows(_matrix(batch.column("vector"), self.width))
+        payload = batch.select([name for name in self.schema.names if name in batch.schema.names])
+        for question_rows, vector_rows in self._meetings(batch, cell):
             for start in range(0, len(question_rows), QUESTIONS_PER_PRODUCT):
                 part = question_rows[start : start + QUESTIONS_PER_PRODUCT]
-                rows, cols, values = best_pairs(
-                    units[part], vectors[vector_rows], id_rank[vector_rows], self.k, self.threshold
+                rows, cols, values = candidates(
+                    self.units[part], vectors[vector_rows], self.floor[part], self.k,
+                    lambda: _id_rank(batch.column("chunk_id"))[vector_rows],
                 )
-                if len(rows):
-                    taken = pa.array(part[rows])
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(taken), tops.take(taken), chunk_ids.take(pa.array(vector_rows[cols])),
-                         pa.array(values)],
-                        names=self.names,
-                    )
-
+                if not len(rows):
+                    continue
+                found = pa.Table.from_batches([payload.take(pa.array(vector_rows[cols]))])
+                found = found.append_column("row", pa.array(part[rows])).append_column("similarity", pa.array(values))
+                if self.k is None:
+                    yield from self._output(found)
+                else:
+                    self.kept.append(found)
+                    self.n_kept += len(rows)
+                    if self.n_kept > self.n_room:
+                        self._cut()
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        if self.kept:
+            self._cut()
+            yield from self._output(self.kept[0])
+
+    def _meetings(self, batch, cell) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Question rows and vector rows that share a cell."""
+        if self.cells is None:
+            return [(np.arange(len(self.units)), np.arange(batch.num_rows))]
+        encoded = batch.column(cell).dictionary_encode()
+        codes = encoded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        bounds = np.searchsorted(codes[order], np.arange(len(encoded.dictionary) + 1))
+        return [
+            (self.cells[value], order[bounds[i] : bounds[i + 1]])
+            for i, value in enumerate(encoded.dictionary.to_pylist())
+            if value in self.cells
+        ]
 
-def _cells_of(question_cells: list) -> dict:
+    def _cut(self) -> None:
+        """Keep the k best pairs per question and raise the floors."""
+        table = pa.concat_tables(self.kept).combine_chunks()
+        rows = table.column("row").to_numpy()
+        values = table.column("similarity").to_numpy()
+        best = _k_best(rows, values, _id_rank(table.column("chunk_id")), self.k)
+        rows, values = rows[best], values[best]
+        last = np.flatnonzero(np.r_[rows[1:] != rows[:-1], True])
+        full = last[np.bincount(rows, minlength=len(self.floor))[rows[last]] >= self.k]
+        self.floor[rows[full]] = values[full]
+        self.kept, self.n_kept = [table.take(pa.array(best))], len(best)
+
+    def _output(self, found: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = found.column("row")
+        columns = {"question_id": self.ids.take(rows), "top_k": self.top_k.take(rows)}
+        arrays = [columns[n] if n in columns else found.column(n) for n in self.schema.names]
+        yield from pa.Table.from_arrays(arrays, names=self.schema.names).cast(self.schema).to_batches()
+
+
+def _rows_by_cell(cells: list) -> dict:
     rows_of: dict = {}
-    for row, values in enumerate(question_cells):
-        for value in set(values or ()):
+    for row, values in enumerate(cells):
+        for value in set(values if isinstance(values, list) else [values]) - {None}:
             rows_of.setdefault(value, []).append(row)
     return {value: np.array(rows) for value, rows in rows_of.items()}
 
@@ -144,67 +199,64 @@ def similar_pairs(
     threshold: float = MIN_SIMILARITY,
     k: int | None = None,
     scope: str | None = None,
+    carry: tuple[str, ...] = (),
     size: QuestionSize | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Pairs (question_id, top_k, chunk_id, similarity) at or above the threshold.
+    """Pairs (question_id, top_k, chunk_id, *carry, similarity) at or above the threshold.
 
-    questions(question_id, vector[, top_k][, scopes ARRAY]); vectors(chunk_id, vector[, scope]).
+    questions(question_id, vector[, top_k][, scopes ARRAY]); vectors(chunk_id, vector, *carry[, scope]).
     With `scope`, a question meets only vectors whose scope value is in its `scopes`;
-    an empty list meets none. With `k`, every block may drop pairs that cannot be
-    among the k best of a question; `top_k` below ranks what is left.
+    an empty list meets none. With `k`, a task drops pairs that cannot be among the k
+    best of a question; `rank_hits` ranks what the tasks give back.
     """
     size = size or measure_questions(questions)
     top_k = F.col("top_k") if "top_k" in questions.columns else F.lit(k)
     wanted = questions.select(
         "question_id", top_k.cast("int").alias("top_k"), "vector", *(["scopes"] if scope else [])
     ).where(F.size("vector") == size.width)
-    stored = vectors.select("chunk_id", "vector", *([F.col(scope).alias("scope")] if scope else [])).where(
-        F.size("vector") == size.width
-    )
+    stored = vectors.select(
+        "chunk_id", *carry, "vector", *([F.col(scope).alias("scope")] if scope else [])
+    ).where(F.size("vector") == size.width)
     schema = T.StructType(
         [
             T.StructField("question_id", questions.schema["question_id"].dataType),
             T.StructField("top_k", T.IntegerType()),
-            T.StructField("chunk_id", vectors.schema["chunk_id"].dataType),
+            *[T.StructField(c, vectors.schema[c].dataType) for c in ("chunk_id", *carry)],
             T.StructField("similarity", T.DoubleType()),
         ]
     )
-    pairs = _Pairs(size.width, k, threshold, schema.names)
     if size.rows == 0 or size.width == 0:
         return questions.sparkSession.createDataFrame([], schema)
+    search = partial(_Search, width=size.width, k=k, threshold=threshold, schema=to_arrow_schema(schema))
     if size.n_bytes <= broadcast_bytes:
-        return _with_sent_questions(wanted, stored, scope, pairs, schema)
-    return _with_blocks(wanted, stored, scope, size, block_bytes, pairs, schema)
+        return _with_sent_questions(wanted, stored, scope, search, schema)
+    return _with_blocks(wanted, stored, scope, size, block_bytes, search, schema)
 
 
-def _with_sent_questions(wanted, stored, scope, pairs: _Pairs, schema) -> DataFrame:
-    table = wanted.toArrow().combine_chunks()
-    payload = wanted.sparkSession.sparkContext.broadcast(table)
+def _with_sent_questions(wanted, stored, scope, search, schema) -> DataFrame:
+    sent = wanted.sparkSession.sparkContext.broadcast(wanted.toArrow().combine_chunks())
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = payload.value
-        ids, tops = sent.column("question_id").combine_chunks(), sent.column("top_k").combine_chunks()
-        units = _unit_rows(_matrix(sent.column("vector"), pairs.width))
-        cells = _cells_of(sent.column("scopes").to_pylist()) if scope else None
+        task = search(sent.value, "scopes" if scope else None)
         for batch in batches:
             if batch.num_rows:
-                yield from pairs.batch(
-                    ids, tops, units, cells, batch.column("chunk_id"), _matrix(batch.column("vector"), pairs.width),
-                    batch.column("scope") if scope else None,
-                )
+                yield from task.add(batch, "scope")
+        yield from task.finish()
 
     return stored.mapInArrow(multiply, schema)
 
 
-def _with_blocks(wanted, stored, scope, size: QuestionSize, block_bytes: int, pairs: _Pairs, schema) -> DataFrame:
+def _with_blocks(wanted, stored, scope, size: QuestionSize, block_bytes: int, search, schema) -> DataFrame:
     block_rows = max(1, block_bytes // (8 * size.width))
 
     def blocks(rows):
         return F.greatest(F.ceil(rows / F.lit(block_rows)), F.lit(1)).cast("int")
 
     if scope:
+        # One row per scope; joining it back is an equi-join with a unique side, in
+        # which adaptive execution splits a scope that many rows share.
         asked = wanted.select("question_id", "top_k", "vector", F.explode(F.array_distinct("scopes")).alias("scope"))
         counts = (
             asked.groupBy("scope").agg(F.count("*").alias("n_questions"))
@@ -224,45 +276,38 @@ def _with_blocks(wanted, stored, scope, size: QuestionSize, block_bytes: int, pa
         volume = size.rows * n_v + n_vectors * n_q
         parts = [F.lit("").alias("scope"), F.lit(n_q).alias("q_blocks"), F.lit(n_v).alias("v_blocks")]
         asked, stored = wanted.select("*", *parts), stored.select("*", *parts)
+    # Small cells share a group, so that a group is about one block.
+    n_groups = max(wanted.sparkSession.sparkContext.defaultParallelism, -(-volume // block_rows))
 
     def laid_out(side: DataFrame, own: str, own_id: str, other: str) -> DataFrame:
-        """Assign each row to its own block and copy it to every block of the other side."""
+        """Give each row its own block and a copy for every block of the other side."""
         block = F.pmod(F.xxhash64(own_id), F.col(f"{own}_blocks"))
         copies = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
         placed = side.withColumn(f"{own}_block", block).withColumn(f"{other}_block", copies)
         cell = F.concat_ws("|", F.col("scope").cast("string"), F.col("q_block"), F.col("v_block"))
         return placed.withColumn("cell", cell).withColumn("group", F.pmod(F.xxhash64("cell"), F.lit(n_groups)))
 
-    # Small cells share a group, so that a group is about one block.
-    n_groups = max(wanted.sparkSession.sparkContext.defaultParallelism, -(-volume // block_rows))
+    # The names differ on the two sides, because both may come from the same table.
     left = laid_out(asked, "q", "question_id", "v").select(
         F.col("group").alias("q_group"), F.col("cell").alias("q_cell"), "question_id", "top_k",
         F.col("vector").alias("q_vector"),
     )
+    payload = [name for name in schema.names if name in stored.columns]
     right = laid_out(stored, "v", "chunk_id", "q").select(
-        F.col("group").alias("v_group"), F.col("cell").alias("v_cell"), "chunk_id",
-        F.col("vector").alias("v_vector"),
+        F.col("group").alias("v_group"), F.col("cell").alias("v_cell"),
+        *[F.col(name).alias(f"v_{name}") for name in payload], F.col("vector").alias("v_vector"),
     )
 
     def multiply(q: pa.Table, v: pa.Table) -> pa.Table:
-        found = []
+        output = []
         if q.num_rows and v.num_rows:
-            q, v = q.combine_chunks(), v.combine_chunks()
-            found = list(
-                pairs.batch(
-                    q.column("question_id").combine_chunks(), q.column("top_k").combine_chunks(),
-                    _unit_rows(_matrix(q.column("q_vector"), pairs.width)),
-                    _cells_of([[c] for c in q.column("q_cell").to_pylist()]),
-                    v.column("chunk_id").combine_chunks(), _matrix(v.column("v_vector"), pairs.width),
-                    v.column("v_cell").combine_chunks(),
-                )
-            )
-        if found:
-            return pa.Table.from_batches(found)
-        empty = {"question_id": q.schema.field("question_id").type, "top_k": pa.int32(),
-                 "chunk_id": v.schema.field("chunk_id").type, "similarity": pa.float64()}
-        return pa.table({name: pa.array([], kind) for name, kind in empty.items()})
+            task = search(q.rename_columns(["group", "cell", "question_id", "top_k", "vector"]), "cell")
+            for batch in v.rename_columns(["group", "cell", *payload, "vector"]).to_batches(max_chunksize=8192):
+                output.extend(task.add(batch, "cell"))
+            output.extend(task.finish())
+        return pa.Table.from_batches(output, schema=arrow_schema)
 
+    arrow_schema = to_arrow_schema(schema)
     return left.groupBy("q_group").cogroup(right.groupBy("v_group")).applyInArrow(multiply, schema)
 
 
@@ -280,6 +325,9 @@ def rank_hits(pairs: DataFrame, limit: int = TOP_K_MAX) -> DataFrame:
 def top_k(
     questions: DataFrame, vectors: DataFrame, *, k: int = 5, limit: int = TOP_K_MAX, **options
 ) -> DataFrame:
-    """Exact top-k: (question_id, chunk_id, similarity, rank). k applies where a question has no own top_k."""
+    """Exact top-k: (question_id, chunk_id, *carry, similarity, rank).
+
+    k applies where the questions bring no own top_k.
+    """
     bound = limit if "top_k" in questions.columns else k
     return rank_hits(similar_pairs(questions, vectors, k=bound, **options), bound)

@@ -84,7 +84,6 @@ def answer_questions(
         pending.where("vector IS NOT NULL").select("question_id", "vector", "scopes", "top_k"),
         tables["embeddings"],
         tables["chunks"],
-        tables["summaries"],
         threshold=threshold,
     )
     hits = stored(hits.select("question_id", "rank", "chunk_id", "similarity", "text"), "hits")
