@@ -90,8 +90,7 @@ def retrieve_text(spark: SparkSession, folder: str) -> DataFrame:
     """Flagship: questions restricted to collections, over chunks embedded from all documents."""
     docs = documents(spark, folder)
     chunks = enriched_chunks(spark, folder)
-    embedded = embed_chunks(chunks.withColumn("document_id", F.struct("document_id", "collection")), WIDTH)
-    vectors = embedded.select("chunk_id", "vector", "model", F.col("document_id.collection").alias("collection"))
+    vectors = embed_chunks(chunks, WIDTH, keep=("collection",))
     questions = embed_questions(text_questions(spark, folder), "question", WIDTH)
     hits = retrieve(
         questions.select("question_id", "vector", "scopes"),

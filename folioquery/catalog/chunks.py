@@ -236,12 +236,18 @@ def summaries_sql(name: str = "s") -> str:
   FROM {name}_rank GROUP BY document_id)"""
 
 
-@query(
-    "summarize_extractive",
-    f"""
+_SUMMARIES = f"""
 WITH {DOCUMENTS}, {summaries_sql()}
-SELECT document_id, summary, coalesce(array_to_string(key_points, '|'), '') AS key_points FROM s""",
-)
+SELECT document_id, summary, coalesce(array_to_string(key_points, '|'), '') AS key_points FROM s"""
+
+
+@query("summarize_extractive", _SUMMARIES)
 def _summaries(spark: SparkSession, folder: str) -> DataFrame:
     found = summarizing.extractive_summaries(documents(spark, folder))
     return found.withColumn("key_points", F.array_join("key_points", "|"))
+
+
+@query("summarize_relational", _SUMMARIES)
+def _summaries_relational(spark: SparkSession, folder: str) -> DataFrame:
+    found = summarizing.extractive_summaries_relational(documents(spark, folder))
+    return found.withColumn("key_points", F.array_join("key_points", "|"))

@@ -190,6 +190,14 @@ def _ivf_all(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(top_k_ivf(vector_questions(spark, folder), index, nprobe=LISTS, threshold=THRESHOLD, k=K))
 
 
+@query("topk_ivf_filtered", f"{_top_sql('label IN (one, other)')} SELECT {_ROUNDED} FROM t")
+def _ivf_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    """All lists, restricted to the asked documents: exact as well."""
+    index = build_inverted_file(stored_vectors(spark, folder), LISTS)
+    questions = vector_questions(spark, folder)
+    return rounded(top_k_ivf(questions, index, nprobe=LISTS, within="document_id", threshold=THRESHOLD, k=K))
+
+
 @query("ivf_recall")
 def _ivf_recall(spark: SparkSession, folder: str) -> DataFrame:
     stored, questions = stored_vectors(spark, folder), vector_questions(spark, folder)

@@ -131,17 +131,20 @@ def embed_texts(
     return prepared.mapInPandas(embed, schema)
 
 
-def embed_chunks(enriched: DataFrame, width: int = DEFAULT_WIDTH, embed_fn: Embedder | None = None,
-                 model: str = HASH_MODEL) -> DataFrame:
-    """chunks(chunk_id, document_id, enriched) -> embeddings(chunk_id, document_id, vector, model)."""
+def embed_chunks(
+    enriched: DataFrame,
+    width: int = DEFAULT_WIDTH,
+    embed_fn: Embedder | None = None,
+    model: str = HASH_MODEL,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """chunks(chunk_id, document_id, enriched) -> embeddings(chunk_id, document_id, *keep, vector, model)."""
+    carried = ["chunk_id", "document_id", *keep]
     if embed_fn is None:
-        vectors = hash_embed(enriched.select("chunk_id", "document_id", "enriched"), "enriched", width)
-        vectors = vectors.where("vector IS NOT NULL")
+        vectors = hash_embed(enriched.select(*carried, "enriched"), "enriched", width).where("vector IS NOT NULL")
     else:
-        vectors = embed_texts(enriched, embed_fn, "chunk_id", "enriched").join(
-            enriched.select("chunk_id", "document_id"), "chunk_id"
-        )
-    return vectors.select("chunk_id", "document_id", "vector", F.lit(model).alias("model"))
+        vectors = embed_texts(enriched, embed_fn, "chunk_id", "enriched").join(enriched.select(*carried), "chunk_id")
+    return vectors.select(*carried, "vector", F.lit(model).alias("model"))
 
 
 def embed_questions(questions: DataFrame, text: str = "question", width: int = DEFAULT_WIDTH) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioquery.operators.similarity import _matrix, _unit_rows, top_k
+from folioquery.operators.similarity import matrix_of, top_k, unit_rows
 
 # --- fixed values -----------------------------------------------------------
 DEFAULT_LISTS = 100
@@ -30,12 +30,12 @@ class InvertedFile:
 
 def _nearest(df: DataFrame, centroids: np.ndarray, n: int, column: str) -> DataFrame:
     """Append the n nearest lists of every row as an array column."""
-    units = _unit_rows(centroids)
+    units = unit_rows(centroids)
     schema = T.StructType([*df.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType()))])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sims = _unit_rows(_matrix(batch.column("vector"), units.shape[1])) @ units.T
+            sims = unit_rows(matrix_of(batch.column("vector"), units.shape[1])) @ units.T
             lists = np.argsort(-sims, axis=1, kind="stable")[:, :n].astype(np.int32)
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * lists.shape[1])
             yield pa.RecordBatch.from_arrays(
@@ -70,11 +70,26 @@ def save_inverted_file(index: InvertedFile, path: str) -> None:
     ).mode("overwrite").parquet(path)
 
 
-def top_k_ivf(questions: DataFrame, index: InvertedFile, nprobe: int = 1, **options) -> DataFrame:
-    """Top-k among the vectors of the nprobe nearest lists; exact inside these lists."""
+def top_k_ivf(
+    questions: DataFrame, index: InvertedFile, nprobe: int = 1, within: str | None = None, **options
+) -> DataFrame:
+    """Top-k among the vectors of the nprobe nearest lists; exact inside these lists.
+
+    With `within` (a column such as document_id), a question also keeps to the values
+    in its `scopes`.
+    """
     probes = min(nprobe, len(index.centroids))
-    probing = _nearest(questions.drop("scopes"), index.centroids, probes, "scopes")
-    return top_k(probing, index.vectors, scope="list_id", **options)
+    probing = _nearest(questions if within else questions.drop("scopes"), index.centroids, probes, "lists")
+    if within is None:
+        return top_k(probing.withColumnRenamed("lists", "scopes"), index.vectors, scope="list_id", **options)
+    cell = F.concat_ws("|", F.col("list_id").cast("string"), F.col(within).cast("string"))
+    cells = F.flatten(
+        F.transform(
+            "lists",
+            lambda n: F.transform("scopes", lambda v: F.concat_ws("|", n.cast("string"), v.cast("string"))),
+        )
+    )
+    return top_k(probing.withColumn("scopes", cells), index.vectors.withColumn("cell", cell), scope="cell", **options)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

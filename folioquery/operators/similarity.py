@@ -35,6 +35,7 @@ SCORE_DIGITS = 9  # similarities are compared after rounding, so that ties are t
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_BYTES = 64 * 1024 * 1024
 QUESTIONS_PER_PRODUCT = 256
+PUSHED_SCOPES = 500
 
 
 @dataclass(frozen=True)
@@ -58,13 +59,13 @@ def measure_questions(questions: DataFrame) -> QuestionSize:
     return QuestionSize(row["n"], row["width"] or 0, row["scopes"] or 0)
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+def matrix_of(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def _unit_rows(matrix: np.ndarray) -> np.ndarray:
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
     lengths = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return np.divide(matrix, lengths, out=np.full_like(matrix, np.nan), where=lengths > 0)
 
@@ -116,7 +117,7 @@ class _Search:
                  schema: pa.Schema):
         self.ids = questions.column("question_id").combine_chunks()
         self.top_k = questions.column("top_k").combine_chunks()
-        self.units = _unit_rows(_matrix(questions.column("vector"), width))
+        self.units = unit_rows(matrix_of(questions.column("vector"), width))
         self.cells = _rows_by_cell(questions.column(cells).to_pylist()) if cells else None
         self.width, self.k, self.schema = width, k, schema
         self.floor = np.full(len(self.units), threshold)
@@ -125,7 +126,7 @@ class _Search:
         self.n_room = max(200_000, 4 * (k or 0) * len(self.units))
 
     def add(self, batch: pa.RecordBatch, cell: str | None) -> Iterator[pa.RecordBatch]:
-        vectors = _unit_rows(_matrix(batch.column("vector"), self.width))
+        vectors = unit_rows(matrix_of(batch.column("vector"), self.width))
         payload = batch.select([name for name in self.schema.names if name in batch.schema.names])
         for question_rows, vector_rows in self._meetings(batch, cell):
             for start in range(0, len(question_rows), QUESTIONS_PER_PRODUCT):
@@ -236,7 +237,10 @@ def similar_pairs(
 
 
 def _with_sent_questions(wanted, stored, scope, search, schema) -> DataFrame:
-    sent = wanted.sparkSession.sparkContext.broadcast(wanted.toArrow().combine_chunks())
+    table = wanted.toArrow().combine_chunks()
+    sent = wanted.sparkSession.sparkContext.broadcast(table)
+    if scope:
+        stored = _only_asked(wanted, stored, table)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = search(sent.value, "scopes" if scope else None)
@@ -248,6 +252,19 @@ def _with_sent_questions(wanted, stored, scope, search, schema) -> DataFrame:
     return stored.mapInArrow(multiply, schema)
 
 
+def _only_asked(wanted: DataFrame, stored: DataFrame, table: pa.Table) -> DataFrame:
+    """Drop vectors outside all asked scopes before they leave the JVM.
+
+    A short list of scopes is a literal filter, which reaches the scan and prunes files
+    and partitions; a longer one (still within the measured bound) is a broadcast semi join.
+    """
+    asked = pc.unique(pc.list_flatten(table.column("scopes"))).to_pylist()
+    if len(asked) <= PUSHED_SCOPES:
+        return stored.where(F.col("scope").isin([value for value in asked if value is not None]))
+    scopes = wanted.select(F.explode("scopes").alias("scope")).distinct()
+    return stored.join(F.broadcast(scopes), "scope", "left_semi")
+
+
 def _with_blocks(wanted, stored, scope, size: QuestionSize, block_bytes: int, search, schema) -> DataFrame:
     block_rows = max(1, block_bytes // (8 * size.width))
 

@@ -53,10 +53,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition a scan that has fewer splits than there are cores.
+    """Repartition a scan that has far fewer splits than there are cores.
 
     A large table has thousands of splits and passes through unchanged; one small
     file would otherwise keep all narrow work in a single task.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def settings_for(shuffle_bytes: int, partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Settings for a job that moves about `shuffle_bytes` in its largest exchange.
+
+    Adaptive execution merges partitions that turn out small, but it cannot make more
+    of them, so the number starts from the expected size.
+    """
+    partitions = max(200, -(-shuffle_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+    }
