@@ -94,8 +94,12 @@ WITH {DOCUMENTS}, {chunks_sql()}, {ENRICHED}, {hashed_sql('e', 'chunk_id', 'enri
 SELECT chunk_id, bucket, value, '{embedding.HASH_MODEL}' AS model FROM h""",
 )
 def _hash_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    sparse = embedding.hash_embed_sparse(enriched_chunks(spark, folder), ["chunk_id"], "enriched", WIDTH)
-    return sparse.withColumn("model", F.lit(embedding.HASH_MODEL))
+    # Texts are placed by document once; grouping by document and chunk needs no exchange then.
+    placed = documents(spark, folder).repartition("document_id")
+    cut = chunking.chunk_documents(placed, keep=("filename",))
+    enriched = cut.withColumn("enriched", enriched_text(F.col("filename"), F.col("text")))
+    sparse = embedding.hash_embed_sparse(enriched, ["document_id", "chunk_id"], "enriched", WIDTH)
+    return sparse.drop("document_id").withColumn("model", F.lit(embedding.HASH_MODEL))
 
 
 _TURNS = "q AS (SELECT conv_id, turn, role, CASE WHEN turn % 4 = 2 THEN ' ' || chr(1) ELSE text END AS question FROM conversations)"

@@ -17,6 +17,7 @@ from folioquery.session import materialize, run_folder
 DEFAULT_TTL_SECONDS = 24 * 60 * 60
 # -----------------------------------------------------------------------------
 HOT_ROWS = 5_000_000  # asks of one key that one task may walk through
+FILES_PER_SLICE = 64
 SENT_KEYS = 100_000  # keys (with a small state each) that may be broadcast
 
 
@@ -141,51 +142,49 @@ def _reuse_hot(asks: DataFrame, n_hot: int, ttl_seconds: int) -> DataFrame:
     """
     spark = asks.sparkSession
     ts_type = asks.schema["ts"].dataType
+    ttl_micros = ttl_seconds * 1_000_000
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    placed = asks.withColumn("at", at).withColumn("slice", F.floor(at / (ttl_seconds * 1_000_000)))
+    placed = asks.withColumn("at", at).withColumn("slice", F.floor(at / ttl_micros))
     path = run_folder(spark, "asks-by-slice")
-    placed.write.partitionBy("slice").parquet(path)
+    # A slice is spread over several files, whatever its keys are.
+    spread_out = placed.repartition("slice", F.pmod(F.xxhash64("ask_id"), F.lit(FILES_PER_SLICE)))
+    spread_out.write.partitionBy("slice").parquet(path)
     placed = spark.read.schema(placed.schema).parquet(path)
 
-    carried = spark.createDataFrame([], _carried_schema(asks, "ask_id"))
-    rounds = []
+    states = run_folder(spark, "reuse-states")
+    carried = spark.createDataFrame([], _state_schema(asks, "source", "expires"))
     slices = sorted(r["slice"] for r in placed.select("slice").distinct().collect())
     for number in slices:
-        entering = carried.withColumn("slice", F.lit(number).cast("bigint"))
         computed = (
             placed.where(F.col("slice") == number)
             .join(_sent(carried, n_hot), "key", "left")
             .where(F.col("expires").isNull() | (F.col("at") >= F.col("expires")))
             .groupBy("key")
             .agg(F.min(F.struct("at", "ask_id")).alias("first"))
-            .select("key", F.col("first.ask_id").alias("source"),
-                    (F.col("first.at") + ttl_seconds * 1_000_000).alias("expires"))
+            .select("key", F.col("first.ask_id").alias("own_source"),
+                    (F.col("first.at") + ttl_micros).alias("own_expires"))
         )
-        both = entering.join(
-            computed.select("key", F.col("source").alias("own_source"), F.col("expires").alias("own_expires")),
-            "key", "full",
-        ).withColumn("slice", F.lit(number).cast("bigint"))
-        state = materialize(both, f"reuse-slice-{number}")
-        rounds.append(state)
+        state = carried.join(computed, "key", "full")
+        state.write.parquet(f"{states}/slice={number}")
+        state = spark.read.schema(state.schema).parquet(f"{states}/slice={number}")
         carried = state.select(
             "key", F.coalesce("own_source", "source").alias("source"),
             F.coalesce("own_expires", "expires").alias("expires"),
         )
-    states = rounds[0]
-    for state in rounds[1:]:
-        states = states.unionByName(state)
+    fields = _state_schema(asks, "source", "expires").fields + _state_schema(asks, "own_source", "own_expires").fields[1:]
+    known = spark.read.schema(T.StructType([*fields, placed.schema["slice"]])).parquet(states)
     still_live = F.col("at") < F.col("expires")
-    return placed.join(states, ["slice", "key"]).select(
+    return placed.join(known, ["slice", "key"]).select(
         "ask_id", "key", F.col("ts").cast(ts_type).alias("ts"),
         F.when(still_live, F.col("source")).otherwise(F.col("own_source")).alias("source_id"),
     )
 
 
-def _carried_schema(asks: DataFrame, id_column: str) -> T.StructType:
+def _state_schema(asks: DataFrame, source: str, expires: str) -> T.StructType:
     return T.StructType(
         [
             asks.schema["key"],
-            T.StructField("source", asks.schema[id_column].dataType),
-            T.StructField("expires", T.LongType()),
+            T.StructField(source, asks.schema["ask_id"].dataType),
+            T.StructField(expires, T.LongType()),
         ]
     )
