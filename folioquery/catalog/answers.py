@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioquery.catalog import query
@@ -264,7 +264,8 @@ SELECT CAST(item_id AS VARCHAR), NULL, NULL, NULL, NULL, NULL,
 FROM benchmark WHERE item_id % 9 = 8 OR length(text) > 500""",
 )
 def _answer_questions(spark: SparkSession, folder: str) -> DataFrame:
-    tables = {n: materialize(t, n) for n, t in analyze_documents(corpus(spark, folder), width=WIDTH).items()}
+    tables = analyze_documents(corpus(spark, folder), width=WIDTH)
+    tables = {name: materialize(tables[name], name) for name in ("chunks", "embeddings")}
     result = answer_questions(question_requests(spark, folder), tables, threshold=ASK_THRESHOLD, width=WIDTH)
     answered = result.answers.select(
         "question_id", "answer", F.round("confidence", 6).alias("confidence"),
@@ -275,11 +276,43 @@ def _answer_questions(spark: SparkSession, folder: str) -> DataFrame:
     return answered.unionByName(result.rejected, allowMissingColumns=True)
 
 
-@query("answer_json")
+@query(
+    "answer_json",
+    f"""{_hits_sql()}, {_CONTEXT}, {_answers_sql()},
+first AS (SELECT question_id, chunk_id FROM hit WHERE rank = 1)
+SELECT question_id, answer, round(quality, 6) AS confidence, chunk_id AS first_source, 'false' AS cached
+FROM answer JOIN full_ctx USING (question_id) LEFT JOIN first USING (question_id)""",
+)
 def _answer_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers as JSON documents, read back field by field."""
     questions, hits = text_hits(spark, folder)
     contexts = answering.per_question(questions, hits)
     answers = contexts.join(answering.extractive_answers(questions, hits), "question_id")
-    return answering.answer_json(
-        answers.withColumns({"confidence": F.col("quality"), "cached": F.lit(False)})
+    encoded = answering.answer_json(answers.withColumns({"confidence": F.col("quality"), "cached": F.lit(False)}))
+
+    def field(path: str) -> Column:
+        return F.get_json_object("json", path)
+
+    return encoded.select(
+        "question_id", field("$.answer").alias("answer"),
+        F.round(field("$.confidence").cast("double"), 6).alias("confidence"),
+        field("$.sources[0].chunk_id").alias("first_source"), field("$.cached").alias("cached"),
     )
+
+
+def _count_answers(questions: list[str], contexts: list[str]) -> list[tuple[str, list[float] | None]]:
+    """A stand-in for a user model: sizes as the answer, two token log-probabilities."""
+    return [(f"{len(q)} / {len(c)}", [-0.1, -0.2] if c else None) for q, c in zip(questions, contexts)]
+
+
+@query(
+    "answer_map_in_pandas",
+    f"""{_hits_sql()}, {_CONTEXT}
+SELECT question_id, concat(length(question), ' / ', length(context)) AS answer,
+       round(quality * CASE WHEN context = '' THEN 1.0 ELSE (exp(-0.1) + exp(-0.2)) / 2 END, 6) AS confidence
+FROM full_ctx""",
+)
+def _model_answers(spark: SparkSession, folder: str) -> DataFrame:
+    contexts = answering.per_question(*text_hits(spark, folder))
+    answers = answering.model_answers(contexts, _count_answers)
+    return answers.select("question_id", "answer", F.round("confidence", 6).alias("confidence"))

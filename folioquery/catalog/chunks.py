@@ -21,6 +21,7 @@ from folioquery.catalog.inputs import (
 )
 from folioquery.functions.text import clean_text, enriched_text, preview, words
 from folioquery.operators import chunking, embedding, summarizing
+from folioquery.plans.analyze import summaries_of
 from folioquery.sources.files import read_table
 
 CHUNK_COLUMNS = "document_id, ord, text, token_count"
@@ -255,3 +256,23 @@ def _summaries(spark: SparkSession, folder: str) -> DataFrame:
 def _summaries_relational(spark: SparkSession, folder: str) -> DataFrame:
     found = summarizing.extractive_summaries_relational(documents(spark, folder))
     return found.withColumn("key_points", F.array_join("key_points", "|"))
+
+
+def _count_summaries(texts: list[str]) -> list[str]:
+    """A stand-in for a user model: a response of one line and one bullet."""
+    return [f"{len(text.split())} words\n- {len(text)} characters" for text in texts]
+
+
+@query(
+    "summarize_map_in_pandas",
+    f"""
+WITH {DOCUMENTS}, {chunks_sql()},
+t AS (SELECT document_id, string_agg(text || chr(10), '' ORDER BY ord) AS content FROM c GROUP BY document_id),
+a AS (SELECT document_id, coalesce(t.content, '') AS content FROM d LEFT JOIN t USING (document_id))
+SELECT document_id, concat(len({words_sql('content')}), ' words') AS summary, concat(length(content), ' characters') AS key_points
+FROM a""",
+)
+def _model_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    found = summaries_of(docs, chunking.chunk_documents(docs), _count_summaries)
+    return found.withColumn("key_points", F.array_join("key_points", "|"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("documents", "chunks", "summaries", "embeddings")
@@ -11,15 +13,23 @@ def save_tables(tables: dict[str, DataFrame], path: str, batch: str) -> None:
     """Write the tables of one batch.
 
     Every table is committed by its own job into a folder of the batch, so writing
-    the batch again replaces it and never duplicates rows. The document table is
-    written last: a batch whose documents are missing is not visible to readers.
+    the batch again replaces it and never duplicates rows. The jobs of the dependent
+    tables run side by side; the document table is written last: a batch whose
+    documents are missing is not visible to readers.
     """
-    for name in ("chunks", "summaries", "embeddings", "documents"):
-        if name in tables:
-            writer = tables[name].write.mode("overwrite")
-            if name == "embeddings":
-                writer = writer.partitionBy("model")
-            writer.parquet(f"{path.rstrip('/')}/{name}/batch={batch}")
+
+    def save(name: str) -> None:
+        writer = tables[name].write.mode("overwrite")
+        if name == "embeddings":
+            writer = writer.partitionBy("model")
+        writer.parquet(f"{path.rstrip('/')}/{name}/batch={batch}")
+
+    dependent = [name for name in ("chunks", "summaries", "embeddings") if name in tables]
+    if dependent:
+        with ThreadPoolExecutor(len(dependent)) as jobs:
+            list(jobs.map(save, dependent))
+    if "documents" in tables:
+        save("documents")
 
 
 def load_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -7,7 +7,7 @@ import pytest
 from check import compare, connect
 from folioquery.catalog import all_queries, all_sql
 
-ROWS_ONLY = {"topk_ivf", "ivf_recall", "answer_json"}
+ROWS_ONLY = {"topk_ivf", "ivf_recall"}
 
 
 @pytest.fixture(scope="module")
