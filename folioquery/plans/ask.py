@@ -14,9 +14,13 @@ from folioquery.operators.cache import DEFAULT_TTL_SECONDS, cache_entries, looku
 from folioquery.operators.embedding import DEFAULT_WIDTH, Embedder, embed_once, embed_questions, embed_texts
 from folioquery.operators.retrieval import retrieve
 from folioquery.operators.similarity import MIN_SIMILARITY
+from folioquery.schemas import SOURCES
 from folioquery.session import materialize
 
 
+COMPUTED = f"key string, answer string, confidence double, sources {SOURCES}, document_ids array<string>, written_at timestamp"
+
+
 @dataclass
 class AskResult:
     answers: DataFrame  # question_id, question, answer, confidence, sources, cached
@@ -43,6 +47,28 @@ def question_vectors(pending: DataFrame, width: int, embed_fn: Embedder | None)
     return embed_once(pending, "question_id", "question", embed).select("question_id", "vector")
 
 
+def _computed(pending, tables, threshold, answer_fn, stored) -> DataFrame:
+    """Answers of the pending questions under their keys."""
+    hits = retrieve(
+        pending.where("vector IS NOT NULL").select("question_id", "vector", "scopes", "top_k"),
+        tables["embeddings"],
+        tables["chunks"],
+        threshold=threshold,
+    )
+    hits = stored(hits.select("question_id", "rank", "chunk_id", "similarity", "text"), "hits")
+    questions = pending.select("question_id", "question", "document_ids", "written_at")
+    contexts = per_question(questions, hits)
+    if answer_fn is None:
+        answered = contexts.join(extractive_answers(questions, hits), "question_id").withColumn(
+            "confidence", F.col("quality")
+        )
+    else:
+        answered = model_answers(contexts, answer_fn)
+    return answered.select(
+        F.col("question_id").alias("key"), "answer", "confidence", "sources", "document_ids", "written_at"
+    )
+
+
 def answer_questions(
     requests: DataFrame,
     tables: dict[str, DataFrame],
@@ -80,26 +106,10 @@ def answer_questions(
     pending = pending.withColumn("scopes", parse_document_ids(F.col("document_ids")))
     pending = stored(pending.join(question_vectors(pending, width, embed_fn), "question_id", "left"), "pending")
 
-    hits = retrieve(
-        pending.where("vector IS NOT NULL").select("question_id", "vector", "scopes", "top_k"),
-        tables["embeddings"],
-        tables["chunks"],
-        threshold=threshold,
-    )
-    hits = stored(hits.select("question_id", "rank", "chunk_id", "similarity", "text"), "hits")
-    questions = pending.select("question_id", "question", "document_ids", "written_at")
-    contexts = per_question(questions, hits)
-    if answer_fn is None:
-        computed = contexts.join(extractive_answers(questions, hits), "question_id").withColumn(
-            "confidence", F.col("quality")
-        )
+    if pending.isEmpty():
+        computed = requests.sparkSession.createDataFrame([], COMPUTED)
     else:
-        computed = model_answers(contexts, answer_fn)
-    computed = stored(
-        computed.select(F.col("question_id").alias("key"), "answer", "confidence", "sources", "document_ids",
-                        "written_at"),
-        "computed",
-    )
+        computed = stored(_computed(pending, tables, threshold, answer_fn, stored), "computed")
     entries = cache_entries(computed, ttl_seconds)
 
     columns = ["question_id", "question", "answer", "confidence", "sources"]
