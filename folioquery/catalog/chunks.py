@@ -176,23 +176,27 @@ def _embed_once(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "concat_chunks",
     f"""
-WITH {DOCUMENTS}, {chunks_sql()}
-SELECT document_id, string_agg(text || chr(10), '' ORDER BY ord) AS content FROM c GROUP BY document_id""",
+WITH {DOCUMENTS}, {chunks_sql()},
+t AS (SELECT document_id, string_agg(text || chr(10), '' ORDER BY ord) AS content FROM c GROUP BY document_id)
+SELECT document_id, coalesce(t.content, '') AS content FROM d LEFT JOIN t USING (document_id)""",
 )
 def _concat(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.concat_chunks(chunking.chunk_documents(documents(spark, folder)))
+    docs = documents(spark, folder)
+    return chunking.concat_chunks(chunking.chunk_documents(docs), docs)
 
 
-@query(
-    "analyze_payloads",
-    f"""
+PAYLOADS = f"""
 WITH {DOCUMENTS}, {chunks_sql()}, p AS (SELECT document_id, list(chunk_id ORDER BY ord) AS ids FROM c GROUP BY document_id)
 SELECT document_id, array_to_string(ids, ',') AS chunk_ids,
-       concat('{{"document_id":"', document_id, '","chunk_ids":["', array_to_string(ids, '","'), '"]}}') AS payload
-FROM p""",
-)
+       concat('{{"chunk_ids":', CASE WHEN ids IS NULL THEN 'null' ELSE concat('["', array_to_string(ids, '","'), '"]') END,
+              ',"document_id":"', document_id, '"}}') AS payload
+FROM d LEFT JOIN p USING (document_id)"""
+
+
+@query("analyze_payloads", PAYLOADS)
 def _payloads(spark: SparkSession, folder: str) -> DataFrame:
-    payloads = chunking.analyze_payloads(chunking.chunk_documents(documents(spark, folder)))
+    docs = documents(spark, folder)
+    payloads = chunking.analyze_payloads(chunking.chunk_documents(docs), docs)
     return payloads.withColumn("chunk_ids", F.array_join("chunk_ids", ","))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioquery.catalog import query
+from folioquery.catalog.chunks import PAYLOADS
 from folioquery.catalog.inputs import DOCUMENTS, WIDTH, chunks_sql, timestamp_sql, timestamp_text
 from folioquery.catalog.tables import TABLES_SQL, events, per_document, stored_documents
 from folioquery.functions.retry import backoff_ms, handoff_wait_ms
@@ -159,7 +160,16 @@ def document_stream(spark: SparkSession, folder: str) -> DataFrame:
 def _stream_chunks(spark: SparkSession, folder: str) -> DataFrame:
     target = run_folder(spark, "stream-chunks")
     parse_stage(document_stream(spark, folder), target)
-    return spark.read.parquet(f"{target}/chunks")
+    return spark.read.parquet(f"{target}/chunks").drop("batch")
+
+
+@query("stream_tasks", PAYLOADS)
+def _stream_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """The analyse tasks that the parse stage hands over."""
+    target = run_folder(spark, "stream-tasks")
+    parse_stage(document_stream(spark, folder), target)
+    handed_over = spark.read.parquet(f"{target}/tasks")
+    return handed_over.select("document_id", F.array_join("chunk_ids", ",").alias("chunk_ids"), "payload")
 
 
 @query("stream_analyze", TABLES_SQL)

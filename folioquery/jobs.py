@@ -18,7 +18,7 @@ from folioquery.operators.answering import answer_json
 from folioquery.operators.cache import DEFAULT_TTL_SECONDS
 from folioquery.operators.chunking import DEFAULT_MAX_WORDS, DEFAULT_OVERLAP
 from folioquery.operators.embedding import DEFAULT_WIDTH
-from folioquery.operators.ivf import DEFAULT_LISTS, build_inverted_file, save_inverted_file
+from folioquery.operators.ivf import DEFAULT_LISTS, build_inverted_file, load_inverted_file, save_inverted_file
 from folioquery.operators.maintenance import latest_per_key
 from folioquery.operators.similarity import MIN_SIMILARITY
 from folioquery.plans.analyze import analyze_documents
@@ -50,15 +50,19 @@ def ingest(spark: SparkSession, uploads: str, store: str, batch: str, max_bytes:
 
 
 def index(spark: SparkSession, store: str, target: str, lists: int = DEFAULT_LISTS, train_fraction: float = 1.0) -> None:
-    vectors = load_tables(spark, store)["embeddings"].select("chunk_id", "document_id", "vector")
+    vectors = load_tables(spark, store)["embeddings"].select("chunk_id", "document_id", "vector", "model")
     save_inverted_file(build_inverted_file(vectors, lists, train_fraction=train_fraction), target)
 
 
-def ask(spark: SparkSession, store: str, requests: str, answers: str, cache: str | None = None, **options) -> None:
+def ask(spark: SparkSession, store: str, requests: str, answers: str, cache: str | None = None,
+        index_path: str | None = None, **options) -> None:
     """Answer JSON-lines requests (question_id, question, document_ids, top_k) into a folder.
 
-    `cache` names a folder of earlier entries; new entries are appended to it.
+    `cache` names a folder of earlier entries; new entries are appended to it. With
+    `index_path` the search is restricted to the nearest lists, else it is exact.
     """
+    if index_path:
+        options["index"] = load_inverted_file(spark, index_path)
     asked = spark.read.schema(REQUESTS).json(requests).withColumn("asked_at", F.current_timestamp())
     result = answer_questions(asked, load_tables(spark, store), cache=_cached(spark, cache), **options)
     save_json(answer_json(result.answers), f"{answers.rstrip('/')}/answers")
@@ -99,6 +103,8 @@ def main(arguments: list[str] | None = None) -> None:
     for name in ("--store", "--requests", "--answers"):
         one.add_argument(name, required=True)
     one.add_argument("--cache")
+    one.add_argument("--index")
+    one.add_argument("--nprobe", type=int, default=1)
     one.add_argument("--threshold", type=float, default=MIN_SIMILARITY)
     one.add_argument("--ttl-seconds", type=int, default=DEFAULT_TTL_SECONDS)
     one.add_argument("--width", type=int, default=DEFAULT_WIDTH)
@@ -111,7 +117,7 @@ def main(arguments: list[str] | None = None) -> None:
     elif given.command == "index":
         index(spark, given.store, given.index, given.lists, given.train_fraction)
     else:
-        ask(spark, given.store, given.requests, given.answers, given.cache,
+        ask(spark, given.store, given.requests, given.answers, given.cache, given.index, nprobe=given.nprobe,
             threshold=given.threshold, ttl_seconds=given.ttl_seconds, width=given.width)
 
 

@@ -86,24 +86,31 @@ def enrich_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return chunks.join(names, "document_id").withColumn("enriched", enriched_text(F.col("filename"), F.col("text")))
 
 
-def concat_chunks(chunks: DataFrame) -> DataFrame:
+def _of_all(documents: DataFrame | None, grouped: DataFrame) -> DataFrame:
+    """Keep documents without chunks, where the documents are given."""
+    return grouped if documents is None else documents.select("document_id").join(grouped, "document_id", "left")
+
+
+def concat_chunks(chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """One text per document: chunk texts in order, each followed by a newline.
 
     The group is one document, and its result is a single string; chunks produced
     from document-partitioned data are concatenated without another shuffle.
+    A document without chunks has an empty text.
     """
     ordered = F.array_sort(F.collect_list(F.struct("ord", "text")))
-    return chunks.groupBy("document_id").agg(
+    texts = chunks.groupBy("document_id").agg(
         F.array_join(F.transform(ordered, lambda c: F.concat(c["text"], F.lit("\n"))), "").alias("content")
     )
+    return _of_all(documents, texts).withColumn("content", F.coalesce("content", F.lit("")))
+
 
+def analyze_payloads(chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Payload of the follow-up task of each document: its chunk ids in order.
 
-def analyze_payloads(chunks: DataFrame) -> DataFrame:
-    """Payload of the follow-up task of each document: its chunk ids in order."""
+    A document without chunks has a task all the same; its ids are null.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("ord", "chunk_id")))
     ids = chunks.groupBy("document_id").agg(F.transform(ordered, lambda c: c["chunk_id"]).alias("chunk_ids"))
-    return ids.select(
-        "document_id",
-        "chunk_ids",
-        F.to_json(F.struct(F.col("document_id").cast("string").alias("document_id"), "chunk_ids")).alias("payload"),
-    )
+    body = F.struct("chunk_ids", F.col("document_id").cast("string").alias("document_id"))
+    return _of_all(documents, ids).withColumn("payload", F.to_json(body, {"ignoreNullFields": "false"}))

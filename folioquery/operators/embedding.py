@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +71,13 @@ def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
+def _list_rows(matrix: np.ndarray, missing: np.ndarray | None = None) -> pa.ListArray:
+    """Matrix rows as an Arrow list column of floats."""
+    offsets = pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1])
+    values = pa.array(matrix.astype(np.float32).ravel())
+    return pa.ListArray.from_arrays(offsets, values, mask=None if missing is None else pa.array(missing))
+
+
 def hash_embed(df: DataFrame, text: str, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Dense unit vectors of the same model, appended as `vector` (NULL for blank texts).
 
@@ -97,9 +103,7 @@ def hash_embed(df: DataFrame, text: str, width: int = DEFAULT_WIDTH) -> DataFram
             lengths = np.sqrt((matrix * matrix).sum(axis=1))
             blank = np.array([not text for text in texts], dtype=bool)
             lengths[lengths == 0] = 1.0
-            flat = (matrix / lengths[:, None]).astype(np.float32).ravel()
-            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * width
-            vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(blank))
+            vectors = _list_rows(matrix / lengths[:, None], blank)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept] + [vectors], names=[*kept, "vector"]
             )
@@ -108,27 +112,30 @@ def hash_embed(df: DataFrame, text: str, width: int = DEFAULT_WIDTH) -> DataFram
 
 
 def embed_texts(
-    df: DataFrame, embed_fn: Embedder, key: str, text: str, batch_size: int = MODEL_BATCH
+    df: DataFrame, embed_fn: Embedder, key: str, text: str, keep: tuple[str, ...] = (), batch_size: int = MODEL_BATCH
 ) -> DataFrame:
-    """Run a user model over cleaned texts in Arrow batches: (key, vector).
+    """Run a user model over cleaned texts in Arrow batches: (key, *keep, vector).
 
     Blank texts are dropped; a model that returns another number of vectors than
     it got texts fails the task. Rows stay attached to their key. Vectors are
     L2-normalised, zero vectors are left as they are.
     """
-    prepared = df.select(key, clean_text(F.col(text)).alias("_text")).where("_text <> ''")
-    schema = T.StructType([df.schema[key], T.StructField("vector", T.ArrayType(T.FloatType()))])
-
-    def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in (whole[i : i + batch_size] for whole in batches for i in range(0, len(whole), batch_size)):
-            matrix = np.asarray(embed_fn(batch["_text"].tolist()), dtype=np.float64)
-            if len(matrix) != len(batch):
-                raise ValueError(f"expected {len(batch)} embeddings, got {len(matrix)}")
+    carried = [key, *keep]
+    prepared = df.select(*carried, clean_text(F.col(text)).alias("_text")).where("_text <> ''")
+    schema = T.StructType([df.schema[c] for c in carried] + [T.StructField("vector", T.ArrayType(T.FloatType()))])
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _slices(whole, batch_size)):
+            matrix = np.asarray(embed_fn(batch.column("_text").to_pylist()), dtype=np.float64)
+            if len(matrix) != batch.num_rows:
+                raise ValueError(f"expected {batch.num_rows} embeddings, got {len(matrix)}")
             lengths = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
             lengths[lengths == 0] = 1.0
-            yield pd.DataFrame({key: batch[key], "vector": list((matrix / lengths).astype(np.float32))})
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in carried] + [_list_rows(matrix / lengths)], names=schema.names
+            )
 
-    return prepared.mapInPandas(embed, schema)
+    return prepared.mapInArrow(embed, schema)
 
 
 def embed_chunks(
@@ -143,7 +150,7 @@ def embed_chunks(
     if embed_fn is None:
         vectors = hash_embed(enriched.select(*carried, "enriched"), "enriched", width).where("vector IS NOT NULL")
     else:
-        vectors = embed_texts(enriched, embed_fn, "chunk_id", "enriched").join(enriched.select(*carried), "chunk_id")
+        vectors = embed_texts(enriched, embed_fn, "chunk_id", "enriched", tuple(carried[1:]))
     return vectors.select(*carried, "vector", F.lit(model).alias("model"))
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ from folioquery.operators.similarity import matrix_of, top_k, unit_rows
 # --- fixed values -----------------------------------------------------------
 DEFAULT_LISTS = 100
 # -----------------------------------------------------------------------------
+FILES_PER_LIST = 64
 
 
 @dataclass(frozen=True)
@@ -64,10 +65,22 @@ def build_inverted_file(
 
 
 def save_inverted_file(index: InvertedFile, path: str) -> None:
-    """Write the vectors by list, so that a scan reads only the probed lists."""
-    index.vectors.repartition("list_id", F.pmod(F.xxhash64("chunk_id"), F.lit(64))).write.partitionBy(
-        "list_id"
-    ).mode("overwrite").parquet(path)
+    """Write the vectors by list, so that a scan reads only the probed lists.
+
+    A list is spread over several files, whatever its share of the vectors is.
+    """
+    spark = index.vectors.sparkSession
+    placed = index.vectors.repartition("list_id", F.pmod(F.xxhash64("chunk_id"), F.lit(FILES_PER_LIST)))
+    placed.write.partitionBy("list_id").mode("overwrite").parquet(f"{path}/vectors")
+    rows = [(number, centroid.tolist()) for number, centroid in enumerate(index.centroids)]
+    spark.createDataFrame(rows, "list_id int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/centroids"
+    )
+
+
+def load_inverted_file(spark: SparkSession, path: str) -> InvertedFile:
+    centroids = spark.read.parquet(f"{path}/centroids").orderBy("list_id").collect()
+    return InvertedFile(np.array([r["centroid"] for r in centroids]), spark.read.parquet(f"{path}/vectors"))
 
 
 def top_k_ivf(
@@ -82,6 +95,10 @@ def top_k_ivf(
     probing = _nearest(questions if within else questions.drop("scopes"), index.centroids, probes, "lists")
     if within is None:
         return top_k(probing.withColumnRenamed("lists", "scopes"), index.vectors, scope="list_id", **options)
+    vectors = index.vectors
+    if probes < len(index.centroids):  # at most as many values as there are lists
+        probed = probing.select(F.explode("lists").alias("list_id")).distinct().collect()
+        vectors = vectors.where(F.col("list_id").isin([r["list_id"] for r in probed]))
     cell = F.concat_ws("|", F.col("list_id").cast("string"), F.col(within).cast("string"))
     cells = F.flatten(
         F.transform(
@@ -89,7 +106,7 @@ def top_k_ivf(
             lambda n: F.transform("scopes", lambda v: F.concat_ws("|", n.cast("string"), v.cast("string"))),
         )
     )
-    return top_k(probing.withColumn("scopes", cells), index.vectors.withColumn("cell", cell), scope="cell", **options)
+    return top_k(probing.withColumn("scopes", cells), vectors.withColumn("cell", cell), scope="cell", **options)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

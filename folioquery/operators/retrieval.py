@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioquery.functions.validation import TOP_K_MAX
+from folioquery.operators.ivf import InvertedFile, top_k_ivf
 from folioquery.operators.similarity import BROADCAST_BYTES, MIN_SIMILARITY, measure_questions, top_k
 
 HIT_BYTES = 256  # one hit row: ids, model, similarity and rank
@@ -38,26 +39,33 @@ def attach_summaries(hits: DataFrame, summaries: DataFrame) -> DataFrame:
 
 def retrieve(
     questions: DataFrame,
-    embeddings: DataFrame,
+    embeddings: DataFrame | None,
     chunks: DataFrame,
     summaries: DataFrame | None = None,
     *,
     scope: str | None = "document_id",
     threshold: float = MIN_SIMILARITY,
     k: int = 5,
+    index: InvertedFile | None = None,
+    nprobe: int = 1,
     broadcast_bytes: int = BROADCAST_BYTES,
     **options,
 ) -> DataFrame:
     """Restrict, compare, cut at the threshold, take the k best, add chunk and summary.
 
     questions(question_id, vector, scopes[, top_k]); embeddings(chunk_id, vector[, model], <scope>).
-    Without `summaries` their columns are left out.
+    Without `summaries` their columns are left out. With an inverted file, which holds
+    the embeddings by list, only the nprobe nearest lists of a question are searched.
     """
+    stored = embeddings if index is None else index.vectors
+    options |= {
+        "k": k, "threshold": threshold, "carry": ("model",) if "model" in stored.columns else (),
+        "broadcast_bytes": broadcast_bytes,
+    }
     size = measure_questions(questions)
-    carry = ("model",) if "model" in embeddings.columns else ()
-    hits = top_k(
-        questions, embeddings, k=k, scope=scope, threshold=threshold, size=size, carry=carry,
-        broadcast_bytes=broadcast_bytes, **options,
-    )
+    if index is None:
+        hits = top_k(questions, embeddings, scope=scope, size=size, **options)
+    else:
+        hits = top_k_ivf(questions, index, nprobe, within=scope, **options)
     found = attach_chunks(hits, chunks, hits_are_small(size.rows, TOP_K_MAX, broadcast_bytes))
     return found if summaries is None else attach_summaries(found, summaries)

@@ -17,8 +17,7 @@ def summaries_of(documents: DataFrame, chunks: DataFrame, summarize_fn: Summariz
     if summarize_fn is None:
         found = extractive_summaries(documents)
     else:
-        texts = documents.select("document_id").join(concat_chunks(chunks), "document_id", "left")
-        found = model_summaries(texts.withColumn("content", F.coalesce("content", F.lit(""))), summarize_fn)
+        found = model_summaries(concat_chunks(chunks, documents), summarize_fn)
     return documents.select("document_id").join(found, "document_id", "left").select(
         "document_id",
         F.coalesce("summary", F.lit("")).alias("summary"),

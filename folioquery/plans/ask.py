@@ -12,6 +12,7 @@ from folioquery.functions.validation import effective_top_k, parse_document_ids,
 from folioquery.operators.answering import Answerer, extractive_answers, model_answers, per_question
 from folioquery.operators.cache import DEFAULT_TTL_SECONDS, cache_entries, lookup, misses
 from folioquery.operators.embedding import DEFAULT_WIDTH, Embedder, embed_once, embed_questions, embed_texts
+from folioquery.operators.ivf import InvertedFile
 from folioquery.operators.retrieval import retrieve
 from folioquery.operators.similarity import MIN_SIMILARITY
 from folioquery.schemas import SOURCES
@@ -47,13 +48,13 @@ def question_vectors(pending: DataFrame, width: int, embed_fn: Embedder | None)
     return embed_once(pending, "question_id", "question", embed).select("question_id", "vector")
 
 
-def _computed(pending, tables, threshold, answer_fn, stored) -> DataFrame:
+def _computed(pending, tables, answer_fn, stored, **search) -> DataFrame:
     """Answers of the pending questions under their keys."""
     hits = retrieve(
         pending.where("vector IS NOT NULL").select("question_id", "vector", "scopes", "top_k"),
-        tables["embeddings"],
+        tables.get("embeddings"),
         tables["chunks"],
-        threshold=threshold,
+        **search,
     )
     hits = stored(hits.select("question_id", "rank", "chunk_id", "similarity", "text"), "hits")
     questions = pending.select("question_id", "question", "document_ids", "written_at")
@@ -79,6 +80,8 @@ def answer_questions(
     width: int = DEFAULT_WIDTH,
     embed_fn: Embedder | None = None,
     answer_fn: Answerer | None = None,
+    index: InvertedFile | None = None,
+    nprobe: int = 1,
     store_intermediate: bool = True,
 ) -> AskResult:
     """Validate, look up, embed, retrieve, answer and collect the cache writes.
@@ -109,7 +112,9 @@ def answer_questions(
     if pending.isEmpty():
         computed = requests.sparkSession.createDataFrame([], COMPUTED)
     else:
-        computed = stored(_computed(pending, tables, threshold, answer_fn, stored), "computed")
+        computed = stored(
+            _computed(pending, tables, answer_fn, stored, threshold=threshold, index=index, nprobe=nprobe), "computed"
+        )
     entries = cache_entries(computed, ttl_seconds)
 
     columns = ["question_id", "question", "answer", "confidence", "sources"]

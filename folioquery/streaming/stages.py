@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from folioquery.operators.chunking import DEFAULT_MAX_WORDS, DEFAULT_OVERLAP, chunk_documents
+from folioquery.operators.chunking import (
+    DEFAULT_MAX_WORDS,
+    DEFAULT_OVERLAP,
+    analyze_payloads,
+    chunk_documents,
+)
 from folioquery.plans.analyze import analyze_documents
 from folioquery.sources.store import save_tables
 
@@ -35,10 +41,23 @@ def run_to_end(writer, target: str) -> StreamingQuery:
 def parse_stage(
     documents: DataFrame, target: str, max_words: int = DEFAULT_MAX_WORDS, overlap: int = DEFAULT_OVERLAP
 ) -> StreamingQuery:
-    """Chunk arriving documents. The same narrow expression as in batch; no state."""
-    chunks = chunk_documents(documents, max_words, overlap)
-    return run_to_end(chunks.writeStream.format("parquet").outputMode("append").option("path", f"{target}/chunks"),
-                      target)
+    """Chunk arriving documents and hand each one over as an analyse task.
+
+    The chunks are the same narrow expression as in batch. The folders of a
+    micro-batch are named by its id and replaced when the batch is run again; its
+    tasks are written after its chunks, so a task never precedes what it names.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        chunks_path = f"{target}/chunks/batch={batch_id}"
+        chunk_documents(batch, max_words, overlap).write.mode("overwrite").parquet(chunks_path)
+        stored = batch.sparkSession.read.parquet(chunks_path)
+        tasks = analyze_payloads(stored.select("chunk_id", "document_id", "ord"), batch)
+        tasks.withColumn("task_type", F.lit("analyze")).write.mode("overwrite").parquet(
+            f"{target}/tasks/batch={batch_id}"
+        )
+
+    return run_to_end(documents.writeStream.foreachBatch(save), target)
 
 
 def analyze_stage(documents: DataFrame, target: str, **options: Any) -> StreamingQuery:
@@ -54,32 +73,30 @@ def analyze_stage(documents: DataFrame, target: str, **options: Any) -> Streamin
     return run_to_end(documents.writeStream.foreachBatch(save), target)
 
 
-def _reuse(ttl_seconds: int, id_type: str) -> Callable:
-    ttl = pd.Timedelta(seconds=ttl_seconds)
+def _reuse(ttl_seconds: int) -> Callable:
+    ttl = ttl_seconds * 1_000_000
 
     def reuse(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        expires, source = (None, None)
-        if state.exists:
-            micros, source = state.get
-            expires = pd.Timestamp(micros, unit="us")
-        asks = pd.concat(list(batches)).sort_values(["ts", "ask_id"], kind="stable")
-        times, ids, at = asks["ts"].reset_index(drop=True), asks["ask_id"].to_numpy(), 0
-        answered_by = ids.copy()
+        expires, source = state.get if state.exists else (None, None)
+        asks = pd.concat(list(batches)).sort_values(["ts", "ask_id"], kind="stable").reset_index(drop=True)
+        times = asks["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        ids = asks["ask_id"].to_numpy()
+        answered_by, at = ids.copy(), 0
         if expires is not None:
-            at = int(times.searchsorted(expires))
+            at = np.searchsorted(times, expires)
             answered_by[:at] = source
         while at < len(ids):
             source, expires = ids[at], times[at] + ttl
-            until = int(times.searchsorted(expires))
+            until = np.searchsorted(times, expires)
             answered_by[at:until] = source
             at = until
-        state.update((int(expires.value // 1000) if expires.unit == "ns" else int(expires.as_unit("us").value), source))
+        state.update((int(expires), source))
         # An expired entry is only memory: the next ask is computed with or without it.
-        state.setTimeoutTimestamp(max(int(expires.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"ask_id": ids, "key": key[0], "ts": times, "source_id": answered_by})
+        state.setTimeoutTimestamp(max(int(expires) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"ask_id": ids, "key": key[0], "ts": asks["ts"], "source_id": answered_by})
 
     return reuse
 
@@ -97,7 +114,7 @@ def reuse_stage(asks: DataFrame, target: str, ttl_seconds: int, delay: str = "0
         .withWatermark("ts", delay)
         .groupBy("key")
         .applyInPandasWithState(
-            _reuse(ttl_seconds, id_type),
+            _reuse(ttl_seconds),
             f"ask_id {id_type}, key string, ts timestamp, source_id {id_type}",
             f"expires long, source {id_type}",
             "append",

@@ -103,7 +103,14 @@ def test_enrichment_prefix(spark):
 
 
 def test_payload_lists_chunk_ids_in_order(two_chunks):
-    assert analyze_payloads(two_chunks).first()["payload"] == '{"document_id":"d","chunk_ids":["c0","c1"]}'
+    assert analyze_payloads(two_chunks).first()["payload"] == '{"chunk_ids":["c0","c1"],"document_id":"d"}'
+
+
+def test_documents_without_chunks_stay(spark, two_chunks):
+    docs = spark.createDataFrame([("d",), ("empty",)], "document_id string")
+    assert dict(map(tuple, concat_chunks(two_chunks, docs).collect()))["empty"] == ""
+    payloads = {r["document_id"]: r["payload"] for r in analyze_payloads(two_chunks, docs).collect()}
+    assert payloads["empty"] == '{"chunk_ids":null,"document_id":"empty"}'
 
 
 def test_listing_is_restricted_and_ordered(spark, two_chunks):

@@ -23,7 +23,7 @@ def test_from_files_to_answers(spark, tmp_path):
     tables = load_tables(spark, store)
     assert {n: t.count() for n, t in tables.items()} == {"documents": 2, "chunks": 2, "summaries": 2, "embeddings": 2}
     jobs.index(spark, store, str(tmp_path / "index"), lists=2)
-    assert spark.read.parquet(str(tmp_path / "index")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "index" / "vectors")).count() == 2
 
     ids = [r["document_id"] for r in tables["documents"].collect()]
     requests = tmp_path / "requests.json"
@@ -38,6 +38,9 @@ def test_from_files_to_answers(spark, tmp_path):
         assert (row["question_id"], answer["answer"], answer["cached"]) == ("q", "Owls hunt mice at night", cached)
         rejected = spark.read.json(f"{answers}/rejected").first()
         assert rejected["error"] == "Question is required; DocumentIDs is required"
+    with_lists = str(tmp_path / "answers3")
+    jobs.ask(spark, store, str(requests), with_lists, None, str(tmp_path / "index"), nprobe=2, threshold=0.2, width=64)
+    assert json.loads(spark.read.json(f"{with_lists}/answers").first()["json"])["answer"] == "Owls hunt mice at night"
     assert spark.read.parquet(cache).where(F.col("key").isNotNull()).count() == 1
 
 

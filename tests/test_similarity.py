@@ -2,7 +2,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioquery.operators.ivf import build_inverted_file, recall, save_inverted_file, top_k_ivf
+from folioquery.operators.ivf import (
+    build_inverted_file,
+    load_inverted_file,
+    recall,
+    save_inverted_file,
+    top_k_ivf,
+)
 from folioquery.operators.retrieval import attach_summaries, hits_are_small, retrieve
 from folioquery.operators.similarity import similar_pairs, top_k
 
@@ -154,5 +160,14 @@ def test_inverted_file(spark, tmp_path):
     # The zero vector is not indexed; every other vector is in exactly one list.
     assert index.vectors.count() == 599
     save_inverted_file(index, str(tmp_path / "index"))
-    stored = spark.read.parquet(str(tmp_path / "index"))
-    assert stored.count() == 599 and stored.select("list_id").distinct().count() <= 8
+    stored = load_inverted_file(spark, str(tmp_path / "index"))
+    assert stored.vectors.count() == 599 and stored.vectors.select("list_id").distinct().count() <= 8
+    assert np.array_equal(stored.centroids, index.centroids)
+    again = top_k_ivf(questions, stored, nprobe=3, threshold=-1.0).select(columns)
+    assert again.exceptAll(top_k_ivf(questions, index, nprobe=3, threshold=-1.0).select(columns)).count() == 0
+    # Restricted to documents as well: the same rows as the exact restricted search when all lists are probed.
+    within = top_k_ivf(questions, stored, nprobe=8, within="document_id", threshold=-1.0).select(columns)
+    restricted = top_k(questions, vectors, scope="document_id", threshold=-1.0).select(columns)
+    assert within.count() == restricted.count() and within.exceptAll(restricted).count() == 0
+    some = top_k_ivf(questions, stored, nprobe=2, within="document_id", threshold=-1.0)
+    assert 0 < recall(some, restricted).first()["recall"] < 1

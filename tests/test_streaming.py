@@ -29,6 +29,9 @@ def test_parse_stage_equals_batch_and_resumes(spark, tmp_path):
     want = chunk_documents(spark.read.schema(DOCS).parquet(source), 10, 3)
     assert found.count() == want.count()
     assert found.select(want.columns).exceptAll(want).count() == 0
+    tasks = {r["document_id"]: r for r in spark.read.parquet(f"{target}/tasks").collect()}
+    assert set(tasks) == {f"d{i}" for i in range(12)}
+    assert tasks["d0"]["chunk_ids"] is None and len(tasks["d11"]["chunk_ids"]) == 11
 
 
 def test_analyze_stage_equals_batch(spark, tmp_path):
