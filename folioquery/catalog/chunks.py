@@ -19,6 +19,7 @@ from folioquery.catalog.inputs import (
     unit_sql,
     words_sql,
 )
+from folioquery.functions.keys import chunk_id
 from folioquery.functions.text import clean_text, enriched_text, preview, words
 from folioquery.operators import chunking, embedding, summarizing
 from folioquery.plans.analyze import summaries_of
@@ -95,12 +96,16 @@ WITH {DOCUMENTS}, {chunks_sql()}, {ENRICHED}, {hashed_sql('e', 'chunk_id', 'enri
 SELECT chunk_id, bucket, value, '{embedding.HASH_MODEL}' AS model FROM h""",
 )
 def _hash_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    # Texts are placed by document once; grouping by document and chunk needs no exchange then.
+    # Texts are placed by document once; grouping by document and position needs no exchange
+    # then, and the short keys travel with every word instead of the chunk id.
     placed = documents(spark, folder).repartition("document_id")
     cut = chunking.chunk_documents(placed, keep=("filename",))
     enriched = cut.withColumn("enriched", enriched_text(F.col("filename"), F.col("text")))
-    sparse = embedding.hash_embed_sparse(enriched, ["document_id", "chunk_id"], "enriched", WIDTH)
-    return sparse.drop("document_id").withColumn("model", F.lit(embedding.HASH_MODEL))
+    sparse = embedding.hash_embed_sparse(enriched, ["document_id", "ord"], "enriched", WIDTH)
+    return sparse.select(
+        chunk_id(F.col("document_id"), F.col("ord")).alias("chunk_id"), "bucket", "value",
+        F.lit(embedding.HASH_MODEL).alias("model"),
+    )
 
 
 _TURNS = "q AS (SELECT conv_id, turn, role, CASE WHEN turn % 4 = 2 THEN ' ' || chr(1) ELSE text END AS question FROM conversations)"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioquery.functions.keys import embedding_key
-from folioquery.functions.text import clean_text, words
+from folioquery.functions.text import CONTROL_CHARACTERS, clean_text, words
 
 DEFAULT_WIDTH = 256
 HASH_MODEL = "feature-hash"
@@ -23,9 +23,13 @@ EMPTY_TEXT_ERROR = "text is empty after preprocessing"
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
 
-def hash_tokens(text: Column) -> Column:
-    """Lower-cased words of the cleaned text."""
-    return words(F.lower(clean_text(text)))
+def spoken_text(text: Column) -> Column:
+    """Lower-cased text without control characters.
+
+    Its words are those of the cleaned text: trimming and collapsing blanks change
+    no word, so they are left out here.
+    """
+    return F.lower(F.regexp_replace(text, CONTROL_CHARACTERS, ""))
 
 
 def hash_embed_sparse(df: DataFrame, keys: list[str], text: str, width: int = DEFAULT_WIDTH) -> DataFrame:
@@ -38,7 +42,7 @@ def hash_embed_sparse(df: DataFrame, keys: list[str], text: str, width: int = DE
     """
     digest = F.md5("word")
     return (
-        df.select(*keys, F.explode(hash_tokens(F.col(text))).alias("word"))
+        df.select(*keys, F.explode(words(spoken_text(F.col(text)))).alias("word"))
         .select(
             *keys,
             (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % width).cast("int").alias("bucket"),
@@ -85,7 +89,7 @@ def hash_embed(df: DataFrame, text: str, width: int = DEFAULT_WIDTH) -> DataFram
     The text column itself does not leave the scan side again.
     """
     kept = [c for c in df.columns if c != text]
-    prepared = df.select(*kept, F.lower(clean_text(F.col(text))).alias("_text"))
+    prepared = df.select(*kept, spoken_text(F.col(text)).alias("_text"))
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("vector", T.ArrayType(T.FloatType()))])
 
     rows_per_step = max(1, STEP_BYTES // (8 * width))
@@ -101,7 +105,7 @@ def hash_embed(df: DataFrame, text: str, width: int = DEFAULT_WIDTH) -> DataFram
             sums = np.bincount(cells, weights=np.sign(signed), minlength=len(texts) * width)
             matrix = sums.reshape(len(texts), width)
             lengths = np.sqrt((matrix * matrix).sum(axis=1))
-            blank = np.array([not text for text in texts], dtype=bool)
+            blank = np.array([not row for row in spoken], dtype=bool)
             lengths[lengths == 0] = 1.0
             vectors = _list_rows(matrix / lengths[:, None], blank)
             yield pa.RecordBatch.from_arrays(

@@ -20,6 +20,7 @@ from folioquery.operators.chunking import (
     chunk_documents,
 )
 from folioquery.plans.analyze import analyze_documents
+from folioquery.session import spread
 from folioquery.sources.store import save_tables
 
 
@@ -50,7 +51,7 @@ def parse_stage(
 
     def save(batch: DataFrame, batch_id: int) -> None:
         chunks_path = f"{target}/chunks/batch={batch_id}"
-        chunk_documents(batch, max_words, overlap).write.mode("overwrite").parquet(chunks_path)
+        chunk_documents(spread(batch), max_words, overlap).write.mode("overwrite").parquet(chunks_path)
         stored = batch.sparkSession.read.parquet(chunks_path)
         tasks = analyze_payloads(stored.select("chunk_id", "document_id", "ord"), batch)
         tasks.withColumn("task_type", F.lit("analyze")).write.mode("overwrite").parquet(
@@ -68,7 +69,7 @@ def analyze_stage(documents: DataFrame, target: str, **options: Any) -> Streamin
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        save_tables(analyze_documents(batch, **options), f"{target}/tables", str(batch_id))
+        save_tables(analyze_documents(spread(batch), **options), f"{target}/tables", str(batch_id))
 
     return run_to_end(documents.writeStream.foreachBatch(save), target)
 
