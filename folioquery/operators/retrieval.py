@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from folioquery.functions.validation import TOP_K_MAX
 from folioquery.operators.ivf import InvertedFile, top_k_ivf
-from folioquery.operators.similarity import BROADCAST_BYTES, MIN_SIMILARITY, measure_questions, top_k
+from folioquery.operators.similarity import (
+    BROADCAST_BYTES,
+    MIN_SIMILARITY,
+    asked_scopes,
+    measure_questions,
+    top_k,
+)
 
 HIT_BYTES = 256  # one hit row: ids, model, similarity and rank
 
@@ -67,5 +73,10 @@ def retrieve(
         hits = top_k(questions, embeddings, scope=scope, size=size, **options)
     else:
         hits = top_k_ivf(questions, index, nprobe, within=scope, **options)
+    if scope == "document_id":  # the asked documents also bound what is read of the other tables
+        asked = asked_scopes(questions, size)
+        if asked is not None:
+            chunks = chunks.where(F.col("document_id").isin(asked))
+            summaries = summaries if summaries is None else summaries.where(F.col("document_id").isin(asked))
     found = attach_chunks(hits, chunks, hits_are_small(size.rows, TOP_K_MAX, broadcast_bytes))
     return found if summaries is None else attach_summaries(found, summaries)

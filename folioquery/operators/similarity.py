@@ -35,7 +35,8 @@ SCORE_DIGITS = 9  # similarities are compared after rounding, so that ties are t
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_BYTES = 64 * 1024 * 1024
 QUESTIONS_PER_PRODUCT = 256
-PUSHED_SCOPES = 500
+COLLECTED_SCOPES = 50_000  # scope entries of all questions that are looked through for a literal filter
+PUSHED_SCOPES = 500  # distinct scopes that become a literal filter on the scan
 
 
 @dataclass(frozen=True)
@@ -232,15 +233,14 @@ def similar_pairs(
         return questions.sparkSession.createDataFrame([], schema)
     search = partial(_Search, width=size.width, k=k, threshold=threshold, schema=to_arrow_schema(schema))
     if size.n_bytes <= broadcast_bytes:
-        return _with_sent_questions(wanted, stored, scope, search, schema)
+        return _with_sent_questions(wanted, stored, scope, size, search, schema)
     return _with_blocks(wanted, stored, scope, size, block_bytes, search, schema)
 
 
-def _with_sent_questions(wanted, stored, scope, search, schema) -> DataFrame:
-    table = wanted.toArrow().combine_chunks()
-    sent = wanted.sparkSession.sparkContext.broadcast(table)
+def _with_sent_questions(wanted, stored, scope, size: QuestionSize, search, schema) -> DataFrame:
+    sent = wanted.sparkSession.sparkContext.broadcast(wanted.toArrow().combine_chunks())
     if scope:
-        stored = _only_asked(wanted, stored, table)
+        stored = _only_asked(wanted, stored, size)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = search(sent.value, "scopes" if scope else None)
@@ -252,15 +252,23 @@ def _with_sent_questions(wanted, stored, scope, search, schema) -> DataFrame:
     return stored.mapInArrow(multiply, schema)
 
 
-def _only_asked(wanted: DataFrame, stored: DataFrame, table: pa.Table) -> DataFrame:
+def asked_scopes(questions: DataFrame, size: QuestionSize) -> list | None:
+    """The distinct scopes of the questions, when they are few enough for a literal filter."""
+    if "scopes" not in questions.columns or size.scopes > COLLECTED_SCOPES:
+        return None
+    rows = questions.select(F.explode("scopes").alias("scope")).where("scope IS NOT NULL").distinct().collect()
+    return [r["scope"] for r in rows] if len(rows) <= PUSHED_SCOPES else None
+
+
+def _only_asked(wanted: DataFrame, stored: DataFrame, size: QuestionSize) -> DataFrame:
     """Drop vectors outside all asked scopes before they leave the JVM.
 
     A short list of scopes is a literal filter, which reaches the scan and prunes files
     and partitions; a longer one (still within the measured bound) is a broadcast semi join.
     """
-    asked = pc.unique(pc.list_flatten(table.column("scopes"))).to_pylist()
-    if len(asked) <= PUSHED_SCOPES:
-        return stored.where(F.col("scope").isin([value for value in asked if value is not None]))
+    asked = asked_scopes(wanted, size)
+    if asked is not None:
+        return stored.where(F.col("scope").isin(asked))
     scopes = wanted.select(F.explode("scopes").alias("scope")).distinct()
     return stored.join(F.broadcast(scopes), "scope", "left_semi")
 

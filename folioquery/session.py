@@ -18,6 +18,8 @@ def build_session(app_name: str = "folioquery", master: str | None = None, **set
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Up to this many document ids of a request batch are checked inside the parquet scan.
+        .config("spark.sql.parquet.pushdown.inFilterThreshold", "500")
     )
     if master:
         builder = builder.master(master)

@@ -155,3 +155,22 @@ def test_prompt_and_json(spark):
     assert answering.answer_json(answers).first()["json"] == (
         '{"answer":"a","confidence":0.5,"sources":[{"chunk_id":"c","score":0.5,"preview":"p"}],"cached":false}'
     )
+
+
+def test_asked_documents_reach_the_scans(spark, tables, tmp_path):
+    from folioquery.operators.embedding import embed_questions
+    from folioquery.operators.retrieval import retrieve
+    from folioquery.sources.store import load_tables, save_tables
+
+    save_tables(tables, str(tmp_path), "1")
+    stored = load_tables(spark, str(tmp_path))
+    questions = spark.createDataFrame([(1, "owls hunt", [DOC_A])], "question_id int, question string, scopes array<string>")
+    hits = retrieve(
+        embed_questions(questions).drop("question", "error"), stored["embeddings"], stored["chunks"],
+        stored["summaries"], threshold=0.1,
+    )
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert {r["document_id"] for r in hits.collect()} == {DOC_A}
+    scans = [line for line in plan.split("\n") if "FileScan" in line]
+    assert len(scans) == 3 and all(DOC_A in line.split("PushedFilters")[1] for line in scans)
+    assert all("batch" in line.split("PartitionFilters")[1].split("PushedFilters")[0] for line in scans)
