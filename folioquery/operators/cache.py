@@ -35,20 +35,26 @@ def write_cache(cache: DataFrame, results: DataFrame, ttl_seconds: int = DEFAULT
     return upsert(cache, cache_entries(results, ttl_seconds), ["key"], "written_at")
 
 
+def _of_requests(cache: DataFrame, requests: DataFrame) -> DataFrame:
+    """The entries some request asks for; a short batch of requests does not move a large cache."""
+    return cache.join(requests.select("key").distinct(), "key", "left_semi")
+
+
 def lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """requests(key, asked_at) with the columns of a live entry, or NULLs.
 
     The cache holds one entry per key. Reading does not prolong an entry.
     """
     live = (F.col("asked_at") >= F.col("written_at")) & (F.col("asked_at") < F.col("expires_at"))
-    joined = requests.join(cache, "key", "left").withColumn("cached", F.coalesce(live, F.lit(False)))
+    joined = requests.join(_of_requests(cache, requests), "key", "left")
+    joined = joined.withColumn("cached", F.coalesce(live, F.lit(False)))
     entry = [c for c in cache.columns if c != "key"]
     return joined.withColumns({c: F.when(F.col("cached"), F.col(c)) for c in entry})
 
 
 def misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Requests without a live entry."""
-    r, c = requests.alias("r"), cache.alias("c")
+    r, c = requests.alias("r"), _of_requests(cache.select("key", "written_at", "expires_at"), requests).alias("c")
     live = (
         (F.col("r.key") == F.col("c.key"))
         & (F.col("r.asked_at") >= F.col("c.written_at"))

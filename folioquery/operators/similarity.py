@@ -234,7 +234,9 @@ def similar_pairs(
     search = partial(_Search, width=size.width, k=k, threshold=threshold, schema=to_arrow_schema(schema))
     if size.n_bytes <= broadcast_bytes:
         return _with_sent_questions(wanted, stored, scope, size, search, schema)
-    return _with_blocks(wanted, stored, scope, size, block_bytes, search, schema)
+    # Rows are counted without touching the vectors; the few of another width do not matter here.
+    counted = vectors.select(F.col(scope).alias("scope") if scope else F.col("chunk_id"))
+    return _with_blocks(wanted, stored, counted, scope, size, block_bytes, search, schema)
 
 
 def _with_sent_questions(wanted, stored, scope, size: QuestionSize, search, schema) -> DataFrame:
@@ -273,7 +275,7 @@ def _only_asked(wanted: DataFrame, stored: DataFrame, size: QuestionSize) -> Dat
     return stored.join(F.broadcast(scopes), "scope", "left_semi")
 
 
-def _with_blocks(wanted, stored, scope, size: QuestionSize, block_bytes: int, search, schema) -> DataFrame:
+def _with_blocks(wanted, stored, counted, scope, size: QuestionSize, block_bytes: int, search, schema) -> DataFrame:
     block_rows = max(1, block_bytes // (8 * size.width))
 
     def blocks(rows):
@@ -285,7 +287,7 @@ def _with_blocks(wanted, stored, scope, size: QuestionSize, block_bytes: int, se
         asked = wanted.select("question_id", "top_k", "vector", F.explode(F.array_distinct("scopes")).alias("scope"))
         counts = (
             asked.groupBy("scope").agg(F.count("*").alias("n_questions"))
-            .join(stored.groupBy("scope").agg(F.count("*").alias("n_vectors")), "scope")
+            .join(counted.groupBy("scope").agg(F.count("*").alias("n_vectors")), "scope")
             .select("scope", "n_questions", "n_vectors",
                     blocks(F.col("n_questions")).alias("q_blocks"), blocks(F.col("n_vectors")).alias("v_blocks"))
         )
@@ -296,7 +298,7 @@ def _with_blocks(wanted, stored, scope, size: QuestionSize, block_bytes: int, se
             return wanted.sparkSession.createDataFrame([], schema)
         asked, stored = asked.join(counts, "scope"), stored.join(counts, "scope")
     else:
-        n_vectors = stored.count()
+        n_vectors = counted.count()
         n_q, n_v = -(-size.rows // block_rows), max(1, -(-n_vectors // block_rows))
         volume = size.rows * n_v + n_vectors * n_q
         parts = [F.lit("").alias("scope"), F.lit(n_q).alias("q_blocks"), F.lit(n_v).alias("v_blocks")]

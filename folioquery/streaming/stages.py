@@ -107,7 +107,8 @@ def reuse_stage(asks: DataFrame, target: str, ttl_seconds: int, delay: str = "0
 
     State per key: expiry and source of the live answer; the watermark removes
     entries after their expiry. Asks of a key must arrive in time order across
-    micro-batches; inside a micro-batch they are sorted.
+    micro-batches; inside a micro-batch they are sorted, so the number of files per
+    micro-batch bounds what one key brings at a time.
     """
     id_type = asks.schema["ask_id"].dataType.simpleString()
     answered = (
