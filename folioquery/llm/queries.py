@@ -7,9 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from folioquery.llm.bpe import encode_and_decode
 from folioquery.llm.common import documents, read
 from folioquery.llm.exact_dedup import exact_duplicates
 from folioquery.llm.packing import pack_sequences
+from folioquery.llm.quality import judge
 from folioquery.llm.sharding import shard_by_bytes
 from folioquery.llm.simhash import near_duplicates
 from folioquery.llm.token_counts import token_counts
@@ -20,6 +22,10 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return judge(documents(spark, folder), read(spark, folder, "labels"))
+
+
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(documents(spark, folder), TOKENIZER, PATTERN)
 
@@ -40,6 +46,10 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op5_bpe_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_and_decode(documents(spark, folder), RANKS, PATTERN)
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(documents(spark, folder), read(spark, folder, "labels"))
 
@@ -53,9 +63,11 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op6_toxicity": op6_toxicity,
     "op8_packing": op8_packing,
     "op10_simhash": op10_simhash,
