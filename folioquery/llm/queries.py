@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from folioquery.llm.bpe import encode_and_decode
 from folioquery.llm.common import documents, read
 from folioquery.llm.exact_dedup import exact_duplicates
+from folioquery.llm.fingerprints import fingerprints
+from folioquery.llm.line_dedup import deduplicate_lines
 from folioquery.llm.packing import pack_sequences
 from folioquery.llm.quality import judge
 from folioquery.llm.sharding import shard_by_bytes
@@ -54,10 +56,18 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(documents(spark, folder), read(spark, folder, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return deduplicate_lines(documents(spark, folder))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_sequences(documents(spark, folder), TOKENIZER, RANKS, PATTERN)
 
 
+def op9_lz_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints(documents(spark, folder))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder))
 
@@ -69,7 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op6_toxicity": op6_toxicity,
+    "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
+    "op9_lz_fingerprints": op9_lz_fingerprints,
     "op10_simhash": op10_simhash,
 }
 
