@@ -195,7 +195,9 @@ def _near(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.nd
     overlap = (SHARE * total + SHARE + OF - 1) // (SHARE + OF)
     before = np.minimum(a["place"][i], a["place"][j])
     after = np.minimum(a["n"][i] - a["place"][i], a["n"][j] - a["place"][j])
-    apart = np.bitwise_count(a["p0"][i] ^ a["p0"][j]).astype(np.int32) + np.bitwise_count(a["p1"][i] ^ a["p1"][j])
+    # Unsigned: numpy counts the bits of the magnitude of negative numbers.
+    differ = [(a[p][i] ^ a[p][j]).view(np.uint64) for p in ("p0", "p1")]
+    apart = sum(np.bitwise_count(d).astype(np.int32) for d in differ)
     fits = (before + after >= overlap) & (apart <= total - 2 * overlap) & (a["line"][i] != a["line"][j])
     return fits, apart
 
