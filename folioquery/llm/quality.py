@@ -323,7 +323,8 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: floa
     """docs(doc_id, text, lang, ...), labels(doc_id, quality, ...) ->
     doc_id, text_hash, lang, n_units, perplexity, threshold, kept; a row per document."""
     trusted = trusted_ids(labels)
-    counted = docs.where(_fold() != 0).select("doc_id", "text").join(trusted, "doc_id", "left_semi")
+    # The ids grow with the corpus, so they are never broadcast: one plan at every size.
+    counted = docs.where(_fold() != 0).select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left_semi")
     with settings(docs.sparkSession, BLOOM):
         model = train(counted, order)
     rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), "lang", (_fold() == 0).alias("calibrates"))
