@@ -1,10 +1,10 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its words. It is removed if an earlier line, in the same or another document, is
-equal or has Jaccard similarity of at least 4/5 with it; earlier means a smaller (doc_id, line number),
-whether or not that line is removed itself. Blank lines stay.
+A line is the set of its words, which ASCII white space parts. It is removed if an earlier line, in the
+same or another document, has Jaccard similarity of at least 4/5 with it; earlier means a smaller
+(doc_id, line number), whether or not that line is removed itself. Lines without words stay.
 
-Equal lines are found by their hashes. For the others the words of a line are put in order of rarity and
+Lines of equal words in equal order are found by two hashes. For the others the words of a line are put in order of rarity and
 only its prefix is indexed, long enough that two similar lines share a word of it; words that occur
 once are left out, as nobody shares them. Rarity is estimated from a count sketch of fixed size over
 all texts: any common order gives exact results, rarity only makes the index lists short. Lines that share
@@ -21,11 +21,11 @@ doc_id, text and n_chars are passed on.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,22 +38,75 @@ SHARE, OF = 4, 5  # similarity of at least 4/5
 SKETCH_BITS = 24
 SEGMENT = 1 << 16  # counters per row of the sketch table
 TOKEN_BITS = 42
-NEAREST = 6  # candidates of a line and word that are verified first
-LINES = 1 << 13  # lines handled at a time
+NEAREST = 8  # candidates of a line and word that are verified first
+LINES = 1 << 13  # lines sorted at a time
+UNIT = 1_000_000  # characters split at a time
 CACHED = 500_000
 FIRST = -(2**63)
-
-
-class Hashes(dict):
-    """64-bit hash of a word, filled as words come."""
-
-    def __missing__(self, word: str) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-
-def line_hash(line: str) -> int:
-    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_random = np.random.default_rng(7)
+#: Random factors by place of a letter in its word and of a word in its line (repeating far out).
+LETTERS, WORDS, WORDS_TOO = (_random.integers(0, 2**64, 4096, np.uint64) | np.uint64(1) for _ in range(3))
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    values = values ^ values >> np.uint64(32)
+    values = values * np.uint64(0xD6E8FEB86659FD93)
+    return values ^ values >> np.uint64(32)
+
+
+@dataclass
+class Lines:
+    """The lines with words of some texts."""
+
+    text: np.ndarray  # which text
+    number: np.ndarray  # line of the text, from 0
+    line: np.ndarray  # two hashes of the words in order
+    other: np.ndarray
+    n: np.ndarray  # words
+    word: np.ndarray  # hashes of the words of all lines, one after the other
+
+    def __len__(self) -> int:
+        return len(self.line)
+
+
+def split_lines(texts: list[str]) -> Lines:
+    data = np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
+    blank = BLANK[data]
+    edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return Lines(none, none, *(none.astype(np.uint64),) * 2, none, none.astype(np.uint64))
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    word = mixed(np.add.reduceat((data[~blank].astype(np.uint64) + np.uint64(1)) * LETTERS[place & 4095], first))
+    at = np.searchsorted(np.flatnonzero(data == 10), starts)
+    begin = np.flatnonzero(np.diff(at, prepend=-1))
+    n = np.diff(begin, append=len(at))
+    place = (np.arange(len(at)) - np.repeat(begin, n)) & 4095
+    line, other = (mixed(np.add.reduceat(word * f[place], begin)) for f in (WORDS, WORDS_TOO))
+    before = np.cumsum([0] + [t.count("\n") + 1 for t in texts[:-1]])
+    text = np.searchsorted(before, at[begin], side="right") - 1
+    return Lines(text, at[begin] - before[text], line, other, n, word)
+
+
+def lines_of(texts: list[str], unit: int = UNIT) -> Iterator[Lines]:
+    """The lines of all texts in parts of bounded length; very long texts are parted between lines."""
+    for start, end in slices(texts, unit):
+        if end - start > 1 or len(texts[start]) <= 4 * unit:
+            part = split_lines(texts[start:end])
+            part.text = part.text + start
+            yield part
+            continue
+        text, at, number = texts[start], 0, 0
+        while at < len(text):
+            stop = text.find("\n", at + unit)
+            stop = len(text) if stop < 0 else stop
+            part = split_lines([text[at:stop]])
+            yield Lines(part.text + start, part.number + number, part.line, part.other, part.n, part.word)
+            number += text.count("\n", at, stop) + 1
+            at = stop + 1
 
 
 def signed(values: np.ndarray) -> np.ndarray:
@@ -63,19 +116,18 @@ def signed(values: np.ndarray) -> np.ndarray:
 def word_sketch(docs: DataFrame) -> np.ndarray:
     """Rarity level by hash bucket: 0 none, 1 one occurrence, then four levels per doubling.
 
-    2**SKETCH_BITS bytes for any input; counts of buckets are sums over all documents.
+    2**SKETCH_BITS bytes for any input; counts of buckets are sums over all lines.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << SKETCH_BITS, np.uint32)
-        seen = Hashes()
+        seen: set[int] = set()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for at in range(0, len(text or ""), 1 << 20) if len(text or "") > 1 << 22 else (None,):
-                    part = (text or "") if at is None else _cut(text, at, 1 << 20)
-                    words = part.split()
-                    found = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-                    np.add.at(counters, (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            for part in lines_of([t or "" for t in batch.column(0).to_pylist()]):
+                # Equal lines of a task count once, as they are indexed once.
+                fresh = np.fromiter((not (h in seen or seen.add(h)) for h in part.line.tolist()), bool, len(part))
+                word = part.word[np.repeat(fresh, part.n)]
+                np.add.at(counters, (word >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             if len(seen) > CACHED:
                 seen.clear()
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -106,34 +158,22 @@ def word_sketch(docs: DataFrame) -> np.ndarray:
     return levels.ravel()
 
 
-def _cut(text: str, at: int, size: int) -> str:
-    """The words of a very long text that begin in [at, at + size)."""
-    end = at + size
-    while end < len(text) and not text[end - 1].isspace():
-        end += 1
-    begin = at
-    while 0 < begin < len(text) and not text[begin - 1].isspace():
-        begin += 1
-    return text[begin:end] if begin < end else ""
-
-
 def prefix_rows(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """(token, line, n, place, p0, p1, doc, number): the indexed words of every distinct line of a task."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, firsts = Hashes(), {}
+        firsts: dict[int, tuple[int, int]] = {}
         rarity = shared.value
 
-        def rows(words: list[str], sizes: list[int], owners: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            found = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-            level = rarity[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-            line = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-            short = (found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TOKEN_BITS)
+        def rows(part: Lines, doc: np.ndarray) -> pa.RecordBatch:
+            level = rarity[(part.word >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+            line = np.repeat(np.arange(len(part), dtype=np.uint64), part.n)
+            short = part.word & np.uint64((1 << TOKEN_BITS) - 1)
             key = np.unique(line << np.uint64(50) | level << np.uint64(TOKEN_BITS) | short)
             line = (key >> np.uint64(50)).astype(np.int64)
             token = key & np.uint64((1 << 50) - 1)
-            n = np.bincount(line, minlength=len(sizes))
+            n = np.bincount(line, minlength=len(part))
             begin = np.cumsum(n) - n
             place = np.arange(len(key)) - begin[line]
             bit = np.uint64(1) << (token & np.uint64(63))
@@ -141,44 +181,36 @@ def prefix_rows(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             parity = [np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), begin) for side in (~high, high)]
             keep = (place < n[line] - (SHARE * n[line] + OF - 1) // OF + 1) & ((token >> np.uint64(TOKEN_BITS)) != 1)
             line, token, place = line[keep], token[keep], place[keep]
-            own = np.array(owners, object)
             columns = [
                 signed(token),
-                signed(own[:, 0].astype(np.uint64))[line],
+                signed(part.line)[line],
                 n[line].astype(np.int32),
                 place.astype(np.int32),
                 *(signed(p)[line] for p in parity),
-                own[:, 1].astype(np.int64)[line],
-                own[:, 2].astype(np.int32)[line],
+                doc[line],
+                part.number[line].astype(np.int32),
             ]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], NAMES)
 
+        def later(name: int, place: tuple[int, int]) -> bool:
+            """Of equal lines of a task only those with an earlier place than before are needed."""
+            if name in firsts and firsts[name] <= place:
+                return True
+            firsts[name] = place
+            return False
+
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = batch.column(1).to_pylist()
-            words: list[str] = []
-            sizes: list[int] = []
-            owners: list[tuple[int, int, int]] = []
-            for doc, text in zip(ids, texts, strict=True):
-                for number, line in enumerate((text or "").split("\n")):
-                    own = line.split()
-                    if not own:
-                        continue
-                    name = line_hash(line)
-                    # Of equal lines of a task only ones with an earlier place than those before are needed.
-                    if firsts.get(name, (doc, number + 1)) <= (doc, number):
-                        continue
-                    firsts[name] = (doc, number)
-                    words += own
-                    sizes.append(len(own))
-                    owners.append((name, doc, number))
-                    if len(sizes) >= LINES or len(words) > 1_000_000:
-                        yield rows(words, sizes, owners)
-                        words, sizes, owners = [], [], []
-            if sizes:
-                yield rows(words, sizes, owners)
-            if len(seen) > CACHED:
-                seen.clear()
+            ids = batch.column(0).to_numpy()
+            for part in lines_of([t or "" for t in batch.column(1).to_pylist()]):
+                doc = ids[part.text]
+                places = zip(doc.tolist(), part.number.tolist(), strict=True)
+                fresh = ~np.fromiter(map(later, part.line.tolist(), places), bool, len(part))
+                part = Lines(*(c[fresh] for c in (part.text, part.number, part.line, part.other, part.n)), part.word[np.repeat(fresh, part.n)])
+                doc, ends = doc[fresh], np.cumsum(part.n)
+                for a in range(0, len(part), LINES):
+                    own = slice(a, a + LINES)
+                    words = part.word[ends[a] - part.n[a] : ends[min(a + LINES, len(part)) - 1]]
+                    yield rows(Lines(*(c[own] for c in (part.text, part.number, part.line, part.other, part.n)), words), doc[own])
             if len(firsts) > CACHED:
                 firsts.clear()
 
@@ -276,9 +308,9 @@ def candidates(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(pairs, schema)
 
 
-def all_candidates(rows: DataFrame, late: DataFrame) -> DataFrame:
-    """Every candidate of the lines in `late`(line, doc, number), by a join on the words."""
-    mine = rows.join(late, ["line", "doc", "number"], "left_semi")
+def all_candidates(rows: DataFrame, own: DataFrame, late: DataFrame) -> DataFrame:
+    """Every candidate of the lines in `late`(line, doc, number), by a join on the words; `own` has their rows."""
+    mine = own.join(late, ["line", "doc", "number"], "left_semi")
     mine = mine.select(*(F.col(n).alias(f"m_{n}") if n != "token" else F.col(n) for n in NAMES))
     total = F.col("n") + F.col("m_n")
     overlap = F.ceil(total * SHARE / (SHARE + OF))
@@ -301,19 +333,27 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[int, int, int, list[str]]] = []
-            for doc, text, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                split = (text or "").split("\n")
-                for want in lines:
-                    if want["number"] < len(split) and line_hash(split[want["number"]]) == want["line"] % 2**64:
-                        found.append((want["line"], doc, want["number"], sorted(set(split[want["number"]].split()))))
-            if found:
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
-                columns = zip(zip(*found, strict=True), types, strict=True)
+            docs_, texts, wanted = (c.to_pylist() for c in batch.columns)
+            texts = [t or "" for t in texts]
+            asked = [{(w["number"], w["line"]) for w in lines} for lines in wanted]
+            found = []
+            for part in lines_of(texts):
+                for i, number, line in zip(part.text.tolist(), part.number.tolist(), signed(part.line).tolist(), strict=True):
+                    if (number, line) in asked[i]:
+                        found.append((i, number, line))
+            split, held = -1, []
+            out = []
+            for i, number, line in found:
+                if i != split:
+                    split, held = i, texts[i].encode("utf-8", "surrogatepass").split(b"\n")
+                out.append((line, docs_[i], number, sorted(set(held[number].split()))))
+            if out:
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.binary())]
+                columns = zip(zip(*out, strict=True), types, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["line", "doc", "number", "words"])
 
     named = docs.select(F.coalesce("doc_id", F.lit(FIRST)).cast("long").alias("doc"), "text").join(needed, "doc")
-    sets = named.select("doc", "text", "lines").mapInArrow(words, "line long, doc long, number int, words array<string>")
+    sets = named.select("doc", "text", "lines").mapInArrow(words, "line long, doc long, number int, words array<binary>")
     sets = materialize(sets.dropDuplicates(["line", "doc", "number"]), "line-words")
     earlier = sets.select(*(F.col(n).alias(f"e_{n}") for n in ("line", "doc", "number", "words")))
     both = pairs.join(sets, ["line", "doc", "number"]).join(earlier, ["e_line", "e_doc", "e_number"])
@@ -327,22 +367,10 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     def hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = batch.column(0).to_pylist()
-            for start, end in slices(texts):
-                found = [
-                    (line_hash(line), xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 7), doc, number)
-                    for doc, text in zip(ids[start:end], texts[start:end], strict=True)
-                    for number, line in enumerate(text.split("\n"))
-                    if line and not line.isspace()
-                ]
-                if found:
-                    line, other, doc, number = zip(*found, strict=True)
-                    hashes = [signed(np.array(h, np.uint64)) for h in (line, other)]
-                    yield pa.RecordBatch.from_arrays(
-                        [*map(pa.array, hashes), pa.array(doc, pa.int64()), pa.array(number, pa.int32())],
-                        ["line", "other", "doc", "number"],
-                    )
+            ids = batch.column(0).to_numpy()
+            for part in lines_of([t or "" for t in batch.column(1).to_pylist()]):
+                columns = [signed(part.line), signed(part.other), ids[part.text], part.number.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["line", "other", "doc", "number"])
 
     named = docs.select(F.coalesce("doc_id", F.lit(FIRST)).cast("long").alias("doc"), "text")
     lines = materialize(named.mapInArrow(hash_lines, "line long, other long, doc long, number int"), "line-hashes")
@@ -354,7 +382,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def similar_lines(docs: DataFrame) -> DataFrame:
     """(line, doc, number) of the lines that are similar, not equal, to an earlier one; by the first place of equal lines."""
-    rows = prefix_rows(docs, word_sketch(docs))
+    levels = word_sketch(docs)
+    rows = prefix_rows(docs, levels)
     pairs = materialize(candidates(rows).groupBy("line", "doc", "number", "e_line", "e_doc", "e_number").agg(F.max("more").alias("more")), "line-candidates")
     with settings(docs.sparkSession, BLOOM):  # texts without a candidate line stay out of the shuffle
         settled = materialize(verify(docs, pairs), "line-settled")
@@ -362,8 +391,10 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     open_ = materialize(open_.join(settled, ["line", "doc", "number"], "left_anti"), "line-open")
     if open_.isEmpty():
         return settled
-    rest = materialize(all_candidates(rows, open_), "line-candidates")
+    key = F.coalesce("doc_id", F.lit(FIRST))
+    holders = docs.join(open_.where("number >= 0").select(F.col("doc").alias("_doc")), key == F.col("_doc"), "left_semi")
     with settings(docs.sparkSession, BLOOM):
+        rest = materialize(all_candidates(rows, prefix_rows(holders, levels), open_), "line-candidates")
         return settled.union(materialize(verify(docs, rest), "line-settled"))
 
 
@@ -377,15 +408,21 @@ def _without() -> Column:
     @F.pandas_udf("text string, lines int, removed array<int>")
     def without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, removed in batches:
+            whole = texts.tolist()
+            gone = [set() if r is None else {(g["number"], g["line"]) for g in r} for r in removed]
+            numbers: list[list[int]] = [[] for _ in whole]
+            some = [i for i, g in enumerate(gone) if g]
+            for part in lines_of([whole[i] for i in some]):
+                for i, number, line in zip(part.text.tolist(), part.number.tolist(), signed(part.line).tolist(), strict=True):
+                    if (number, line) in gone[some[i]]:
+                        numbers[some[i]].append(number)
             out = []
-            for text, gone in zip(texts, removed, strict=True):
-                lines = text.split("\n")
-                numbers = set()
-                for g in [] if gone is None else gone:
-                    if g["number"] < len(lines) and line_hash(lines[g["number"]]) == g["line"] % 2**64:
-                        numbers.add(g["number"])
-                kept = [line for i, line in enumerate(lines) if i not in numbers]
-                out.append((text if not numbers else "\n".join(kept), len(lines), sorted(numbers)))
+            for text, own in zip(whole, numbers, strict=True):
+                n = text.count("\n") + 1
+                if own:
+                    drop = set(own)
+                    text = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in drop)
+                out.append((text, n, own))
             yield pd.DataFrame(out, columns=["text", "lines", "removed"])
 
     return without(whole_text(), F.col("_removed"))
