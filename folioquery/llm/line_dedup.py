@@ -9,9 +9,9 @@ only its prefix is indexed, long enough that two similar lines share a word of i
 once are left out, as nobody shares them. Rarity is estimated from a count sketch of fixed size over
 all texts: any common order gives exact results, rarity only makes the index lists short. Lines that share
 an indexed word are compared by length, by the places of the word in both, and by a parity of all their
-words that bounds their difference; each line keeps a few of the nearest candidates of every word.
-Those are verified on the words themselves. A line that none of them settles and that had more
-candidates is joined with all of them.
+words that bounds their difference; each line keeps a few of the nearest candidates of every word, or
+all where none is near. Those are verified on the words themselves. A line that none of them settles and
+that had more candidates is joined with all of them.
 
 Null and empty texts have one blank line. Lines of rows that share a doc_id and a number are not earlier
 than one another; rows without doc_id come first. An empty table gives no rows. Columns other than
@@ -39,6 +39,8 @@ SKETCH_BITS = 24
 SEGMENT = 1 << 16  # counters per row of the sketch table
 TOKEN_BITS = 42
 NEAREST = 8  # candidates of a line and word that are verified first
+SURE = 16  # parity bits apart up to which a candidate is taken for similar until it is verified
+ALL = 2000  # candidates of a doubtful line and word that are listed whole
 LINES = 1 << 13  # lines sorted at a time
 UNIT = 1_000_000  # characters split at a time
 CACHED = 500_000
@@ -235,7 +237,9 @@ def _near(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.nd
 
 
 def compare_lists(a: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
-    """Nearest earlier candidates of each row; a holds whole lists of tokens, by (token, n, line, place of the line)."""
+    """Nearest earlier candidates of each row; a holds whole lists of tokens."""
+    order = np.lexsort(tuple(a[n] for n in ("number", "doc", "line", "n", "token")))
+    a = {k: v[order] for k, v in a.items()}
     # Equal lines from several tasks: the first place counts.
     fresh = np.r_[True, (a["token"][1:] != a["token"][:-1]) | (a["line"][1:] != a["line"][:-1]) | (a["n"][1:] != a["n"][:-1])]
     a = {k: v[fresh] for k, v in a.items()}
@@ -272,10 +276,23 @@ def compare_lists(a: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
     if not len(late):
         return None
     early = nearest[late, slot]
+    # Where not even the nearest is near for sure, all candidates are taken, up to a number.
+    doubtful = (total > NEAREST) & (distance.min(1) > np.minimum(a["n"] // 9, SURE))
+    more = (total > NEAREST) & ~(doubtful & (total <= ALL))
+    listed = np.flatnonzero(doubtful & (total <= ALL))
+    if len(listed):
+        begin = np.searchsorted(a["token"], a["token"][listed])
+        end = np.searchsorted(a["token"], a["token"][listed], side="right")
+        for row, first, last in zip(listed.tolist(), begin.tolist(), end.tolist(), strict=True):
+            other = np.arange(first, last)
+            before = (a["doc"][other] < a["doc"][row]) | ((a["doc"][other] == a["doc"][row]) & (a["number"][other] < a["number"][row]))
+            other = other[before]
+            other = other[_near(a, other, np.full(len(other), row))[0]]
+            late, early = np.r_[late, np.full(len(other), row)], np.r_[early, other]
     return {
         **{n: a[n][late] for n in ("line", "doc", "number")},
         **{f"e_{n}": a[n][early] for n in ("line", "doc", "number")},
-        "more": total[late] > NEAREST,
+        "more": more[late],
     }
 
 
@@ -303,7 +320,7 @@ def candidates(rows: DataFrame) -> DataFrame:
         if held is not None:
             yield from out(held)
 
-    dealt = rows.repartition("token").sortWithinPartitions("token", "n", "line", "doc", "number")
+    dealt = rows.repartition("token").sortWithinPartitions("token")
     schema = "line long, doc long, number int, e_line long, e_doc long, e_number int, more boolean"
     return dealt.mapInArrow(pairs, schema)
 
@@ -346,14 +363,15 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for i, number, line in found:
                 if i != split:
                     split, held = i, texts[i].encode("utf-8", "surrogatepass").split(b"\n")
-                out.append((line, docs_[i], number, sorted(set(held[number].split()))))
+                words_ = {w.decode("utf-8", "replace") for w in held[number].split()}
+                out.append((line, docs_[i], number, sorted(words_)))
             if out:
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.binary())]
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
                 columns = zip(zip(*out, strict=True), types, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["line", "doc", "number", "words"])
 
     named = docs.select(F.coalesce("doc_id", F.lit(FIRST)).cast("long").alias("doc"), "text").join(needed, "doc")
-    sets = named.select("doc", "text", "lines").mapInArrow(words, "line long, doc long, number int, words array<binary>")
+    sets = named.select("doc", "text", "lines").mapInArrow(words, "line long, doc long, number int, words array<string>")
     sets = materialize(sets.dropDuplicates(["line", "doc", "number"]), "line-words")
     earlier = sets.select(*(F.col(n).alias(f"e_{n}") for n in ("line", "doc", "number", "words")))
     both = pairs.join(sets, ["line", "doc", "number"]).join(earlier, ["e_line", "e_doc", "e_number"])
