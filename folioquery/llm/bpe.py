@@ -107,33 +107,42 @@ def encode_and_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     `ranks` is a rank file that every executor can read.
     """
 
-    def digest(parts: Iterator[np.ndarray], table: list[bytes]) -> tuple[int, str, str]:
+    def written(ids: np.ndarray, table: list[bytes]) -> tuple[str, bytes]:
+        found = ids.tolist()
+        return " ".join(map(str, found)), b"".join(map(table.__getitem__, found))
+
+    def digest(parts: Iterator[list[tuple[str, bytes]]]) -> tuple[int, str, str]:
         n, ids_sha, decoded_sha = 0, sha256(), sha256()
-        for ids in parts:
-            found = ids.tolist()
-            ids_sha.update(((" " if n and found else "") + " ".join(map(str, found))).encode())
-            decoded_sha.update(b"".join(map(table.__getitem__, found)))
-            n += len(found)
+        for words in parts:
+            line = " ".join([w[0] for w in words])
+            ids_sha.update((" " + line if n else line).encode())
+            decoded_sha.update(b"".join([w[1] for w in words]))
+            n += line.count(" ") + 1
         return n, ids_sha.hexdigest(), decoded_sha.hexdigest()
 
     columns = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _assemble(docs, ranks, pattern, digest, columns, [pa.int64(), pa.string(), pa.string()])
+    return _assemble(docs, ranks, pattern, written, digest, columns, [pa.int64(), pa.string(), pa.string()])
 
 
 def encode_texts(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, ids array<int>, decoded BINARY; the ids and the bytes they stand for."""
 
-    def whole(parts: Iterator[np.ndarray], table: list[bytes]) -> tuple[list[int], bytes]:
-        ids = [i for part in parts for i in part.tolist()]
-        return ids, b"".join(map(table.__getitem__, ids))
+    def decoded(ids: np.ndarray, table: list[bytes]) -> tuple[list[int], bytes]:
+        found = ids.tolist()
+        return found, b"".join(map(table.__getitem__, found))
+
+    def whole(parts: Iterator[list[tuple[list[int], bytes]]]) -> tuple[list[int], bytes]:
+        words = [w for part in parts for w in part]
+        return [i for w in words for i in w[0]], b"".join([w[1] for w in words])
 
-    return _assemble(docs, ranks, pattern, whole, "ids array<int>, decoded binary", [pa.list_(pa.int32()), pa.binary()])
+    return _assemble(docs, ranks, pattern, decoded, whole, "ids array<int>, decoded binary", [pa.list_(pa.int32()), pa.binary()])
 
 
 def _assemble(
-    docs: DataFrame, ranks: str, pattern: str, finish: Callable, columns: str, types: list[pa.DataType]
+    docs: DataFrame, ranks: str, pattern: str, decode: Callable, finish: Callable, columns: str, types: list[pa.DataType]
 ) -> DataFrame:
-    """`finish` turns the ids of a text, in parts, and the token-byte table into the result columns."""
+    """`decode` takes the ids of a distinct word and the token-byte table, once for each block; `finish`
+    turns what it gave for the words of a text, in their order and in parts, into the result columns."""
     spark = docs.sparkSession
     id_field = docs.schema["doc_id"].dataType
     names = ["doc_id", *(c.split(" ")[0] for c in columns.split(", "))]
@@ -158,14 +167,14 @@ def _assemble(
                     ends = np.cumsum(sizes).tolist()
                     start = 0
                     for word, end in zip(unsqueeze(own), ends, strict=True):
-                        codes[word] = flat[start:end]
+                        codes[word] = decode(flat[start:end], table)
                         start = end
                     continue
                 doc_ids, texts = unsqueeze(packed)
                 done, held, out = 0, 0, []
                 for i, text in enumerate(texts):
-                    parts = (np.concatenate([codes[w] for w in chunk]) for chunk in pre_tokens(words, text) if chunk)
-                    out.append(finish(parts, table))
+                    parts = ([codes[w] for w in chunk] for chunk in pre_tokens(words, text) if chunk)
+                    out.append(finish(parts))
                     held += len(text)
                     if held > 4_000_000 or i == len(texts) - 1:
                         results = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
