@@ -9,9 +9,9 @@ only its prefix is indexed, long enough that two similar lines share a word of i
 once are left out, as nobody shares them. Rarity is estimated from a count sketch of fixed size over
 all texts: any common order gives exact results, rarity only makes the index lists short. Lines that share
 an indexed word are compared by length, by the places of the word in both, and by a parity of all their
-words that bounds their difference; each line keeps a few of the nearest candidates of every word, or
-all where none is near. Those are verified on the words themselves. A line that none of them settles and
-that had more candidates is joined with all of them.
+words that bounds their difference; each line keeps a few of the nearest candidates of every word.
+Those are verified on the words themselves. A line that none of them settles and that had more
+candidates is joined with all of them.
 
 Null and empty texts have one blank line. Lines of rows that share a doc_id and a number are not earlier
 than one another; rows without doc_id come first. An empty table gives no rows. Columns other than
@@ -39,8 +39,7 @@ SKETCH_BITS = 24
 SEGMENT = 1 << 16  # counters per row of the sketch table
 TOKEN_BITS = 42
 NEAREST = 8  # candidates of a line and word that are verified first
-SURE = 16  # parity bits apart up to which a candidate is taken for similar until it is verified
-ALL = 2000  # candidates of a doubtful line and word that are listed whole
+SENT_TOKENS = 200_000  # words of unsettled lines that are sent to the scan; more of them meet in a shuffle
 LINES = 1 << 13  # lines sorted at a time
 UNIT = 1_000_000  # characters split at a time
 CACHED = 500_000
@@ -276,23 +275,10 @@ def compare_lists(a: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
     if not len(late):
         return None
     early = nearest[late, slot]
-    # Where not even the nearest is near for sure, all candidates are taken, up to a number.
-    doubtful = (total > NEAREST) & (distance.min(1) > np.minimum(a["n"] // 9, SURE))
-    more = (total > NEAREST) & ~(doubtful & (total <= ALL))
-    listed = np.flatnonzero(doubtful & (total <= ALL))
-    if len(listed):
-        begin = np.searchsorted(a["token"], a["token"][listed])
-        end = np.searchsorted(a["token"], a["token"][listed], side="right")
-        for row, first, last in zip(listed.tolist(), begin.tolist(), end.tolist(), strict=True):
-            other = np.arange(first, last)
-            before = (a["doc"][other] < a["doc"][row]) | ((a["doc"][other] == a["doc"][row]) & (a["number"][other] < a["number"][row]))
-            other = other[before]
-            other = other[_near(a, other, np.full(len(other), row))[0]]
-            late, early = np.r_[late, np.full(len(other), row)], np.r_[early, other]
     return {
         **{n: a[n][late] for n in ("line", "doc", "number")},
         **{f"e_{n}": a[n][early] for n in ("line", "doc", "number")},
-        "more": more[late],
+        "more": total[late] > NEAREST,
     }
 
 
@@ -327,7 +313,10 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 def all_candidates(rows: DataFrame, own: DataFrame, late: DataFrame) -> DataFrame:
     """Every candidate of the lines in `late`(line, doc, number), by a join on the words; `own` has their rows."""
-    mine = own.join(late, ["line", "doc", "number"], "left_semi")
+    mine = materialize(own.join(late, ["line", "doc", "number"], "left_semi"), "line-open-rows")
+    tokens = mine.select("token").distinct()
+    if tokens.count() <= SENT_TOKENS:
+        rows = rows.join(F.broadcast(tokens), "token", "left_semi")
     mine = mine.select(*(F.col(n).alias(f"m_{n}") if n != "token" else F.col(n) for n in NAMES))
     total = F.col("n") + F.col("m_n")
     overlap = F.ceil(total * SHARE / (SHARE + OF))
