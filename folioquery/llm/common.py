@@ -76,7 +76,7 @@ def blocks(batches: Iterable[pa.RecordBatch], chars: int = BLOCK_CHARS) -> Itera
         yield block()
 
 
-def slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of about `chars` characters, one text at least."""
     start = held = 0
     for i, text in enumerate(texts):

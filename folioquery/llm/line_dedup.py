@@ -42,7 +42,7 @@ NEAREST = 8  # candidates of a line and word that are verified first
 SENT_TOKENS = 200_000  # words of unsettled lines that are sent to the scan; more of them meet in a shuffle
 LINES = 1 << 13  # lines sorted at a time
 UNIT = 1_000_000  # characters split at a time
-CACHED = 500_000
+CACHED = 120_000
 FIRST = -(2**63)
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _random = np.random.default_rng(7)

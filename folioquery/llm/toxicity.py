@@ -38,7 +38,7 @@ MIN_DOCS = 3  # words in fewer sampled documents get no weight
 
 TOKEN = re.compile(r"[.!?\n]+|\w+")
 SENTENCE = re.compile(r"[^.!?\n]+")
-CACHED_WORDS = 500_000
+CACHED_WORDS = 120_000
 
 
 class Words(dict):
