@@ -174,17 +174,20 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+INSTRUCTION = "Use only the passages below."
+
+
 @query(
     "build_prompts",
     f"""{_hits_sql()}, {_CONTEXT}
-SELECT question_id, 'system' AS role, {_quoted(answering.ANSWER_INSTRUCTION)} AS content FROM full_ctx
+SELECT question_id, 'system' AS role, {_quoted(INSTRUCTION)} AS content FROM full_ctx
 UNION ALL
 SELECT question_id, 'user', concat('Context:', chr(10), context, chr(10), chr(10), 'Question: ', question) FROM full_ctx""",
 )
 def _prompts(spark: SparkSession, folder: str) -> DataFrame:
     questions, hits = text_hits(spark, folder)
     contexts = answering.per_question(questions, hits)
-    messages = F.explode(answering.prompt(F.col("context"), F.col("question"))).alias("m")
+    messages = F.explode(answering.prompt(F.col("context"), F.col("question"), INSTRUCTION)).alias("m")
     return contexts.select("question_id", messages).select("question_id", "m.role", "m.content")
 
 

@@ -9,13 +9,13 @@ from folioquery.catalog import query
 from folioquery.catalog.chunks import PAYLOADS
 from folioquery.catalog.inputs import DOCUMENTS, WIDTH, chunks_sql, timestamp_sql, timestamp_text
 from folioquery.catalog.tables import TABLES_SQL, events, per_document, stored_documents
-from folioquery.functions.retry import backoff_ms, handoff_wait_ms
+from folioquery.functions.retry import backoff_ms
 from folioquery.operators.cache import DEFAULT_TTL_SECONDS, reuse_within_ttl
 from folioquery.operators.maintenance import mark_failed
 from folioquery.operators.tasks import due_tasks, retry_state, task_route
 from folioquery.session import run_folder
 from folioquery.sources.store import load_tables
-from folioquery.streaming.stages import analyze_stage, parse_stage, read_file_stream, reuse_stage
+from folioquery.streaming.stages import analyze_stage, parse_stage, read_file_stream, read_table_stream, reuse_stage
 
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
@@ -91,15 +91,12 @@ def _route(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "backoff_schedule",
     f"""
-SELECT event_id, 100 * CAST(pow(2, {_K} % 6) AS BIGINT) AS delay_ms,
-       CASE WHEN {_K} % 5 > 1 THEN 200 * CAST(pow(2, {_K} % 5 - 1) - 1 AS BIGINT) ELSE 0 END AS handoff_wait_ms
+SELECT event_id, 100 * CAST(pow(2, {_K} % 6) AS BIGINT) AS delay_ms
 FROM events""",
 )
 def _backoff(spark: SparkSession, folder: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
-    return events(spark, folder).select(
-        "event_id", backoff_ms(k % 6, 100).alias("delay_ms"), handoff_wait_ms((k % 5).cast("int")).alias("handoff_wait_ms")
-    )
+    return events(spark, folder).select("event_id", backoff_ms(k % 6, 100).alias("delay_ms"))
 
 
 def _reuse_sql(key: str) -> str:
@@ -134,10 +131,28 @@ def _reuse_hot(spark: SparkSession, folder: str) -> DataFrame:
     return reuse_within_ttl(ask_log(events(spark, folder), "event_type"), hot_rows=100).drop("ts")
 
 
+@query(
+    "stream_ttl_reuse_late",
+    f"SELECT event_id AS ask_id, {_USER_KEY} AS key FROM events",
+)
+def _stream_reuse_late(spark: SparkSession, folder: str) -> DataFrame:
+    """Asks in several micro-batches whose order is not that of time: every ask is answered, by an ask of its key."""
+    log = ask_log(events(spark, folder), "user_id", "event_type")
+    source, target = run_folder(spark, "late-asks"), run_folder(spark, "stream-late")
+    for part in (2, 0, 3, 1):  # the newest first
+        hour = F.floor(F.hour("ts") / 6)
+        log.where(hour == part).coalesce(1).write.mode("append").parquet(source)
+    reuse_stage(read_file_stream(spark, source, log.schema, files_per_batch=1), target, DEFAULT_TTL_SECONDS)
+    answers = spark.read.parquet(f"{target}/answers")
+    sources = log.select(F.col("ask_id").alias("source_id"), F.col("key").alias("source_key"))
+    known = answers.join(sources, "source_id").where(F.col("key") == F.col("source_key"))
+    return known.select("ask_id", "key")
+
+
 @query("stream_ttl_reuse", _reuse_sql(_USER_KEY))
 def _stream_reuse(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder.rstrip('/')}/events.parquet").schema
-    stream = read_file_stream(spark, folder, schema, "events.parquet")
+    stream = read_table_stream(spark, folder, "events", schema)
     target = run_folder(spark, "stream-reuse")
     reuse_stage(ask_log(stream, "user_id", "event_type"), target, DEFAULT_TTL_SECONDS)
     answers = spark.read.parquet(f"{target}/answers")
@@ -146,7 +161,7 @@ def _stream_reuse(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_stream(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet").schema
-    stream = read_file_stream(spark, folder, schema, "documents.parquet")
+    stream = read_table_stream(spark, folder, "documents", schema)
     return stream.select(
         F.col("doc_id").alias("document_id"), F.col("text").alias("content"),
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),

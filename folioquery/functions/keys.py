@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
 QUERY_KEY_FORMAT = "q:%s|docs:%s|k:%d"
-QUERY_KEY_PREFIX = "query:"
-EMBEDDING_KEY_PREFIX = "embed:"
 # -----------------------------------------------------------------------------
 
 

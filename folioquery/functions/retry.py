@@ -6,8 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
-HANDOFF_ATTEMPTS = 3
-HANDOFF_BASE_MS = 200
 TASK_MAX_ATTEMPTS = 5
 TASK_BASE_MS = 1000
 # -----------------------------------------------------------------------------
@@ -19,10 +17,3 @@ def backoff_ms(attempt: Column, base_ms: int | Column) -> Column:
     doubled = F.call_function("shiftleft", F.lit(1).cast("bigint"), attempt.cast("int"))
     return base.cast("bigint") * doubled
 
-
-def handoff_wait_ms(attempts: Column, base_ms: int = HANDOFF_BASE_MS) -> Column:
-    """Total wait of a hand-off that used `attempts` tries (no wait after the last one)."""
-    waits = F.when(attempts > 1, F.sequence(F.lit(0), attempts.cast("int") - 2)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.aggregate(waits, F.lit(0).cast("bigint"), lambda total, i: total + backoff_ms(i, base_ms))

@@ -12,6 +12,7 @@ import argparse
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioquery.functions.validation import MAX_UPLOAD_BYTES
 from folioquery.operators.answering import answer_json
@@ -40,13 +41,25 @@ def derived_id(*parts: str | Column) -> Column:
 
 def ingest(spark: SparkSession, uploads: str, store: str, batch: str, max_bytes: int = MAX_UPLOAD_BYTES,
            **options) -> DataFrame:
-    """Store the accepted files of a folder as a batch; returns (filename, document_id, error)."""
+    """Store the accepted text files of a folder as a batch; returns (filename, document_id, error).
+
+    The id comes from the path below the folder and the content, so equal files in two places are two
+    documents. Files that are refused, or whose type has no text here, are stored as `rejected`.
+    """
     checked = validate_uploads(read_uploads(spark, uploads), max_bytes)
-    identified = checked.withColumn("document_id", derived_id("filename", F.sha2("content", 256)))
+    root = uploads.rstrip("/").rsplit("/", 1)[-1]
+    below = F.regexp_replace("path", f"^.*?/\\Q{root}\\E/", "")
+    no_text = F.when(F.col("resolved_type") != "text/plain", F.concat(F.lit("no text can be read from "), "resolved_type"))
+    identified = checked.withColumn("document_id", derived_id(below, F.sha2("content", 256))).withColumn(
+        "error", F.coalesce("error", no_text)
+    )
     accepted = ingest_documents(identified.where("error IS NULL"), F.col("document_id"), F.col("modified_at"))
     accepted = materialize(accepted, "accepted")  # the files are read once for all four tables
     save_tables(analyze_documents(accepted, **options), store, batch)
-    return identified.select("filename", F.when(F.col("error").isNull(), F.col("document_id")).alias("document_id"), "error")
+    outcome = identified.select("filename", F.when(F.col("error").isNull(), F.col("document_id")).alias("document_id"), "error")
+    outcome = materialize(outcome, "outcome")
+    outcome.where("error IS NOT NULL").write.mode("overwrite").parquet(f"{store.rstrip('/')}/rejected/batch={batch}")
+    return outcome
 
 
 def index(spark: SparkSession, store: str, target: str, lists: int = DEFAULT_LISTS, train_fraction: float = 1.0) -> None:
@@ -63,10 +76,18 @@ def ask(spark: SparkSession, store: str, requests: str, answers: str, cache: str
     """
     if index_path:
         options["index"] = load_inverted_file(spark, index_path)
-    asked = spark.read.schema(REQUESTS).json(requests).withColumn("asked_at", F.current_timestamp())
+    now = spark.sql("SELECT current_timestamp() AS now").first()["now"]  # one clock for the whole job
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in REQUESTS), T.StructField("_line", T.StringType())])
+    read = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_line").json(requests)
+    read = materialize(read.withColumn("asked_at", F.lit(now)), "asked")
+    # Lines that are no request, or have a field of another type.
+    malformed = read.where("_line IS NOT NULL").select(
+        F.coalesce("question_id", F.get_json_object("_line", "$.question_id")).alias("question_id"), F.lit("invalid payload").alias("error")
+    )
+    asked = read.where("_line IS NULL").drop("_line")
     result = answer_questions(asked, load_tables(spark, store), cache=_cached(spark, cache), **options)
     save_json(answer_json(result.answers), f"{answers.rstrip('/')}/answers")
-    save_json(result.rejected, f"{answers.rstrip('/')}/rejected")
+    save_json(result.rejected.unionByName(malformed), f"{answers.rstrip('/')}/rejected")
     if cache:
         result.cache_entries.write.mode("append").parquet(cache)
 
@@ -113,7 +134,7 @@ def main(arguments: list[str] | None = None) -> None:
     if given.command == "ingest":
         outcome = ingest(spark, given.uploads, given.store, given.batch, given.max_bytes,
                          max_words=given.max_words, overlap=given.overlap, width=given.width)
-        outcome.where("error IS NOT NULL").show(truncate=False)
+        print(f"{outcome.where('error IS NOT NULL').count()} files rejected, see {given.store}/rejected")
     elif given.command == "index":
         index(spark, given.store, given.index, given.lists, given.train_fraction)
     else:

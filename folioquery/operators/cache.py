@@ -84,6 +84,7 @@ def _walk(ttl_seconds: int):
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = expires = source = None
+        begun = False  # a NULL key is a key like others
         for batch in batches:
             if batch.empty:
                 continue
@@ -93,10 +94,10 @@ def _walk(ttl_seconds: int):
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             for start, end in zip(starts, np.r_[starts[1:], len(keys)]):
                 at = start
-                if keys[start] == key:  # continues the last key of the batch before
+                if begun and keys[start] == key:  # continues the last key of the batch before
                     at = start + np.searchsorted(ts[start:end], expires)
                     answered_by[start:at] = source
-                key = keys[start]
+                key, begun = keys[start], True
                 while at < end:
                     source, expires = ids[at], ts[at] + ttl
                     until = at + np.searchsorted(ts[at:end], expires)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioquery.functions.validation import TOP_K_MAX
 from folioquery.operators.ivf import InvertedFile, top_k_ivf
+from folioquery.functions.validation import TOP_K_MAX
 from folioquery.operators.similarity import (
     BROADCAST_BYTES,
     MIN_SIMILARITY,
@@ -78,5 +78,5 @@ def retrieve(
         if asked is not None:
             chunks = chunks.where(F.col("document_id").isin(asked))
             summaries = summaries if summaries is None else summaries.where(F.col("document_id").isin(asked))
-    found = attach_chunks(hits, chunks, hits_are_small(size.rows, TOP_K_MAX, broadcast_bytes))
+    found = attach_chunks(hits, chunks, hits_are_small(size.rows, size.top_k if "top_k" in questions.columns else k, broadcast_bytes))
     return found if summaries is None else attach_summaries(found, summaries)

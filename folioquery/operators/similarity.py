@@ -14,7 +14,7 @@ pairs themselves are never laid out as rows. Two placements of the same work:
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial
 
 import numpy as np
@@ -26,7 +26,6 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from folioquery.functions.validation import TOP_K_MAX
 
 # --- fixed values -----------------------------------------------------------
 MIN_SIMILARITY = 0.7
@@ -44,8 +43,10 @@ class QuestionSize:
     """Measured size of the question side."""
 
     rows: int
-    width: int
+    width: int  # the widest
     scopes: int
+    widths: tuple[int, ...] = ()  # all that occur
+    top_k: int = 0  # the largest that a question brings
 
     @property
     def n_bytes(self) -> int:
@@ -54,10 +55,13 @@ class QuestionSize:
 
 def measure_questions(questions: DataFrame) -> QuestionSize:
     scopes = F.sum(F.size("scopes")) if "scopes" in questions.columns else F.lit(0)
+    largest = F.max("top_k") if "top_k" in questions.columns else F.lit(0)
     row = questions.agg(
-        F.count("*").alias("n"), F.max(F.size("vector")).alias("width"), scopes.alias("scopes")
+        F.count("*").alias("n"), F.collect_set(F.size("vector")).alias("widths"), scopes.alias("scopes"),
+        largest.alias("top_k"),
     ).first()
-    return QuestionSize(row["n"], row["width"] or 0, row["scopes"] or 0)
+    widths = tuple(sorted(w for w in row["widths"] if w > 0))
+    return QuestionSize(row["n"], max(widths, default=0), row["scopes"] or 0, widths, row["top_k"] or 0)
 
 
 def matrix_of(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -211,9 +215,21 @@ def similar_pairs(
     questions(question_id, vector[, top_k][, scopes ARRAY]); vectors(chunk_id, vector, *carry[, scope]).
     With `scope`, a question meets only vectors whose scope value is in its `scopes`;
     an empty list meets none. With `k`, a task drops pairs that cannot be among the k
-    best of a question; `rank_hits` ranks what the tasks give back.
+    best of a question; `rank_hits` ranks what the tasks give back. Vectors of different
+    width have no similarity: a question meets the stored vectors of its own width,
+    whatever else is in the batch; `width_mismatches` reports those that meet none.
     """
     size = size or measure_questions(questions)
+    if len(size.widths) > 1:
+        options = {"threshold": threshold, "k": k, "scope": scope, "carry": carry,
+                   "broadcast_bytes": broadcast_bytes, "block_bytes": block_bytes}
+        found = None
+        for width in size.widths:
+            part = similar_pairs(
+                questions.where(F.size("vector") == width), vectors, size=replace(size, width=width, widths=(width,)), **options
+            )
+            found = part if found is None else found.unionByName(part)
+        return found
     top_k = F.col("top_k") if "top_k" in questions.columns else F.lit(k)
     wanted = questions.select(
         "question_id", top_k.cast("int").alias("top_k"), "vector", *(["scopes"] if scope else [])
@@ -338,7 +354,13 @@ def _with_blocks(wanted, stored, counted, scope, size: QuestionSize, block_bytes
     return left.groupBy("q_group").cogroup(right.groupBy("v_group")).applyInArrow(multiply, schema)
 
 
-def rank_hits(pairs: DataFrame, limit: int = TOP_K_MAX) -> DataFrame:
+def width_mismatches(questions: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(question_id, width): questions whose width no stored vector has; they cannot have hits."""
+    stored = vectors.select(F.size("vector").alias("width")).distinct()
+    return questions.select("question_id", F.size("vector").alias("width")).join(stored, "width", "left_anti").select("question_id", "width")
+
+
+def rank_hits(pairs: DataFrame, limit: int) -> DataFrame:
     """Rank pairs per question and keep the `top_k` best.
 
     The literal bound lets Spark cut each group before the exchange; the smaller
@@ -350,11 +372,12 @@ def rank_hits(pairs: DataFrame, limit: int = TOP_K_MAX) -> DataFrame:
 
 
 def top_k(
-    questions: DataFrame, vectors: DataFrame, *, k: int = 5, limit: int = TOP_K_MAX, **options
+    questions: DataFrame, vectors: DataFrame, *, k: int = 5, size: QuestionSize | None = None, **options
 ) -> DataFrame:
     """Exact top-k: (question_id, chunk_id, *carry, similarity, rank).
 
-    k applies where the questions bring no own top_k.
+    k applies where the questions bring no own top_k; else the largest of them bounds the search.
     """
-    bound = limit if "top_k" in questions.columns else k
-    return rank_hits(similar_pairs(questions, vectors, k=bound, **options), bound)
+    size = size or measure_questions(questions)
+    bound = max(size.top_k, 1) if "top_k" in questions.columns else k
+    return rank_hits(similar_pairs(questions, vectors, k=bound, size=size, **options), bound)

@@ -30,8 +30,6 @@ ASCII_BLANKS = " \t\n\v\f\r"
 # `str.split` also splits at four separators that are no white space here.
 NO_BLANK = re.compile("[\x1c-\x1f]")
 WORD = re.compile(f"(?:(?!{WHITE_SPACE}).)+", re.DOTALL)
-# Own wording of the standing instruction for a pluggable summary model.
-SUMMARY_INSTRUCTION = "Summarise the text in one short paragraph, then list its key points, one per line, each after a dash."
 
 # texts -> model responses (a paragraph and bullet lines)
 Summarizer = Callable[[list[str]], list[str]]

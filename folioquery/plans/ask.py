@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioquery.functions.keys import query_key
+from folioquery.functions.text import clean_text
 from folioquery.functions.validation import effective_top_k, parse_document_ids, request_errors
 from folioquery.operators.answering import Answerer, extractive_answers, model_answers, per_question
 from folioquery.operators.cache import DEFAULT_TTL_SECONDS, cache_entries, lookup, misses
@@ -32,9 +33,10 @@ class AskResult:
 def validated(requests: DataFrame) -> DataFrame:
     """requests(question_id, question, document_ids, top_k) with `error` and the effective top_k."""
     errors = request_errors(F.col("question"), F.col("document_ids"), F.col("top_k"))
-    return requests.withColumn("error", F.nullif(F.array_join(errors, "; "), F.lit(""))).withColumn(
-        "top_k", effective_top_k(F.col("top_k"))
-    )
+    error = F.nullif(F.array_join(errors, "; "), F.lit(""))
+    # Nothing that could be embedded is left of the question.
+    blank = F.when(clean_text(F.col("question")) == "", F.lit("Question is blank"))
+    return requests.withColumn("error", F.coalesce(error, blank)).withColumn("top_k", effective_top_k(F.col("top_k")))
 
 
 def question_vectors(pending: DataFrame, width: int, embed_fn: Embedder | None) -> DataFrame:
@@ -95,7 +97,8 @@ def answer_questions(
     def stored(df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name) if store_intermediate else df
 
-    checked = validated(requests)
+    # Written once: every branch sees the same requests at the same time, and what is live is decided once.
+    checked = stored(validated(requests), "requests")
     rejected = checked.where("error IS NOT NULL").select("question_id", "error")
     asked = checked.where("error IS NULL").drop("error").withColumn(
         "key", query_key(F.col("question"), F.col("document_ids"), F.col("top_k"))

@@ -16,7 +16,7 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_uploads(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files below a folder as (filename, content_type, content BINARY, modified_at)."""
+    """Files below a folder as (filename, content_type, content BINARY, modified_at, path)."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
         .load(path)
@@ -26,6 +26,7 @@ def read_uploads(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
         F.lit("").alias("content_type"),
         "content",
         F.col("modificationTime").alias("modified_at"),
+        "path",
     )
 
 

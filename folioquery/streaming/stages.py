@@ -32,6 +32,13 @@ def read_file_stream(
     return reader.option("pathGlobFilter", pattern).parquet(folder)
 
 
+def read_table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType | str) -> DataFrame:
+    """A table of a folder as a stream, whether it is one file or a folder of part files."""
+    # A pattern may name files and folders alike; a plain path must be a folder.
+    path = f"{folder.rstrip('/')}/{name}.parque[t]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(path)
+
+
 def run_to_end(writer, target: str) -> StreamingQuery:
     """Start a query that takes everything available and stops; progress lives next to the output."""
     query = writer.option("checkpointLocation", f"{target}/_progress").trigger(availableNow=True).start()
@@ -78,9 +85,6 @@ def _reuse(ttl_seconds: int) -> Callable:
     ttl = ttl_seconds * 1_000_000
 
     def reuse(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         expires, source = state.get if state.exists else (None, None)
         asks = pd.concat(list(batches)).sort_values(["ts", "ask_id"], kind="stable").reset_index(drop=True)
         times = asks["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
@@ -95,32 +99,29 @@ def _reuse(ttl_seconds: int) -> Callable:
             answered_by[at:until] = source
             at = until
         state.update((int(expires), source))
-        # An expired entry is only memory: the next ask is computed with or without it.
-        state.setTimeoutTimestamp(max(int(expires) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"ask_id": ids, "key": key[0], "ts": asks["ts"], "source_id": answered_by})
 
     return reuse
 
 
-def reuse_stage(asks: DataFrame, target: str, ttl_seconds: int, delay: str = "0 seconds") -> StreamingQuery:
+def reuse_stage(asks: DataFrame, target: str, ttl_seconds: int) -> StreamingQuery:
     """Answer reuse on a stream of asks(ask_id, key, ts).
 
-    State per key: expiry and source of the live answer; the watermark removes
-    entries after their expiry. Asks of a key must arrive in time order across
-    micro-batches; inside a micro-batch they are sorted, so the number of files per
-    micro-batch bounds what one key brings at a time.
+    State per key: expiry and source of the last answer, two values that are kept for every key. Every ask gets a row: there is no
+    watermark, so none is late. Inside a micro-batch the asks of a key are sorted by time; one that
+    arrives in a later micro-batch than newer asks is answered from the entry that is live
+    on its arrival. The number of files per micro-batch bounds what one key brings at a time.
     """
     id_type = asks.schema["ask_id"].dataType.simpleString()
     answered = (
         asks.select("ask_id", "key", F.col("ts").cast("timestamp").alias("ts"))
-        .withWatermark("ts", delay)
         .groupBy("key")
         .applyInPandasWithState(
             _reuse(ttl_seconds),
             f"ask_id {id_type}, key string, ts timestamp, source_id {id_type}",
             f"expires long, source {id_type}",
             "append",
-            GroupStateTimeout.EventTimeTimeout,
+            GroupStateTimeout.NoTimeout,
         )
     )
     return run_to_end(answered.writeStream.format("parquet").option("path", f"{target}/answers"), target)

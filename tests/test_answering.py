@@ -144,7 +144,7 @@ def test_extractive_ties(spark):
 
 def test_prompt_and_json(spark):
     frame = spark.createDataFrame([("ctx", "why?")], "context string, question string")
-    messages = frame.select(answering.prompt(F.col("context"), F.col("question"))).first()[0]
+    messages = frame.select(answering.prompt(F.col("context"), F.col("question"), "be brief")).first()[0]
     assert [m["role"] for m in messages] == ["system", "user"]
     assert messages[1]["content"] == "Context:\nctx\n\nQuestion: why?"
     answers = spark.createDataFrame(

@@ -94,3 +94,12 @@ def test_invalidation(spark, entries):
     documents = spark.createDataFrame([(2,), (7,)], "document_id int")
     assert [r["key"] for r in cache.invalidate(entries, documents).collect()] == ["b"]
     assert cache.invalidate(entries, documents, drop_all=True).count() == 0
+
+
+def test_null_keys_are_keys_like_others(spark):
+    start = datetime(2024, 1, 1)
+    rows = [(i, None if i % 2 else "k", start + timedelta(hours=i)) for i in range(12)]
+    asks = spark.createDataFrame(rows, "ask_id long, key string, ts timestamp")
+    for hot in (5_000_000, 2):
+        found = {r["ask_id"]: r["source_id"] for r in cache.reuse_within_ttl(asks, 4 * 3600, hot_rows=hot).collect()}
+        assert found == {0: 0, 2: 0, 4: 4, 6: 4, 8: 8, 10: 8, 1: 1, 3: 1, 5: 5, 7: 5, 9: 9, 11: 9}

@@ -47,3 +47,26 @@ def test_from_files_to_answers(spark, tmp_path):
 def test_settings_follow_the_size():
     assert settings_for(1 << 20)["spark.sql.shuffle.partitions"] == "200"
     assert settings_for(100 << 40)["spark.sql.shuffle.partitions"] == str(100 * 4 * 1024)
+
+
+def test_every_file_and_request_has_an_outcome(spark, tmp_path):
+    uploads, store = tmp_path / "uploads", str(tmp_path / "store")
+    for folder in ("a", "b"):
+        (uploads / folder).mkdir(parents=True)
+        (uploads / folder / "same.txt").write_text("Owls hunt mice at night.")
+    (uploads / "paper.pdf").write_bytes(b"%PDF-1.4 not text")
+    outcome = [r["error"] for r in jobs.ingest(spark, str(uploads), store, "1", width=64).collect() if r["filename"] == "paper.pdf"]
+    assert outcome == ["no text can be read from application/pdf"]
+    tables = load_tables(spark, store)
+    assert {n: t.count() for n, t in tables.items()} == {"documents": 2, "chunks": 2, "summaries": 2, "embeddings": 2}
+    assert spark.read.parquet(f"{store}/rejected").count() == 1
+    ids = [r["document_id"] for r in tables["documents"].collect()]
+    good = {"question_id": "q", "question": "When do owls hunt?", "document_ids": ids}
+    lines = [good, good | {"question_id": "t", "top_k": "x"}, good | {"question_id": "b", "question": "\u0001\u0002\u0003\u0004"}]
+    requests = tmp_path / "requests.json"
+    requests.write_text("\n".join(map(json.dumps, lines)) + "\n{broken\n")
+    jobs.ask(spark, store, str(requests), str(tmp_path / "answers"), threshold=0.2, width=64)
+    answered = spark.read.json(str(tmp_path / "answers" / "answers")).collect()
+    assert [r["question_id"] for r in answered] == ["q"]
+    rejected = {r.asDict().get("question_id"): r["error"] for r in spark.read.json(str(tmp_path / "answers" / "rejected")).collect()}
+    assert rejected == {"t": "invalid payload", "b": "Question is blank", None: "invalid payload"}

@@ -10,7 +10,7 @@ from folioquery.operators.ivf import (
     top_k_ivf,
 )
 from folioquery.operators.retrieval import attach_summaries, hits_are_small, retrieve
-from folioquery.operators.similarity import similar_pairs, top_k
+from folioquery.operators.similarity import similar_pairs, top_k, width_mismatches
 
 Q = "question_id int, vector array<float>, scopes array<int>, top_k int"
 V = "chunk_id string, vector array<float>, document_id int"
@@ -171,3 +171,18 @@ def test_inverted_file(spark, tmp_path):
     assert within.count() == restricted.count() and within.exceptAll(restricted).count() == 0
     some = top_k_ivf(questions, stored, nprobe=2, within="document_id", threshold=-1.0)
     assert 0 < recall(some, restricted).first()["recall"] < 1
+
+
+def test_mixed_widths_and_large_k(spark):
+    """A question of another width changes nothing for the others; a top_k above 20 is served."""
+    vectors = spark.createDataFrame(
+        [(f"c{i:03}", [float(i + 1), 1.0, 0.5, 0.25]) for i in range(60)] + [("wide", [1.0] * 6)],
+        "chunk_id string, vector array<double>",
+    )
+    asked = [("a", [1.0, 0.0, 0.0, 0.0], 50), ("b", [0.0, 1.0, 0.0, 0.0], 2), ("c", [1.0] * 5, 5), ("d", [1.0] * 6, 5)]
+    questions = spark.createDataFrame(asked, "question_id string, vector array<double>, top_k int")
+    for sent in (1 << 20, 0):
+        hits = top_k(questions, vectors, threshold=-1.0, broadcast_bytes=sent).collect()
+        counts = {q: sum(h["question_id"] == q for h in hits) for q, _, _ in asked}
+        assert counts == {"a": 50, "b": 2, "c": 0, "d": 1}
+    assert [tuple(r) for r in width_mismatches(questions, vectors).collect()] == [("c", 5)]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioquery.functions.keys import embedding_key, query_key
-from folioquery.functions.retry import backoff_ms, handoff_wait_ms
+from folioquery.functions.retry import backoff_ms
 from folioquery.functions.text import clean_text, preview, response_key_points, response_summary, sentences
 from folioquery.functions.vectors import cosine_similarity, l2_normalize, vector_from_text, vector_to_text
 
@@ -87,9 +87,6 @@ def test_backoff(spark, attempt, base, want):
     assert apply(spark, lambda c: backoff_ms(c, base), [attempt], "int") == [want]
 
 
-def test_handoff_waits_between_tries_only(spark):
-    assert apply(spark, handoff_wait_ms, [0, 1, 2, 3], "int") == [0, 0, 200, 600]
-
 
 def test_normalization_and_similarity(spark):
     unit = apply(spark, l2_normalize, [[3.0, 4.0], [0.0, 0.0]], "array<double>")
