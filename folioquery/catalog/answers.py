@@ -222,9 +222,11 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def question_requests(spark: SparkSession, folder: str) -> DataFrame:
-    """Every benchmark item asked of twenty documents; every ninth names a malformed id."""
+    """Every benchmark item asked of twenty documents from all over the corpus; every ninth names a malformed id."""
     item = F.col("item_id")
-    asked_of = F.transform(F.sequence(item, item + ASKED_DOCUMENTS - 1), uuid_of)
+    n = 1 + (documents(spark, folder).agg(F.max("document_id")).first()[0] or 0)
+    places = F.sequence(F.lit(0), F.lit(ASKED_DOCUMENTS - 1))
+    asked_of = F.transform(places, lambda i: uuid_of((item + i * max(n // ASKED_DOCUMENTS, 1)) % n))
     return read_table(spark, folder, "benchmark").select(
         item.cast("string").alias("question_id"),
         F.col("text").alias("question"),
@@ -242,8 +244,8 @@ WITH {DOCUMENTS.replace('doc_id AS document_id', f"{uuid_sql('doc_id')} AS docum
 q AS (
   SELECT CAST(item_id AS VARCHAR) AS question_id, text AS question,
          CASE WHEN item_id % 7 = 0 THEN 5 ELSE item_id % 7 END AS top_k,
-         list_transform(range(item_id, item_id + {ASKED_DOCUMENTS}), lambda i: {uuid_sql('i')}) AS ids
-  FROM benchmark WHERE item_id % 9 <> 8 AND length(text) BETWEEN 3 AND 500),
+         list_transform(range(0, {ASKED_DOCUMENTS}), lambda i: {uuid_sql('((item_id + i * greatest(n // 20, 1)) % n)')}) AS ids
+  FROM benchmark, (SELECT coalesce(max(doc_id), 0) + 1 AS n FROM documents) WHERE item_id % 9 <> 8 AND length(text) BETWEEN 3 AND 500),
 {hashed_sql('q', 'question_id', 'question', 'hq')}, {unit_sql('hq', 'question_id', 'qv')},
 dots AS (SELECT question_id, chunk_id, sum(qv_unit.x * cv_unit.x) AS dot FROM qv_unit JOIN cv_unit USING (bucket) GROUP BY ALL),
 sims AS (

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquery.operators.chunking import DEFAULT_MAX_WORDS, DEFAULT_OVERLAP, window_options
 from folioquery.sources.files import read_table
 
 WIDTH = 256
@@ -61,9 +60,11 @@ def clean_sql(text: str) -> str:
     return f"regexp_replace({trim_sql(printable)}, '\\s+', ' ', 'g')"
 
 
-def chunks_sql(max_words: int = DEFAULT_MAX_WORDS, overlap: int = DEFAULT_OVERLAP, name: str = "c") -> str:
+def chunks_sql(max_words: int = 400, overlap: int = 80, name: str = "c") -> str:
     """CTEs from `d` to chunks (chunk_id, document_id, filename, collection, ord, text, token_count)."""
-    size, step = window_options(max_words, overlap)
+    # The rule of the windows in SQL of its own.
+    size = f"(CASE WHEN {max_words} > 0 THEN {max_words} ELSE 400 END)"
+    step = f"(CASE WHEN {size} > greatest({overlap}, 0) THEN {size} - greatest({overlap}, 0) ELSE {size} END)"
     return f"""
 {name}_words AS (SELECT document_id, filename, collection, {words_sql('content')} AS ws FROM d),
 {name}_cuts AS (

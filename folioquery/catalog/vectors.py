@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from folioquery.operators.embedding import embedding_width_violations
 from folioquery.operators.ivf import build_inverted_file, recall, top_k_ivf
 from folioquery.operators.retrieval import attach_chunks, attach_summaries
 from folioquery.operators.similarity import similar_pairs, top_k
+from folioquery.session import materialize
 from folioquery.sources.files import read_table
 
 THRESHOLD, K = 0.3, 5
@@ -201,8 +204,9 @@ def _ivf_filtered(spark: SparkSession, folder: str) -> DataFrame:
 @query("ivf_recall")
 def _ivf_recall(spark: SparkSession, folder: str) -> DataFrame:
     stored, questions = stored_vectors(spark, folder), vector_questions(spark, folder)
-    exact = top_k(questions, stored, threshold=-1.0, k=K)
+    exact = materialize(top_k(questions, stored, threshold=-1.0, k=K), "exact-hits")
     index = build_inverted_file(stored, LISTS)
+    index = replace(index, vectors=materialize(index.vectors, "listed-vectors"))
     table = None
     for nprobe in (1, 2, 5, LISTS):
         found = top_k_ivf(questions, index, nprobe=nprobe, threshold=-1.0, k=K)

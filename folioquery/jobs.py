@@ -46,7 +46,7 @@ def ingest(spark: SparkSession, uploads: str, store: str, batch: str, max_bytes:
     The id comes from the path below the folder and the content, so equal files in two places are two
     documents. Files that are refused, or whose type has no text here, are stored as `rejected`.
     """
-    checked = validate_uploads(read_uploads(spark, uploads), max_bytes)
+    checked = validate_uploads(read_uploads(spark, uploads, max_bytes=max_bytes), max_bytes)
     root = uploads.rstrip("/").rsplit("/", 1)[-1]
     below = F.regexp_replace("path", f"^.*?/\\Q{root}\\E/", "")
     no_text = F.when(F.col("resolved_type") != "text/plain", F.concat(F.lit("no text can be read from "), "resolved_type"))
@@ -63,7 +63,7 @@ def ingest(spark: SparkSession, uploads: str, store: str, batch: str, max_bytes:
 
 
 def index(spark: SparkSession, store: str, target: str, lists: int = DEFAULT_LISTS, train_fraction: float = 1.0) -> None:
-    vectors = load_tables(spark, store)["embeddings"].select("chunk_id", "document_id", "vector", "model")
+    vectors = load_tables(spark, store, newest=True)["embeddings"].select("chunk_id", "document_id", "vector", "model")
     save_inverted_file(build_inverted_file(vectors, lists, train_fraction=train_fraction), target)
 
 
@@ -85,7 +85,7 @@ def ask(spark: SparkSession, store: str, requests: str, answers: str, cache: str
         F.coalesce("question_id", F.get_json_object("_line", "$.question_id")).alias("question_id"), F.lit("invalid payload").alias("error")
     )
     asked = read.where("_line IS NULL").drop("_line")
-    result = answer_questions(asked, load_tables(spark, store), cache=_cached(spark, cache), **options)
+    result = answer_questions(asked, load_tables(spark, store, newest=True), cache=_cached(spark, cache), **options)
     save_json(answer_json(result.answers), f"{answers.rstrip('/')}/answers")
     save_json(result.rejected.unionByName(malformed), f"{answers.rstrip('/')}/rejected")
     if cache:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioquery.functions.text import preview, sentences, words
+from folioquery.operators.embedding import MODEL_BATCH
 from folioquery.schemas import SOURCES
 
 # --- fixed values -----------------------------------------------------------
@@ -123,7 +124,7 @@ def extractive_answers(questions: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def model_answers(contexts: DataFrame, answer_fn: Answerer) -> DataFrame:
-    """Run a user model over Arrow batches: append `answer` and `confidence`.
+    """Run a user model, MODEL_BATCH questions a call: append `answer` and `confidence`.
 
     contexts(question_id, question, context, quality, ...). Confidence is the
     context quality times the average token probability.
@@ -137,9 +138,8 @@ def model_answers(contexts: DataFrame, answer_fn: Answerer) -> DataFrame:
     )
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
+        parts = (b.iloc[at : at + MODEL_BATCH] for b in batches for at in range(0, len(b), MODEL_BATCH))
+        for batch in parts:
             replies = answer_fn(batch["question"].tolist(), batch["context"].tolist())
             if len(replies) != len(batch) or any(not text for text, _ in replies):
                 raise ValueError("the answer model returned no answer for some question")

@@ -23,6 +23,7 @@ from folioquery.functions.text import (
     trim_blanks,
     words,
 )
+from folioquery.operators.embedding import MODEL_BATCH
 
 KEY_POINTS = 3
 SPLIT_SENTENCES = re.compile(SENTENCE_END)
@@ -114,13 +115,12 @@ def extractive_summaries_relational(documents: DataFrame, partition: bool = True
 
 
 def model_summaries(texts: DataFrame, summarize_fn: Summarizer) -> DataFrame:
-    """Run a user model over Arrow batches of (document_id, content) and parse its responses."""
+    """Run a user model over (document_id, content), MODEL_BATCH texts a call, and parse its responses."""
     schema = T.StructType([texts.schema["document_id"], T.StructField("response", T.StringType())])
 
     def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
+        parts = (b.iloc[at : at + MODEL_BATCH] for b in batches for at in range(0, len(b), MODEL_BATCH))
+        for batch in parts:
             responses = summarize_fn(batch["content"].tolist())
             if len(responses) != len(batch) or any(not r for r in responses):
                 raise ValueError("the summary model returned no response for some document")

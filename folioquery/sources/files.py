@@ -15,19 +15,30 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet"))
 
 
-def read_uploads(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files below a folder as (filename, content_type, content BINARY, modified_at, path)."""
+def read_uploads(spark: SparkSession, path: str, pattern: str = "*", max_bytes: int | None = None) -> DataFrame:
+    """Files below a folder as (filename, content_type, content BINARY, size, modified_at, path).
+
+    Files above `max_bytes` are listed without content: the scan skips their bytes.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
         .load(path)
     )
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("filename"),
-        F.lit("").alias("content_type"),
-        "content",
-        F.col("modificationTime").alias("modified_at"),
-        "path",
-    )
+
+    def listed(rows: DataFrame, content: Column) -> DataFrame:
+        return rows.select(
+            F.element_at(F.split("path", "/"), -1).alias("filename"),
+            F.lit("").alias("content_type"),
+            content.alias("content"),
+            F.col("length").alias("size"),
+            F.col("modificationTime").alias("modified_at"),
+            "path",
+        )
+
+    if max_bytes is None:
+        return listed(files, F.col("content"))
+    small = listed(files.where(F.col("length") <= max_bytes), F.col("content"))
+    return small.unionByName(listed(files.where(F.col("length") > max_bytes), F.lit(None).cast("binary")))
 
 
 def decode_text(content: Column) -> Column:
@@ -36,9 +47,10 @@ def decode_text(content: Column) -> Column:
 
 
 def validate_uploads(uploads: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
-    """uploads(filename, content_type, content) with `resolved_type` and `error`."""
+    """uploads(filename, content_type, content) with `resolved_type` and `error`; `size`, if given, is the length."""
+    size = F.col("size") if "size" in uploads.columns else F.octet_length("content")
     return uploads.withColumn("resolved_type", resolved_type(F.col("filename"), F.col("content_type"))).withColumn(
-        "error", upload_error(F.col("filename"), F.col("content_type"), F.octet_length("content"), max_bytes)
+        "error", upload_error(F.col("filename"), F.col("content_type"), size, max_bytes)
     )
 
 

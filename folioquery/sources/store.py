@@ -6,6 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TABLES = ("documents", "chunks", "summaries", "embeddings")
 
@@ -37,19 +38,35 @@ def save_tables(tables: dict[str, DataFrame], path: str, batch: str) -> None:
         save("documents")
 
 
-def load_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table; names of folders stay text (`01` is not `1`)."""
+    found = spark.read.parquet(path).schema
+    texts = {"batch", "model"}
+    fields = [T.StructField(f.name, T.StringType()) if f.name in texts else f for f in found]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
+def load_tables(spark: SparkSession, path: str, newest: bool = False) -> dict[str, DataFrame]:
     """Read all committed batches: those whose documents were written.
 
-    The names of the batches, a short list, become a partition filter on every table.
+    The names of the batches, a short list, become a partition filter on every table. With `newest`
+    a document that several batches hold is read from one of them: the batch whose name is the
+    longest, the last of these in order (the greatest number or date). All tables need a document_id
+    then; without such documents nothing is joined.
     """
     root = path.rstrip("/")
-    documents = spark.read.parquet(f"{root}/documents")
+    tables = {name: _read(spark, f"{root}/{name}") for name in TABLES}
+    documents = tables["documents"]
     committed = [r["batch"] for r in documents.select("batch").distinct().collect()]
-    loaded = {"documents": documents.drop("batch")}
-    for name in ("chunks", "summaries", "embeddings"):
-        table = spark.read.parquet(f"{root}/{name}")
-        loaded[name] = table.where(F.col("batch").isin(committed)).drop("batch")
-    return loaded
+    loaded = {n: t if n == "documents" else t.where(F.col("batch").isin(committed)) for n, t in tables.items()}
+    if newest:
+        order = F.struct(F.length("batch").alias("size"), F.col("batch"))
+        last = documents.groupBy("document_id").agg(F.max(order).alias("last"), F.count(F.lit(1)).alias("held"))
+        old = documents.select("document_id", "batch").join(last.where("held > 1"), "document_id")
+        old = old.where(F.col("batch") != F.col("last.batch")).select("document_id", "batch").distinct()
+        if not old.isEmpty():
+            loaded = {n: t.join(old, ["document_id", "batch"], "left_anti") for n, t in loaded.items()}
+    return {n: t.drop("batch") for n, t in loaded.items()}
 
 
 def save_json(df: DataFrame, path: str) -> None:

@@ -174,3 +174,23 @@ def test_asked_documents_reach_the_scans(spark, tables, tmp_path):
     scans = [line for line in plan.split("\n") if "FileScan" in line]
     assert len(scans) == 3 and all(DOC_A in line.split("PushedFilters")[1] for line in scans)
     assert all("batch" in line.split("PartitionFilters")[1].split("PushedFilters")[0] for line in scans)
+
+
+def test_user_models_get_batches_of_bounded_size(spark):
+    from folioquery.operators.answering import model_answers
+    from folioquery.operators.embedding import MODEL_BATCH
+    from folioquery.operators.summarizing import model_summaries
+
+    def summarize(texts):
+        assert len(texts) <= MODEL_BATCH
+        return ["a summary"] * len(texts)
+
+    def answer(questions, contexts):
+        assert len(questions) <= MODEL_BATCH
+        return [("an answer", None)] * len(questions)
+
+    rows = 2 * MODEL_BATCH + 1
+    texts = spark.range(rows, numPartitions=1).selectExpr("id AS document_id", "'a text' AS content")
+    assert model_summaries(texts, summarize).where("summary = 'a summary'").count() == rows
+    asked = spark.range(rows, numPartitions=1).selectExpr("id AS question_id", "'q' AS question", "'c' AS context", "1.0D AS quality")
+    assert model_answers(asked, answer).count() == rows

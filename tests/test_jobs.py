@@ -70,3 +70,25 @@ def test_every_file_and_request_has_an_outcome(spark, tmp_path):
     assert [r["question_id"] for r in answered] == ["q"]
     rejected = {r.asDict().get("question_id"): r["error"] for r in spark.read.json(str(tmp_path / "answers" / "rejected")).collect()}
     assert rejected == {"t": "invalid payload", "b": "Question is blank", None: "invalid payload"}
+
+
+def test_a_document_of_two_batches_is_read_once(spark, tmp_path):
+    uploads, store = tmp_path / "uploads", str(tmp_path / "store")
+    uploads.mkdir()
+    (uploads / "birds.txt").write_text("Owls hunt mice at night.")
+    jobs.ingest(spark, str(uploads), store, "01", width=64)
+    (uploads / "notes.txt").write_text("Engines burn fuel.")
+    jobs.ingest(spark, str(uploads), store, "1", width=64)
+    jobs.ingest(spark, str(uploads), store, "02", width=64)
+    tables = load_tables(spark, store, newest=True)
+    assert {n: t.count() for n, t in tables.items()} == {"documents": 2, "chunks": 2, "summaries": 2, "embeddings": 2}
+    assert load_tables(spark, store)["documents"].count() == 5  # one for `01`, two each for `1` and `02`
+
+
+def test_large_files_are_refused_by_their_listed_size(spark, tmp_path):
+    from folioquery.sources.files import read_uploads
+
+    (tmp_path / "small.txt").write_text("x" * 10)
+    (tmp_path / "large.txt").write_text("x" * 11)
+    files = {r["filename"]: (r["size"], r["content"]) for r in read_uploads(spark, str(tmp_path), max_bytes=10).collect()}
+    assert files == {"small.txt": (10, bytearray(b"x" * 10)), "large.txt": (11, None)}
