@@ -16,12 +16,14 @@ from folioquery.catalog.inputs import (
     timestamp_text,
 )
 from folioquery.catalog.vectors import label_summaries, stored_vectors
+from folioquery.functions.keys import embedding_key
 from folioquery.operators import cache, maintenance
 from folioquery.operators.chunking import chunk_documents
 from folioquery.plans.analyze import analyze_documents
+from folioquery.plans.ask import question_vectors
 from folioquery.session import run_folder
 from folioquery.sources.files import read_table
-from folioquery.sources.store import load_tables, save_tables
+from folioquery.sources.store import delete_documents, load_tables, save_tables
 
 
 def stored_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -270,3 +272,38 @@ def _roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     path = run_folder(spark, "corpus")
     save_tables(analyze_documents(documents(spark, folder), width=WIDTH), path, "0")
     return per_document(load_tables(spark, path))
+
+
+@query("store_delete", f"{TABLES_SQL} WHERE document_id NOT IN {_TOXIC}")
+def _store_delete(spark: SparkSession, folder: str) -> DataFrame:
+    """Store the corpus, delete the documents labelled toxic, read what is left."""
+    path = run_folder(spark, "corpus")
+    save_tables(analyze_documents(documents(spark, folder), width=WIDTH), path, "0")
+    delete_documents(toxic_documents(spark, folder), path)
+    return per_document(load_tables(spark, path))
+
+
+def _length_vectors(texts: list[str]) -> list[list[float]]:
+    """A stand-in for a user model; vectors are scaled to length 1 afterwards."""
+    return [[float(len(t)), 0.0] for t in texts]
+
+
+@query(
+    "embedding_cache_reuse",
+    """
+WITH e AS (SELECT text, min(item_id) AS first FROM benchmark GROUP BY text)
+SELECT item_id AS question_id, first % 3 = 0 AS known, CAST(CASE WHEN first % 3 = 0 THEN first ELSE 1 END AS DOUBLE) AS value
+FROM benchmark JOIN e USING (text)""",
+)
+def _embedding_cache_reuse(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the questions a third is known, a third has expired and a third was never embedded."""
+    at = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    items = read_table(spark, folder, "benchmark")
+    first = items.groupBy("text").agg(F.min("item_id").alias("first")).where("first % 3 <> 2")
+    written = first.select(
+        embedding_key(F.col("text")).alias("key"), F.array(F.col("first").cast("float"), F.lit(0.0).cast("float")).alias("vector"),
+        F.when(F.col("first") % 3 == 0, at).otherwise(at - cache.seconds(TTL)).alias("written_at"),
+    )
+    asked = items.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), at.alias("written_at"))
+    vectors = question_vectors(asked, 2, _length_vectors, cache.cache_entries(written, TTL))
+    return vectors.select("question_id", "known", F.element_at("vector", 1).cast("double").alias("value"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from folioquery.catalog.inputs import words_sql
 from folioquery.functions.text import words
 from folioquery.functions.vectors import cosine_similarity, l2_normalize, vector_from_text, vector_to_text
 from folioquery.operators.embedding import embedding_width_violations
-from folioquery.operators.ivf import build_inverted_file, recall, top_k_ivf
+from folioquery.operators.ivf import build_inverted_file, inverted_file_of, recall, top_k_ivf
 from folioquery.operators.retrieval import attach_chunks, attach_summaries
 from folioquery.operators.similarity import similar_pairs, top_k
 from folioquery.session import materialize
@@ -193,6 +194,36 @@ def _ivf_all(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(top_k_ivf(vector_questions(spark, folder), index, nprobe=LISTS, threshold=THRESHOLD, k=K))
 
 
+@query(
+    "topk_ivf_label_lists",
+    f"""
+WITH {QUESTIONS},
+places AS (SELECT label, unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+means AS (SELECT label, i, avg(x) AS x FROM places GROUP BY ALL),
+lists AS (SELECT label AS list_id, list(x ORDER BY i) AS c FROM means GROUP BY label),
+member AS (
+  SELECT vec_id AS chunk_id, list_id FROM embeddings, lists
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), c) DESC, list_id) = 1),
+probed AS (
+  SELECT question_id, list_id FROM q, lists
+  QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY list_cosine_similarity(qv, c) DESC, list_id) <= 3),
+r AS (
+  SELECT question_id, chunk_id, similarity, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, chunk_id) AS rank
+  FROM p JOIN member USING (chunk_id) JOIN probed USING (question_id, list_id) WHERE similarity >= {THRESHOLD})
+SELECT question_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(similarity, 6) AS similarity FROM r WHERE rank <= {K}""",
+)
+def _ivf_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Lists around the mean vector of each label instead of k-means: three lists are probed."""
+    stored = stored_vectors(spark, folder)
+    places = stored.select("document_id", F.posexplode(F.col("vector").cast("array<double>")).alias("i", "x"))
+    means = places.groupBy("document_id", "i").agg(F.avg("x").alias("x"))
+    lists = means.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c"))
+    # As many rows as there are labels.
+    centroids = np.array([[c["x"] for c in row["c"]] for row in lists.orderBy("document_id").collect()])
+    index = inverted_file_of(stored, centroids)
+    return rounded(top_k_ivf(vector_questions(spark, folder), index, nprobe=3, threshold=THRESHOLD, k=K))
+
+
 @query("topk_ivf_filtered", f"{_top_sql('label IN (one, other)')} SELECT {_ROUNDED} FROM t")
 def _ivf_filtered(spark: SparkSession, folder: str) -> DataFrame:
     """All lists, restricted to the asked documents: exact as well."""

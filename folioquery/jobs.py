@@ -2,12 +2,15 @@
 
     python -m folioquery.jobs ingest --uploads FOLDER --store FOLDER --batch 2024-05-01
     python -m folioquery.jobs index  --store FOLDER --index FOLDER --lists 100
+    python -m folioquery.jobs index  --store FOLDER --index FOLDER --append      (after a later ingest)
     python -m folioquery.jobs ask    --store FOLDER --requests FILE.json --answers FOLDER
+    python -m folioquery.jobs delete --store FOLDER --documents FILE.json
 """
 
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +22,7 @@ from folioquery.operators.answering import answer_json
 from folioquery.operators.cache import DEFAULT_TTL_SECONDS
 from folioquery.operators.chunking import DEFAULT_MAX_WORDS, DEFAULT_OVERLAP
 from folioquery.operators.embedding import DEFAULT_WIDTH
-from folioquery.operators.ivf import DEFAULT_LISTS, build_inverted_file, load_inverted_file, save_inverted_file
+from folioquery.operators.ivf import DEFAULT_LISTS, add_to_inverted_file, build_inverted_file, load_inverted_file, save_inverted_file
 from folioquery.operators.maintenance import latest_per_key
 from folioquery.operators.similarity import MIN_SIMILARITY
 from folioquery.plans.analyze import analyze_documents
@@ -27,7 +30,7 @@ from folioquery.plans.ask import answer_questions
 from folioquery.schemas import REQUESTS
 from folioquery.session import build_session, materialize
 from folioquery.sources.files import ingest_documents, read_uploads, validate_uploads
-from folioquery.sources.store import load_tables, save_json, save_tables
+from folioquery.sources.store import delete_documents, deleted_documents, load_tables, save_json, save_tables
 
 
 def derived_id(*parts: str | Column) -> Column:
@@ -62,20 +65,33 @@ def ingest(spark: SparkSession, uploads: str, store: str, batch: str, max_bytes:
     return outcome
 
 
-def index(spark: SparkSession, store: str, target: str, lists: int = DEFAULT_LISTS, train_fraction: float = 1.0) -> None:
+def index(spark: SparkSession, store: str, target: str, lists: int = DEFAULT_LISTS, train_fraction: float = 1.0,
+          append: bool = False) -> None:
+    """Build the index of a store, or with `append` add the vectors of later batches to its lists."""
     vectors = load_tables(spark, store, newest=True)["embeddings"].select("chunk_id", "document_id", "vector", "model")
-    save_inverted_file(build_inverted_file(vectors, lists, train_fraction=train_fraction), target)
+    if append:
+        add_to_inverted_file(vectors, target)
+    else:
+        save_inverted_file(build_inverted_file(vectors, lists, train_fraction=train_fraction), target)
+
+
+def delete(spark: SparkSession, store: str, documents: str) -> None:
+    """Delete the documents that JSON lines (document_id) name, with all that belongs to them."""
+    delete_documents(spark.read.schema("document_id string").json(documents).where("document_id IS NOT NULL"), store)
 
 
 def ask(spark: SparkSession, store: str, requests: str, answers: str, cache: str | None = None,
-        index_path: str | None = None, **options) -> None:
+        embedding_cache: str | None = None, index_path: str | None = None, **options) -> None:
     """Answer JSON-lines requests (question_id, question, document_ids, top_k) into a folder.
 
-    `cache` names a folder of earlier entries; new entries are appended to it. With
+    `cache` and `embedding_cache` name folders of earlier answers and question vectors; new ones are appended. With
     `index_path` the search is restricted to the nearest lists, else it is exact.
     """
     if index_path:
-        options["index"] = load_inverted_file(spark, index_path)
+        lists = load_inverted_file(spark, index_path)
+        if (gone := deleted_documents(spark, store)) is not None:
+            lists = replace(lists, vectors=lists.vectors.join(gone, "document_id", "left_anti"))
+        options["index"] = lists
     now = spark.sql("SELECT current_timestamp() AS now").first()["now"]  # one clock for the whole job
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in REQUESTS), T.StructField("_line", T.StringType())])
     read = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_line").json(requests)
@@ -85,11 +101,14 @@ def ask(spark: SparkSession, store: str, requests: str, answers: str, cache: str
         F.coalesce("question_id", F.get_json_object("_line", "$.question_id")).alias("question_id"), F.lit("invalid payload").alias("error")
     )
     asked = read.where("_line IS NULL").drop("_line")
-    result = answer_questions(asked, load_tables(spark, store, newest=True), cache=_cached(spark, cache), **options)
+    result = answer_questions(asked, load_tables(spark, store, newest=True), cache=_cached(spark, cache),
+                              embedding_cache=_cached(spark, embedding_cache), **options)
     save_json(answer_json(result.answers), f"{answers.rstrip('/')}/answers")
     save_json(result.rejected.unionByName(malformed), f"{answers.rstrip('/')}/rejected")
     if cache:
         result.cache_entries.write.mode("append").parquet(cache)
+    if embedding_cache:
+        result.embedding_entries.write.mode("append").parquet(embedding_cache)
 
 
 def _cached(spark: SparkSession, cache: str | None) -> DataFrame | None:
@@ -120,10 +139,15 @@ def main(arguments: list[str] | None = None) -> None:
         one.add_argument(name, required=True)
     one.add_argument("--lists", type=int, default=DEFAULT_LISTS)
     one.add_argument("--train-fraction", type=float, default=1.0)
+    one.add_argument("--append", action="store_true")
+    one = commands.add_parser("delete")
+    one.add_argument("--store", required=True)
+    one.add_argument("--documents", required=True)
     one = commands.add_parser("ask")
     for name in ("--store", "--requests", "--answers"):
         one.add_argument(name, required=True)
     one.add_argument("--cache")
+    one.add_argument("--embedding-cache")
     one.add_argument("--index")
     one.add_argument("--nprobe", type=int, default=1)
     one.add_argument("--threshold", type=float, default=MIN_SIMILARITY)
@@ -136,9 +160,11 @@ def main(arguments: list[str] | None = None) -> None:
                          max_words=given.max_words, overlap=given.overlap, width=given.width)
         print(f"{outcome.where('error IS NOT NULL').count()} files rejected, see {given.store}/rejected")
     elif given.command == "index":
-        index(spark, given.store, given.index, given.lists, given.train_fraction)
+        index(spark, given.store, given.index, given.lists, given.train_fraction, given.append)
+    elif given.command == "delete":
+        delete(spark, given.store, given.documents)
     else:
-        ask(spark, given.store, given.requests, given.answers, given.cache, given.index, nprobe=given.nprobe,
+        ask(spark, given.store, given.requests, given.answers, given.cache, given.embedding_cache, given.index, nprobe=given.nprobe,
             threshold=given.threshold, ttl_seconds=given.ttl_seconds, width=given.width)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioquery.operators.similarity import matrix_of, top_k, unit_rows
+from folioquery.session import materialize
 
 # --- fixed values -----------------------------------------------------------
 DEFAULT_LISTS = 100
@@ -59,7 +60,12 @@ def build_inverted_file(
     model = KMeans(
         k=lists, distanceMeasure="cosine", maxIter=max_iter, seed=seed, featuresCol="features"
     ).fit(training.select(array_to_vector("vector").alias("features")))
-    centroids = np.array(model.clusterCenters())
+    return inverted_file_of(usable, np.array(model.clusterCenters()))
+
+
+def inverted_file_of(vectors: DataFrame, centroids: np.ndarray) -> InvertedFile:
+    """Every vector but the zero ones with the `list_id` of its nearest centroid; narrow."""
+    usable = vectors.where(F.exists("vector", lambda x: x != 0))
     assigned = _nearest(usable, centroids, 1, "_lists").withColumn("list_id", F.element_at("_lists", 1))
     return InvertedFile(centroids, assigned.drop("_lists"))
 
@@ -78,6 +84,19 @@ def save_inverted_file(index: InvertedFile, path: str) -> None:
     )
 
 
+def add_to_inverted_file(vectors: DataFrame, path: str) -> None:
+    """Put the vectors that a stored index does not hold yet into its lists.
+
+    The centroids stay, so only new vectors are assigned and written; adding the same
+    vectors again changes nothing.
+    """
+    stored = load_inverted_file(vectors.sparkSession, path)
+    new = inverted_file_of(vectors.join(stored.vectors.select("chunk_id"), "chunk_id", "left_anti"), stored.centroids)
+    # Read before it is written: the new files are part of the folder that says what is known.
+    placed = materialize(new.vectors.select(*stored.vectors.columns), "added-vectors")
+    placed.repartition("list_id").write.partitionBy("list_id").mode("append").parquet(f"{path}/vectors")
+
+
 def load_inverted_file(spark: SparkSession, path: str) -> InvertedFile:
     centroids = spark.read.parquet(f"{path}/centroids").orderBy("list_id").collect()
     return InvertedFile(np.array([r["centroid"] for r in centroids]), spark.read.parquet(f"{path}/vectors"))

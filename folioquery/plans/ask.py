@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioquery.functions.keys import query_key
+from folioquery.functions.keys import embedding_key, query_key
 from folioquery.functions.text import clean_text
 from folioquery.functions.validation import effective_top_k, parse_document_ids, request_errors
 from folioquery.operators.answering import Answerer, extractive_answers, model_answers, per_question
@@ -28,6 +28,7 @@ class AskResult:
     answers: DataFrame  # question_id, question, answer, confidence, sources, cached
     rejected: DataFrame  # question_id, error
     cache_entries: DataFrame  # key, answer, confidence, sources, document_ids, written_at, expires_at
+    embedding_entries: DataFrame  # key, vector, written_at, expires_at
 
 
 def validated(requests: DataFrame) -> DataFrame:
@@ -39,15 +40,38 @@ def validated(requests: DataFrame) -> DataFrame:
     return requests.withColumn("error", F.coalesce(error, blank)).withColumn("top_k", effective_top_k(F.col("top_k")))
 
 
-def question_vectors(pending: DataFrame, width: int, embed_fn: Embedder | None) -> DataFrame:
-    """question_id -> vector; a question that is asked several times is embedded once."""
+def question_vectors(
+    pending: DataFrame, width: int, embed_fn: Embedder | None, embedding_cache: DataFrame | None = None
+) -> DataFrame:
+    """pending(question_id, question, written_at) -> question_id, vector, known.
+
+    A question with a live entry in embedding_cache(key, vector, written_at, expires_at) takes its vector from
+    there (`known`); of the others each text is embedded once. The cache belongs to one model.
+    """
 
     def embed(texts: DataFrame) -> DataFrame:
         if embed_fn is None:
             return embed_questions(texts, "text", width).select("text_key", "vector")
         return embed_texts(texts, embed_fn, "text_key", "text")
 
-    return embed_once(pending, "question_id", "question", embed).select("question_id", "vector")
+    def embedded(texts: DataFrame) -> DataFrame:
+        vectors = embed_once(texts, "question_id", "question", embed)
+        return vectors.select("question_id", "vector", F.lit(False).alias("known"))
+
+    if embedding_cache is None:
+        return embedded(pending)
+    asked = pending.select("question_id", "question", embedding_key(F.col("question")).alias("key"), F.col("written_at").alias("asked_at"))
+    entries = embedding_cache.select("key", "vector", "written_at", "expires_at")
+    known = lookup(asked, entries).where("cached").select("question_id", "vector", F.lit(True).alias("known"))
+    return known.unionByName(embedded(misses(asked, entries)))
+
+
+def embedding_entries(pending: DataFrame, ttl_seconds: int) -> DataFrame:
+    """The cache entries of the questions that were embedded, one per text."""
+    new = pending.where("vector IS NOT NULL AND NOT known").groupBy(embedding_key(F.col("question")).alias("key"))
+    return cache_entries(
+        new.agg(F.min_by("vector", "question_id").alias("vector"), F.min("written_at").alias("written_at")), ttl_seconds
+    )
 
 
 def _computed(pending, tables, answer_fn, stored, **search) -> DataFrame:
@@ -77,6 +101,7 @@ def answer_questions(
     tables: dict[str, DataFrame],
     *,
     cache: DataFrame | None = None,
+    embedding_cache: DataFrame | None = None,
     threshold: float = MIN_SIMILARITY,
     ttl_seconds: int = DEFAULT_TTL_SECONDS,
     width: int = DEFAULT_WIDTH,
@@ -90,7 +115,8 @@ def answer_questions(
 
     requests(question_id, question, document_ids, top_k, asked_at). Every request gets
     an answer or an error. Equal requests of one batch are computed once. Without a
-    cache every request is a miss, and the answers are the same. The pending questions and
+    cache every request is a miss, and the answers are the same. The same holds for the embedding
+    cache (one entry per key). The pending questions and
     the hits are written to the shared folder once, because several branches read them.
     """
 
@@ -110,7 +136,7 @@ def answer_questions(
         F.min("asked_at").alias("written_at"),
     ).select(F.col("key").alias("question_id"), "r.question", "r.document_ids", "r.top_k", "written_at")
     pending = pending.withColumn("scopes", parse_document_ids(F.col("document_ids")))
-    pending = stored(pending.join(question_vectors(pending, width, embed_fn), "question_id", "left"), "pending")
+    pending = stored(pending.join(question_vectors(pending, width, embed_fn, embedding_cache), "question_id", "left"), "pending")
 
     if pending.isEmpty():
         computed = requests.sparkSession.createDataFrame([], COMPUTED)
@@ -126,4 +152,4 @@ def answer_questions(
     if cache is not None:
         served = lookup(asked, cache.select("key", "answer", "confidence", "sources", "written_at", "expires_at"))
         answers = answers.unionByName(served.where("cached").select(*columns, F.lit(True).alias("cached")))
-    return AskResult(answers, rejected, entries)
+    return AskResult(answers, rejected, entries, embedding_entries(pending, ttl_seconds))

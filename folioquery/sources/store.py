@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +19,10 @@ def save_tables(tables: dict[str, DataFrame], path: str, batch: str) -> None:
     the batch again replaces it and never duplicates rows. Files are sorted by
     document_id, so that a filter on a few documents skips most pages. The jobs of the dependent
     tables run side by side; the document table is written last: a batch whose
-    documents are missing is not visible to readers.
+    documents are missing is not visible to readers. Deletions recorded for an earlier
+    version of the batch do not hold for the new one.
     """
+    root = path.rstrip("/")
 
     def save(name: str) -> None:
         table = tables[name]
@@ -28,7 +31,7 @@ def save_tables(tables: dict[str, DataFrame], path: str, batch: str) -> None:
         writer = table.write.mode("overwrite")
         if name == "embeddings":
             writer = writer.partitionBy("model")
-        writer.parquet(f"{path.rstrip('/')}/{name}/batch={batch}")
+        writer.parquet(f"{root}/{name}/batch={batch}")
 
     dependent = [name for name in ("chunks", "summaries", "embeddings") if name in tables]
     if dependent:
@@ -36,6 +39,31 @@ def save_tables(tables: dict[str, DataFrame], path: str, batch: str) -> None:
             list(jobs.map(save, dependent))
     if "documents" in tables:
         save("documents")
+        none = tables["documents"].select("document_id").where(F.lit(False))
+        none.write.mode("overwrite").parquet(f"{root}/deleted/batch={batch}")
+
+
+def delete_documents(documents: DataFrame, path: str) -> None:
+    """Delete documents(document_id) with their chunks, summaries and embeddings from the stored batches.
+
+    The deletion is a small table of (document_id, batch) that `load_tables` applies to all four tables;
+    no stored file is rewritten. A document that a later batch brings again is there again.
+    """
+    root = path.rstrip("/")
+    held = _read(documents.sparkSession, f"{root}/documents").select("document_id", "batch")
+    gone = held.join(documents.select("document_id"), "document_id", "left_semi").distinct()
+    gone.repartition("batch").write.partitionBy("batch").mode("append").parquet(f"{root}/deleted")
+
+
+def _deleted(spark: SparkSession, root: str) -> DataFrame | None:
+    """(document_id, batch) of all deletions; None in a store that has none."""
+    try:
+        gone = _read(spark, f"{root}/deleted").distinct()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return None if gone.isEmpty() else gone
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
@@ -46,19 +74,29 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
+def deleted_documents(spark: SparkSession, path: str) -> DataFrame | None:
+    """(document_id) of the deleted documents that no batch holds; None if nothing was deleted."""
+    if (gone := _deleted(spark, path.rstrip("/"))) is None:
+        return None
+    held = load_tables(spark, path)["documents"].select("document_id")
+    return gone.select("document_id").distinct().join(held, "document_id", "left_anti")
+
+
 def load_tables(spark: SparkSession, path: str, newest: bool = False) -> dict[str, DataFrame]:
     """Read all committed batches: those whose documents were written.
 
     The names of the batches, a short list, become a partition filter on every table. With `newest`
     a document that several batches hold is read from one of them: the batch whose name is the
     longest, the last of these in order (the greatest number or date). All tables need a document_id
-    then; without such documents nothing is joined.
+    then; without such documents nothing is joined. Deleted documents are left out of every table.
     """
     root = path.rstrip("/")
     tables = {name: _read(spark, f"{root}/{name}") for name in TABLES}
-    documents = tables["documents"]
-    committed = [r["batch"] for r in documents.select("batch").distinct().collect()]
+    committed = [r["batch"] for r in tables["documents"].select("batch").distinct().collect()]
     loaded = {n: t if n == "documents" else t.where(F.col("batch").isin(committed)) for n, t in tables.items()}
+    if (gone := _deleted(spark, root)) is not None:
+        loaded = {n: t.join(gone, ["document_id", "batch"], "left_anti") for n, t in loaded.items()}
+    documents = loaded["documents"]
     if newest:
         order = F.struct(F.length("batch").alias("size"), F.col("batch"))
         last = documents.groupBy("document_id").agg(F.max(order).alias("last"), F.count(F.lit(1)).alias("held"))

@@ -194,3 +194,19 @@ def test_user_models_get_batches_of_bounded_size(spark):
     assert model_summaries(texts, summarize).where("summary = 'a summary'").count() == rows
     asked = spark.range(rows, numPartitions=1).selectExpr("id AS question_id", "'q' AS question", "'c' AS context", "1.0D AS quality")
     assert model_answers(asked, answer).count() == rows
+
+
+def test_known_questions_are_not_embedded_again(spark, tables):
+    def refuse(texts):
+        raise AssertionError("the model was called")
+
+    first = ask(spark, tables, QUESTIONS)
+    entries = first.embedding_entries
+    assert entries.count() == 2  # two texts in four accepted requests
+    again = ask(spark, tables, QUESTIONS, embedding_cache=entries, embed_fn=refuse)
+    assert sorted(again.answers.collect()) == sorted(first.answers.collect())
+    assert again.embedding_entries.count() == 0
+    expired = entries.withColumn("expires_at", F.col("written_at"))
+    with pytest.raises(Exception, match="the model was called"):
+        ask(spark, tables, QUESTIONS, embedding_cache=expired, embed_fn=refuse)
+    assert ask(spark, tables, QUESTIONS, embedding_cache=expired).embedding_entries.count() == 2

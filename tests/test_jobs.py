@@ -92,3 +92,37 @@ def test_large_files_are_refused_by_their_listed_size(spark, tmp_path):
     (tmp_path / "large.txt").write_text("x" * 11)
     files = {r["filename"]: (r["size"], r["content"]) for r in read_uploads(spark, str(tmp_path), max_bytes=10).collect()}
     assert files == {"small.txt": (10, bytearray(b"x" * 10)), "large.txt": (11, None)}
+
+
+def test_later_batches_join_the_index_and_deleted_documents_leave(spark, tmp_path):
+    uploads, store, lists = tmp_path / "uploads", str(tmp_path / "store"), str(tmp_path / "index")
+    uploads.mkdir()
+    (uploads / "birds.txt").write_text("Owls hunt mice at night.")
+    (uploads / "cars.txt").write_text("Engines burn fuel.")
+    jobs.ingest(spark, str(uploads), store, "1", width=64)
+    jobs.index(spark, store, lists, lists=2)
+    (uploads / "notes.txt").write_text("Bees make honey in summer.")
+    jobs.ingest(spark, str(uploads), store, "2", width=64)
+    for _ in range(2):  # adding again changes nothing
+        jobs.index(spark, store, lists, append=True)
+        assert spark.read.parquet(f"{lists}/vectors").count() == 3
+    ids = {r["filename"]: r["document_id"] for r in load_tables(spark, store, newest=True)["documents"].collect()}
+    requests = tmp_path / "requests.json"
+    requests.write_text(json.dumps({"question_id": "q", "question": "Who makes honey?", "document_ids": list(ids.values())}))
+
+    def answer(name):
+        jobs.ask(spark, store, str(requests), str(tmp_path / name), embedding_cache=str(tmp_path / "vectors"),
+                 index_path=lists, nprobe=2, threshold=0.1, width=64)
+        return spark.read.json(str(tmp_path / name / "answers")).first()["answer"]
+
+    assert answer("one") == "Bees make honey in summer"
+    gone = tmp_path / "gone.json"
+    gone.write_text(json.dumps({"document_id": ids["notes.txt"]}))
+    jobs.delete(spark, store, str(gone))
+    left = load_tables(spark, store, newest=True)
+    assert {n: t.where(F.col("document_id") == ids["notes.txt"]).count() for n, t in left.items()} == dict.fromkeys(left, 0)
+    assert {n: t.count() for n, t in left.items()} == dict.fromkeys(left, 2)
+    assert answer("two") != "Bees make honey in summer"
+    assert spark.read.parquet(str(tmp_path / "vectors")).count() == 1
+    jobs.ingest(spark, str(uploads), store, "2", width=64)  # the batch brings it again
+    assert load_tables(spark, store, newest=True)["documents"].count() == 3
