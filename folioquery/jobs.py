@@ -81,7 +81,7 @@ def delete(spark: SparkSession, store: str, documents: str) -> None:
 
 
 def ask(spark: SparkSession, store: str, requests: str, answers: str, cache: str | None = None,
-        embedding_cache: str | None = None, index_path: str | None = None, **options) -> None:
+        index_path: str | None = None, embedding_cache: str | None = None, **options) -> None:
     """Answer JSON-lines requests (question_id, question, document_ids, top_k) into a folder.
 
     `cache` and `embedding_cache` name folders of earlier answers and question vectors; new ones are appended. With
@@ -164,7 +164,7 @@ def main(arguments: list[str] | None = None) -> None:
     elif given.command == "delete":
         delete(spark, given.store, given.documents)
     else:
-        ask(spark, given.store, given.requests, given.answers, given.cache, given.embedding_cache, given.index, nprobe=given.nprobe,
+        ask(spark, given.store, given.requests, given.answers, given.cache, given.index, given.embedding_cache, nprobe=given.nprobe,
             threshold=given.threshold, ttl_seconds=given.ttl_seconds, width=given.width)
 
 

@@ -113,7 +113,7 @@ def test_later_batches_join_the_index_and_deleted_documents_leave(spark, tmp_pat
     def answer(name):
         jobs.ask(spark, store, str(requests), str(tmp_path / name), embedding_cache=str(tmp_path / "vectors"),
                  index_path=lists, nprobe=2, threshold=0.1, width=64)
-        return spark.read.json(str(tmp_path / name / "answers")).first()["answer"]
+        return json.loads(spark.read.json(str(tmp_path / name / "answers")).first()["json"])["answer"]
 
     assert answer("one") == "Bees make honey in summer"
     gone = tmp_path / "gone.json"
