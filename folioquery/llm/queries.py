@@ -7,8 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from folioquery.llm import quality_rules
+from folioquery.llm.alignment import align_documents
 from folioquery.llm.bpe import encode_and_decode
 from folioquery.llm.common import documents, read
+from folioquery.llm.conversation_repair import repair
 from folioquery.llm.exact_dedup import exact_duplicates
 from folioquery.llm.fingerprints import fingerprints
 from folioquery.llm.line_dedup import deduplicate_lines
@@ -22,6 +25,7 @@ from folioquery.llm.toxicity import score_documents
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,6 +76,18 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair(read(spark, folder, "conversations"))
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align_documents(documents(spark, folder), TOKENIZER, RANKS, PATTERN, PIECES)
+
+
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.rate(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
@@ -83,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_lz_fingerprints": op9_lz_fingerprints,
     "op10_simhash": op10_simhash,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_alignment": op12_alignment,
+    "op13_quality_rules": op13_quality_rules,
 }
 
-SQL: dict[str, str] = {"op4_exact_dedup": EXACT_SQL}
+SQL: dict[str, str] = {"op4_exact_dedup": EXACT_SQL, "op13_quality_rules": quality_rules.oracle_sql()}
