@@ -29,3 +29,16 @@ def test_entry(spark):
     frame = entry.entry(spark)
     assert {"question_id", "rank", "chunk_id", "similarity", "summary"} <= set(frame.columns)
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("missing", ["folioquery.llm.queries", "xxhash", "corpus_pipeline"])
+def test_entry_without_the_corpus_operators(monkeypatch, missing):
+    """Whatever the corpus operators lack, the other queries are there."""
+    import sys
+
+    entry = importlib.import_module("__spark_entry__")
+    for name in [n for n in sys.modules if n.startswith("folioquery.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
+    assert set(all_queries()) <= set(entry.queries()) and set(all_sql()) <= set(entry.oracle_sql())
+    assert "pipeline" not in entry.queries()
