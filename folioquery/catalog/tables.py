@@ -19,11 +19,13 @@ from folioquery.catalog.vectors import label_summaries, stored_vectors
 from folioquery.functions.keys import embedding_key
 from folioquery.operators import cache, maintenance
 from folioquery.operators.chunking import chunk_documents
+from folioquery.operators.embedding import HASH_MODEL
 from folioquery.plans.analyze import analyze_documents
 from folioquery.plans.ask import question_vectors
 from folioquery.session import run_folder
 from folioquery.sources.files import read_table
-from folioquery.sources.store import delete_documents, load_tables, save_tables
+from folioquery.sources.cache_store import add_entries, compact_cache, drop_answers, entries_of
+from folioquery.sources.store import compact, delete_documents, load_tables, register_model, save_rows, save_tables, update_statuses
 
 
 def stored_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -283,6 +285,79 @@ def _store_delete(spark: SparkSession, folder: str) -> DataFrame:
     return per_document(load_tables(spark, path))
 
 
+_GERMAN = 100  # words of a chunk when the German documents come again
+
+
+@query(
+    "store_versions",
+    f"""
+WITH {DOCUMENTS}, {chunks_sql()}, {chunks_sql(_GERMAN, 0, 'g')}, {summaries_sql()},
+n AS (SELECT document_id, count(*) AS n_chunks, CAST(sum(token_count) AS BIGINT) AS n_words FROM c GROUP BY document_id),
+m AS (SELECT document_id, count(*) AS n_chunks, CAST(sum(token_count) AS BIGINT) AS n_words FROM g GROUP BY document_id),
+u AS (SELECT user_id * 10 AS document_id, {_STATUS_SQL} AS status FROM events
+      QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+e AS (SELECT user_id AS document_id, event_type AS summary FROM events
+      QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+SELECT d.document_id, filename,
+       CASE WHEN quality = 0 THEN 'failed' WHEN lang = 'de' THEN 'ready' ELSE coalesce(u.status, 'ready') END AS status,
+       coalesce(CASE WHEN lang = 'de' THEN m.n_chunks ELSE n.n_chunks END, 0) AS n_chunks,
+       coalesce(CASE WHEN lang = 'de' THEN m.n_words ELSE n.n_words END, 0) AS n_words,
+       coalesce(CASE WHEN lang = 'de' THEN m.n_chunks ELSE n.n_chunks END, 0) AS n_embeddings,
+       coalesce(CASE WHEN lang <> 'de' THEN e.summary END, s.summary, '') AS summary
+FROM d JOIN documents ON doc_id = d.document_id LEFT JOIN n ON n.document_id = d.document_id LEFT JOIN m ON m.document_id = d.document_id
+LEFT JOIN s ON s.document_id = d.document_id LEFT JOIN u ON u.document_id = d.document_id LEFT JOIN e ON e.document_id = d.document_id
+LEFT JOIN labels ON labels.doc_id = d.document_id
+WHERE d.document_id NOT IN {_TOXIC}""",
+)
+def _store_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch, later summaries and statuses, the German documents again with other windows, deletions, a compaction, more statuses."""
+    path, docs = run_folder(spark, "versions"), documents(spark, folder)
+    german = read_table(spark, folder, "documents").where("lang = 'de'").select(F.col("doc_id").alias("document_id"))
+    register_model(spark, path, HASH_MODEL, WIDTH)
+    save_tables(analyze_documents(docs, width=WIDTH), path, "all")
+    log = events(spark, folder)
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "processing").otherwise("ready")
+    updates = log.select((F.col("user_id") * 10).alias("document_id"), "ts", "event_id", status.alias("status"))
+    update_statuses(updates, path, ["ts", "event_id"])
+    summaries = log.select(F.col("user_id").alias("document_id"), "event_id", F.col("event_type").alias("summary"))
+    summaries = maintenance.latest_per_key(summaries, ["document_id"], ["event_id"]).drop("event_id")
+    save_rows({"summaries": summaries.withColumn("key_points", F.array().cast("array<string>"))}, path)
+    save_tables(analyze_documents(docs.join(german, "document_id", "left_semi"), max_words=_GERMAN, overlap=0, width=WIDTH), path, "german")
+    delete_documents(toxic_documents(spark, folder), path)
+    compact(spark, path)
+    poor = read_table(spark, folder, "labels").where("quality = 0").select(F.col("doc_id").alias("document_id"))
+    update_statuses(poor.select("document_id", F.lit("failed").alias("status"), F.lit(1).alias("seq")), path, ["seq"])
+    return per_document(load_tables(spark, path, newest=True))
+
+
+_COMPACTED = "2024-01-20 00:00:00"
+
+
+@query(
+    "cache_folder",
+    f"""
+WITH a AS (
+  SELECT user_id AS key, value AS payload, ts AS written_at, ts + INTERVAL 10 DAY AS expires_at FROM events
+  WHERE event_type IN ('signup', 'purchase') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1),
+l AS (
+  SELECT * FROM a WHERE expires_at > TIMESTAMP '{_COMPACTED}' AND key NOT IN {_TOXIC} AND key + 1 NOT IN {_TOXIC})
+SELECT event_id, l.key IS NOT NULL AS cached, payload FROM events LEFT JOIN l ON l.key = user_id AND ts >= written_at AND ts < expires_at""",
+)
+def _cache_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers added in two steps, those of toxic documents dropped by their links, the folder compacted, then asked."""
+    path = run_folder(spark, "cache")
+    for event_type in ("purchase", "signup"):
+        entries = answer_cache(spark, folder, event_type)
+        ids = F.transform("document_ids", lambda i: i.cast("string"))
+        times = [F.col(c).cast("timestamp").alias(c) for c in ("written_at", "expires_at")]
+        add_entries(entries.select(F.col("key").cast("string").alias("key"), "payload", ids.alias("document_ids"), *times), path)
+    drop_answers(toxic_documents(spark, folder), path)
+    compact_cache(spark, path, spark.sql(f"SELECT unix_timestamp(TIMESTAMP '{_COMPACTED}')").first()[0])
+    asked = events(spark, folder).select("event_id", F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("asked_at"))
+    found = cache.lookup(asked, entries_of(asked, path, "key string, payload double, document_ids array<string>, written_at timestamp, expires_at timestamp"))
+    return found.select("event_id", "cached", "payload")
+
+
 def _length_vectors(texts: list[str]) -> list[list[float]]:
     """A stand-in for a user model; vectors are scaled to length 1 afterwards."""
     return [[float(len(t)), 0.0] for t in texts]

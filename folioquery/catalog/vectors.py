@@ -13,11 +13,13 @@ from folioquery.catalog.inputs import words_sql
 from folioquery.functions.text import words
 from folioquery.functions.vectors import cosine_similarity, l2_normalize, vector_from_text, vector_to_text
 from folioquery.operators.embedding import embedding_width_violations
-from folioquery.operators.ivf import build_inverted_file, inverted_file_of, recall, top_k_ivf
+from folioquery.operators.ivf import build_inverted_file, inverted_file_of, list_reach, recall, top_k_ivf, top_k_ivf_exact
 from folioquery.operators.retrieval import attach_chunks, attach_summaries
-from folioquery.operators.similarity import similar_pairs, top_k
-from folioquery.session import materialize
+from folioquery.operators.similarity import similar_pairs, top_k, width_mismatches
+from folioquery.session import materialize, run_folder
 from folioquery.sources.files import read_table
+from folioquery.sources.index import build_index, open_index
+from folioquery.sources.store import delete_documents, load_tables, register_model, save_tables, violations
 
 THRESHOLD, K = 0.3, 5
 LISTS = 10
@@ -246,6 +248,73 @@ def _ivf_recall(spark: SparkSession, folder: str) -> DataFrame:
     return table
 
 
+@query("topk_ivf_exact", f"{_top_sql()} SELECT {_ROUNDED} FROM t")
+def _ivf_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest list first, then those whose reach allows a better hit: exact."""
+    index = build_inverted_file(stored_vectors(spark, folder), LISTS)
+    index = replace(index, vectors=materialize(index.vectors, "listed-vectors"))
+    index = replace(index, reach=list_reach(index.vectors, index.centroids))
+    hits, _ = top_k_ivf_exact(vector_questions(spark, folder), index, k=K, threshold=THRESHOLD)
+    return rounded(hits)
+
+
+def _collections(vectors: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a store whose documents are the labels."""
+    documents = vectors.select("document_id").distinct().select("document_id", F.lit("ready").alias("status"))
+    return {"documents": documents, "embeddings": vectors.withColumn("model", F.lit("given"))}
+
+
+_MIXED = 32  # width of the vectors of label 0, and of the questions that begin in label 9
+
+
+@query(
+    "topk_mixed_width",
+    f"""{_top_sql('label <> 0 AND one <> 9')}
+SELECT 'hit' AS kind, question_id AS id, chunk_id, rank, round(similarity, 6) AS similarity, CAST(NULL AS INTEGER) AS width FROM t
+UNION ALL SELECT 'question', question_id, NULL, NULL, NULL, {_MIXED} FROM q WHERE one = 9
+UNION ALL SELECT 'vector', vec_id, NULL, NULL, NULL, {_MIXED} FROM embeddings WHERE label = 0""",
+)
+def _mixed_width(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors and questions of another width than the registered one are reported and change nothing for the others."""
+    path = run_folder(spark, "widths")
+    short = F.when(F.col("document_id") == 0, F.slice("vector", 1, _MIXED)).otherwise(F.col("vector"))
+    register_model(spark, path, "given", 64)
+    save_tables(_collections(stored_vectors(spark, folder).withColumn("vector", short)), path, "0")
+    stored = load_tables(spark, path)["embeddings"]
+    asked = F.when(F.element_at("scopes", 1) == 9, F.slice("vector", 1, _MIXED)).otherwise(F.col("vector"))
+    questions = vector_questions(spark, folder).withColumn("vector", asked)
+    hits = rounded(top_k(questions, stored, threshold=THRESHOLD, k=K)).withColumnRenamed("question_id", "id")
+    unanswered = width_mismatches(questions, stored).withColumnRenamed("question_id", "id")
+    aside = violations(spark, path).select(F.col("chunk_id").alias("id"), "width")
+    rows = hits.select(F.lit("hit").alias("kind"), "id", "chunk_id", "rank", "similarity")
+    for kind, other in (("question", unanswered), ("vector", aside)):
+        rows = rows.unionByName(other.select(F.lit(kind).alias("kind"), "id", "width"), allowMissingColumns=True)
+    return rows
+
+
+@query(
+    "index_follows_store",
+    f"""
+WITH {QUESTIONS.replace('CAST(embedding AS DOUBLE[])), 9)', 'CASE WHEN label = 3 THEN list_transform(CAST(embedding AS DOUBLE[]), lambda x: -x) ELSE CAST(embedding AS DOUBLE[]) END), 9)')},
+r AS (
+  SELECT question_id, chunk_id, similarity, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, chunk_id) AS rank
+  FROM p WHERE similarity >= {THRESHOLD} AND label <> 5)
+SELECT question_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(similarity, 6) AS similarity FROM r WHERE rank <= {K}""",
+)
+def _index_follows(spark: SparkSession, folder: str) -> DataFrame:
+    """An index over a store whose label 3 came again with other vectors, and whose label 5 was deleted."""
+    path, index = run_folder(spark, "indexed"), run_folder(spark, "index")
+    stored = stored_vectors(spark, folder)
+    register_model(spark, path, "given", 64)
+    save_tables(_collections(stored), path, "0")
+    build_index(spark, path, index, LISTS)
+    again = stored.where("document_id = 3").withColumn("vector", F.transform("vector", lambda x: -x))
+    save_tables(_collections(again), path, "1")
+    delete_documents(stored.where("document_id = 5").select("document_id"), path)
+    hits, _ = top_k_ivf_exact(vector_questions(spark, folder), open_index(spark, path, index), k=K, threshold=THRESHOLD)
+    return rounded(hits)
+
+
 @query(
     "l2_normalize",
     """

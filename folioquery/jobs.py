@@ -10,9 +10,7 @@
 from __future__ import annotations
 
 import argparse
-from dataclasses import replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,16 +19,17 @@ from folioquery.functions.validation import MAX_UPLOAD_BYTES
 from folioquery.operators.answering import answer_json
 from folioquery.operators.cache import DEFAULT_TTL_SECONDS
 from folioquery.operators.chunking import DEFAULT_MAX_WORDS, DEFAULT_OVERLAP
-from folioquery.operators.embedding import DEFAULT_WIDTH
-from folioquery.operators.ivf import DEFAULT_LISTS, add_to_inverted_file, build_inverted_file, load_inverted_file, save_inverted_file
-from folioquery.operators.maintenance import latest_per_key
+from folioquery.operators.embedding import DEFAULT_WIDTH, HASH_MODEL
+from folioquery.operators.ivf import DEFAULT_LISTS
 from folioquery.operators.similarity import MIN_SIMILARITY
 from folioquery.plans.analyze import analyze_documents
 from folioquery.plans.ask import answer_questions
 from folioquery.schemas import REQUESTS
 from folioquery.session import build_session, materialize
 from folioquery.sources.files import ingest_documents, read_uploads, validate_uploads
-from folioquery.sources.store import delete_documents, deleted_documents, load_tables, save_json, save_tables
+from folioquery.sources.cache_store import ANSWERS, VECTORS, add_entries, drop_answers, entries_of, without_deleted
+from folioquery.sources.index import build_index, extend_index, open_index
+from folioquery.sources.store import delete_documents, deletions, load_tables, register_model, save_json, save_tables, stored_models
 
 
 def derived_id(*parts: str | Column) -> Column:
@@ -58,6 +57,7 @@ def ingest(spark: SparkSession, uploads: str, store: str, batch: str, max_bytes:
     )
     accepted = ingest_documents(identified.where("error IS NULL"), F.col("document_id"), F.col("modified_at"))
     accepted = materialize(accepted, "accepted")  # the files are read once for all four tables
+    register_model(spark, store, options.get("model", HASH_MODEL), options.get("width", DEFAULT_WIDTH))
     save_tables(analyze_documents(accepted, **options), store, batch)
     outcome = identified.select("filename", F.when(F.col("error").isNull(), F.col("document_id")).alias("document_id"), "error")
     outcome = materialize(outcome, "outcome")
@@ -67,31 +67,33 @@ def ingest(spark: SparkSession, uploads: str, store: str, batch: str, max_bytes:
 
 def index(spark: SparkSession, store: str, target: str, lists: int = DEFAULT_LISTS, train_fraction: float = 1.0,
           append: bool = False) -> None:
-    """Build the index of a store, or with `append` add the vectors of later batches to its lists."""
-    vectors = load_tables(spark, store, newest=True)["embeddings"].select("chunk_id", "document_id", "vector", "model")
+    """Build the index of a store, or with `append` list what was stored since. Questions do that by themselves."""
     if append:
-        add_to_inverted_file(vectors, target)
+        extend_index(spark, store, target)
     else:
-        save_inverted_file(build_inverted_file(vectors, lists, train_fraction=train_fraction), target)
+        build_index(spark, store, target, lists, train_fraction)
 
 
-def delete(spark: SparkSession, store: str, documents: str) -> None:
-    """Delete the documents that JSON lines (document_id) name, with all that belongs to them."""
-    delete_documents(spark.read.schema("document_id string").json(documents).where("document_id IS NOT NULL"), store)
+def delete(spark: SparkSession, store: str, documents: str, caches: list[str] | None = None) -> None:
+    """Delete the documents that JSON lines (document_id) name, with all that belongs to them.
+
+    Answers that used them are not served any more; from `caches` they are dropped as well.
+    """
+    gone = spark.read.schema("document_id string").json(documents).where("document_id IS NOT NULL")
+    delete_documents(gone, store)
+    for cache in caches or []:
+        drop_answers(gone, cache)
 
 
 def ask(spark: SparkSession, store: str, requests: str, answers: str, cache: str | None = None,
         index_path: str | None = None, embedding_cache: str | None = None, **options) -> None:
     """Answer JSON-lines requests (question_id, question, document_ids, top_k) into a folder.
 
-    `cache` and `embedding_cache` name folders of earlier answers and question vectors; new ones are appended. With
-    `index_path` the search is restricted to the nearest lists, else it is exact.
+    `cache` and `embedding_cache` name folders of earlier answers and question vectors; of these only the entries of the
+    asked keys are read, and new ones are added. With `index_path` the search is restricted to the nearest lists, else it is exact.
     """
     if index_path:
-        lists = load_inverted_file(spark, index_path)
-        if (gone := deleted_documents(spark, store)) is not None:
-            lists = replace(lists, vectors=lists.vectors.join(gone, "document_id", "left_anti"))
-        options["index"] = lists
+        options["index"] = open_index(spark, store, index_path)
     now = spark.sql("SELECT current_timestamp() AS now").first()["now"]  # one clock for the whole job
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in REQUESTS), T.StructField("_line", T.StringType())])
     read = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_line").json(requests)
@@ -101,27 +103,18 @@ def ask(spark: SparkSession, store: str, requests: str, answers: str, cache: str
         F.coalesce("question_id", F.get_json_object("_line", "$.question_id")).alias("question_id"), F.lit("invalid payload").alias("error")
     )
     asked = read.where("_line IS NULL").drop("_line")
-    result = answer_questions(asked, load_tables(spark, store, newest=True), cache=_cached(spark, cache),
-                              embedding_cache=_cached(spark, embedding_cache), **options)
+    gone = deletions(spark, store)
+    result = answer_questions(
+        asked, load_tables(spark, store, newest=True), widths=sorted({*stored_models(spark, store).values()}) or None,
+        cache=None if cache is None else lambda keys: without_deleted(entries_of(keys, cache, ANSWERS), gone),
+        embedding_cache=None if embedding_cache is None else lambda keys: entries_of(keys, embedding_cache, VECTORS), **options,
+    )
     save_json(answer_json(result.answers), f"{answers.rstrip('/')}/answers")
     save_json(result.rejected.unionByName(malformed), f"{answers.rstrip('/')}/rejected")
     if cache:
-        result.cache_entries.write.mode("append").parquet(cache)
+        add_entries(result.cache_entries, cache)
     if embedding_cache:
-        result.embedding_entries.write.mode("append").parquet(embedding_cache)
-
-
-def _cached(spark: SparkSession, cache: str | None) -> DataFrame | None:
-    """The newest entry per key of a cache folder; None where there is no cache yet."""
-    if cache is None:
-        return None
-    try:
-        entries = spark.read.parquet(cache)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return latest_per_key(entries, ["key"], ["written_at"])
+        add_entries(result.embedding_entries, embedding_cache)
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -143,13 +136,14 @@ def main(arguments: list[str] | None = None) -> None:
     one = commands.add_parser("delete")
     one.add_argument("--store", required=True)
     one.add_argument("--documents", required=True)
+    one.add_argument("--cache", action="append")
     one = commands.add_parser("ask")
     for name in ("--store", "--requests", "--answers"):
         one.add_argument(name, required=True)
     one.add_argument("--cache")
     one.add_argument("--embedding-cache")
     one.add_argument("--index")
-    one.add_argument("--nprobe", type=int, default=1)
+    one.add_argument("--nprobe", type=int, help="lists to search, instead of the number that was measured for the index")
     one.add_argument("--threshold", type=float, default=MIN_SIMILARITY)
     one.add_argument("--ttl-seconds", type=int, default=DEFAULT_TTL_SECONDS)
     one.add_argument("--width", type=int, default=DEFAULT_WIDTH)
@@ -162,7 +156,7 @@ def main(arguments: list[str] | None = None) -> None:
     elif given.command == "index":
         index(spark, given.store, given.index, given.lists, given.train_fraction, given.append)
     elif given.command == "delete":
-        delete(spark, given.store, given.documents)
+        delete(spark, given.store, given.documents, given.cache)
     else:
         ask(spark, given.store, given.requests, given.answers, given.cache, given.index, given.embedding_cache, nprobe=given.nprobe,
             threshold=given.threshold, ttl_seconds=given.ttl_seconds, width=given.width)

@@ -53,7 +53,7 @@ def retrieve(
     threshold: float = MIN_SIMILARITY,
     k: int = 5,
     index: InvertedFile | None = None,
-    nprobe: int = 1,
+    nprobe: int | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     **options,
 ) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -20,6 +21,9 @@ from folioquery.schemas import SOURCES
 from folioquery.session import materialize
 
 
+#: Entries of a cache: the table itself, or a function that gives the entries of the keys it is handed.
+Entries = DataFrame | Callable[[DataFrame], DataFrame] | None
+
 COMPUTED = f"key string, answer string, confidence double, sources {SOURCES}, document_ids array<string>, written_at timestamp"
 
 
@@ -41,7 +45,7 @@ def validated(requests: DataFrame) -> DataFrame:
 
 
 def question_vectors(
-    pending: DataFrame, width: int, embed_fn: Embedder | None, embedding_cache: DataFrame | None = None
+    pending: DataFrame, width: int, embed_fn: Embedder | None, embedding_cache: Entries = None
 ) -> DataFrame:
     """pending(question_id, question, written_at) -> question_id, vector, known.
 
@@ -61,7 +65,8 @@ def question_vectors(
     if embedding_cache is None:
         return embedded(pending)
     asked = pending.select("question_id", "question", embedding_key(F.col("question")).alias("key"), F.col("written_at").alias("asked_at"))
-    entries = embedding_cache.select("key", "vector", "written_at", "expires_at")
+    held = embedding_cache(asked.select("key").distinct()) if callable(embedding_cache) else embedding_cache
+    entries = held.select("key", "vector", "written_at", "expires_at")
     known = lookup(asked, entries).where("cached").select("question_id", "vector", F.lit(True).alias("known"))
     return known.unionByName(embedded(misses(asked, entries)))
 
@@ -74,6 +79,20 @@ def embedding_entries(pending: DataFrame, ttl_seconds: int) -> DataFrame:
     )
 
 
+def foreign_widths(pending: DataFrame, embeddings: DataFrame | None, widths: list[int] | None) -> dict[int, str]:
+    """Widths of question vectors that no stored vector has, with the error to report.
+
+    `widths` are those of the registered models. Without them the stored vectors are looked through, and
+    the first one of a width ends its search. An empty store has no width to differ from.
+    """
+    asked = [r["width"] for r in pending.where("vector IS NOT NULL").select(F.size("vector").alias("width")).distinct().collect()]
+    if widths is None:
+        if embeddings is None or embeddings.isEmpty():
+            return {}
+        widths = [w for w in asked if not embeddings.where(F.size("vector") == w).isEmpty()]
+    return {w: f"the question's vector is {w} wide, no stored vector is" for w in asked if w not in widths}
+
+
 def _computed(pending, tables, answer_fn, stored, **search) -> DataFrame:
     """Answers of the pending questions under their keys."""
     hits = retrieve(
@@ -100,15 +119,16 @@ def answer_questions(
     requests: DataFrame,
     tables: dict[str, DataFrame],
     *,
-    cache: DataFrame | None = None,
-    embedding_cache: DataFrame | None = None,
+    cache: Entries = None,
+    embedding_cache: Entries = None,
     threshold: float = MIN_SIMILARITY,
     ttl_seconds: int = DEFAULT_TTL_SECONDS,
     width: int = DEFAULT_WIDTH,
     embed_fn: Embedder | None = None,
     answer_fn: Answerer | None = None,
     index: InvertedFile | None = None,
-    nprobe: int = 1,
+    nprobe: int | None = None,
+    widths: list[int] | None = None,
     store_intermediate: bool = True,
 ) -> AskResult:
     """Validate, look up, embed, retrieve, answer and collect the cache writes.
@@ -116,8 +136,9 @@ def answer_questions(
     requests(question_id, question, document_ids, top_k, asked_at). Every request gets
     an answer or an error. Equal requests of one batch are computed once. Without a
     cache every request is a miss, and the answers are the same. The same holds for the embedding
-    cache (one entry per key). The pending questions and
-    the hits are written to the shared folder once, because several branches read them.
+    cache (one entry per key). A question whose vector has a width that no stored vector has (`widths`, those of
+    the registered models, where they are known) gets an error and leaves no entry in a cache. The pending
+    questions and the hits are written to the shared folder once, because several branches read them.
     """
 
     def stored(df: DataFrame, name: str) -> DataFrame:
@@ -129,6 +150,8 @@ def answer_questions(
     asked = checked.where("error IS NULL").drop("error").withColumn(
         "key", query_key(F.col("question"), F.col("document_ids"), F.col("top_k"))
     )
+    if callable(cache):
+        cache = stored(cache(asked.select("key").distinct()), "cached")
     open_requests = asked if cache is None else misses(asked, cache)
     # The answer is computed under the key: equal requests share it.
     pending = open_requests.groupBy("key").agg(
@@ -138,6 +161,14 @@ def answer_questions(
     pending = pending.withColumn("scopes", parse_document_ids(F.col("document_ids")))
     pending = stored(pending.join(question_vectors(pending, width, embed_fn, embedding_cache), "question_id", "left"), "pending")
 
+    searched = tables.get("embeddings") if index is None else index.vectors
+    if foreign := foreign_widths(pending, searched, widths):
+        known = F.coalesce(F.size("vector").isin(list(foreign)), F.lit(False))
+        error = F.element_at(F.create_map(*(F.lit(v) for item in foreign.items() for v in item)), F.size("vector"))
+        bad = pending.where(known).select(F.col("question_id").alias("key"), error.alias("error"))
+        rejected = rejected.unionByName(open_requests.join(bad, "key").select("question_id", "error"))
+        open_requests = open_requests.join(bad.select("key"), "key", "left_anti")
+        pending = pending.where(~known)
     if pending.isEmpty():
         computed = requests.sparkSession.createDataFrame([], COMPUTED)
     else:

@@ -1,10 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioquery import jobs
 from folioquery.session import settings_for
-from folioquery.sources.store import load_tables
+from folioquery.sources.index import load_index
+from folioquery.sources.store import WidthMismatch, load_tables
 
 
 def test_from_files_to_answers(spark, tmp_path):
@@ -23,7 +25,7 @@ def test_from_files_to_answers(spark, tmp_path):
     tables = load_tables(spark, store)
     assert {n: t.count() for n, t in tables.items()} == {"documents": 2, "chunks": 2, "summaries": 2, "embeddings": 2}
     jobs.index(spark, store, str(tmp_path / "index"), lists=2)
-    assert spark.read.parquet(str(tmp_path / "index" / "vectors")).count() == 2
+    assert load_index(spark, store, str(tmp_path / "index")).vectors.count() == 2
 
     ids = [r["document_id"] for r in tables["documents"].collect()]
     requests = tmp_path / "requests.json"
@@ -41,7 +43,7 @@ def test_from_files_to_answers(spark, tmp_path):
     with_lists = str(tmp_path / "answers3")
     jobs.ask(spark, store, str(requests), with_lists, None, str(tmp_path / "index"), nprobe=2, threshold=0.2, width=64)
     assert json.loads(spark.read.json(f"{with_lists}/answers").first()["json"])["answer"] == "Owls hunt mice at night"
-    assert spark.read.parquet(cache).where(F.col("key").isNotNull()).count() == 1
+    assert spark.read.parquet(f"{cache}/entries").where(F.col("key").isNotNull()).count() == 1
 
 
 def test_settings_follow_the_size():
@@ -105,24 +107,54 @@ def test_later_batches_join_the_index_and_deleted_documents_leave(spark, tmp_pat
     jobs.ingest(spark, str(uploads), store, "2", width=64)
     for _ in range(2):  # adding again changes nothing
         jobs.index(spark, store, lists, append=True)
-        assert spark.read.parquet(f"{lists}/vectors").count() == 3
+        assert load_index(spark, store, lists).vectors.count() == 3
     ids = {r["filename"]: r["document_id"] for r in load_tables(spark, store, newest=True)["documents"].collect()}
     requests = tmp_path / "requests.json"
     requests.write_text(json.dumps({"question_id": "q", "question": "Who makes honey?", "document_ids": list(ids.values())}))
 
-    def answer(name):
-        jobs.ask(spark, store, str(requests), str(tmp_path / name), embedding_cache=str(tmp_path / "vectors"),
-                 index_path=lists, nprobe=2, threshold=0.1, width=64)
-        return json.loads(spark.read.json(str(tmp_path / name / "answers")).first()["json"])["answer"]
+    cache = str(tmp_path / "cache")
 
-    assert answer("one") == "Bees make honey in summer"
+    def answer(name):
+        jobs.ask(spark, store, str(requests), str(tmp_path / name), cache, lists, str(tmp_path / "vectors"), nprobe=2, threshold=0.1, width=64)
+        return json.loads(spark.read.json(str(tmp_path / name / "answers")).first()["json"])
+
+    first = answer("one")
+    assert first["answer"] == "Bees make honey in summer" and not first["cached"]
+    # It is the nearest of the three chunks, not a lucky one.
+    texts = {r["chunk_id"]: r["text"] for r in load_tables(spark, store, newest=True)["chunks"].collect()}
+    assert texts[first["sources"][0]["chunk_id"]] == "Bees make honey in summer."
+    assert answer("again")["cached"]
     gone = tmp_path / "gone.json"
     gone.write_text(json.dumps({"document_id": ids["notes.txt"]}))
     jobs.delete(spark, store, str(gone))
     left = load_tables(spark, store, newest=True)
     assert {n: t.where(F.col("document_id") == ids["notes.txt"]).count() for n, t in left.items()} == dict.fromkeys(left, 0)
     assert {n: t.count() for n, t in left.items()} == dict.fromkeys(left, 2)
-    assert answer("two") != "Bees make honey in summer"
-    assert spark.read.parquet(str(tmp_path / "vectors")).count() == 1
-    jobs.ingest(spark, str(uploads), store, "2", width=64)  # the batch brings it again
+    without = answer("two")
+    assert without["answer"] != "Bees make honey in summer" and not without["cached"]
+    assert spark.read.parquet(str(tmp_path / "vectors" / "entries")).count() == 1
+    # Listed again with other windows, the index has the new chunks only.
+    (uploads / "notes.txt").write_text("Bees make honey in summer.")
+    jobs.ingest(spark, str(uploads), store, "2", width=64, max_words=2, overlap=0)
     assert load_tables(spark, store, newest=True)["documents"].count() == 3
+    jobs.index(spark, store, lists, append=True)
+    chunks = {r["chunk_id"] for r in load_tables(spark, store, newest=True)["chunks"].collect()}
+    assert {r["chunk_id"] for r in load_index(spark, store, lists).vectors.collect()} == chunks and len(chunks) == 3 + 2 + 3
+    jobs.delete(spark, store, str(gone), [cache])  # the links name the answers that used it
+    assert spark.read.parquet(f"{cache}/dropped").count() == 1
+
+
+def test_a_store_keeps_to_the_width_of_its_model(spark, tmp_path):
+    uploads, store, cache = tmp_path / "uploads", str(tmp_path / "store"), str(tmp_path / "cache")
+    uploads.mkdir()
+    (uploads / "birds.txt").write_text("Owls hunt mice at night.")
+    jobs.ingest(spark, str(uploads), store, "1", width=64)
+    with pytest.raises(WidthMismatch):
+        jobs.ingest(spark, str(uploads), store, "2", width=32)
+    ids = [r["document_id"] for r in load_tables(spark, store)["documents"].collect()]
+    requests = tmp_path / "requests.json"
+    requests.write_text(json.dumps({"question_id": "q", "question": "When do owls hunt?", "document_ids": ids}))
+    jobs.ask(spark, store, str(requests), str(tmp_path / "answers"), cache, width=32)
+    rejected = spark.read.json(str(tmp_path / "answers" / "rejected")).collect()
+    assert [(r["question_id"], r["error"]) for r in rejected] == [("q", "the question's vector is 32 wide, no stored vector is")]
+    assert not (tmp_path / "cache").exists()
