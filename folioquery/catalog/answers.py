@@ -19,7 +19,6 @@ from folioquery.catalog.inputs import (
     unit_sql,
     uuid_of,
     uuid_sql,
-    words_sql,
 )
 from folioquery.operators import answering
 from folioquery.operators.embedding import HASH_MODEL, embed_chunks, embed_questions
@@ -191,15 +190,20 @@ def _prompts(spark: SparkSession, folder: str) -> DataFrame:
     return contexts.select("question_id", messages).select("question_id", "m.role", "m.content")
 
 
+def spoken_sql(text: str) -> str:
+    """Letters, marks and digits; what lies between parts them."""
+    return f"list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
 def _answers_sql(hits: str = "hit", questions: str = "q") -> str:
     """CTE answer (question_id, answer) of the extractive answerer."""
     return f"""
-asked AS (SELECT question_id, list_distinct({words_sql('lower(question)')}) AS ws FROM {questions}),
+asked AS (SELECT question_id, list_distinct({spoken_sql('question')}) AS ws FROM {questions}),
 parts AS (SELECT question_id, rank, {sentences_sql('text')} AS parts FROM {hits}),
 sent AS (SELECT question_id, rank, unnest(range(0, len(parts))) AS pos, unnest(parts) AS sentence FROM parts),
 scored AS (
   SELECT question_id, rank, pos, sentence,
-         len(list_intersect(ws, list_distinct({words_sql('lower(sentence)')}))) AS score
+         len(list_intersect(ws, list_distinct({spoken_sql('sentence')}))) AS score
   FROM sent JOIN asked USING (question_id) WHERE sentence <> ''),
 chosen AS (
   SELECT question_id, sentence, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank, pos) AS r FROM scored),

@@ -51,6 +51,11 @@ def words_sql(text: str) -> str:
     return f"list_filter(string_split_regex({text}, '{WS}+'), lambda x: x <> '')"
 
 
+def terms_sql(text: str) -> str:
+    """Runs of letters, marks and digits, lower-cased; control characters part nothing."""
+    return f"regexp_extract_all(lower(regexp_replace({text}, '{CONTROL}', '', 'g')), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
+
+
 def trim_sql(text: str) -> str:
     return f"regexp_replace({text}, '^{WS}+|{WS}+$', '', 'g')"
 
@@ -81,7 +86,7 @@ def chunks_sql(max_words: int = 400, overlap: int = 80, name: str = "c") -> str:
 def hashed_sql(source: str, keys: str, text: str, name: str) -> str:
     """CTE of signed feature hashing in long form: (keys, bucket, value)."""
     return f"""
-{name}_words AS (SELECT {keys}, unnest({words_sql(f'lower({clean_sql(text)})')}) AS word FROM {source}),
+{name}_words AS (SELECT {keys}, unnest({terms_sql(text)}) AS word FROM {source}),
 {name} AS (
   SELECT {keys}, CAST(CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % {WIDTH} AS INTEGER) AS bucket,
          CAST(sum(CASE WHEN substr(md5(word), 9, 1) < '8' THEN 1 ELSE -1 END) AS BIGINT) AS value

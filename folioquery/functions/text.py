@@ -15,6 +15,8 @@ BULLET_LINE = "^[-*]"
 BULLET_LEAD = "^[-* ]+"
 # Sentence delimiters of the extractive summary and answer.
 SENTENCE_END = "[.!?\\n]+"
+# What lies between the terms that an embedder and an answerer compare.
+NO_TERM = "[^\\p{L}\\p{M}\\p{N}]+"
 PREVIEW_BYTES = 150
 ELLIPSIS = "..."
 ENRICHMENT_FORMAT = "Document: %s\n\n%s"
@@ -26,6 +28,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, WHITE_SPACE + "+"), "")
 
 
+def terms_text(text: Column) -> Column:
+    """Lower-cased runs of letters, marks and digits, with one blank between them."""
+    return F.lower(F.regexp_replace(text, NO_TERM, " "))
+
+
 def trim_space(text: Column) -> Column:
     """Strip Unicode white space at both ends."""
     return F.regexp_replace(text, f"^{WHITE_SPACE}+|{WHITE_SPACE}+\\z", "")

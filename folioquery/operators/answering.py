@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioquery.functions.text import preview, sentences, words
+from folioquery.functions.text import preview, sentences, terms_text, words
 from folioquery.operators.embedding import MODEL_BATCH
 from folioquery.schemas import SOURCES
 
@@ -93,24 +93,25 @@ def prompt(context: Column, question: Column, instruction: str) -> Column:
     )
 
 
-def word_set(text: Column) -> Column:
-    return F.array_distinct(words(F.lower(text)))
+def term_set(text: Column) -> Column:
+    """The distinct terms of a text: a question mark is no part of the last word."""
+    return F.array_distinct(words(terms_text(text)))
 
 
 def extractive_answers(questions: DataFrame, hits: DataFrame) -> DataFrame:
-    """Built-in answerer: the context sentence that shares most words with the question.
+    """Built-in answerer: the context sentence that shares most terms with the question.
 
     Ties go to the better hit, then to the earlier sentence. Only the best sentence
     of each hit leaves the first stage: the minimum combines map-side.
     """
-    asked = questions.select("question_id", word_set(F.col("question")).alias("asked"))
+    asked = questions.select("question_id", term_set(F.col("question")).alias("asked"))
     scored = (
         hits.join(asked, "question_id")
         .select("question_id", "rank", "asked", F.explode(sentences(F.col("text"))).alias("s"))
         .select(
             "question_id",
             F.struct(
-                (-F.size(F.array_intersect("asked", word_set(F.col("s.sentence"))))).alias("order"),
+                (-F.size(F.array_intersect("asked", term_set(F.col("s.sentence"))))).alias("order"),
                 F.col("rank"),
                 F.col("s.pos").alias("pos"),
                 F.col("s.sentence").alias("sentence"),

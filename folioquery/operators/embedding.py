@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioquery.functions.keys import embedding_key
-from folioquery.functions.text import CONTROL_CHARACTERS, clean_text, words
+from folioquery.functions.isolation import call_isolated
+from folioquery.functions.text import CONTROL_CHARACTERS, clean_text, terms_text, words
 
 DEFAULT_WIDTH = 256
 HASH_MODEL = "feature-hash"
@@ -24,12 +25,11 @@ Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
 
 def spoken_text(text: Column) -> Column:
-    """Lower-cased text without control characters.
+    """The terms of a text, by blanks: its lower-cased runs of letters, marks and digits.
 
-    Its words are those of the cleaned text: trimming and collapsing blanks change
-    no word, so they are left out here.
+    The words of the chunks end at white space only and keep their marks; here "honey?" and "honey" are the same.
     """
-    return F.lower(F.regexp_replace(text, CONTROL_CHARACTERS, ""))
+    return terms_text(F.regexp_replace(text, CONTROL_CHARACTERS, ""))
 
 
 def hash_embed_sparse(df: DataFrame, keys: list[str], text: str, width: int = DEFAULT_WIDTH) -> DataFrame:
@@ -115,21 +115,40 @@ def hash_embed(df: DataFrame, text: str, width: int = DEFAULT_WIDTH) -> DataFram
     return prepared.mapInArrow(embed, schema)
 
 
+def _no_vector(vector: Sequence[float] | None) -> str | None:
+    return None if vector is not None and len(vector) else "the embedding model returned no vector"
+
+
+def _unit(vector: Sequence[float]) -> np.ndarray:
+    values = np.asarray(vector, dtype=np.float64)
+    return (values / (np.sqrt((values * values).sum()) or 1.0)).astype(np.float32)
+
+
 def embed_texts(
-    df: DataFrame, embed_fn: Embedder, key: str, text: str, keep: tuple[str, ...] = (), batch_size: int = MODEL_BATCH
+    df: DataFrame, embed_fn: Embedder, key: str, text: str, keep: tuple[str, ...] = (), batch_size: int = MODEL_BATCH,
+    isolate: bool = False,
 ) -> DataFrame:
     """Run a user model over cleaned texts in Arrow batches: (key, *keep, vector).
 
     Blank texts are dropped; a model that returns another number of vectors than
     it got texts fails the task. Rows stay attached to their key. Vectors are
-    L2-normalised, zero vectors are left as they are.
+    L2-normalised, zero vectors are left as they are. With `isolate` a text that the model
+    fails on gets no vector but an `error`, and does not fail the others.
     """
     carried = [key, *keep]
     prepared = df.select(*carried, clean_text(F.col(text)).alias("_text")).where("_text <> ''")
     schema = T.StructType([df.schema[c] for c in carried] + [T.StructField("vector", T.ArrayType(T.FloatType()))])
+    if isolate:
+        schema = schema.add("error", T.StringType())
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in _slices(whole, batch_size)):
+            if isolate:
+                tried = call_isolated(embed_fn, batch.column("_text").to_pylist(), _no_vector)
+                vectors = [None if v is None else _unit(v) for v, _ in tried]
+                results = [pa.array(vectors, pa.list_(pa.float32())), pa.array([e for _, e in tried], pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + results, names=schema.names)
+                continue
             matrix = np.asarray(embed_fn(batch.column("_text").to_pylist()), dtype=np.float64)
             if len(matrix) != batch.num_rows:
                 raise ValueError(f"expected {batch.num_rows} embeddings, got {len(matrix)}")

@@ -173,7 +173,28 @@ def test_asked_documents_reach_the_scans(spark, tables, tmp_path):
     assert {r["document_id"] for r in hits.collect()} == {DOC_A}
     scans = [line for line in plan.split("\n") if "FileScan" in line]
     assert len(scans) == 3 and all(DOC_A in line.split("PushedFilters")[1] for line in scans)
-    assert all("batch" in line.split("PartitionFilters")[1].split("PushedFilters")[0] for line in scans)
+
+
+def test_a_question_of_another_width_is_an_error(spark, tables):
+    asked = ask(spark, tables, QUESTIONS)
+    for widths in (None, [256]):
+        other = ask(spark, tables, QUESTIONS, embed_fn=lambda texts: [[1.0, 0.0, 0.0]] * len(texts), widths=widths)
+        assert other.answers.count() == 0 and other.cache_entries.count() == 0 and other.embedding_entries.count() == 0
+        wrong = {r["question_id"]: r["error"] for r in other.rejected.collect() if "wide" in r["error"]}
+        assert set(wrong) == {r["question_id"] for r in asked.answers.collect()}
+        assert set(wrong.values()) == {"the question's vector is 3 wide, no stored vector is"}
+
+
+def test_marks_do_not_hide_a_word(spark):
+    questions = spark.createDataFrame([("q", "Who makes Honey?")], "question_id string, question string")
+    text = "Engines burn fuel. Bees make (honey), in summer."
+    hits = spark.createDataFrame([("q", 1, "c", 0.5, text)], "question_id string, rank int, chunk_id string, similarity double, text string")
+    assert answering.extractive_answers(questions, hits).first()["answer"] == "Bees make (honey), in summer"
+    from folioquery.operators.embedding import embed_questions
+
+    rows = [(1, "honey?"), (2, "«Honey»"), (3, "honey"), (4, "?!")]
+    vectors = embed_questions(spark.createDataFrame(rows, "question_id int, question string"), width=16).orderBy("question_id").collect()
+    assert vectors[0]["vector"] == vectors[1]["vector"] == vectors[2]["vector"] and vectors[3]["vector"] is None
 
 
 def test_user_models_get_batches_of_bounded_size(spark):
