@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioquery.operators.maintenance import upsert
-from folioquery.session import materialize, run_folder
+from folioquery.operators.reuse import FAN, SENT_KEYS, SLICE_ROWS, reuse_by_rounds, reuse_by_slices
+from folioquery.session import materialize
 
 # --- fixed values -----------------------------------------------------------
 DEFAULT_TTL_SECONDS = 24 * 60 * 60
 # -----------------------------------------------------------------------------
 HOT_ROWS = 5_000_000  # asks of one key that one task may walk through
-FILES_PER_SLICE = 64
-SENT_KEYS = 100_000  # keys (with a small state each) that may be broadcast
+DENSE_ROWS = 5_000_000  # asks of one key within one TTL that one task may hold
 
 
 def seconds(n: int) -> Column:
@@ -109,89 +109,34 @@ def _walk(ttl_seconds: int):
 
 
 def reuse_within_ttl(
-    asks: DataFrame, ttl_seconds: int = DEFAULT_TTL_SECONDS, hot_rows: int = HOT_ROWS
+    asks: DataFrame, ttl_seconds: int = DEFAULT_TTL_SECONDS, hot_rows: int = HOT_ROWS, slice_rows: int = SLICE_ROWS, fan: int = FAN,
+    dense_rows: int = DENSE_ROWS,
 ) -> DataFrame:
     """asks(ask_id, key, ts) with `source_id` (the ask that computed the answer) and `reused`.
 
     The first ask of a key is computed; it answers every later ask before
     its time plus TTL; the next one after that is computed again. Keys of usual size
     are walked in time order, each in one task and in Arrow batches. Keys above
-    `hot_rows` take another way with the same result (`_reuse_hot`).
+    `hot_rows` are cut into time slices that many tasks work on (`operators/reuse.py`), with the same result.
+    What such a task holds grows with the asks within one TTL; keys with more than `dense_rows` of them go
+    from one TTL to the next instead, a distributed minimum each.
     """
     asks = asks.select("ask_id", "key", "ts")
     schema = T.StructType([*asks.schema.fields, T.StructField("source_id", asks.schema["ask_id"].dataType)])
+    window = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (ttl_seconds * 1_000_000)).alias("window")
+    counted = asks.groupBy("key", window).agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("dense"))
     # At most rows / hot_rows keys can be hot: a short list, written once.
-    hot = materialize(asks.groupBy("key").count().where(F.col("count") > hot_rows).select("key"), "hot-keys")
-    n_hot = hot.count()
-    usual = asks if n_hot == 0 else asks.join(hot, "key", "left_anti")
+    hot = counted.where(F.col("n") > hot_rows).select(F.col("key").alias("_hot"), (F.col("dense") > dense_rows).alias("dense"))
+    hot = materialize(hot, "hot-keys")
+    numbers = {r["dense"]: r["count"] for r in hot.groupBy("dense").count().collect()}
+    is_hot = F.col("key").eqNullSafe(F.col("_hot"))  # a NULL key is a key like others
+    usual = asks.join(hot, is_hot, "left_anti") if numbers else asks
     walked = usual.repartition("key").sortWithinPartitions("key", "ts", "ask_id").mapInPandas(
         _walk(ttl_seconds), schema
     )
-    if n_hot:
-        walked = walked.unionByName(
-            _reuse_hot(asks.join(_sent(hot, n_hot), "key", "left_semi"), n_hot, ttl_seconds)
-        )
+    for dense, n in numbers.items():
+        keys = hot.where("dense" if dense else "NOT dense")
+        own = asks.join(F.broadcast(keys) if n <= SENT_KEYS else keys, is_hot, "left_semi")
+        found = reuse_by_rounds(own, n, ttl_seconds) if dense else reuse_by_slices(own, ttl_seconds, slice_rows, fan)
+        walked = walked.unionByName(found)
     return walked.withColumn("reused", F.col("ask_id") != F.col("source_id"))
-
-
-def _sent(keyed: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table of counted size, or leave the choice to Spark beyond the bound."""
-    return F.broadcast(keyed) if rows <= SENT_KEYS else keyed
-
-
-def _reuse_hot(asks: DataFrame, n_hot: int, ttl_seconds: int) -> DataFrame:
-    """The same for keys with very many asks, one time slice of TTL length after the other.
-
-    A slice as long as the TTL holds at most one computed ask per key: the first one
-    at or after the expiry carried into the slice. That is a minimum, which combines
-    map-side however many asks the key has. The number of rounds depends on the time
-    span, not on the rows, and each round reads its own slice only.
-    """
-    spark = asks.sparkSession
-    ts_type = asks.schema["ts"].dataType
-    ttl_micros = ttl_seconds * 1_000_000
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    placed = asks.withColumn("at", at).withColumn("slice", F.floor(at / ttl_micros))
-    path = run_folder(spark, "asks-by-slice")
-    # A slice is spread over several files, whatever its keys are.
-    spread_out = placed.repartition("slice", F.pmod(F.xxhash64("ask_id"), F.lit(FILES_PER_SLICE)))
-    spread_out.write.partitionBy("slice").parquet(path)
-    placed = spark.read.schema(placed.schema).parquet(path)
-
-    states = run_folder(spark, "reuse-states")
-    carried = spark.createDataFrame([], _state_schema(asks, "source", "expires"))
-    slices = sorted(r["slice"] for r in placed.select("slice").distinct().collect())
-    for number in slices:
-        computed = (
-            placed.where(F.col("slice") == number)
-            .join(_sent(carried, n_hot), "key", "left")
-            .where(F.col("expires").isNull() | (F.col("at") >= F.col("expires")))
-            .groupBy("key")
-            .agg(F.min(F.struct("at", "ask_id")).alias("first"))
-            .select("key", F.col("first.ask_id").alias("own_source"),
-                    (F.col("first.at") + ttl_micros).alias("own_expires"))
-        )
-        state = carried.join(computed, "key", "full")
-        state.write.parquet(f"{states}/slice={number}")
-        state = spark.read.schema(state.schema).parquet(f"{states}/slice={number}")
-        carried = state.select(
-            "key", F.coalesce("own_source", "source").alias("source"),
-            F.coalesce("own_expires", "expires").alias("expires"),
-        )
-    fields = _state_schema(asks, "source", "expires").fields + _state_schema(asks, "own_source", "own_expires").fields[1:]
-    known = spark.read.schema(T.StructType([*fields, placed.schema["slice"]])).parquet(states)
-    still_live = F.col("at") < F.col("expires")
-    return placed.join(known, ["slice", "key"]).select(
-        "ask_id", "key", F.col("ts").cast(ts_type).alias("ts"),
-        F.when(still_live, F.col("source")).otherwise(F.col("own_source")).alias("source_id"),
-    )
-
-
-def _state_schema(asks: DataFrame, source: str, expires: str) -> T.StructType:
-    return T.StructType(
-        [
-            asks.schema["key"],
-            T.StructField(source, asks.schema["ask_id"].dataType),
-            T.StructField(expires, T.LongType()),
-        ]
-    )
