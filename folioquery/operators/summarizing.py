@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from folioquery.functions.isolation import call_isolated
 from folioquery.functions.text import (
     SENTENCE_END,
     WHITE_SPACE,
@@ -114,20 +115,34 @@ def extractive_summaries_relational(documents: DataFrame, partition: bool = True
     )
 
 
-def model_summaries(texts: DataFrame, summarize_fn: Summarizer) -> DataFrame:
-    """Run a user model over (document_id, content), MODEL_BATCH texts a call, and parse its responses."""
-    schema = T.StructType([texts.schema["document_id"], T.StructField("response", T.StringType())])
+def model_responses(texts: DataFrame, summarize_fn: Summarizer, isolate: bool = False) -> DataFrame:
+    """Run a user model over (document_id, content), MODEL_BATCH texts a call: document_id, response[, error].
+
+    A missing response fails the task; with `isolate` it is the error of its row, as is an exception of the model.
+    """
+    fields = [texts.schema["document_id"], T.StructField("response", T.StringType())]
+    schema = T.StructType(fields + [T.StructField("error", T.StringType())] * isolate)
+    nothing = "the summary model returned no response for some document"
 
     def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = (b.iloc[at : at + MODEL_BATCH] for b in batches for at in range(0, len(b), MODEL_BATCH))
         for batch in parts:
+            if isolate:
+                tried = call_isolated(summarize_fn, batch["content"].tolist(), lambda r: None if r else nothing)
+                columns = {"response": [r for r, _ in tried], "error": [e for _, e in tried]}
+                yield pd.DataFrame({"document_id": batch["document_id"].tolist(), **columns})
+                continue
             responses = summarize_fn(batch["content"].tolist())
             if len(responses) != len(batch) or any(not r for r in responses):
-                raise ValueError("the summary model returned no response for some document")
+                raise ValueError(nothing)
             yield pd.DataFrame({"document_id": batch["document_id"], "response": responses})
 
-    responses = texts.select("document_id", "content").mapInPandas(summarize, schema)
-    return parse_responses(responses)
+    return texts.select("document_id", "content").mapInPandas(summarize, schema)
+
+
+def model_summaries(texts: DataFrame, summarize_fn: Summarizer) -> DataFrame:
+    """Summaries and key points by a user model; a missing response fails the task."""
+    return parse_responses(model_responses(texts, summarize_fn))
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
