@@ -46,7 +46,7 @@ CACHED = 120_000
 FIRST = -(2**63)
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _random = np.random.default_rng(7)
-#: Random factors by place of a letter in its word and of a word in its line (repeating far out).
+#: Random factors by place of a letter in its word and of a word in its line, within a page of 4096 places.
 LETTERS, WORDS, WORDS_TOO = (_random.integers(0, 2**64, 4096, np.uint64) | np.uint64(1) for _ in range(3))
 
 
@@ -56,6 +56,14 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ values >> np.uint64(32)
 
 
+def factors(table: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Random factors by place: those of the table, times one of their own for every page but the first."""
+    own = table[place & 4095]
+    if len(place) and place.max() > 4095:
+        own = own * (mixed((place >> 12).astype(np.uint64)) | np.uint64(1))
+    return own
+
+
 @dataclass
 class Lines:
     """The lines with words of some texts."""
@@ -81,12 +89,12 @@ def split_lines(texts: list[str]) -> Lines:
         return Lines(none, none, *(none.astype(np.uint64),) * 2, none, none.astype(np.uint64))
     first = np.cumsum(sizes) - sizes
     place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-    word = mixed(np.add.reduceat((data[~blank].astype(np.uint64) + np.uint64(1)) * LETTERS[place & 4095], first))
+    word = mixed(np.add.reduceat((data[~blank].astype(np.uint64) + np.uint64(1)) * factors(LETTERS, place), first))
     at = np.searchsorted(np.flatnonzero(data == 10), starts)
     begin = np.flatnonzero(np.diff(at, prepend=-1))
     n = np.diff(begin, append=len(at))
-    place = (np.arange(len(at)) - np.repeat(begin, n)) & 4095
-    line, other = (mixed(np.add.reduceat(word * f[place], begin)) for f in (WORDS, WORDS_TOO))
+    place = np.arange(len(at)) - np.repeat(begin, n)
+    line, other = (mixed(np.add.reduceat(word * factors(f, place), begin)) for f in (WORDS, WORDS_TOO))
     before = np.cumsum([0] + [t.count("\n") + 1 for t in texts[:-1]])
     text = np.searchsorted(before, at[begin], side="right") - 1
     return Lines(text, at[begin] - before[text], line, other, n, word)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from folioquery.llm.common import whole_text
+from folioquery.llm.common import share, whole_text
 from folioquery.session import materialize
 
 SHINGLE = 3
@@ -59,7 +59,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, fp (the 64 bits as a long)."""
+    """docs(doc_id, text, ...) -> doc_id, text_hash, fp (the 64 bits as a long)."""
 
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             found = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
             yield pd.Series(found.view(np.int64))
 
-    return docs.select("doc_id", fp(whole_text()).alias("fp"))
+    return docs.select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), fp(whole_text()).alias("fp"))
 
 
 class Partitioning:
@@ -184,10 +184,10 @@ def choose_partitioning(sample: np.ndarray, total: int, distance: int) -> Partit
 
 def bucket_rows(points: DataFrame, partitioning: Partitioning, hot: DataFrame | None) -> DataFrame:
     """points(fp) -> part, value, fp, probe: index rows of every group, probe rows of the chosen keys."""
-    shared = points.sparkSession.sparkContext.broadcast(partitioning)
+    sent = share(points.sparkSession, partitioning)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan: Partitioning = shared.value
+        plan: Partitioning = sent()
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
             picked, _ = plan.thresholds(fps)
@@ -325,8 +325,8 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, fingerprint, component_id; a row per document."""
+def classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """docs(doc_id, text, ...) -> doc_id, text_hash, fp, root, component_id: rows with the class of their fingerprint."""
     rows = materialize(fingerprints(docs, shingle), "simhash")
     points = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-points")
     total = points.count()
@@ -339,16 +339,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     roots = components(edges)
     known = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = known.join(names, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(known.join(names, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """docs(doc_id, text, ...) -> doc_id, fingerprint, component_id; a row per document."""
+    found = classes(docs, shingle, distance)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The documents whose doc_id names their class, with all their columns, one row of each id.
+    """One document of each class, with all its columns: the one whose doc_id names the class.
 
-    Rows without doc_id stay: they cannot be told apart by an id.
+    Different texts may share a doc_id; they stay apart by their class, and of texts of one class and id the one of
+    the least hash stays, once. Rows without doc_id stay: they cannot be told apart by an id.
     """
-    stay = near_duplicates(docs, shingle, distance).where(F.col("doc_id") == F.col("component_id"))
-    ids = stay.select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(ids, F.col("doc_id") == F.col("_stay"), "left_semi").dropDuplicates(["doc_id"])
+    named = classes(docs, shingle, distance).where(F.col("doc_id") == F.col("component_id"))
+    stay = named.groupBy(F.col("doc_id").alias("_stay"), "root").agg(F.min("text_hash").alias("_hash")).drop("root").distinct()
+    own = docs.withColumn("_text_hash", F.xxhash64(whole_text()))
+    kept = own.join(stay, (F.col("doc_id") == F.col("_stay")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    kept = kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -165,6 +165,16 @@ def test_long_texts_are_split_between_lines():
         assert np.concatenate([getattr(p, name) for p in parts]).tolist() == getattr(whole, name).tolist()
 
 
+def test_far_places_have_factors_of_their_own(frame):
+    """Long words and long lines that differ only beyond the tables of factors."""
+    a, b = "a" * 4096, "b" * 4096
+    one, two = " ".join(["x"] * 4096 + ["y"] * 4096), " ".join(["y"] * 4096 + ["x"] * 4096)
+    parts = line_dedup.split_lines([a + b, b + a, one, two])
+    assert len(set(parts.line.tolist())) == len(set(parts.other.tolist())) == 4
+    kept = line_dedup.keep_first_lines(frame([(1, a + b), (2, b + a)]))
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == {1: a + b, 2: b + a}
+
+
 def test_stage_keeps_columns_and_nulls(docs):
     kept = line_dedup.keep_first_lines(docs)
     assert kept.columns == docs.columns
@@ -243,6 +253,14 @@ def test_links_equal_all_pairs(spark, monkeypatch, distance, bucket):
     assert same(got) == same(want)
 
 
+def test_different_texts_of_one_id_stay(frame):
+    texts = ["red apples fall from old trees", "grey wolves hunt in deep snow at night", "a third text that is not like them"]
+    rows = [(5, texts[0]), (5, texts[1]), (6, texts[2]), (5, texts[0]), (7, texts[1]), (None, texts[1]), (8, None), (8, "")]
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one_of_each(frame(rows)).collect()), key=repr)
+    assert [r for r in kept if r[0] != 8] == sorted([(5, texts[0]), (5, texts[1]), (6, texts[2]), (None, texts[1])], key=repr)
+    assert len([r for r in kept if r[0] == 8]) == 1
+
+
 def test_one_of_each_class_stays(docs, rows):
     kept = simhash.keep_one_of_each(docs)
     assert kept.columns == docs.columns
@@ -293,13 +311,35 @@ def test_fingerprints_query(spark, data, corpus):
     assert np.mean([r["near_edited"] for r in got]) > 2 * np.mean([r["near_next"] for r in got])
 
 
-def test_phrases_are_the_shortest_unknown_pieces():
-    phrases = []
-    rest = fingerprints.parse("abaababab", set(), "", phrases)
-    assert phrases == ["a", "b", "aa", "ba", "bab"] and rest == ""
-    long = []
-    fingerprints.parse("a" * 200_000, set(), "", long)
-    assert max(map(len, long)) == fingerprints.LONGEST
+def plain_signature(text):
+    """Phrases as strings, their hashes letter by letter, the least hashes one by one."""
+    known, phrase, phrases = set(), "", []
+    for letter in text:
+        phrase += letter
+        if phrase not in known:
+            known.add(phrase)
+            phrases.append(phrase)
+            phrase = ""
+    found = []
+    for phrase in phrases:
+        state = fingerprints.SEED
+        for letter in phrase:
+            state = ((state ^ ord(letter)) * fingerprints.STEP + fingerprints.SHIFT) % 2**64
+        state ^= state >> 29
+        state = state * 0xBF58476D1CE4E5B9 % 2**64
+        state ^= state >> 32
+        found.append((state * 0x94D049BB133111EB % 2**64) >> 32)
+    functions = zip(fingerprints.FACTORS.tolist(), fingerprints.OFFSETS.tolist(), strict=True)
+    return phrases, [min([(h * a + b) % 2**32 for h in found], default=2**32 - 1) % 2**16 for a, b in functions]
+
+
+def test_signatures_equal_plain_python():
+    assert plain_signature("abaababab")[0] == ["a", "b", "aa", "ba", "bab"]
+    for text in ["", "a", "abaababab", "a" * 50_000, "ünï 日本語 😀 " * 30, "the cat sat on the mat " * 9]:
+        assert fingerprints.text_signature(text).tolist() == plain_signature(text)[1]
+    states = [fingerprints.SEED]
+    fingerprints.parse("a" * 200_000, {}, states, 0)
+    assert len(states) - 1 == 631  # phrases of 1, 2, 3 ... letters, as long as they come
 
 
 def test_empty_tables(empty):
