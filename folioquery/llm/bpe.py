@@ -7,6 +7,9 @@ the position of its pre-tokens. Decoding looks the ids up in the token-byte tabl
 many rows as the vocabulary and is sent to the tasks. Requests and answers are packed: one row per
 block and partition of words, so a frequent word is one entry of each block, whatever its count.
 
+The documents are read twice, so rows that do not come straight from files are written first: both reads must see the
+same blocks. Pre-tokens are split as the libraries split them (`token_counts.odd_characters`).
+
 Null counts as the empty text, which has no ids. Repeated rows and copies are encoded like others;
 equal texts give equal results. An empty table gives no rows. Only doc_id and text are read.
 """
@@ -15,25 +18,22 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from folioquery.llm.common import blocks, pack_documents, squeeze, text_bytes, unsqueeze
-from folioquery.llm.token_counts import pre_tokens
+from folioquery.llm.common import blocks, pack_documents, squeeze, stable, text_bytes, unsqueeze
+from folioquery.llm.token_counts import Splitter, odd_characters, pre_tokens
 
 SHARE_BYTES = 8 << 20  # text per partition of words
 
 
-@lru_cache(maxsize=2)
 def ranks_of(path: str) -> dict[bytes, int]:
     with open(path, "rb") as file:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
@@ -41,26 +41,26 @@ def ranks_of(path: str) -> dict[bytes, int]:
 
 def token_bytes(path: str) -> list[bytes]:
     """The token-byte table, by id."""
-    table = [b""] * (max(ranks_of(path).values(), default=-1) + 1)
-    for token, rank in ranks_of(path).items():
+    ranks = ranks_of(path)
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
         table[rank] = token
     return table
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
 
 
-def word_requests(docs: DataFrame, pattern: str, shares: int) -> DataFrame:
+def word_requests(docs: DataFrame, pattern: str, odd: str, shares: int) -> DataFrame:
     """(share, block, words BINARY): the distinct words of each block, by the partition that encodes them."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = regex.compile(pattern)
+        splitter = Splitter(pattern, odd)
         for block, _, texts in blocks(batches):
             distinct: set[str] = set()
             for text in texts:
-                for chunk in pre_tokens(words, text):
+                for chunk in pre_tokens(splitter.of(text), text):
                     distinct.update(chunk)
             dealt: dict[int, list[str]] = {}
             for word in distinct:
@@ -146,8 +146,9 @@ def _assemble(
     spark = docs.sparkSession
     id_field = docs.schema["doc_id"].dataType
     names = ["doc_id", *(c.split(" ")[0] for c in columns.split(", "))]
+    docs, odd = stable(docs.select("doc_id", "text")), odd_characters()
     shares = max(1, -(-text_bytes(docs) // SHARE_BYTES))
-    answers = encode_requests(word_requests(docs, pattern, shares), ranks, pattern, shares)
+    answers = encode_requests(word_requests(docs, pattern, odd, shares), ranks, pattern, shares)
     # The table has one row per token of the vocabulary.
     shared = spark.sparkContext.broadcast(token_bytes(ranks))
     rows = pack_documents(docs).select("block", "docs", F.lit(None).cast("binary").alias("words"), F.lit(None).cast("binary").alias("ids"))
@@ -156,7 +157,7 @@ def _assemble(
     dealt = rows.repartition("block").sortWithinPartitions("block", F.col("docs").isNotNull())
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, table, id_type = regex.compile(pattern), shared.value, to_arrow_type(id_field)
+        splitter, table, id_type = Splitter(pattern, odd), shared.value, to_arrow_type(id_field)
         current, codes = None, {}
         for batch in batches:
             for block, packed, own, ids in zip(*(batch.column(n).to_pylist() for n in ("block", "docs", "words", "ids")), strict=True):
@@ -173,8 +174,11 @@ def _assemble(
                 doc_ids, texts = unsqueeze(packed)
                 done, held, out = 0, 0, []
                 for i, text in enumerate(texts):
-                    parts = ([codes[w] for w in chunk] for chunk in pre_tokens(words, text) if chunk)
-                    out.append(finish(parts))
+                    parts = ([codes[w] for w in chunk] for chunk in pre_tokens(splitter.of(text), text) if chunk)
+                    try:
+                        out.append(finish(parts))
+                    except KeyError as word:
+                        raise RuntimeError(f"no answer for {word} in block {block}: the input changed between two reads") from word
                     held += len(text)
                     if held > 4_000_000 or i == len(texts) - 1:
                         results = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]

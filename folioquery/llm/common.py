@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioquery.session import materialize
+
 BLOCK_CHARS = 12_000_000  # characters of text in one packed block; a longer text is a block of its own
 BATCH_ROWS = 1000
 BATCH_BYTES = 32 * 1024 * 1024
@@ -37,6 +40,28 @@ def text_bytes(docs: DataFrame) -> int:
     return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Send a value of bounded size to the tasks; the result gives it there, on executors without this package too."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(shared.value)
+
+
+def stable(docs: DataFrame) -> DataFrame:
+    """The rows such that every read gives the same ones in the same order.
+
+    A scan of files, filtered and projected, is read as it is. Anything else, above all rows that come from a
+    shuffle, is written once.
+    """
+
+    def plain(node) -> bool:
+        kind, children = node.getClass().getSimpleName(), node.children()
+        if kind in ("Project", "Filter"):
+            return node.deterministic() and plain(children.apply(0))
+        return kind == "LogicalRelation"
+
+    return docs if plain(docs._jdf.queryExecution().optimizedPlan()) else materialize(docs, "stable-input")
+
+
 def squeeze(value: object) -> bytes:
     """Any plain value (lists, strings, numpy arrays) as compressed bytes."""
     return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(value, protocol=5))
@@ -49,7 +74,7 @@ def unsqueeze(blob: bytes) -> object:
 def blocks(batches: Iterable[pa.RecordBatch], chars: int = BLOCK_CHARS) -> Iterator[tuple[int, list, list[str]]]:
     """Cut the rows (doc_id, text) of a task into blocks: (block id, doc ids, texts).
 
-    The block id is a hash of the content, so two passes over the same rows name the same
+    The block id is a hash of the content, so two passes over the same rows in the same order (`stable`) name the same
     blocks, wherever and however often they run; equal ids mean equal content.
     """
     ids: list = []

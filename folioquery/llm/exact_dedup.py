@@ -14,7 +14,6 @@ An empty table gives no rows. Only doc_id and text are read, so other columns ca
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,6 @@ HUGE_BYTES = 8 << 20  # longer texts are hashed by several tasks
 NO_ID = -(2**63)
 
 
-@lru_cache(maxsize=4)
 def powers(prime: int, size: int) -> np.ndarray:
     """BASE**0 .. BASE**(size-1) modulo the prime, by doubling."""
     table = np.ones(1, np.int64)

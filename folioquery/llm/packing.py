@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -40,7 +39,6 @@ FIT_ROUNDS = 600
 OTHER_SCRIPT = regex.compile(r"[^\x00-ɏ]")
 
 
-@lru_cache(maxsize=2)
 def encoders(tokenizer: str, ranks: str, pattern: str) -> tuple[Tokenizer, tiktoken.Encoding, tuple[str, ...]]:
     library = Tokenizer.from_file(tokenizer)
     specials = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
@@ -49,13 +47,13 @@ def encoders(tokenizer: str, ranks: str, pattern: str) -> tuple[Tokenizer, tikto
     return library, tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={}), tuple(specials)
 
 
-def token_ids(texts: list[str], tokenizer: str, ranks: str, pattern: str) -> Iterator[list[int]]:
-    """Ids of `tokenizer` without added tokens.
+def token_ids(texts: list[str], loaded: tuple[Tokenizer, tiktoken.Encoding, tuple[str, ...]]) -> Iterator[list[int]]:
+    """Ids of the tokenizer without added tokens; `loaded` are its `encoders`.
 
     Latin texts without its special strings go through the rank file of the same vocabulary,
     which gives the same ids in a quarter of the time; all others through the tokenizer itself.
     """
-    library, quick, specials = encoders(tokenizer, ranks, pattern)
+    library, quick, specials = loaded
     for text in texts:
         if OTHER_SCRIPT.search(text) or any(s in text for s in specials):
             yield library.encode(text, add_special_tokens=False).ids
@@ -71,11 +69,12 @@ def cut_documents(docs: DataFrame, tokenizer: str, ranks: str, pattern: str, cap
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
+        loaded = encoders(tokenizer, ranks, pattern)
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             index: list[int] = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for row, ids in enumerate(token_ids(texts, tokenizer, ranks, pattern)):
+            for row, ids in enumerate(token_ids(texts, loaded)):
                 flat = np.array([*ids, END_ID], "<u4")
                 head = len(flat) % capacity or capacity
                 for piece, end in enumerate(range(head, len(flat) + 1, capacity)):

@@ -13,8 +13,9 @@ documents meet again by block. Perplexity is the exponential of the mean negativ
 
 Trusted text is split by a hash of the text: a quarter sets the thresholds and is never counted, since
 counted text looks better than it is. A document is rejected if its perplexity is above the
-quantile of the held-out trusted documents of its language; languages with few of them, and null
-languages, take the quantile of all. Without trusted text nothing is rejected.
+quantile of the held-out trusted documents of its language. That of n documents is drawn to the quantile of all
+by a weight of FEW documents, so that a language with few of them has no threshold by chance; null languages take
+the quantile of all. Without trusted text nothing is rejected.
 
 Null and empty texts have one unit, the end of the text. Equal texts have equal perplexity and
 verdicts within a language. An empty table gives no rows. Of the documents doc_id, text and lang are read.
@@ -34,12 +35,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from folioquery.llm.common import blocks, pack_documents, slices, squeeze, text_bytes, unsqueeze, whole_text
+from folioquery.llm.common import blocks, pack_documents, slices, squeeze, stable, text_bytes, unsqueeze, whole_text
 from folioquery.session import materialize
 
 ORDER = 4
 QUANTILE = 0.995
-FEW = 50  # held-out trusted documents that a language needs for a threshold of its own
+FEW = 50  # held-out trusted documents of a language that weigh as much as those of all languages
 FOLDS = 4
 BITS = 12
 EDGE = 1  # stands before a text and after it
@@ -250,6 +251,7 @@ def log_probabilities(keys: np.ndarray, known: np.ndarray, logp: np.ndarray, spa
 def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
     """docs(doc_id, text) -> doc_id, text_hash, n_units, perplexity; a row per document."""
     id_field = docs.schema["doc_id"].dataType
+    docs = stable(docs.select("doc_id", "text"))  # read twice: both reads must see the same blocks
     shards = max(1, -(-text_bytes(docs) // SHARE_BYTES))
     found = answers(requests(docs, order, shards), model, shards)
     rows = pack_documents(docs).select("block", "docs", F.lit(None).cast("binary").alias("found"))
@@ -267,8 +269,9 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataF
                     steps, logp, spare = unsqueeze(reply)
                     parts.append((np.cumsum(steps), logp, spare))
                     continue
-                none = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
-                known = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else none
+                if not parts:  # each block asks at least for the empty context, and every request is answered
+                    raise RuntimeError(f"no answer for block {block}: the input changed between two reads")
+                known = [np.concatenate(c) for c in zip(*parts, strict=True)]
                 sort = np.argsort(known[0])
                 known = [c[sort] for c in known]
                 ids, texts = unsqueeze(packed)
@@ -336,8 +339,9 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: floa
     held = judged.where("calibrates").join(trusted, "doc_id", "left_semi")
     limit = F.percentile_approx("perplexity", quantile, 10_000)
     own = held.groupBy("lang").agg(limit.alias("own"), F.count(F.lit(1)).alias("n"))
-    own = own.where((F.col("n") >= FEW) & F.col("lang").isNotNull()).select("lang", "own")
     overall = held.agg(limit).first()[0]
+    drawn = F.exp((F.col("n") * F.log("own") + FEW * F.log(F.lit(overall).cast("double"))) / (F.col("n") + FEW))
+    own = own.where(F.col("lang").isNotNull()).select("lang", drawn.alias("own"))
     threshold = F.coalesce(F.col("own"), F.lit(overall).cast("double"))
     return judged.join(own, "lang", "left").select(
         "doc_id",

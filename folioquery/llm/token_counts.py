@@ -4,15 +4,20 @@ The pre-tokens of a batch lie one after the other in one numpy array of symbols.
 every pre-token finds its lowest-ranked pair and merges all places of that pair at once;
 pre-tokens without a known pair leave the array. The symbols that are left are the tokens.
 
-Null and empty texts have no tokens. Rows, ties and copies are independent of each other:
-the count is a function of the text alone. An empty table gives no rows.
+Pre-tokens are those of the tokenizers library. Its Unicode tables may be older than those of the regular expressions
+here; characters that only the newer tables call letters or digits are found once, by asking the library, and texts that
+hold some are split by a pattern without them.
+
+Null and empty texts have no tokens. Very long texts are split in parts of bounded size. Rows, ties and copies are independent of each other:
+the count is a function of the text alone. An empty table gives no rows. Only doc_id and text are read, so other columns
+cannot clash.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -80,9 +85,47 @@ class Merger:
         return np.bincount(self.merge(words)[0], minlength=len(words))
 
 
-@lru_cache(maxsize=2)
+def odd_characters() -> str:
+    """Characters that are letters or digits here and not in the tokenizers library, as ranges of a character class.
+
+    All letters stand in one line after a letter (digits after a digit): the library cuts it where its own class
+    changes, so one character of each piece tells the class of the piece.
+    """
+    from tokenizers import pre_tokenizers
+
+    library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    everything = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    ranges = []
+    for known, kind in (("a", r"\p{L}+"), ("1", r"\p{N}+")):
+        line = known + "".join(regex.findall(kind, everything))
+        for _, (start, end) in library.pre_tokenize_str(line):
+            piece = line[max(start, 1) : end]
+            if piece and len(library.pre_tokenize_str(known + piece[0])) > 1:
+                at = 0
+                while at < len(piece):
+                    stop = at
+                    while stop + 1 < len(piece) and ord(piece[stop + 1]) == ord(piece[stop]) + 1:
+                        stop += 1
+                    ranges.append(f"\\U{ord(piece[at]):08X}-\\U{ord(piece[stop]):08X}")
+                    at = stop + 1
+    return "".join(ranges)
+
+
+class Splitter:
+    """The splitting rule for a text."""
+
+    def __init__(self, pattern: str, odd: str) -> None:
+        self.usual = regex.compile(pattern)
+        self.odd = re.compile(f"[{odd}]") if odd else None
+        without = pattern.replace(r"\p{L}", rf"[\p{{L}}--[{odd}]]").replace(r"\p{N}", rf"[\p{{N}}--[{odd}]]")
+        self.other = regex.compile(without, regex.V1) if odd else self.usual
+
+    def of(self, text: str) -> regex.Pattern:
+        return self.other if self.odd is not None and self.odd.search(text) else self.usual
+
+
 def load(path: str) -> tuple[Merger, tuple[str, ...]]:
-    """The merges of a tokenizer file and its special strings, once per worker."""
+    """The merges of a tokenizer file and its special strings."""
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     vocab = spec["model"]["vocab"]
@@ -104,17 +147,16 @@ def pre_tokens(pattern: regex.Pattern, text: str) -> Iterator[list[str]]:
         yield chunk
 
 
-def count_tokens(texts: list[str], tokenizer: str, pattern: str, cache: dict[str, int]) -> list[int]:
+def count_tokens(texts: list[str], loaded: tuple[Merger, tuple[str, ...]], splitter: Splitter, cache: dict[str, int]) -> list[int]:
     """Tokens of each text; `cache` holds the counts of pre-tokens seen before."""
-    merger, specials = load(tokenizer)
+    merger, specials = loaded
     split = regex.compile("|".join(map(regex.escape, specials))) if specials else None
-    words = regex.compile(pattern)
     totals = []
     for text in texts:
         parts = split.split(text) if split else [text]
         total = len(parts) - 1  # each special string is one token
         for part in parts:
-            for chunk in pre_tokens(words, part):
+            for chunk in pre_tokens(splitter.of(part), part):
                 fresh = list({w for w in chunk if w not in cache})
                 if len(cache) + len(fresh) > CACHED_WORDS:
                     cache.clear()
@@ -126,15 +168,14 @@ def count_tokens(texts: list[str], tokenizer: str, pattern: str, cache: dict[str
     return totals
 
 
-def count_batch(texts: list[str], tokenizer: str, pattern: str, cache: dict[str, int]) -> list[int]:
+def count_batch(texts: list[str], loaded: tuple[Merger, tuple[str, ...]], splitter: Splitter, cache: dict[str, int]) -> list[int]:
     """As `count_tokens`; the new pre-tokens of many texts are merged together first."""
-    merger, specials = load(tokenizer)
-    words = regex.compile(pattern)
+    merger, specials = loaded
     totals: list[int] = []
     for start, end in slices(texts):
         part = texts[start:end]
         if sum(map(len, part)) <= 4_000_000 and not any(s in t for s in specials for t in part):
-            found = [words.findall(t) for t in part]
+            found = [splitter.of(t).findall(t) for t in part]
             fresh = list({w for chunk in found for w in chunk if w not in cache})
             if len(cache) + len(fresh) > CACHED_WORDS:
                 cache.clear()
@@ -143,7 +184,7 @@ def count_batch(texts: list[str], tokenizer: str, pattern: str, cache: dict[str,
                 cache.update(zip(fresh, merger.counts([w.encode() for w in fresh]).tolist(), strict=True))
             totals += [sum(map(cache.__getitem__, chunk)) for chunk in found]
         else:
-            totals += count_tokens(part, tokenizer, pattern, cache)
+            totals += count_tokens(part, loaded, splitter, cache)
     return totals
 
 
@@ -152,12 +193,14 @@ def token_counts(docs: DataFrame, tokenizer: str, pattern: str, limit: int = LIM
 
     `tokenizer` is a byte-level BPE file that every executor can read, `pattern` its splitting rule.
     """
+    odd = odd_characters()
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache: dict[str, int] = {}
+        loaded, splitter = load(tokenizer), Splitter(pattern, odd)
         for texts in batches:
-            yield pd.Series(count_batch(texts.tolist(), tokenizer, pattern, cache), dtype="int64")
+            yield pd.Series(count_batch(texts.tolist(), loaded, splitter, cache), dtype="int64")
 
     counted = docs.select(
         "doc_id",

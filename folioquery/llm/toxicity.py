@@ -7,7 +7,8 @@ documents carry labels; the gradient through the noisy-or tells which sentences
 so that the trained model also locates the offending sentences.
 
 Null and empty texts have no sentence and score 0. Equal texts have equal scores; repeated rows
-are scored one by one. Without labels of both kinds the weights stay zero and nothing is toxic.
+are scored one by one, very long texts sentence by sentence like others. A document labelled both ways counts as toxic.
+Without labels of both kinds the weights stay zero and nothing is toxic.
 An empty table gives no rows. Other columns of the documents are never read.
 """
 
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import slices, whole_text
+from folioquery.llm.common import share, slices, whole_text
 
 THRESHOLD = 0.7
 SENTENCE_THRESHOLD = 0.5
@@ -172,13 +173,13 @@ def held_out() -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[str], list[int]]:
     """At most `per_class` labelled documents of each kind, chosen by a hash of the id."""
     known = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
-    known = known.where(~held_out())
+    known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = None
     for label in (0, 1):
         part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     # The picked ids are 2 * per_class rows at most, so they can be sent to the scan.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked.dropDuplicates(["doc_id"])), "doc_id").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     return [r["text"] or "" for r in rows], [r["toxic"] for r in rows]
 
@@ -189,15 +190,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 
 def toxic_score(docs: DataFrame, model: Model) -> Column:
     """The score of the text of a row as a column (0 to 1)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = share(docs.sparkSession, model)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = Words()
+        words, model_ = Words(), sent()
         for texts in batches:
             words = words.ready()
             whole = texts.tolist()
-            parts = [shared.value.score(whole[a:b], words) for a, b in slices(whole)]
+            parts = [model_.score(whole[a:b], words) for a, b in slices(whole)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return score(whole_text())
@@ -205,17 +206,17 @@ def toxic_score(docs: DataFrame, model: Model) -> Column:
 
 def offending_sentences(docs: DataFrame, model: Model) -> Column:
     """Sentences that make a document toxic: array of (start, end, score), by place."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = share(docs.sparkSession, model)
 
     @F.pandas_udf("array<struct<start:int,end:int,score:double>>")
     def locate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = Words()
+        words, model_ = Words(), sent()
         for texts in batches:
             words = words.ready()
             whole = texts.tolist()
-            scores = np.concatenate([shared.value.score(whole[a:b], words) for a, b in slices(whole)] or [np.zeros(0)])
+            scores = np.concatenate([model_.score(whole[a:b], words) for a, b in slices(whole)] or [np.zeros(0)])
             yield pd.Series(
-                [shared.value.offending(t, words) if s >= SENTENCE_THRESHOLD else [] for t, s in zip(whole, scores, strict=True)],
+                [model_.offending(t, words) if s >= SENTENCE_THRESHOLD else [] for t, s in zip(whole, scores, strict=True)],
                 dtype=object,
             )
 
@@ -225,17 +226,17 @@ def offending_sentences(docs: DataFrame, model: Model) -> Column:
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs(doc_id, text, ...), labels(doc_id, toxic, ...) -> doc_id, held_out, score, predicted, offending."""
     model = train(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = share(docs.sparkSession, model)
 
     @F.pandas_udf("score double, offending array<struct<start:int,end:int,score:double>>")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words = Words()
+        words, model_ = Words(), sent()
         for texts in batches:
             words = words.ready()
             whole = texts.tolist()
-            scores = np.concatenate([shared.value.score(whole[a:b], words) for a, b in slices(whole)] or [np.zeros(0)])
+            scores = np.concatenate([model_.score(whole[a:b], words) for a, b in slices(whole)] or [np.zeros(0)])
             places = [
-                shared.value.offending(t, words) if s >= SENTENCE_THRESHOLD else []
+                model_.offending(t, words) if s >= SENTENCE_THRESHOLD else []
                 for t, s in zip(whole, scores, strict=True)
             ]
             yield pd.DataFrame({"score": scores, "offending": pd.Series(places, dtype=object)})

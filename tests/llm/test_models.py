@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import rand
 
 import corpus_pipeline
 from folioquery.llm import line_dedup, quality, simhash, toxicity
@@ -143,6 +144,12 @@ def test_bad_documents_are_rejected_and_clean_ones_stay(graded):
     assert {r["doc_id"] for r in stage.collect()} == {i for i, k in kept.items() if k}
 
 
+def test_rows_in_another_order_at_every_read(frame, docs, rows):
+    model = quality.train(docs, 3)
+    want = sorted((tuple(r) for r in quality.perplexities(docs, model, 3).collect()), key=repr)
+    assert sorted((tuple(r) for r in quality.perplexities(frame(rows).orderBy(rand()), model, 3).collect()), key=repr) == want
+
+
 def test_without_trusted_text_all_stay(graded, labels, empty):
     docs, known = graded
     assert quality.keep_good(docs, labels([])).count() == 342

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql.functions import rand
 from tokenizers import Tokenizer
 
 from folioquery.llm import bpe, packing, token_counts
@@ -54,7 +55,8 @@ def test_merging_takes_overlapping_places_in_turn(library):
 def test_long_texts_are_counted_in_chunks(library, monkeypatch):
     monkeypatch.setattr(token_counts, "CHUNK", 50)
     text = "it's a long-ish text,  with   blanks\n\n and more " * 20
-    got = token_counts.count_tokens([text], TOKENIZER, PATTERN, {})
+    splitter = token_counts.Splitter(PATTERN, token_counts.odd_characters())
+    got = token_counts.count_tokens([text], token_counts.load(TOKENIZER), splitter, {})
     assert got == [len(library.encode(text, add_special_tokens=False).ids)]
 
 
@@ -144,3 +146,23 @@ def test_empty_tables(empty):
     assert token_counts.token_counts(empty, TOKENIZER, PATTERN).collect() == []
     assert bpe.encode_and_decode(empty, RANKS, PATTERN).collect() == []
     assert packing.pack_sequences(empty, TOKENIZER, RANKS, PATTERN).collect() == []
+
+
+def test_every_code_point_is_split_as_the_libraries_split_it(spark, library, ranks):
+    """Places where the class of a character decides; the two libraries and the pattern have tables of their own."""
+    characters = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0x30000, 0x110000, 251)]
+    texts = ["".join(f"a{c}a {c}1{c}{c} .{c}." for c in characters[i : i + 25]) for i in range(0, len(characters), 25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, TOKENIZER, PATTERN).collect()}
+    want = {i: len(e.ids) for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False))}
+    assert got == want
+    got = {r["doc_id"]: r["ids_sha256"] for r in bpe.encode_and_decode(docs, RANKS, PATTERN).select("doc_id", "ids_sha256").collect()}
+    assert got == {i: digests(ranks, t)[1] for i, t in enumerate(texts)}
+
+
+def test_rows_in_another_order_at_every_read(frame, rows, ranks):
+    """Rows from a shuffle may come in another order each time they are read."""
+    docs = frame(rows).orderBy(rand())
+    got = bpe.encode_and_decode(docs, RANKS, PATTERN).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(map(key, got)) == sorted(key((i, *digests(ranks, t))) for i, t in rows)
