@@ -1,14 +1,14 @@
 """Document fingerprints from Lempel-Ziv phrases, compared by minimum hashes.
 
 A text is parsed from the left into phrases, each the shortest piece that is not yet in the text's
-dictionary. The dictionary is a tree: a phrase is its parent and one letter, and so is its hash, so phrases of any length
-cost the same. What is left unfinished at the end is a phrase that is known already. Texts that would compress each other share phrases, so the likeness of two phrase sets,
+dictionary. Texts that would compress each other share phrases, so the likeness of two phrase sets,
 estimated by equal positions of their minimum-hash signatures, is likeness in the sense of
 compression. Every document is also compared with its edited text, whose second half comes from the
 next document by descending doc_id; for this the documents are dealt into ranges of doc_id once, and
 the first document of a range also goes to the range before it.
 
-Null counts as the empty text, which has no phrase and a signature of its own. Equal texts have equal
+Phrases are as long as they come: together they are no longer than the text, and the longest grows with its square root
+at most. Null counts as the empty text, which has no phrase and a signature of its own. Equal texts have equal
 fingerprints. Rows without doc_id come last; rows that share a doc_id are ordered by a hash of their
 text. The document after the last is the first, so a single document is its own next. An empty
 table gives no rows. Only doc_id and text are read.
@@ -25,58 +25,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import text_bytes, whole_text
+from folioquery.llm.common import slices, text_bytes, whole_text
 
 HASHES = 64
+UNIT = 1_000_000  # characters of phrases hashed at a time
 RANGE_BYTES = 8 << 20  # text per range of doc_ids
 MOST_RANGES = 50_000
 LAST = -(2**63)
-MASK = (1 << 64) - 1
-SEED, STEP, SHIFT = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9  # of the hash of a phrase
+BASE = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(9)
 FACTORS = _random.integers(0, 2**31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 OFFSETS = _random.integers(0, 2**32, HASHES, np.uint32)
 
 
-def parse(text: str, nodes: dict[int, int], states: list[int], node: int) -> int:
-    """Add the phrases of `text`, which goes on from the unfinished phrase `node`; what is unfinished now.
-
-    `nodes` gives the phrase that a phrase and a letter make, `states` the hash state of each phrase by number; number 0
-    is the empty phrase.
-    """
-    find, add = nodes.get, states.append
-    for letter in map(ord, text):
-        key = node << 21 | letter
-        found = find(key)
-        if found is None:
-            nodes[key] = len(states)
-            add(((states[node] ^ letter) * STEP + SHIFT) & MASK)
-            node = 0
-        else:
-            node = found
-    return node
-
-
-def hashes(states: list[int]) -> np.ndarray:
-    """A 32-bit hash of each phrase, the same on every machine."""
-    mixed = np.array(states, np.uint64)
+def parse(text: str, known: set[str], open_: str, phrases: list[str]) -> str:
+    """Append the phrases of `text`, which goes on from the unfinished phrase `open_`; what is unfinished now."""
+    add, append = known.add, phrases.append
+    for letter in text:
+        open_ += letter
+        if open_ not in known:
+            add(open_)
+            append(open_)
+            open_ = ""
+    return open_
+
+
+def hashes(phrases: list[str]) -> np.ndarray:
+    """A 32-bit hash of each phrase by its characters, the same on every machine."""
+    sizes = np.fromiter(map(len, phrases), np.int64, len(phrases))
+    codes = np.frombuffer("".join(phrases).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    ends = np.cumsum(sizes)
+    place = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
+    # Each character is mixed with its place in the phrase; sums modulo 2**64 don't overflow in numpy.
+    mixed = (codes + np.uint64(1)) * BASE + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0x94D049BB133111EB)
-    return (mixed >> np.uint64(32)).astype(np.uint32)
+    total = np.add.reduceat(mixed, ends - sizes)
+    total ^= total >> np.uint64(30)
+    total *= np.uint64(0x94D049BB133111EB)
+    return (total >> np.uint64(32)).astype(np.uint32)
 
 
-def least_hashes(states: list[int]) -> np.ndarray:
-    """The least of each of the hash functions over all phrases."""
-    least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(states), 20_000):
-        own = hashes(states[at : at + 20_000])
-        least = np.minimum(least, (own[:, None] * FACTORS[None, :] + OFFSETS[None, :]).min(0))
-    return least
+def parts(phrases: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring phrases of at most 20,000 phrases and about UNIT characters."""
+    for at in range(0, len(phrases), 20_000):
+        for start, end in slices(phrases[at : at + 20_000], UNIT):
+            yield at + start, at + end
 
 
-def signature(least: np.ndarray) -> np.ndarray:
+def signature(phrases: list[str]) -> np.ndarray:
+    """The low half of the least of each of the hash functions over all phrases."""
+    least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    for start, end in parts(phrases):
+        own = hashes(phrases[start:end])
+        least = np.minimum(least, (own[:, None] * FACTORS[None, :] + OFFSETS[None, :]).min(0))
     return (least & np.uint32(0xFFFF)).astype(">u2")
 
 
@@ -84,21 +87,21 @@ def both_signatures(text: str, donor: str) -> tuple[np.ndarray, np.ndarray, str]
     """Signatures of a text and of its edited text, and the edited text; their common half is parsed once."""
     half = len(text) // 2
     head, tail, new = text[: len(text) - half], text[len(text) - half :], donor[:half]
-    nodes: dict[int, int] = {}
-    states = [SEED]
-    open_ = parse(head, nodes, states, 0)
-    common, least = len(states), least_hashes(states[1:])
-    nodes_too, states_too = dict(nodes), list(states)
-    parse(tail, nodes, states, open_)
-    parse(new, nodes_too, states_too, open_)
-    own, edited = (signature(np.minimum(least, least_hashes(s[common:]))) for s in (states, states_too))
+    known: set[str] = set()
+    phrases: list[str] = []
+    open_ = parse(head, known, "", phrases)
+    known_too, phrases_too = set(known), list(phrases)
+    rest = parse(tail, known, open_, phrases)
+    rest_too = parse(new, known_too, open_, phrases_too)
+    own = signature(phrases + [rest] if rest else phrases)
+    edited = signature(phrases_too + [rest_too] if rest_too else phrases_too)
     return own, edited, head + new
 
 
 def text_signature(text: str) -> np.ndarray:
-    states = [SEED]
-    parse(text, {}, states, 0)
-    return signature(least_hashes(states[1:]))
+    phrases: list[str] = []
+    rest = parse(text, set(), "", phrases)
+    return signature(phrases + [rest] if rest else phrases)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
