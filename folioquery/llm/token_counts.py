@@ -108,7 +108,7 @@ def odd_characters() -> str:
                         stop += 1
                     ranges.append(f"\\U{ord(piece[at]):08X}-\\U{ord(piece[stop]):08X}")
                     at = stop + 1
-    return "".join(ranges)
+    return "".join(sorted(ranges))
 
 
 class Splitter:
@@ -117,11 +117,15 @@ class Splitter:
     def __init__(self, pattern: str, odd: str) -> None:
         self.usual = regex.compile(pattern)
         self.odd = re.compile(f"[{odd}]") if odd else None
+        # Most texts have no character as high as the lowest odd one; one range is looked through far faster than many.
+        self.high = re.compile(f"[^\\U00000000-\\U{int(odd[2:10], 16) - 1:08X}]") if odd else None
         without = pattern.replace(r"\p{L}", rf"[\p{{L}}--[{odd}]]").replace(r"\p{N}", rf"[\p{{N}}--[{odd}]]")
         self.other = regex.compile(without, regex.V1) if odd else self.usual
 
     def of(self, text: str) -> regex.Pattern:
-        return self.other if self.odd is not None and self.odd.search(text) else self.usual
+        if self.odd is None or text.isascii() or not self.high.search(text):
+            return self.usual
+        return self.other if self.odd.search(text) else self.usual
 
 
 def load(path: str) -> tuple[Merger, tuple[str, ...]]:
