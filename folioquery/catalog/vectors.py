@@ -16,6 +16,7 @@ from folioquery.operators.embedding import embedding_width_violations
 from folioquery.operators.ivf import build_inverted_file, inverted_file_of, list_reach, recall, top_k_ivf, top_k_ivf_exact
 from folioquery.operators.retrieval import attach_chunks, attach_summaries
 from folioquery.operators.similarity import similar_pairs, top_k, width_mismatches
+from folioquery.operators.threshold_join import threshold_join
 from folioquery.session import materialize, run_folder
 from folioquery.sources.files import read_table
 from folioquery.sources.index import build_index, open_index
@@ -44,6 +45,15 @@ def vector_questions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def label_means(stored: DataFrame) -> np.ndarray:
+    """The mean vector of each label, by label."""
+    places = stored.select("document_id", F.posexplode(F.col("vector").cast("array<double>")).alias("i", "x"))
+    means = places.groupBy("document_id", "i").agg(F.avg("x").alias("x"))
+    lists = means.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c"))
+    # As many rows as there are labels.
+    return np.array([[c["x"] for c in row["c"]] for row in lists.orderBy("document_id").collect()])
+
+
 QUESTIONS = """
 q AS (
   SELECT a.vec_id AS question_id, a.label AS one, b.label AS other,
@@ -125,6 +135,52 @@ def _similarity_join(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(pairs.drop("top_k"))
 
 
+@query("similarity_join_pruned", f"{_PAIRS} WHERE similarity >= {THRESHOLD}")
+def _similarity_join_pruned(spark: SparkSession, folder: str) -> DataFrame:
+    """The same through cells that bounds leave, on every table (most_share)."""
+    found = threshold_join(
+        vector_questions(spark, folder), stored_vectors(spark, folder), threshold=THRESHOLD, most_share=1.0,
+        broadcast_bytes=0, block_bytes=128 * 1024,
+    )
+    return rounded(found.pairs.drop("top_k"))
+
+
+HIGH = 0.7
+
+
+@query(
+    "similarity_join_reads",
+    f"""
+WITH {QUESTIONS},
+places AS (SELECT label, unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+means AS (SELECT label, i, avg(x) AS x FROM places GROUP BY ALL),
+pivots AS (SELECT label AS cell, list(x ORDER BY i) AS c FROM means GROUP BY label),
+member AS (
+  SELECT vec_id, cell, acos(least(1, list_cosine_similarity(CAST(embedding AS DOUBLE[]), c))) AS angle FROM embeddings, pivots
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), c) DESC, cell) = 1),
+cells AS (SELECT cell, c, min(angle) AS inside, max(angle) AS outside, count(*) AS n FROM member JOIN pivots USING (cell) GROUP BY ALL),
+gaps AS (
+  SELECT a.cell AS cell, b.cell AS near, sqrt(greatest(0, 2 - 2 * list_cosine_similarity(a.c, b.c))) AS gap FROM pivots a, pivots b),
+s AS (SELECT question_id, cell, list_cosine_similarity(qv, c) AS sim FROM q, pivots),
+best AS (
+  SELECT question_id, cell AS near, sim AS top FROM s QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY sim DESC, cell) = 1),
+least_angle AS (
+  SELECT question_id, cell, n, greatest(
+    0, acos(least(1, sim)) - outside, inside - acos(least(1, sim)),
+    CASE WHEN gap > 1e-6 THEN asin(least(1, (top - sim) / gap)) ELSE 0 END) AS angle
+  FROM s JOIN best USING (question_id) JOIN gaps USING (cell, near) JOIN cells USING (cell))
+SELECT question_id, CAST(count(*) FILTER (WHERE cos(angle) >= {HIGH} - 1e-6) AS INTEGER) AS cells_read,
+       CAST(coalesce(sum(n) FILTER (WHERE cos(angle) >= {HIGH} - 1e-6), 0) AS BIGINT) AS candidates
+FROM least_angle GROUP BY question_id""",
+)
+def _similarity_join_reads(spark: SparkSession, folder: str) -> DataFrame:
+    """How many cells and pairs the bounds leave to each question, around the mean vectors of the labels."""
+    stored = stored_vectors(spark, folder)
+    return threshold_join(
+        vector_questions(spark, folder), stored, threshold=HIGH, pivots=label_means(stored), most_share=1.0
+    ).reads
+
+
 @query(
     "cosine_pairs",
     """
@@ -217,11 +273,7 @@ SELECT question_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(similarity, 6
 def _ivf_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Lists around the mean vector of each label instead of k-means: three lists are probed."""
     stored = stored_vectors(spark, folder)
-    places = stored.select("document_id", F.posexplode(F.col("vector").cast("array<double>")).alias("i", "x"))
-    means = places.groupBy("document_id", "i").agg(F.avg("x").alias("x"))
-    lists = means.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c"))
-    # As many rows as there are labels.
-    centroids = np.array([[c["x"] for c in row["c"]] for row in lists.orderBy("document_id").collect()])
+    centroids = label_means(stored)
     index = inverted_file_of(stored, centroids)
     return rounded(top_k_ivf(vector_questions(spark, folder), index, nprobe=3, threshold=THRESHOLD, k=K))
 
