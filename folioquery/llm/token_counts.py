@@ -2,7 +2,9 @@
 
 The pre-tokens of a batch lie one after the other in one numpy array of symbols. In each round
 every pre-token finds its lowest-ranked pair and merges all places of that pair at once;
-pre-tokens without a known pair leave the array. The symbols that are left are the tokens.
+pre-tokens without a known pair leave the array. The symbols that are left are the tokens. A pass over a very long
+pre-token for each of its ranks would take time in the square of its length; the places of long ones are kept by rank
+instead, and only pairs beside a merge are looked up again.
 
 Pre-tokens are those of the tokenizers library. Its Unicode tables may be older than those of the regular expressions
 here; characters that only the newer tables call letters or digits are found once, by asking the library, and texts that
@@ -18,6 +20,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -31,6 +34,7 @@ from folioquery.llm.common import slices, whole_text
 LIMIT = 512
 NONE = np.int64(1 << 40)
 CACHED_WORDS = 300_000
+LONG_WORD = 2000  # bytes of a pre-token from which its places are kept by rank
 CHUNK = 200_000  # pre-tokens of one text that are held at a time
 
 
@@ -56,6 +60,10 @@ class Merger:
         word = np.repeat(np.arange(len(words)), sizes)
         symbol = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        long = (sizes >= LONG_WORD)[word]
+        if long.any():
+            done.append(self._merge_long(word[long], symbol[long]))
+            word, symbol = word[~long], symbol[~long]
         while len(symbol):
             rank = np.full(len(symbol), NONE)
             key = symbol[:-1] << 32 | symbol[1:]
@@ -81,6 +89,63 @@ class Merger:
             return word[:0], symbol[:0]
         return np.concatenate([w for w, _ in done]), np.concatenate([s for _, s in done])
 
+    def _merge_long(self, word: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `merge`, over a chain of symbols: the lowest rank of all is merged at all its places in each round.
+
+        Words do not depend on each other, so the lowest rank of all is the lowest of every word that has it.
+        """
+        n = len(symbol)
+        follows = np.r_[np.arange(1, n), -1]
+        follows[:-1][word[:-1] != word[1:]] = -1
+        before = np.full(n, -1)
+        before[follows[follows >= 0]] = np.flatnonzero(follows >= 0)
+        alive = np.ones(n, bool)
+        places: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def pairs(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Of the places with a known pair: place, number of the pair."""
+            left = left[alive[left] & (follows[left] >= 0)]
+            key = symbol[left] << 32 | symbol[follows[left]]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[at] == key
+            return left[known], at[known]
+
+        def note(left: np.ndarray) -> None:
+            left, at = pairs(left)
+            rank = self.ranks[at]
+            if not len(rank):
+                return
+            order = np.argsort(rank, kind="stable")
+            left, rank = left[order], rank[order]
+            first = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])
+            for r, own in zip(rank[first].tolist(), np.split(left, first[1:]), strict=True):
+                if r not in places:
+                    heappush(waiting, r)
+                places.setdefault(r, []).append(own)
+
+        note(np.arange(n))
+        while waiting:
+            lowest = heappop(waiting)
+            # Places noted earlier may have been merged away or have another neighbour by now.
+            place, at = pairs(np.unique(np.concatenate(places.pop(lowest))))
+            still = self.ranks[at] == lowest
+            place, at = place[still], at[still]
+            if not len(place):
+                continue
+            turn = np.arange(len(place))
+            turn -= np.maximum.accumulate(np.where(np.r_[True, place[1:] != follows[place[:-1]]], turn, 0))
+            place, at = place[turn % 2 == 0], at[turn % 2 == 0]
+            gone = follows[place]
+            symbol[place] = self.merged[at]
+            alive[gone] = False
+            follows[place] = follows[gone]
+            linked = follows[place] >= 0
+            before[follows[place[linked]]] = place[linked]
+            left = before[place]
+            note(np.unique(np.r_[place, left[left >= 0]]))
+        return word[alive], symbol[alive]
+
     def counts(self, words: list[bytes]) -> np.ndarray:
         return np.bincount(self.merge(words)[0], minlength=len(words))
 

@@ -2,6 +2,7 @@
 
 import base64
 from hashlib import sha256
+from time import process_time
 from zlib import crc32
 
 import numpy as np
@@ -52,6 +53,32 @@ def test_merging_takes_overlapping_places_in_turn(library):
     assert len(merger.counts([])) == 0
 
 
+def test_long_pre_tokens(library, monkeypatch):
+    """Places kept by rank give what passes over all symbols give, and what the library gives."""
+    rng = np.random.default_rng(5)
+    merger, _ = token_counts.load(TOKENIZER)
+    letters = np.array(list("etaoinshrdlucmfwypvbgkjqxz"))
+    words = ["".join(letters[(rng.random(n) ** 2 * 26).astype(int)]) for n in (1, 2, 3, 50, 400, 2500, 9000)]
+    words += ["a" * n for n in (1, 2, 3, 2001, 4096)] + ["ab" * 1500, "日本語" * 900, "=" * 3000, "aab" * 999 + "a"]
+    plain = [w.encode() for w in words]
+    want = [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+    assert merger.counts(plain).tolist() == want
+    monkeypatch.setattr(token_counts, "LONG_WORD", 1)
+    assert merger.counts(plain).tolist() == want
+    monkeypatch.setattr(token_counts, "LONG_WORD", 1 << 40)
+    assert merger.counts(plain[:6] + plain[7:]).tolist() == want[:6] + want[7:]
+
+
+def test_a_pre_token_of_a_megabyte_takes_seconds(library):
+    rng = np.random.default_rng(6)
+    word = "".join(np.array(list("abcdefghijklmnopqrstuvwxyz"))[rng.integers(0, 26, 1_000_000)])
+    merger, _ = token_counts.load(TOKENIZER)
+    start = process_time()
+    found = merger.counts([word.encode()]).tolist()
+    assert process_time() - start < 60
+    assert found == [len(library.encode(word, add_special_tokens=False).ids)]
+
+
 def test_long_texts_are_counted_in_chunks(library, monkeypatch):
     monkeypatch.setattr(token_counts, "CHUNK", 50)
     text = "it's a long-ish text,  with   blanks\n\n and more " * 20
