@@ -4,8 +4,8 @@ Documents are cut into blocks. Each block gives its distinct pre-tokens, dealt o
 word: all blocks' requests for a word meet in one partition, which encodes it once and answers
 every block. The answers join the documents of the block, and the ids of a text are put together by
 the position of its pre-tokens. Decoding looks the ids up in the token-byte table, which has as
-many rows as the vocabulary and is sent to the tasks. Requests and answers are packed: one row per
-block and partition of words, so a frequent word is one entry of each block, whatever its count.
+many rows as the vocabulary and is sent to the tasks. Requests and answers are packed, so a frequent word is one entry
+of each block, whatever its count, and routed in rounds (`routing`), so that their rows grow with the corpus and not its square.
 
 The documents are read twice, so rows that do not come straight from files are written first: both reads must see the
 same blocks. Pre-tokens are split as the libraries split them (`token_counts.odd_characters`).
@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from folioquery.llm.common import blocks, pack_documents, squeeze, stable, text_bytes, unsqueeze
+from folioquery.llm.common import blocks, pack_documents, stable, text_bytes, unsqueeze
+from folioquery.llm.routing import ANSWER, REQUEST, answer_row, answered, homeward, outward, request_row, ways
 from folioquery.llm.token_counts import Splitter, odd_characters, pre_tokens
 
-SHARE_BYTES = 8 << 20  # text per partition of words
+SHARE_BYTES = 8 << 20  # text per share of the words
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -52,8 +53,19 @@ def encoder(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
 
 
-def word_requests(docs: DataFrame, pattern: str, odd: str, shares: int) -> DataFrame:
-    """(share, block, words BINARY): the distinct words of each block, by the partition that encodes them."""
+def word_key(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode())
+
+
+def split_words(words: list[str], n: int) -> dict[int, list[str]]:
+    dealt: dict[int, list[str]] = {}
+    for word in words:
+        dealt.setdefault(word_key(word) % n, []).append(word)
+    return dealt
+
+
+def word_requests(docs: DataFrame, pattern: str, odd: str, each: int) -> DataFrame:
+    """(way, origin, crate): the distinct words of each block, in order, by their key modulo `each`."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(pattern, odd)
@@ -62,43 +74,34 @@ def word_requests(docs: DataFrame, pattern: str, odd: str, shares: int) -> DataF
             for text in texts:
                 for chunk in pre_tokens(splitter.of(text), text):
                     distinct.update(chunk)
-            dealt: dict[int, list[str]] = {}
-            for word in distinct:
-                dealt.setdefault(xxhash.xxh64_intdigest(word.encode()) % shares, []).append(word)
-            for share, own in dealt.items():
-                own.sort()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([share], pa.int32()), pa.array([block], pa.int64()), pa.array([squeeze(own)], pa.binary())],
-                    ["share", "block", "words"],
-                )
+            for way, own in split_words(sorted(distinct), each).items():
+                yield request_row(way, block, own)
 
-    return docs.select("doc_id", "text").mapInArrow(ask, "share int, block long, words binary")
+    return docs.select("doc_id", "text").mapInArrow(ask, REQUEST)
 
 
-def encode_requests(requests: DataFrame, ranks: str, pattern: str, shares: int) -> DataFrame:
-    """(block, words BINARY, ids BINARY): each distinct word of a partition is encoded once."""
+def encode_requests(requests: DataFrame, ranks: str, pattern: str, shares: int, levels: int) -> DataFrame:
+    """(origin, crate): each distinct word of a share is encoded once; words come back with the numbers and run of their ids."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks, pattern).encode_ordinary
         share, known = None, {}
+
+        def ids(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+            for word in words:
+                if word not in known:
+                    known[word] = np.array(encode(word), np.uint32)
+            found = [known[w] for w in words]
+            return words, np.array([len(x) for x in found], np.uint32), np.concatenate(found)
+
         for batch in batches:
-            rows = zip(*(batch.column(n).to_pylist() for n in ("share", "block", "words")), strict=True)
-            for own, block, packed in rows:
+            for own, origin, crate in zip(*(batch.column(n).to_pylist() for n in ("way", "origin", "crate")), strict=True):
                 if own != share:  # sorted by share: the words of one share are held at a time
-                    share, known = own, {}
-                words = unsqueeze(packed)
-                for word in words:
-                    if word not in known:
-                        known[word] = np.array(encode(word), np.uint32)
-                found = [known[w] for w in words]
-                ids = squeeze((np.array([len(x) for x in found], np.uint32), np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), pa.array([packed], pa.binary()), pa.array([ids], pa.binary())],
-                    ["block", "words", "ids"],
-                )
-
-    dealt = requests.repartition(shares, "share").sortWithinPartitions("share")
-    return dealt.mapInArrow(answer, "block long, words binary, ids binary")
+                    share = own
+                    known.clear()
+                yield answer_row(origin, answered(unsqueeze(crate), levels, ids))
+
+    return requests.repartition(shares, "way").sortWithinPartitions("way").mapInArrow(answer, ANSWER)
 
 
 def encode_and_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -147,29 +150,30 @@ def _assemble(
     id_field = docs.schema["doc_id"].dataType
     names = ["doc_id", *(c.split(" ")[0] for c in columns.split(", "))]
     docs, odd = stable(docs.select("doc_id", "text")), odd_characters()
-    shares = max(1, -(-text_bytes(docs) // SHARE_BYTES))
-    answers = encode_requests(word_requests(docs, pattern, odd, shares), ranks, pattern, shares)
+    each, levels = ways(max(1, -(-text_bytes(docs) // SHARE_BYTES)))
+    shares = each**levels
+    asked = outward(word_requests(docs, pattern, odd, each), each, levels, split_words)
+    answers = homeward(encode_requests(asked, ranks, pattern, shares, levels), each, levels)
     # The table has one row per token of the vocabulary.
     shared = spark.sparkContext.broadcast(token_bytes(ranks))
-    rows = pack_documents(docs).select("block", "docs", F.lit(None).cast("binary").alias("words"), F.lit(None).cast("binary").alias("ids"))
-    rows = rows.unionByName(answers.select("block", F.lit(None).cast("binary").alias("docs"), "words", "ids"))
+    rows = pack_documents(docs).select("block", "docs", F.lit(None).cast("binary").alias("crate"))
+    rows = rows.unionByName(answers.select(F.col("origin").alias("block"), F.lit(None).cast("binary").alias("docs"), "crate"))
     # Answers come before the documents of their block. Nothing is grouped: a task holds one block.
-    dealt = rows.repartition("block").sortWithinPartitions("block", F.col("docs").isNotNull())
+    dealt = rows.repartition(shares, "block").sortWithinPartitions("block", F.col("docs").isNotNull())
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, table, id_type = Splitter(pattern, odd), shared.value, to_arrow_type(id_field)
         current, codes = None, {}
         for batch in batches:
-            for block, packed, own, ids in zip(*(batch.column(n).to_pylist() for n in ("block", "docs", "words", "ids")), strict=True):
+            for block, packed, crate in zip(*(batch.column(n).to_pylist() for n in ("block", "docs", "crate")), strict=True):
                 if block != current:
                     current, codes = block, {}
                 if packed is None:
-                    sizes, flat = unsqueeze(ids)
-                    ends = np.cumsum(sizes).tolist()
-                    start = 0
-                    for word, end in zip(unsqueeze(own), ends, strict=True):
-                        codes[word] = decode(flat[start:end], table)
-                        start = end
+                    for words, sizes, flat in unsqueeze(crate):
+                        start = 0
+                        for word, end in zip(words, np.cumsum(sizes).tolist(), strict=True):
+                            codes[word] = decode(flat[start:end], table)
+                            start = end
                     continue
                 doc_ids, texts = unsqueeze(packed)
                 done, held, out = 0, 0, []

@@ -7,9 +7,9 @@ same 4094 classes by remainder. Counts are collected per task, summed by key, an
 built by joins: order by order, discounted counts plus the context's spare weight times the
 probability of the shorter n-gram.
 
-Scoring never sends the model anywhere whole. Documents are cut into blocks; each block asks every
-shard of the model for its distinct n-grams, the shard answers with what it has, and answers and
-documents meet again by block. Perplexity is the exponential of the mean negative log probability.
+Scoring never sends the model anywhere whole. Documents are cut into blocks; each block asks the shards of
+the model for its distinct n-grams, the shard answers with what it has, and answers and
+documents meet again by block. Requests and answers are routed in rounds (`routing`). Perplexity is the exponential of the mean negative log probability.
 
 Trusted text is split by a hash of the text: a quarter sets the thresholds and is never counted, since
 counted text looks better than it is. A document is rejected if its perplexity is above the
@@ -35,7 +35,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from folioquery.llm.common import blocks, pack_documents, slices, squeeze, stable, text_bytes, unsqueeze, whole_text
+from folioquery.llm.common import blocks, pack_documents, slices, stable, text_bytes, unsqueeze, whole_text
+from folioquery.llm.routing import ANSWER, REQUEST, answer_row, answered, homeward, outward, request_row, ways
 from folioquery.session import materialize
 
 ORDER = 4
@@ -160,8 +161,17 @@ def train(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return rows.groupBy("key").agg(F.max("logp").alias("logp"), F.max("spare").alias("spare"))
 
 
-def requests(docs: DataFrame, order: int, shards: int) -> DataFrame:
-    """(shard, block, keys BINARY): the distinct n-grams and contexts of each block, by shard of the model."""
+def split_keys(steps: np.ndarray, n: int) -> dict[int, np.ndarray]:
+    """Rising keys, held as steps, by the key modulo n."""
+    keys = np.cumsum(steps)
+    way = keys % n
+    order = np.argsort(way, kind="stable")
+    found, first = np.unique(way[order], return_index=True)
+    return {int(w): np.diff(own, prepend=0) for w, own in zip(found, np.split(keys[order], first[1:]), strict=True)}
+
+
+def requests(docs: DataFrame, order: int, each: int) -> DataFrame:
+    """(way, origin, crate): the distinct n-grams and contexts of each block, by the key modulo `each`."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, texts in blocks(batches):
@@ -176,34 +186,33 @@ def requests(docs: DataFrame, order: int, shards: int) -> DataFrame:
                 if m > 1:
                     wanted.append(tagged(np.unique(own >> BITS), m - 1))
             wanted = np.unique(np.concatenate(wanted))
-            shard = wanted % shards
-            for s in np.unique(shard):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([s], pa.int32()),
-                        pa.array([block], pa.int64()),
-                        pa.array([squeeze(np.diff(wanted[shard == s], prepend=0))], pa.binary()),
-                    ],
-                    ["shard", "block", "keys"],
-                )
+            for way, own in split_keys(np.diff(wanted, prepend=0), each).items():
+                yield request_row(way, block, own)
 
-    return docs.select("doc_id", "text").mapInArrow(ask, "shard int, block long, keys binary")
+    return docs.select("doc_id", "text").mapInArrow(ask, REQUEST)
 
 
-def answers(asked: DataFrame, model: DataFrame, shards: int) -> DataFrame:
-    """(block, found BINARY): keys that the model has with their two logs; a row per block and shard."""
-    rows = model.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "key", "logp", "spare")
-    nothing = {"long": "block", "binary": "keys"}
-    rows = rows.select("*", *(F.lit(None).cast(t).alias(n) for t, n in nothing.items()))
+def answers(asked: DataFrame, model: DataFrame, shards: int, levels: int) -> DataFrame:
+    """(origin, crate): keys that the model has with their two logs, in place of the keys asked for."""
+    rows = model.select(F.pmod("key", F.lit(shards).cast("long")).alias("way"), "key", "logp", "spare")
+    nothing = {"origin": "long", "crate": "binary"}
+    rows = rows.select("*", *(F.lit(None).cast(t).alias(n) for n, t in nothing.items()))
     both = rows.unionByName(asked.select("*", *(F.lit(None).cast(t).alias(n) for t, n in (("long", "key"), ("float", "logp"), ("float", "spare")))))
     # The rows of the model come before the requests of their shard.
-    dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", F.col("block").isNotNull())
+    dealt = both.repartition(shards, "way").sortWithinPartitions("way", F.col("origin").isNotNull())
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, parts, table = None, [], None
+
+        def found(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keys = np.cumsum(steps)
+            keys = keys[np.isin(keys, table[0], assume_unique=True)]
+            at = np.searchsorted(table[0], keys)
+            return np.diff(keys, prepend=0), table[1][at], table[2][at]
+
         for batch in batches:
-            numbers = batch.column("shard").to_numpy()
-            asks = np.array(batch.column("block").is_valid())
+            numbers = batch.column("way").to_numpy()
+            asks = np.array(batch.column("origin").is_valid())
             # Runs of equal shard and kind.
             edges = np.flatnonzero(np.r_[True, (numbers[1:] != numbers[:-1]) | (asks[1:] != asks[:-1])])
             for start, end in zip(edges, np.r_[edges[1:], len(numbers)], strict=True):
@@ -217,16 +226,10 @@ def answers(asked: DataFrame, model: DataFrame, shards: int) -> DataFrame:
                     table = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] + [np.zeros(0, np.float32)] * 2
                     order = np.argsort(table[0])
                     table = [c[order] for c in table]
-                for block, packed in zip(piece.column("block").to_pylist(), piece.column("keys").to_pylist(), strict=True):
-                    keys = np.cumsum(unsqueeze(packed))
-                    keys = keys[np.isin(keys, table[0], assume_unique=True)]
-                    at = np.searchsorted(table[0], keys)
-                    found = (np.diff(keys, prepend=0), table[1][at], table[2][at])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([block], pa.int64()), pa.array([squeeze(found)], pa.binary())], ["block", "found"]
-                    )
+                for origin, crate in zip(piece.column("origin").to_pylist(), piece.column("crate").to_pylist(), strict=True):
+                    yield answer_row(origin, answered(unsqueeze(crate), levels, found))
 
-    return dealt.mapInArrow(answer, "block long, found binary")
+    return dealt.mapInArrow(answer, ANSWER)
 
 
 def log_probabilities(keys: np.ndarray, known: np.ndarray, logp: np.ndarray, spare: np.ndarray, order: int) -> np.ndarray:
@@ -252,11 +255,12 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataF
     """docs(doc_id, text) -> doc_id, text_hash, n_units, perplexity; a row per document."""
     id_field = docs.schema["doc_id"].dataType
     docs = stable(docs.select("doc_id", "text"))  # read twice: both reads must see the same blocks
-    shards = max(1, -(-text_bytes(docs) // SHARE_BYTES))
-    found = answers(requests(docs, order, shards), model, shards)
+    each, levels = ways(max(1, -(-text_bytes(docs) // SHARE_BYTES)))
+    asked = outward(requests(docs, order, each), each, levels, split_keys)
+    found = homeward(answers(asked, model, each**levels, levels), each, levels)
     rows = pack_documents(docs).select("block", "docs", F.lit(None).cast("binary").alias("found"))
-    rows = rows.unionByName(found.select("block", F.lit(None).cast("binary").alias("docs"), "found"))
-    dealt = rows.repartition("block").sortWithinPartitions("block", F.col("docs").isNotNull())
+    rows = rows.unionByName(found.select(F.col("origin").alias("block"), F.lit(None).cast("binary").alias("docs"), F.col("crate").alias("found")))
+    dealt = rows.repartition(4 * each**levels, "block").sortWithinPartitions("block", F.col("docs").isNotNull())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         id_type = to_arrow_type(id_field)
@@ -266,8 +270,7 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataF
                 if block != current:
                     current, parts = block, []
                 if packed is None:
-                    steps, logp, spare = unsqueeze(reply)
-                    parts.append((np.cumsum(steps), logp, spare))
+                    parts += [(np.cumsum(steps), logp, spare) for steps, logp, spare in unsqueeze(reply)]
                     continue
                 if not parts:  # each block asks at least for the empty context, and every request is answered
                     raise RuntimeError(f"no answer for block {block}: the input changed between two reads")
