@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from folioquery.llm.common import squeeze, unsqueeze
 
-FAN = 256  # ways of one round at most
+FAN = 4096  # ways of one round at most: one round up to 32 GB of words, two up to 134 TB
 TRIP_BYTES = 16 << 20  # packed requests of one trip, beyond one row
 REQUEST = "way long, origin long, crate binary"
 ANSWER = "origin long, crate binary"
