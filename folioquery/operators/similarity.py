@@ -6,9 +6,13 @@ pairs themselves are never laid out as rows. Two placements of the same work:
 
 * few questions (their measured size is below a bound): the questions are sent to
   every task and the vectors are only scanned, not moved;
-* many questions: questions and vectors are cut into blocks of bounded size and
-  co-grouped. A scope (document, list) that holds a large share of the rows is cut
-  into several blocks on either side.
+* many questions: questions and vectors are laid in tiles, each a block of either side.
+  The vectors of small scopes (document, list) share a block, a scope that holds a large
+  share of them is cut into several. Blocks grow with the number of pairs up to a bound,
+  so that a row is copied to few tiles; a task streams the vectors past its questions.
+
+Products are taken in single precision, and pairs within its error of what counts are
+computed again in double precision, so the result is that of double precision.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import partial
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +38,15 @@ MIN_SIMILARITY = 0.7
 SCORE_DIGITS = 9  # similarities are compared after rounding, so that ties are ties
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_BYTES = 64 * 1024 * 1024
-QUESTIONS_PER_PRODUCT = 256
+TILE_BYTES = 64 * 1024 * 1024  # of the doubles of one side of a tile
+TILE_ROWS = 1024  # smaller tiles only where `block_bytes` allows less
+TILES_PER_CORE = 4
+TILE_PARTITIONS = 10_000  # more tiles than these share partitions
+UNCOUNTED_BYTES = 4 * 1024 * 1024  # questions of this size are sent without counting the vectors
+SENT_PAIRS = 250_000_000  # products for each core, up to which the questions are sent
+KEPT_PAIRS = 1_000_000  # best pairs that one task holds between cuts
+QUESTIONS_PER_PRODUCT, VECTORS_PER_PRODUCT = 512, 4096
+EXACT_PAIRS = 16_384  # computed again at a time
 COLLECTED_SCOPES = 50_000  # scope entries of all questions that are looked through for a literal filter
 PUSHED_SCOPES = 500  # distinct scopes that become a literal filter on the scan
 
@@ -76,23 +89,33 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 
 def candidates(
-    questions: np.ndarray, vectors: np.ndarray, floor: np.ndarray, k: int | None, id_rank
+    questions: np.ndarray, vectors: np.ndarray, near: tuple[np.ndarray, np.ndarray], floor: np.ndarray, k: int | None, id_rank
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers, column numbers and similarities of the pairs worth keeping.
 
-    Keeps similarities >= the floor of their question. With k, a product with many
-    such pairs is cut to the k best per question, where equal similarities are
-    ordered by id. Zero vectors have no similarity and never match.
+    Keeps similarities >= the floor of their question; `near` are both sides in single
+    precision. With k, a product with many such pairs is cut to the k best per question,
+    where equal similarities are ordered by id. Zero vectors have no similarity and never match.
     """
-    sims = np.round(questions @ vectors.T, SCORE_DIGITS)
-    sims[np.isnan(sims)] = -np.inf
-    keep = sims >= floor[:, None]
+    error = (questions.shape[1] + 8) * 2.0**-22  # of a single product of unit vectors, and of the floors
+    sims = near[0] @ near[1].T
+    keep = sims >= (floor - error).astype(np.float32)[:, None]
     n = sims.shape[1]
     many = k is not None and n > k and np.count_nonzero(keep) > 4 * k * len(questions)
     if many:
-        keep &= sims >= np.partition(sims, n - k, axis=1)[:, n - k][:, None]
-    rows, cols = np.nonzero(keep)
-    values = sims[rows, cols]
+        sims[np.isnan(sims)] = -np.inf
+        keep &= sims >= (np.partition(sims, n - k, axis=1)[:, n - k] - np.float32(2 * error))[:, None]
+    rows, cols = np.divmod(np.flatnonzero(keep), n)
+    if len(rows) * 16 > keep.size:
+        exact = (questions @ vectors.T)[rows, cols]
+    else:
+        exact = np.empty(len(rows))
+        for at in range(0, len(rows), EXACT_PAIRS):
+            part = slice(at, at + EXACT_PAIRS)
+            exact[part] = np.einsum("ij,ij->i", questions[rows[part]], vectors[cols[part]])
+    values = np.round(exact, SCORE_DIGITS)
+    right = values >= floor[rows]
+    rows, cols, values = rows[right], cols[right], values[right]
     if many:
         best = _k_best(rows, values, id_rank()[cols], k)
         rows, cols, values = rows[best], cols[best], values[best]
@@ -123,34 +146,46 @@ class _Search:
         self.ids = questions.column("question_id").combine_chunks()
         self.top_k = questions.column("top_k").combine_chunks()
         self.units = unit_rows(matrix_of(questions.column("vector"), width))
-        self.cells = _rows_by_cell(questions.column(cells).to_pylist()) if cells else None
+        self.near = self.units.astype(np.float32)
+        self.cells = _rows_by_cell(questions.column(cells)) if cells else None
         self.width, self.k, self.schema = width, k, schema
         self.floor = np.full(len(self.units), threshold)
         self.kept: list[pa.Table] = []
         self.n_kept = 0
-        self.n_room = max(200_000, 4 * (k or 0) * len(self.units))
+        self.n_room = max(200_000, 2 * (k or 0) * len(self.units))
 
     def add(self, batch: pa.RecordBatch, cell: str | None) -> Iterator[pa.RecordBatch]:
         vectors = unit_rows(matrix_of(batch.column("vector"), self.width))
+        near = vectors.astype(np.float32)
+        ranks: list[np.ndarray] = []  # of the ids of this batch, once they are needed
+
+        def id_rank() -> np.ndarray:
+            if not ranks:
+                ranks.append(_id_rank(batch.column("chunk_id")))
+            return ranks[0]
+
         payload = batch.select([name for name in self.schema.names if name in batch.schema.names])
-        for question_rows, vector_rows in self._meetings(batch, cell):
-            for start in range(0, len(question_rows), QUESTIONS_PER_PRODUCT):
-                part = question_rows[start : start + QUESTIONS_PER_PRODUCT]
-                rows, cols, values = candidates(
-                    self.units[part], vectors[vector_rows], self.floor[part], self.k,
-                    lambda: _id_rank(batch.column("chunk_id"))[vector_rows],
-                )
-                if not len(rows):
-                    continue
-                found = pa.Table.from_batches([payload.take(pa.array(vector_rows[cols]))])
-                found = found.append_column("row", pa.array(part[rows])).append_column("similarity", pa.array(values))
-                if self.k is None:
-                    yield from self._output(found)
-                else:
-                    self.kept.append(found)
-                    self.n_kept += len(rows)
-                    if self.n_kept > self.n_room:
-                        self._cut()
+        for question_rows, all_rows in self._meetings(batch, cell):
+            for vector_rows in _cut_up(all_rows, VECTORS_PER_PRODUCT):
+                own, own_near = vectors[vector_rows], near[vector_rows]
+                # Few vectors meet more questions at once, so that products are of similar size.
+                step = QUESTIONS_PER_PRODUCT * max(1, VECTORS_PER_PRODUCT // len(vector_rows))
+                for part in _cut_up(question_rows, step):
+                    rows, cols, values = candidates(
+                        self.units[part], own, (self.near[part], own_near), self.floor[part], self.k,
+                        lambda: id_rank()[vector_rows],
+                    )
+                    if not len(rows):
+                        continue
+                    found = pa.Table.from_batches([payload.take(pa.array(vector_rows[cols]))])
+                    found = found.append_column("row", pa.array(part[rows])).append_column("similarity", pa.array(values))
+                    if self.k is None:
+                        yield from self._output(found)
+                    else:
+                        self.kept.append(found)
+                        self.n_kept += len(rows)
+                        if self.n_kept > self.n_room:
+                            self._cut()
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         if self.kept:
@@ -190,12 +225,20 @@ class _Search:
         yield from pa.Table.from_arrays(arrays, names=self.schema.names).cast(self.schema).to_batches()
 
 
-def _rows_by_cell(cells: list) -> dict:
-    rows_of: dict = {}
-    for row, values in enumerate(cells):
-        for value in set(values if isinstance(values, list) else [values]) - {None}:
-            rows_of.setdefault(value, []).append(row)
-    return {value: np.array(rows) for value, rows in rows_of.items()}
+def _cut_up(rows: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    for start in range(0, len(rows), size):
+        yield rows[start : start + size]
+
+
+def _rows_by_cell(cells: pa.ChunkedArray) -> dict:
+    """The rows whose lists (without repeats) hold a value, by value."""
+    lists = cells.combine_chunks()
+    encoded = pc.list_flatten(lists).dictionary_encode()
+    codes = pc.fill_null(encoded.indices, -1).to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[order].astype(np.int32)
+    bounds = np.searchsorted(codes[order], np.arange(len(encoded.dictionary) + 1))
+    return {value: rows[bounds[i] : bounds[i + 1]] for i, value in enumerate(encoded.dictionary.to_pylist())}
 
 
 def similar_pairs(
@@ -218,6 +261,9 @@ def similar_pairs(
     best of a question; `rank_hits` ranks what the tasks give back. Vectors of different
     width have no similarity: a question meets the stored vectors of its own width,
     whatever else is in the batch; `width_mismatches` reports those that meet none.
+
+    Questions above `broadcast_bytes`, or with more products than the tasks of one scan should do,
+    are laid in tiles with the vectors. `block_bytes` lets a tile be smaller than TILE_ROWS.
     """
     size = size or measure_questions(questions)
     if len(size.widths) > 1:
@@ -232,7 +278,7 @@ def similar_pairs(
         return found
     top_k = F.col("top_k") if "top_k" in questions.columns else F.lit(k)
     wanted = questions.select(
-        "question_id", top_k.cast("int").alias("top_k"), "vector", *(["scopes"] if scope else [])
+        "question_id", top_k.cast("int").alias("top_k"), "vector", *([F.array_distinct("scopes").alias("scopes")] if scope else [])
     ).where(F.size("vector") == size.width)
     stored = vectors.select(
         "chunk_id", *carry, "vector", *([F.col(scope).alias("scope")] if scope else [])
@@ -248,11 +294,23 @@ def similar_pairs(
     if size.rows == 0 or size.width == 0:
         return questions.sparkSession.createDataFrame([], schema)
     search = partial(_Search, width=size.width, k=k, threshold=threshold, schema=to_arrow_schema(schema))
-    if size.n_bytes <= broadcast_bytes:
+    if size.n_bytes <= min(broadcast_bytes, UNCOUNTED_BYTES):
         return _with_sent_questions(wanted, stored, scope, size, search, schema)
     # Rows are counted without touching the vectors; the few of another width do not matter here.
     counted = vectors.select(F.col(scope).alias("scope") if scope else F.col("chunk_id"))
-    return _with_blocks(wanted, stored, counted, scope, size, block_bytes, search, schema)
+    n_vectors = counted.count()
+    cores = questions.sparkSession.sparkContext.defaultParallelism
+    few = size.rows * n_vectors <= SENT_PAIRS * cores and size.rows * (k or 1) <= KEPT_PAIRS
+    if few and size.n_bytes <= broadcast_bytes:
+        return _with_sent_questions(wanted, stored, scope, size, search, schema)
+    if n_vectors == 0:
+        return questions.sparkSession.createDataFrame([], schema)
+    # As many tiles as keep the cores busy, of equal sides, within the bounds of a tile.
+    block_rows, most = max(1, block_bytes // (8 * size.width)), max(1, TILE_BYTES // (8 * size.width))
+    least = min(TILE_ROWS, block_rows, most)
+    rows = min(max(isqrt(size.rows * n_vectors // (TILES_PER_CORE * cores)), least), most)
+    question_rows = min(rows, max(KEPT_PAIRS // k, 1)) if k else rows
+    return _with_tiles(wanted, stored, counted, scope, n_vectors, rows, question_rows, search, schema)
 
 
 def _with_sent_questions(wanted, stored, scope, size: QuestionSize, search, schema) -> DataFrame:
@@ -291,67 +349,106 @@ def _only_asked(wanted: DataFrame, stored: DataFrame, size: QuestionSize) -> Dat
     return stored.join(F.broadcast(scopes), "scope", "left_semi")
 
 
-def _with_blocks(wanted, stored, counted, scope, size: QuestionSize, block_bytes: int, search, schema) -> DataFrame:
-    block_rows = max(1, block_bytes // (8 * size.width))
+def _comparable(wanted: DataFrame, stored: DataFrame, counted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All three with scopes of one type, so that equal values have equal hashes."""
+    asked, own = wanted.schema["scopes"].dataType.elementType, stored.schema["scope"].dataType
+    if asked == own:
+        return wanted, stored, counted
+    kind = "bigint" if isinstance(asked, T.IntegralType) and isinstance(own, T.IntegralType) else "string"
+    own_scope = F.col("scope").cast(kind)
+    return (
+        wanted.withColumn("scopes", F.col("scopes").cast(f"array<{kind}>")),
+        stored.withColumn("scope", own_scope),
+        counted.withColumn("scope", own_scope),
+    )
 
-    def blocks(rows):
-        return F.greatest(F.ceil(rows / F.lit(block_rows)), F.lit(1)).cast("int")
 
+def _with_tiles(
+    wanted, stored, counted, scope, n_vectors: int, rows: int, question_rows: int, search, schema
+) -> DataFrame:
+    """Tiles of about `question_rows` questions and `rows` vectors, each in a partition of its own."""
+    spark, n_bins = wanted.sparkSession, -(-n_vectors // rows)
     if scope:
-        # One row per scope; joining it back is an equi-join with a unique side, in
-        # which adaptive execution splits a scope that many rows share.
-        asked = wanted.select("question_id", "top_k", "vector", F.explode(F.array_distinct("scopes")).alias("scope"))
-        counts = (
-            asked.groupBy("scope").agg(F.count("*").alias("n_questions"))
-            .join(counted.groupBy("scope").agg(F.count("*").alias("n_vectors")), "scope")
-            .select("scope", "n_questions", "n_vectors",
-                    blocks(F.col("n_questions")).alias("q_blocks"), blocks(F.col("n_vectors")).alias("v_blocks"))
+        wanted, stored, counted = _comparable(wanted, stored, counted)
+        # Scopes with many vectors have blocks of their own, the others share blocks by hash.
+        # As many large ones are collected as there are blocks, a few times over.
+        sizes = counted.where("scope IS NOT NULL").groupBy("scope").agg(F.count("*").alias("n"))
+        large = [(r["scope"], -(-r["n"] // rows)) for r in sizes.where(F.col("n") * 4 > rows).collect()]
+        kind, shared = stored.schema["scope"].dataType, n_bins
+        firsts = []
+        for _, pieces in large:
+            firsts.append(n_bins)
+            n_bins += pieces
+        own = [(value, first, pieces) for (value, pieces), first in zip(large, firsts)]
+        places = spark.createDataFrame(own, T.StructType([
+            T.StructField("scope", kind), T.StructField("first", T.IntegerType()), T.StructField("pieces", T.IntegerType())]))
+        by_hash = F.pmod(F.xxhash64("scope"), F.lit(shared)).cast("int")
+        piece = F.pmod(F.xxhash64("chunk_id"), F.col("pieces")).cast("int")
+        stored = stored.where("scope IS NOT NULL").join(F.broadcast(places), "scope", "left").withColumn(
+            "bin", F.coalesce(F.col("first") + piece, by_hash)
         )
-        volume = counts.agg(
-            F.sum(F.col("n_questions") * F.col("v_blocks") + F.col("n_vectors") * F.col("q_blocks"))
-        ).first()[0]
-        if volume is None:
-            return wanted.sparkSession.createDataFrame([], schema)
-        asked, stored = asked.join(counts, "scope"), stored.join(counts, "scope")
-    else:
-        n_vectors = counted.count()
-        n_q, n_v = -(-size.rows // block_rows), max(1, -(-n_vectors // block_rows))
-        volume = size.rows * n_v + n_vectors * n_q
-        parts = [F.lit("").alias("scope"), F.lit(n_q).alias("q_blocks"), F.lit(n_v).alias("v_blocks")]
-        asked, stored = wanted.select("*", *parts), stored.select("*", *parts)
-    # Small cells share a group, so that a group is about one block.
-    n_groups = max(wanted.sparkSession.sparkContext.defaultParallelism, -(-volume // block_rows))
-
-    def laid_out(side: DataFrame, own: str, own_id: str, other: str) -> DataFrame:
-        """Give each row its own block and a copy for every block of the other side."""
-        block = F.pmod(F.xxhash64(own_id), F.col(f"{own}_blocks"))
-        copies = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
-        placed = side.withColumn(f"{own}_block", block).withColumn(f"{other}_block", copies)
-        cell = F.concat_ws("|", F.col("scope").cast("string"), F.col("q_block"), F.col("v_block"))
-        return placed.withColumn("cell", cell).withColumn("group", F.pmod(F.xxhash64("cell"), F.lit(n_groups)))
+        blocks = {value: list(range(first, first + pieces)) for value, first, pieces in own}
+        of_large = F.map_from_arrays(
+            F.array(*[F.lit(v).cast(kind) for v in blocks]), F.array(*[F.lit(b) for b in blocks.values()])
+        ) if blocks else None
+
+        def bins_of(value):
+            hashed = F.array(F.pmod(F.xxhash64(value), F.lit(shared)).cast("int"))
+            return hashed if of_large is None else F.coalesce(F.try_element_at(of_large, value), hashed)
 
+        known = F.filter("scopes", lambda value: value.isNotNull())
+        asked = wanted.withColumn("bin", F.explode(F.array_distinct(F.flatten(F.transform(known, bins_of)))))
+    else:
+        stored = stored.withColumn("bin", F.pmod(F.xxhash64("chunk_id"), F.lit(n_bins)).cast("int"))
+        asked = wanted.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
+    tiles, n_tiles = [], 0
+    for row in asked.groupBy("bin").agg(F.count("*").alias("n")).orderBy("bin").collect():
+        tiles.append((row["bin"], n_tiles, -(-row["n"] // question_rows)))
+        n_tiles += tiles[-1][2]
+    if not tiles:
+        return spark.createDataFrame([], schema)
+    tiles = F.broadcast(spark.createDataFrame(tiles, "bin int, first_tile int, tiles int"))
+    own_tile = F.col("first_tile") + F.pmod(F.xxhash64("question_id"), F.col("tiles")).cast("int")
+    every_tile = F.explode(F.sequence(F.col("first_tile"), F.col("first_tile") + F.col("tiles") - 1))
     # The names differ on the two sides, because both may come from the same table.
-    left = laid_out(asked, "q", "question_id", "v").select(
-        F.col("group").alias("q_group"), F.col("cell").alias("q_cell"), "question_id", "top_k",
-        F.col("vector").alias("q_vector"),
-    )
     payload = [name for name in schema.names if name in stored.columns]
-    right = laid_out(stored, "v", "chunk_id", "q").select(
-        F.col("group").alias("v_group"), F.col("cell").alias("v_cell"),
-        *[F.col(name).alias(f"v_{name}") for name in payload], F.col("vector").alias("v_vector"),
+    left = asked.join(tiles, "bin").select(
+        own_tile.alias("tile"), F.lit(0).alias("side"), "question_id", "top_k", F.col("vector").alias("q_vector"),
+        *([F.filter("scopes", lambda value: F.array_contains(bins_of(value), F.col("bin"))).alias("scopes")] if scope else []),
     )
+    right = stored.join(tiles, "bin").select(
+        every_tile.alias("tile"), F.lit(1).alias("side"), F.col("vector").alias("v_vector"),
+        *[F.col(name).alias(f"v_{name}") for name in payload], *(["scope"] if scope else []),
+    )
+    both = left.unionByName(right, allowMissingColumns=True).repartitionById(min(n_tiles, TILE_PARTITIONS), "tile")
+    laid_out = both.sortWithinPartitions("tile", "side", *(["scope"] if scope else []))
 
-    def multiply(q: pa.Table, v: pa.Table) -> pa.Table:
-        output = []
-        if q.num_rows and v.num_rows:
-            task = search(q.rename_columns(["group", "cell", "question_id", "top_k", "vector"]), "cell")
-            for batch in v.rename_columns(["group", "cell", *payload, "vector"]).to_batches(max_chunksize=8192):
-                output.extend(task.add(batch, "cell"))
-            output.extend(task.finish())
-        return pa.Table.from_batches(output, schema=arrow_schema)
-
-    arrow_schema = to_arrow_schema(schema)
-    return left.groupBy("q_group").cogroup(right.groupBy("v_group")).applyInArrow(multiply, schema)
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, asked, task = None, [], None
+        for batch in batches:
+            at = batch.column("tile").to_numpy(zero_copy_only=False) * 2 + batch.column("side").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(at)) + 1
+            for start, end in zip([0, *cuts], [*cuts, len(at)]):
+                if start == end:
+                    continue
+                part = batch.slice(start, end - start)
+                if at[start] // 2 != tile:
+                    if task:
+                        yield from task.finish()
+                    tile, asked, task = at[start] // 2, [], None
+                if at[start] % 2 == 0:
+                    names = ["question_id", "top_k", "q_vector", *(["scopes"] if scope else [])]
+                    asked.append(part.select(names).rename_columns([*names[:2], "vector", *names[3:]]))
+                    continue
+                if asked:
+                    task, asked = search(pa.Table.from_batches(asked), "scopes" if scope else None), []
+                if task:
+                    names = ["v_vector", *[f"v_{name}" for name in payload], *(["scope"] if scope else [])]
+                    yield from task.add(part.select(names).rename_columns(["vector", *payload, *names[1 + len(payload) :]]), "scope")
+        if task:
+            yield from task.finish()
+
+    return laid_out.mapInArrow(multiply, schema)
 
 
 def width_mismatches(questions: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -149,8 +150,8 @@ def threshold_join(
 ) -> ThresholdJoin:
     """All pairs at or above the threshold: questions(question_id, vector[, top_k]), vectors(chunk_id, vector, *carry).
 
-    The number of cells is a few for each block of vectors, so that even a question that reads all of them is not sent
-    out much oftener than in the plain form. `pivots` overrides the choice, for vectors of that width only.
+    The number of cells is a few for each block of vectors, but grows at most with the root of their number, so that the
+    lists of cells stay short. The cells share tiles, so that a question that reads many is sent out no oftener than in the plain form. `pivots` overrides the choice, for vectors of that width only.
     """
     questions = questions.drop("scopes")
     size = measure_questions(questions)
@@ -161,8 +162,11 @@ def threshold_join(
         if pivots is not None and pivots.shape[1] == width:
             chosen = pivots
         else:
-            blocks = -(-vectors.where(F.size("vector") == width).count() * 8 * width // block_bytes)
-            wanted = min(max(LEAST_CELLS, CELLS_PER_BLOCK * blocks), max(LEAST_CELLS, PIVOT_BYTES // (8 * width)))
+            n_vectors = vectors.where(F.size("vector") == width).count()
+            blocks = -(-n_vectors * 8 * width // block_bytes)
+            # A question may read all cells: no more of them than twice the root of the vectors.
+            most = min(PIVOT_BYTES // (8 * width), 2 * isqrt(n_vectors))
+            wanted = max(LEAST_CELLS, min(CELLS_PER_BLOCK * blocks, most))
             chosen = choose_pivots(stored, wanted, width)
         if not len(chosen):  # no vector has a direction
             continue

@@ -186,3 +186,41 @@ def test_mixed_widths_and_large_k(spark):
         counts = {q: sum(h["question_id"] == q for h in hits) for q, _, _ in asked}
         assert counts == {"a": 50, "b": 2, "c": 0, "d": 1}
     assert [tuple(r) for r in width_mismatches(questions, vectors).collect()] == [("c", 5)]
+
+
+def test_small_blocks_grow_into_few_tiles_that_stream(spark):
+    """Rows are copied to few tiles, whatever the least block is, and a task gives its pairs back as it goes."""
+    q_rows, v_rows, questions, vectors = frames(spark, n_questions=600, n_vectors=1500, copies=0.0)
+    pairs = similar_pairs(questions, vectors, threshold=0.9, broadcast_bytes=0, block_bytes=8 * 6 * 4)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" not in plan and "MapInArrow" in plan
+    assert pairs.rdd.getNumPartitions() <= 4 * 4 * spark.sparkContext.defaultParallelism
+    assert {(r["question_id"], r["chunk_id"]) for r in pairs.collect()} == brute(q_rows, v_rows, 0.9)
+
+
+@pytest.mark.parametrize("scope", [None, "document_id"])
+def test_many_products_take_tiles_with_the_same_rows(spark, monkeypatch, scope):
+    from folioquery.operators import similarity
+
+    monkeypatch.setattr(similarity, "UNCOUNTED_BYTES", 0)
+    monkeypatch.setattr(similarity, "SENT_PAIRS", 1)
+    monkeypatch.setattr(similarity, "TILE_ROWS", 16)
+    monkeypatch.setattr(similarity, "TILE_PARTITIONS", 3)  # several tiles in a partition
+    q_rows, v_rows, questions, vectors = frames(spark)
+    # Values of another integer type, repeats and nulls among the scopes.
+    questions = questions.withColumn("scopes", F.concat(F.col("scopes").cast("array<bigint>"), "scopes", F.array(F.lit(None).cast("bigint"))))
+    hits = top_k(questions, vectors, scope=scope, threshold=-1.0).collect()
+    assert {(r["question_id"], r["chunk_id"], r["rank"]) for r in hits} == brute(q_rows, v_rows, -1.0, "own", scope is not None)
+
+
+@pytest.mark.parametrize("options", PLACEMENTS)
+def test_similarities_nearer_than_single_precision(spark, options):
+    """Differences of 1e-8 decide about rank and threshold."""
+    cosines = [0.6 + i * 2e-8 for i in range(-40, 41)]
+    vectors = spark.createDataFrame(
+        [(f"c{i:03d}", [c, float(np.sqrt(1 - c * c))], 1) for i, c in enumerate(cosines)], V.replace("float", "double")
+    )
+    questions = spark.createDataFrame([(1, [1.0, 0.0], [1], 3)], Q)
+    hits = top_k(questions, vectors, threshold=0.6, **options).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in hits] == ["c080", "c079", "c078"]
+    assert similar_pairs(questions, vectors, threshold=0.6, **options).count() == 41
