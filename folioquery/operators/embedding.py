@@ -17,7 +17,8 @@ from folioquery.functions.text import CONTROL_CHARACTERS, clean_text, terms_text
 
 DEFAULT_WIDTH = 256
 HASH_MODEL = "feature-hash"
-STEP_BYTES = 16 * 1024 * 1024  # dense rows that one task holds at a time
+STEP_BYTES = 2 * 1024 * 1024  # dense rows that one task holds at a time; their words take some ten times as much
+MEMO_WORDS = 200_000  # words whose features a task remembers
 MODEL_BATCH = 256  # texts per call of a user model
 EMPTY_TEXT_ERROR = "text is empty after preprocessing"
 
@@ -62,7 +63,7 @@ class _Features(dict):
         self.width = width
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= MEMO_WORDS:
             self.clear()
         digest = hashlib.md5(word.encode("utf-8")).hexdigest()
         bucket = int(digest[:8], 16) % self.width + 1

@@ -124,3 +124,20 @@ def test_model_summaries(spark):
     assert (row["summary"], row["key_points"]) == ("About text.", ["a point", "another"])
     with pytest.raises(Exception, match="no response"):
         model_summaries(docs, lambda texts: [""]).collect()
+
+
+def test_a_task_remembers_a_bounded_number_of_words():
+    import tracemalloc
+
+    from folioquery.operators.embedding import _Features
+
+    tracemalloc.start()
+    try:
+        features = _Features(256)
+        for i in range(600_000):
+            features[f"word{i}"]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 48 * 1024 * 1024
+    assert features["word0"] == _Features(256)["word0"]
