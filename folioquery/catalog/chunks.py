@@ -89,6 +89,9 @@ def enriched_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return cut.withColumn("enriched", enriched_text(F.col("filename"), F.col("text")))
 
 
+PLACED_BYTES = 8 * 1024 * 1024  # of text that one task embeds in long form
+
+
 @query(
     "hash_embed_chunks",
     f"""
@@ -98,7 +101,11 @@ SELECT chunk_id, bucket, value, '{embedding.HASH_MODEL}' AS model FROM h""",
 def _hash_chunks(spark: SparkSession, folder: str) -> DataFrame:
     # Texts are placed by document once; grouping by document and position needs no exchange
     # then, and the short keys travel with every word instead of the chunk id.
-    placed = documents(spark, folder).repartition("document_id")
+    # The number of partitions follows the bytes of text, so that what a task sums up stays small.
+    docs = documents(spark, folder)
+    n_bytes = docs.agg(F.sum(F.octet_length("content").cast("bigint"))).first()[0] or 0
+    n_parts = max(spark.sparkContext.defaultParallelism, -(-n_bytes // PLACED_BYTES))
+    placed = docs.repartition(n_parts, "document_id")
     cut = chunking.chunk_documents(placed, keep=("filename",))
     enriched = cut.withColumn("enriched", enriched_text(F.col("filename"), F.col("text")))
     sparse = embedding.hash_embed_sparse(enriched, ["document_id", "ord"], "enriched", WIDTH)

@@ -141,3 +141,13 @@ def test_a_task_remembers_a_bounded_number_of_words():
         tracemalloc.stop()
     assert peak < 48 * 1024 * 1024
     assert features["word0"] == _Features(256)["word0"]
+
+
+def test_long_form_takes_as_many_tasks_as_the_text_needs(spark, data, monkeypatch):
+    from folioquery.catalog import chunks
+
+    usual = chunks._hash_chunks(spark, data)
+    monkeypatch.setattr(chunks, "PLACED_BYTES", 20_000, raising=False)
+    spread_out = chunks._hash_chunks(spark, data)
+    assert spread_out.rdd.getNumPartitions() > 8
+    assert usual.exceptAll(spread_out).count() == 0 == spread_out.exceptAll(usual).count()
