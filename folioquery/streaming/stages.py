@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folioquery.operators.chunking import (
     DEFAULT_MAX_WORDS,
@@ -19,10 +19,13 @@ from folioquery.operators.chunking import (
     analyze_payloads,
     chunk_documents,
 )
+from folioquery.operators.reuse import NEVER
 from folioquery.plans.analyze import analyze_documents
 from folioquery.session import spread
 from folioquery.sources.store import save_tables
 
+STATE_FOLDERS = 16  # micro-batches whose entries of answer reuse are read together
+
 
 def read_file_stream(
     spark: SparkSession, folder: str, schema: T.StructType | str, pattern: str = "*.parquet", files_per_batch: int = 1000
@@ -81,47 +84,81 @@ def analyze_stage(documents: DataFrame, target: str, **options: Any) -> Streamin
     return run_to_end(documents.writeStream.foreachBatch(save), target)
 
 
-def _reuse(ttl_seconds: int) -> Callable:
+def _reuse(ttl_seconds: int, names: list[str]) -> Callable:
+    """Walk over rows sorted by (key, asked, at, ask_id): the entries of earlier micro-batches (ask_id and at are their source
+    and expiry), then the asks of a key."""
     ttl = ttl_seconds * 1_000_000
 
-    def reuse(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expires, source = state.get if state.exists else (None, None)
-        asks = pd.concat(list(batches)).sort_values(["ts", "ask_id"], kind="stable").reset_index(drop=True)
-        times = asks["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-        ids = asks["ask_id"].to_numpy()
-        answered_by, at = ids.copy(), 0
-        if expires is not None:
-            at = np.searchsorted(times, expires)
-            answered_by[:at] = source
-        while at < len(ids):
-            source, expires = ids[at], times[at] + ttl
-            until = np.searchsorted(times, expires)
-            answered_by[at:until] = source
-            at = until
-        state.update((int(expires), source))
-        yield pd.DataFrame({"ask_id": ids, "key": key[0], "ts": asks["ts"], "source_id": answered_by})
+    def reuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = expires = source = None
+        begun = False  # a NULL key is a key like others
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, ids = batch.column("key"), batch.column("ask_id")
+            codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            times, asked = batch.column("at").to_pylist(), batch.column("asked").to_pylist()
+            # Sources by place: 0 is the one that came from the batch before, then the rows.
+            own, expiries, answered_by = None, [0] * len(times), [0] * len(times)
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(times)], strict=True):
+                at = start
+                if begun and start == 0 and keys[0].as_py() == key:  # continues the last key
+                    own = 0
+                else:
+                    own = expires = None
+                while at < end and not asked[at]:  # the last one expires last
+                    own, expires, at = at + 1, times[at], at + 1
+                if own is not None:
+                    until = bisect_left(times, expires, at, end)
+                    answered_by[at:until], expiries[at:until] = [own] * (until - at), [expires] * (until - at)
+                    at = until
+                while at < end:
+                    own, expires = at + 1, times[at] + ttl
+                    until = max(bisect_left(times, expires, at, end), at + 1)
+                    answered_by[at:until], expiries[at:until] = [own] * (until - at), [expires] * (until - at)
+                    at = until
+            sources = pa.concat_arrays([pa.array([source], ids.type), ids])
+            key, source, begun = keys[-1].as_py(), sources[own].as_py(), True
+            columns = [ids, keys, batch.column("ts"), sources.take(pa.array(answered_by)), pa.array(expiries, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(batch.column("asked"))
 
     return reuse
 
 
 def reuse_stage(asks: DataFrame, target: str, ttl_seconds: int) -> StreamingQuery:
-    """Answer reuse on a stream of asks(ask_id, key, ts).
+    """Answer reuse on a stream of asks(ask_id, key, ts); the answers also have `expires`, when what answered them does, in microseconds.
 
     State per key: expiry and source of the last answer, two values that are kept for every key. Every ask gets a row: there is no
     watermark, so none is late. Inside a micro-batch the asks of a key are sorted by time; one that
     arrives in a later micro-batch than newer asks is answered from the entry that is live
-    on its arrival. The number of files per micro-batch bounds what one key brings at a time.
+    on its arrival.
+
+    The entries and the asks of a micro-batch meet in one shuffle by key and are walked in Arrow batches, so neither the
+    number of keys nor the asks of one key are held. The entries that a micro-batch leaves go to a folder of its id, next to its answers,
+    every STATE_FOLDERS-th time with all others. A later entry of a key always expires later, so the one that expires last holds.
+    A micro-batch that is run again reads the folders before its own and replaces its own.
     """
-    id_type = asks.schema["ask_id"].dataType.simpleString()
-    answered = (
-        asks.select("ask_id", "key", F.col("ts").cast("timestamp").alias("ts"))
-        .groupBy("key")
-        .applyInPandasWithState(
-            _reuse(ttl_seconds),
-            f"ask_id {id_type}, key string, ts timestamp, source_id {id_type}",
-            f"expires long, source {id_type}",
-            "append",
-            GroupStateTimeout.NoTimeout,
-        )
-    )
-    return run_to_end(answered.writeStream.format("parquet").option("path", f"{target}/answers"), target)
+    id_field = asks.schema["ask_id"]
+    placed = asks.select("ask_id", "key", F.col("ts").cast("timestamp").alias("ts"))
+    schema = T.StructType([*placed.schema.fields, T.StructField("source_id", id_field.dataType), T.StructField("expires", T.LongType())])
+    entry_schema = T.StructType([asks.schema["key"], T.StructField("at", T.LongType()), id_field])
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        first = max(batch_id - 1, 0) // STATE_FOLDERS * STATE_FOLDERS
+        folders = [f"{target}/state/batch={n}" for n in range(first, batch_id)]
+        before = spark.read.schema(entry_schema).parquet(*folders) if folders else spark.createDataFrame([], entry_schema)
+        rows = batch.withColumns({"at": F.coalesce(F.unix_micros("ts"), F.lit(NEVER)), "asked": F.lit(True)})
+        rows = rows.unionByName(before.withColumn("asked", F.lit(False)), allowMissingColumns=True)
+        ordered = rows.select("key", "asked", "at", "ask_id", "ts").repartition("key").sortWithinPartitions("key", "asked", "at", "ask_id")
+        answered = ordered.mapInArrow(_reuse(ttl_seconds, schema.names), schema)
+        answers = f"{target}/answers/batch={batch_id}"
+        answered.write.mode("overwrite").parquet(answers)
+        left = spark.read.schema(schema).parquet(answers).select("key", F.col("expires").alias("at"), F.col("source_id").alias("ask_id"))
+        if batch_id % STATE_FOLDERS == 0:
+            left = left.unionByName(before)
+        newest = left.groupBy("key").agg(F.max(F.struct("at", "ask_id")).alias("entry")).select("key", "entry.*")
+        newest.write.mode("overwrite").parquet(f"{target}/state/batch={batch_id}")
+
+    return run_to_end(placed.writeStream.foreachBatch(save), target)
