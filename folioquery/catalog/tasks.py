@@ -136,6 +136,7 @@ def _reuse_hot(spark: SparkSession, folder: str) -> DataFrame:
     return reuse_within_ttl(log, hot_rows=100, slice_rows=max(1, log.count() // 20), fan=4).drop("ts")
 
 
+FILES_PER_BATCH = 1000
 _PART = "CASE floor(hour(ts) / 6) WHEN 2 THEN 0 WHEN 0 THEN 1 WHEN 3 THEN 2 ELSE 3 END"
 
 
@@ -157,10 +158,10 @@ def _stream_reuse_late(spark: SparkSession, folder: str) -> DataFrame:
     """Asks in several micro-batches whose order is not that of time: each is answered from the entry that is live on its arrival."""
     log = ask_log(events(spark, folder), "user_id", "event_type")
     source, target = run_folder(spark, "late-asks"), run_folder(spark, "stream-late")
-    for part in (2, 0, 3, 1):
+    for part in (2, 0, 3, 1):  # a part is what arrives before the stream goes on: one micro-batch of all its files
         hour = F.floor(F.hour("ts") / 6)
-        log.where(hour == part).coalesce(1).write.mode("append").parquet(source)
-    reuse_stage(read_file_stream(spark, source, log.schema, files_per_batch=1), target, DEFAULT_TTL_SECONDS)
+        log.where(hour == part).coalesce(FILES_PER_BATCH).write.mode("append").parquet(source)
+        reuse_stage(read_file_stream(spark, source, log.schema, files_per_batch=FILES_PER_BATCH), target, DEFAULT_TTL_SECONDS)
     answers = spark.read.parquet(f"{target}/answers")
     return answers.select("ask_id", "key", "source_id", (F.col("ask_id") != F.col("source_id")).alias("reused"))
 
