@@ -38,12 +38,14 @@ SHARE, OF = 4, 5  # similarity of at least 4/5
 SKETCH_BITS = 24
 SEGMENT = 1 << 16  # counters per row of the sketch table
 TOKEN_BITS = 42
+MARK_BITS = 22  # of a token's hash, by which lines without wanted words are passed over
 NEAREST = 8  # candidates of a line and word that are verified first
 SENT_TOKENS = 200_000  # words of unsettled lines that are sent to the scan; more of them meet in a shuffle
 LINES = 1 << 13  # lines sorted at a time
-UNIT = 1_000_000  # characters split at a time
+UNIT = 125_000  # characters split at a time; the arrays of more leave the cache
 CACHED = 120_000
 FIRST = -(2**63)
+AFTER = np.arange(1, 257, dtype=np.uint64)  # a byte plus one
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _random = np.random.default_rng(7)
 #: Random factors by place of a letter in its word and of a word in its line, within a page of 4096 places.
@@ -58,10 +60,17 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 def factors(table: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Random factors by place: those of the table, times one of their own for every page but the first."""
-    own = table[place & 4095]
-    if len(place) and place.max() > 4095:
-        own = own * (mixed((place >> 12).astype(np.uint64)) | np.uint64(1))
-    return own
+    if not len(place) or place.max() <= 4095:
+        return table[place]
+    return table[place & 4095] * (mixed((place >> 12).astype(np.uint64)) | np.uint64(1))
+
+
+def places_in(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... in every group; the groups follow each other, first is where each begins. Counted in place."""
+    place = np.ones(int(first[-1] + sizes[-1]), np.int32)
+    place[0] = 0
+    place[first[1:]] = 1 - sizes[:-1]
+    return np.cumsum(place, dtype=np.int32, out=place)
 
 
 @dataclass
@@ -88,12 +97,13 @@ def split_lines(texts: list[str]) -> Lines:
         none = np.zeros(0, np.int64)
         return Lines(none, none, *(none.astype(np.uint64),) * 2, none, none.astype(np.uint64))
     first = np.cumsum(sizes) - sizes
-    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-    word = mixed(np.add.reduceat((data[~blank].astype(np.uint64) + np.uint64(1)) * factors(LETTERS, place), first))
+    letters = factors(LETTERS, places_in(first, sizes))
+    letters *= AFTER[data[~blank]]
+    word = mixed(np.add.reduceat(letters, first))
     at = np.searchsorted(np.flatnonzero(data == 10), starts)
     begin = np.flatnonzero(np.diff(at, prepend=-1))
     n = np.diff(begin, append=len(at))
-    place = np.arange(len(at)) - np.repeat(begin, n)
+    place = places_in(begin, n)
     line, other = (mixed(np.add.reduceat(word * factors(f, place), begin)) for f in (WORDS, WORDS_TOO))
     before = np.cumsum([0] + [t.count("\n") + 1 for t in texts[:-1]])
     text = np.searchsorted(before, at[begin], side="right") - 1
@@ -118,33 +128,66 @@ def lines_of(texts: list[str], unit: int = UNIT) -> Iterator[Lines]:
             at = stop + 1
 
 
+def line_hashes(lines: list[str]) -> list[int | None]:
+    """The hash of each line, None for one without words."""
+    found: list[int | None] = [None] * len(lines)
+    for start, end in slices(lines, UNIT):
+        part = split_lines(lines[start:end])
+        for i, line in zip(part.text.tolist(), signed(part.line).tolist(), strict=True):
+            found[start + i] = line
+    return found
+
+
+def some_lines(part: Lines, which: np.ndarray) -> Lines:
+    if which.all():
+        return part
+    return Lines(*(c[which] for c in (part.text, part.number, part.line, part.other, part.n)), part.word[np.repeat(which, part.n)])
+
+
 def signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64).view(np.int64)
 
 
-def word_sketch(docs: DataFrame) -> np.ndarray:
-    """Rarity level by hash bucket: 0 none, 1 one occurrence, then four levels per doubling.
+def first_pass(docs: DataFrame) -> DataFrame:
+    """(line, other, doc, number, segment, counts), written once: the hashes of every line, and counts of words by hash bucket
+    of each task, 2**SKETCH_BITS at most, in segments (only these have `segment`)."""
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["line", "other", "doc", "number", "segment", "counts"]
 
-    2**SKETCH_BITS bytes for any input; counts of buckets are sums over all lines.
-    """
+    def rows(*columns: pa.Array | None) -> pa.RecordBatch:
+        n = next(len(c) for c in columns if c is not None)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << SKETCH_BITS, np.uint32)
         seen: set[int] = set()
         for batch in batches:
-            for part in lines_of([t or "" for t in batch.column(0).to_pylist()]):
+            ids = batch.column(0).to_numpy()
+            for part in lines_of([t or "" for t in batch.column(1).to_pylist()]):
                 # Equal lines of a task count once, as they are indexed once.
                 fresh = np.fromiter((not (h in seen or seen.add(h)) for h in part.line.tolist()), bool, len(part))
-                word = part.word[np.repeat(fresh, part.n)]
-                np.add.at(counters, (word >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                word = part.word if fresh.all() else part.word[np.repeat(fresh, part.n)]
+                bucket = np.sort((word >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
+                at = np.flatnonzero(np.diff(bucket, prepend=-1))
+                counters[bucket[at]] += np.diff(at, append=len(bucket)).astype(np.uint32)
+                yield rows(signed(part.line), signed(part.other), ids[part.text], part.number.astype(np.int32), None, None)
             if len(seen) > CACHED:
                 seen.clear()
         pack = zstandard.ZstdCompressor(level=1).compress
         for segment, part in enumerate(counters.reshape(-1, SEGMENT)):
             if part.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([segment], pa.int32()), pa.array([pack(part.tobytes())], pa.binary())], ["segment", "counts"]
-                )
+                yield rows(None, None, None, None, [segment], [pack(part.tobytes())])
+
+    named = docs.select(F.coalesce("doc_id", F.lit(FIRST)).cast("long").alias("doc"), "text")
+    passed = named.mapInArrow(split, "line long, other long, doc long, number int, segment int, counts binary")
+    return materialize(passed, "line-hashes")
+
+
+def word_sketch(passed: DataFrame) -> np.ndarray:
+    """Rarity level by hash bucket: 0 none, 1 one occurrence, then four levels per doubling.
+
+    2**SKETCH_BITS bytes for any input; counts of buckets are sums over all lines.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -159,7 +202,7 @@ def word_sketch(docs: DataFrame) -> np.ndarray:
                 [pa.array([segment], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["segment", "levels"]
             )
 
-    parts = docs.select("text").mapInArrow(count, "segment int, counts binary")
+    parts = passed.where("segment IS NOT NULL").select("segment", "counts")
     rows = parts.repartition("segment").mapInArrow(add, "segment int, levels binary").collect()  # 16 MB at most
     levels = np.zeros((1 << SKETCH_BITS) // SEGMENT * SEGMENT, np.uint8).reshape(-1, SEGMENT)
     for row in rows:
@@ -167,19 +210,27 @@ def word_sketch(docs: DataFrame) -> np.ndarray:
     return levels.ravel()
 
 
-def prefix_rows(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(token, line, n, place, p0, p1, doc, number): the indexed words of every distinct line of a task."""
+def prefix_rows(docs: DataFrame, levels: np.ndarray, only: np.ndarray | None = None) -> DataFrame:
+    """(token, line, n, place, p0, p1, doc, number): the indexed words of every distinct line of a task.
+
+    With `only`, a sorted array of tokens, just these words, so lines without them are left out before anything is sorted.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
+    wanted = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         firsts: dict[int, tuple[int, int]] = {}
         rarity = shared.value
+        if wanted is not None:
+            tokens, may = wanted.value, np.zeros(1 << MARK_BITS, bool)
+            may[tokens & (1 << MARK_BITS) - 1] = True
 
         def rows(part: Lines, doc: np.ndarray) -> pa.RecordBatch:
             level = rarity[(part.word >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
             line = np.repeat(np.arange(len(part), dtype=np.uint64), part.n)
             short = part.word & np.uint64((1 << TOKEN_BITS) - 1)
-            key = np.unique(line << np.uint64(50) | level << np.uint64(TOKEN_BITS) | short)
+            key = np.sort(line << np.uint64(50) | level << np.uint64(TOKEN_BITS) | short)
+            key = key[np.r_[True, key[1:] != key[:-1]]]  # numpy's unique takes twenty times as long as the sort
             line = (key >> np.uint64(50)).astype(np.int64)
             token = key & np.uint64((1 << 50) - 1)
             n = np.bincount(line, minlength=len(part))
@@ -189,6 +240,9 @@ def prefix_rows(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             high = (token & np.uint64(64)) > 0
             parity = [np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), begin) for side in (~high, high)]
             keep = (place < n[line] - (SHARE * n[line] + OF - 1) // OF + 1) & ((token >> np.uint64(TOKEN_BITS)) != 1)
+            if wanted is not None:
+                own = signed(token[keep])
+                keep[keep] = tokens[np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)] == own
             line, token, place = line[keep], token[keep], place[keep]
             columns = [
                 signed(token),
@@ -211,10 +265,13 @@ def prefix_rows(docs: DataFrame, levels: np.ndarray) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for part in lines_of([t or "" for t in batch.column(1).to_pylist()]):
+                if wanted is not None and len(part):
+                    marked = may[(part.word & np.uint64((1 << MARK_BITS) - 1)).view(np.int64)]
+                    part = some_lines(part, np.logical_or.reduceat(marked, np.cumsum(part.n) - part.n))
                 doc = ids[part.text]
                 places = zip(doc.tolist(), part.number.tolist(), strict=True)
                 fresh = ~np.fromiter(map(later, part.line.tolist(), places), bool, len(part))
-                part = Lines(*(c[fresh] for c in (part.text, part.number, part.line, part.other, part.n)), part.word[np.repeat(fresh, part.n)])
+                part = some_lines(part, fresh)
                 doc, ends = doc[fresh], np.cumsum(part.n)
                 for a in range(0, len(part), LINES):
                     own = slice(a, a + LINES)
@@ -297,6 +354,11 @@ def candidates(rows: DataFrame) -> DataFrame:
         held: dict[str, np.ndarray] | None = None
 
         def out(a: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            again = a["token"][1:] == a["token"][:-1]
+            shared = np.r_[False, again] | np.r_[again, False]  # rows are sorted by token: others are alone with theirs
+            if not again.any():
+                return
+            a = {n: v[shared] for n, v in a.items()}
             if (found := compare_lists(a)) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in found.values()], list(found))
 
@@ -319,12 +381,14 @@ def candidates(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(pairs, schema)
 
 
-def all_candidates(rows: DataFrame, own: DataFrame, late: DataFrame) -> DataFrame:
+def all_candidates(docs: DataFrame, levels: np.ndarray, own: DataFrame, late: DataFrame) -> DataFrame:
     """Every candidate of the lines in `late`(line, doc, number), by a join on the words; `own` has their rows."""
     mine = materialize(own.join(late, ["line", "doc", "number"], "left_semi"), "line-open-rows")
-    tokens = mine.select("token").distinct()
-    if tokens.count() <= SENT_TOKENS:
-        rows = rows.join(F.broadcast(tokens), "token", "left_semi")
+    tokens = materialize(mine.select("token").distinct(), "line-open-words")
+    if 0 < tokens.count() <= SENT_TOKENS:
+        rows = prefix_rows(docs, levels, np.sort(tokens.toArrow().column("token").to_numpy()))
+    else:
+        rows = prefix_rows(docs, levels)
     mine = mine.select(*(F.col(n).alias(f"m_{n}") if n != "token" else F.col(n) for n in NAMES))
     total = F.col("n") + F.col("m_n")
     overlap = F.ceil(total * SHARE / (SHARE + OF))
@@ -348,20 +412,18 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs_, texts, wanted = (c.to_pylist() for c in batch.columns)
-            texts = [t or "" for t in texts]
-            asked = [{(w["number"], w["line"]) for w in lines} for lines in wanted]
-            found = []
-            for part in lines_of(texts):
-                for i, number, line in zip(part.text.tolist(), part.number.tolist(), signed(part.line).tolist(), strict=True):
-                    if (number, line) in asked[i]:
-                        found.append((i, number, line))
-            split, held = -1, []
+            # Only the asked lines are hashed: rows that share a doc_id have other lines at these numbers.
+            places, lines_ = [], []
+            for doc, text, asked in zip(docs_, texts, wanted, strict=True):
+                held = (text or "").split("\n")
+                own = [(w["number"], w["line"]) for w in asked if w["number"] < len(held)]
+                places += [(line, doc, number) for number, line in own]
+                lines_ += [held[number] for number, _ in own]
             out = []
-            for i, number, line in found:
-                if i != split:
-                    split, held = i, texts[i].encode("utf-8", "surrogatepass").split(b"\n")
-                words_ = {w.decode("utf-8", "replace") for w in held[number].split()}
-                out.append((line, docs_[i], number, sorted(words_)))
+            for place, text, line in zip(places, lines_, line_hashes(lines_), strict=True):
+                if line == place[0]:
+                    words_ = {w.decode("utf-8", "replace") for w in text.encode("utf-8", "surrogatepass").split()}
+                    out.append((*place, sorted(words_)))
             if out:
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
                 columns = zip(zip(*out, strict=True), types, strict=True)
@@ -377,29 +439,19 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(OF * shared >= SHARE * union).select("line", "doc", "number").distinct()
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(passed: DataFrame) -> DataFrame:
     """(line, doc, number) of the lines that are equal to an earlier one."""
-
-    def hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for part in lines_of([t or "" for t in batch.column(1).to_pylist()]):
-                columns = [signed(part.line), signed(part.other), ids[part.text], part.number.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["line", "other", "doc", "number"])
-
-    named = docs.select(F.coalesce("doc_id", F.lit(FIRST)).cast("long").alias("doc"), "text")
-    lines = materialize(named.mapInArrow(hash_lines, "line long, other long, doc long, number int"), "line-hashes")
+    lines = passed.where("segment IS NULL").select("line", "other", "doc", "number")
     place = F.struct("doc", "number")
     copies = lines.groupBy("line", "other").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"))
     copies = copies.where("copies > 1").drop("copies")
     return lines.join(copies, ["line", "other"]).where(place > F.col("first")).select("line", "doc", "number")
 
 
-def similar_lines(docs: DataFrame) -> DataFrame:
+def similar_lines(docs: DataFrame, passed: DataFrame) -> DataFrame:
     """(line, doc, number) of the lines that are similar, not equal, to an earlier one; by the first place of equal lines."""
-    levels = word_sketch(docs)
-    rows = prefix_rows(docs, levels)
-    pairs = materialize(candidates(rows).groupBy("line", "doc", "number", "e_line", "e_doc", "e_number").agg(F.max("more").alias("more")), "line-candidates")
+    levels = word_sketch(passed)
+    pairs = materialize(candidates(prefix_rows(docs, levels)).groupBy("line", "doc", "number", "e_line", "e_doc", "e_number").agg(F.max("more").alias("more")), "line-candidates")
     with settings(docs.sparkSession, BLOOM):  # texts without a candidate line stay out of the shuffle
         settled = materialize(verify(docs, pairs), "line-settled")
     open_ = pairs.where("more").select("line", "doc", "number").distinct()
@@ -409,13 +461,14 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     key = F.coalesce("doc_id", F.lit(FIRST))
     holders = docs.join(open_.where("number >= 0").select(F.col("doc").alias("_doc")), key == F.col("_doc"), "left_semi")
     with settings(docs.sparkSession, BLOOM):
-        rest = materialize(all_candidates(rows, prefix_rows(holders, levels), open_), "line-candidates")
+        rest = materialize(all_candidates(docs, levels, prefix_rows(holders, levels), open_), "line-candidates")
         return settled.union(materialize(verify(docs, rest), "line-settled"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc, removed array<struct<number, line>>): the lines to remove, for documents that have any."""
-    gone = repeats(docs).union(similar_lines(docs)).distinct()
+    passed = first_pass(docs)
+    gone = repeats(passed).union(similar_lines(docs, passed)).distinct()
     return gone.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("number", "line"))).alias("removed"))
 
 
@@ -424,13 +477,17 @@ def _without() -> Column:
     def without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, removed in batches:
             whole = texts.tolist()
-            gone = [set() if r is None else {(g["number"], g["line"]) for g in r} for r in removed]
+            places, lines_ = [], []
+            for i, asked in enumerate(removed):
+                if asked is not None and len(asked):
+                    held = whole[i].split("\n")
+                    own = [(g["number"], g["line"]) for g in asked if g["number"] < len(held)]
+                    places += [(i, number, line) for number, line in own]
+                    lines_ += [held[number] for number, _ in own]
             numbers: list[list[int]] = [[] for _ in whole]
-            some = [i for i, g in enumerate(gone) if g]
-            for part in lines_of([whole[i] for i in some]):
-                for i, number, line in zip(part.text.tolist(), part.number.tolist(), signed(part.line).tolist(), strict=True):
-                    if (number, line) in gone[some[i]]:
-                        numbers[some[i]].append(number)
+            for (i, number, line), found in zip(places, line_hashes(lines_), strict=True):
+                if found == line:
+                    numbers[i].append(number)
             out = []
             for text, own in zip(whole, numbers, strict=True):
                 n = text.count("\n") + 1

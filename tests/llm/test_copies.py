@@ -165,6 +165,35 @@ def test_long_texts_are_split_between_lines():
         assert np.concatenate([getattr(p, name) for p in parts]).tolist() == getattr(whole, name).tolist()
 
 
+def test_second_pass_gives_just_the_wanted_words(frame):
+    """Lines without a wanted word are passed over, those with one give the same rows as in the first pass."""
+    docs = frame(near_lines(3)).repartition(2)
+    levels = line_dedup.word_sketch(line_dedup.first_pass(docs))
+    rows = sorted(map(tuple, line_dedup.prefix_rows(docs, levels).collect()))
+    tokens = np.sort(np.unique([r[0] for r in rows])[::5])
+    got = sorted(map(tuple, line_dedup.prefix_rows(docs, levels, tokens).collect()))
+    assert got == [r for r in rows if r[0] in set(tokens.tolist())] and 0 < len(got) < len(rows)
+
+
+def test_first_pass_has_every_line_and_counts_every_word(frame):
+    rows = [(1, "a b c\n\na b"), (2, "c d\n  \nb"), (2, "e"), (None, None)]
+    passed = line_dedup.first_pass(frame(rows).coalesce(1))
+    lines = passed.where("segment IS NULL").select("doc", "number").collect()
+    assert sorted(map(tuple, lines)) == [(1, 0), (1, 2), (2, 0), (2, 0), (2, 2)]
+    levels = line_dedup.word_sketch(passed)
+    level = {n: 1 + int(np.ceil(4 * np.log2(n))) for n in (1, 2, 3)}
+    for word, n in (("a", 2), ("b", 3), ("c", 2), ("d", 1), ("e", 1)):
+        assert levels[int(line_dedup.split_lines([word]).word[0]) >> (64 - line_dedup.SKETCH_BITS)] == level[n]
+
+
+def test_line_hashes_are_those_of_whole_texts(monkeypatch):
+    lines = ["one two", "", " \t", "two one", "x" * 5000, "one  two"]
+    whole = line_dedup.split_lines(["\n".join(lines)])
+    by_number = dict(zip(whole.number.tolist(), whole.line.view(np.int64).tolist()))
+    monkeypatch.setattr(line_dedup, "UNIT", 10)
+    assert line_dedup.line_hashes(lines) == [by_number.get(i) for i in range(len(lines))]
+
+
 def test_far_places_have_factors_of_their_own(frame):
     """Long words and long lines that differ only beyond the tables of factors."""
     a, b = "a" * 4096, "b" * 4096
