@@ -11,7 +11,7 @@ all texts: any common order gives exact results, rarity only makes the index lis
 an indexed word are compared by length, by the places of the word in both, and by a parity of all their
 words that bounds their difference; each line keeps a few of the nearest candidates of every word.
 Those are verified on the words themselves. A line that none of them settles and that had more
-candidates is joined with all of them.
+candidates is joined with all of them; lists of words with such a line are kept for that.
 
 Null and empty texts have one blank line. Lines of rows that share a doc_id and a number are not earlier
 than one another; rows without doc_id come first. An empty table gives no rows. Columns other than
@@ -20,7 +20,7 @@ doc_id, text and n_chars are passed on.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,13 +42,17 @@ MARK_BITS = 22  # of a token's hash, by which lines without wanted words are pas
 NEAREST = 8  # candidates of a line and word that are verified first
 SENT_TOKENS = 200_000  # words of unsettled lines that are sent to the scan; more of them meet in a shuffle
 LINES = 1 << 13  # lines sorted at a time
+COUNTED = 1 << 20  # words sorted at a time to be counted
+PACKED = 1 << 19  # indexed words that a task packs at a time
+SHARE_BYTES = 32 << 20  # of indexed words that meet in a task
+MOST_SHARES = 4096  # up to about 60 GB of text
+LISTED = 50_000  # indexed words compared at a time, whole lists
 UNIT = 125_000  # characters split at a time; the arrays of more leave the cache
 CACHED = 120_000
 FIRST = -(2**63)
-AFTER = np.arange(1, 257, dtype=np.uint64)  # a byte plus one
-BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+LOW_BYTES = np.array([256**n - 1 for n in range(9)], np.uint64)  # masks of the first n of eight bytes
 _random = np.random.default_rng(7)
-#: Random factors by place of a letter in its word and of a word in its line, within a page of 4096 places.
+#: Random factors by place of eight letters in their word and of a word in its line, within a page of 4096 places.
 LETTERS, WORDS, WORDS_TOO = (_random.integers(0, 2**64, 4096, np.uint64) | np.uint64(1) for _ in range(3))
 
 
@@ -88,33 +92,53 @@ class Lines:
         return len(self.line)
 
 
-def split_lines(texts: list[str]) -> Lines:
-    data = np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
-    blank = BLANK[data]
-    edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+def word_hashes(joined: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of every word, eight bytes at a time; at least seven bytes follow the last word."""
+    eight = np.ndarray((len(joined) - 7,), np.uint64, joined, 0, (1,))  # the eight bytes from every place
+    value = eight[starts] & LOW_BYTES[np.minimum(sizes, 8)]
+    long = np.flatnonzero(sizes > 8)
+    if len(long):
+        n = (sizes[long] + 7) >> 3
+        first = np.cumsum(n) - n
+        place = places_in(first, n)
+        at = np.repeat(starts[long], n) + 8 * place.astype(np.int64)
+        left = np.repeat(starts[long] + sizes[long], n) - at
+        letters = mixed(eight[at] & LOW_BYTES[np.minimum(left, 8)]) * factors(LETTERS, place)
+        value[long] = np.add.reduceat(letters, first)
+    return mixed(mixed(value + sizes.astype(np.uint64) * LETTERS[0]))
+
+
+def split_lines(texts: list[str], two: bool = True) -> Lines:
+    """The lines of the texts; without `two` the second hash is the first."""
+    joined = "\n".join(texts).encode("utf-8", "surrogatepass") + b"\n" * 8
+    data = np.frombuffer(joined, np.uint8)
+    blank = (data == 32) | (data - np.uint8(9) < 5)
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        edges = np.r_[0, edges]
     starts, sizes = edges[::2], edges[1::2] - edges[::2]
     if not len(starts):
         none = np.zeros(0, np.int64)
         return Lines(none, none, *(none.astype(np.uint64),) * 2, none, none.astype(np.uint64))
-    first = np.cumsum(sizes) - sizes
-    letters = factors(LETTERS, places_in(first, sizes))
-    letters *= AFTER[data[~blank]]
-    word = mixed(np.add.reduceat(letters, first))
-    at = np.searchsorted(np.flatnonzero(data == 10), starts)
-    begin = np.flatnonzero(np.diff(at, prepend=-1))
-    n = np.diff(begin, append=len(at))
+    word = word_hashes(joined, starts, sizes)
+    before = np.searchsorted(starts, np.flatnonzero(data == 10))  # words before the end of every line
+    words = np.diff(before, prepend=0)
+    at = np.flatnonzero(words)
+    n = words[at]
+    begin = before[at] - n
     place = places_in(begin, n)
-    line, other = (mixed(np.add.reduceat(word * factors(f, place), begin)) for f in (WORDS, WORDS_TOO))
+    line = mixed(np.add.reduceat(word * factors(WORDS, place), begin))
+    other = mixed(np.add.reduceat(word * factors(WORDS_TOO, place), begin)) if two else line
     before = np.cumsum([0] + [t.count("\n") + 1 for t in texts[:-1]])
-    text = np.searchsorted(before, at[begin], side="right") - 1
-    return Lines(text, at[begin] - before[text], line, other, n, word)
+    text = np.searchsorted(before, at, side="right") - 1
+    return Lines(text, at - before[text], line, other, n, word)
 
 
-def lines_of(texts: list[str], unit: int = UNIT) -> Iterator[Lines]:
+def lines_of(texts: list[str], unit: int = UNIT, two: bool = True) -> Iterator[Lines]:
     """The lines of all texts in parts of bounded length; very long texts are parted between lines."""
     for start, end in slices(texts, unit):
         if end - start > 1 or len(texts[start]) <= 4 * unit:
-            part = split_lines(texts[start:end])
+            part = split_lines(texts[start:end], two)
             part.text = part.text + start
             yield part
             continue
@@ -122,7 +146,7 @@ def lines_of(texts: list[str], unit: int = UNIT) -> Iterator[Lines]:
         while at < len(text):
             stop = text.find("\n", at + unit)
             stop = len(text) if stop < 0 else stop
-            part = split_lines([text[at:stop]])
+            part = split_lines([text[at:stop]], two)
             yield Lines(part.text + start, part.number + number, part.line, part.other, part.n, part.word)
             number += text.count("\n", at, stop) + 1
             at = stop + 1
@@ -132,7 +156,7 @@ def line_hashes(lines: list[str]) -> list[int | None]:
     """The hash of each line, None for one without words."""
     found: list[int | None] = [None] * len(lines)
     for start, end in slices(lines, UNIT):
-        part = split_lines(lines[start:end])
+        part = split_lines(lines[start:end], two=False)
         for i, line in zip(part.text.tolist(), signed(part.line).tolist(), strict=True):
             found[start + i] = line
     return found
@@ -150,7 +174,7 @@ def signed(values: np.ndarray) -> np.ndarray:
 
 def first_pass(docs: DataFrame) -> DataFrame:
     """(line, other, doc, number, segment, counts), written once: the hashes of every line, and counts of words by hash bucket
-    of each task, 2**SKETCH_BITS at most, in segments (only these have `segment`)."""
+    of each task, 2**SKETCH_BITS at most, in segments (only these have `segment`; there `line` is the sum of the counts)."""
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     names = ["line", "other", "doc", "number", "segment", "counts"]
 
@@ -161,22 +185,36 @@ def first_pass(docs: DataFrame) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << SKETCH_BITS, np.uint32)
         seen: set[int] = set()
+        held: list[np.ndarray] = []
+
+        def count() -> None:
+            bucket = np.sort(np.concatenate(held))
+            at = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1]
+            counters[bucket[at]] += np.diff(at, append=len(bucket)).astype(np.uint32)
+            held.clear()
+
         for batch in batches:
             ids = batch.column(0).to_numpy()
+            found: list[list[np.ndarray]] = [[], [], [], []]
             for part in lines_of([t or "" for t in batch.column(1).to_pylist()]):
                 # Equal lines of a task count once, as they are indexed once.
                 fresh = np.fromiter((not (h in seen or seen.add(h)) for h in part.line.tolist()), bool, len(part))
                 word = part.word if fresh.all() else part.word[np.repeat(fresh, part.n)]
-                bucket = np.sort((word >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
-                at = np.flatnonzero(np.diff(bucket, prepend=-1))
-                counters[bucket[at]] += np.diff(at, append=len(bucket)).astype(np.uint32)
-                yield rows(signed(part.line), signed(part.other), ids[part.text], part.number.astype(np.int32), None, None)
+                held.append((word >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
+                if sum(map(len, held)) > COUNTED:
+                    count()
+                for column, values in zip(found, (signed(part.line), signed(part.other), ids[part.text], part.number.astype(np.int32)), strict=True):
+                    column.append(values)
+            if found[0]:
+                yield rows(*map(np.concatenate, found), None, None)
             if len(seen) > CACHED:
                 seen.clear()
+        if held:
+            count()
         pack = zstandard.ZstdCompressor(level=1).compress
         for segment, part in enumerate(counters.reshape(-1, SEGMENT)):
             if part.any():
-                yield rows(None, None, None, None, [segment], [pack(part.tobytes())])
+                yield rows([int(part.sum(dtype=np.int64))], None, None, None, [segment], [pack(part.tobytes())])
 
     named = docs.select(F.coalesce("doc_id", F.lit(FIRST)).cast("long").alias("doc"), "text")
     passed = named.mapInArrow(split, "line long, other long, doc long, number int, segment int, counts binary")
@@ -210,10 +248,18 @@ def word_sketch(passed: DataFrame) -> np.ndarray:
     return levels.ravel()
 
 
-def prefix_rows(docs: DataFrame, levels: np.ndarray, only: np.ndarray | None = None) -> DataFrame:
+def index_shares(passed: DataFrame) -> int:
+    """How many shares of about SHARE_BYTES the indexed words have, a fifth of all words and one of every line at most."""
+    counted = F.col("segment").isNotNull()
+    row = passed.agg(F.sum(F.when(counted, F.col("line"))).alias("words"), F.count(F.when(~counted, 1)).alias("lines")).first()
+    return -(-((row["words"] or 0) // OF + row["lines"]) * ROW.itemsize // SHARE_BYTES)
+
+
+def prefix_rows(docs: DataFrame, levels: np.ndarray, only: np.ndarray | None = None, shares: int = 0) -> DataFrame:
     """(token, line, n, place, p0, p1, doc, number): the indexed words of every distinct line of a task.
 
     With `only`, a sorted array of tokens, just these words, so lines without them are left out before anything is sorted.
+    With `shares`, the same rows packed by share of the tokens: (share, n, crate).
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     wanted = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
@@ -230,16 +276,19 @@ def prefix_rows(docs: DataFrame, levels: np.ndarray, only: np.ndarray | None = N
             line = np.repeat(np.arange(len(part), dtype=np.uint64), part.n)
             short = part.word & np.uint64((1 << TOKEN_BITS) - 1)
             key = np.sort(line << np.uint64(50) | level << np.uint64(TOKEN_BITS) | short)
-            key = key[np.r_[True, key[1:] != key[:-1]]]  # numpy's unique takes twenty times as long as the sort
-            line = (key >> np.uint64(50)).astype(np.int64)
-            token = key & np.uint64((1 << 50) - 1)
-            n = np.bincount(line, minlength=len(part))
+            fresh = np.r_[True, key[1:] != key[:-1]]  # numpy's unique takes twenty times as long as the sort
+            n = part.n
+            if not fresh.all():
+                n, key = np.add.reduceat(fresh, np.cumsum(n) - n, dtype=np.int64), key[fresh]
             begin = np.cumsum(n) - n
-            place = np.arange(len(key)) - begin[line]
-            bit = np.uint64(1) << (token & np.uint64(63))
-            high = (token & np.uint64(64)) > 0
-            parity = [np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), begin) for side in (~high, high)]
-            keep = (place < n[line] - (SHARE * n[line] + OF - 1) // OF + 1) & ((token >> np.uint64(TOKEN_BITS)) != 1)
+            bit = np.uint64(1) << (key & np.uint64(63))
+            high = (key & np.uint64(64)) > 0
+            parity = [np.bitwise_xor.reduceat(bit * side, begin) for side in (~high, high)]
+            size = n - (SHARE * n + OF - 1) // OF + 1
+            line = np.repeat(np.arange(len(part)), size)
+            place = places_in(np.cumsum(size) - size, size)
+            token = key[begin[line] + place] & np.uint64((1 << 50) - 1)
+            keep = (token >> np.uint64(TOKEN_BITS)) != 1
             if wanted is not None:
                 own = signed(token[keep])
                 keep[keep] = tokens[np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)] == own
@@ -264,7 +313,7 @@ def prefix_rows(docs: DataFrame, levels: np.ndarray, only: np.ndarray | None = N
 
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for part in lines_of([t or "" for t in batch.column(1).to_pylist()]):
+            for part in lines_of([t or "" for t in batch.column(1).to_pylist()], two=False):
                 if wanted is not None and len(part):
                     marked = may[(part.word & np.uint64((1 << MARK_BITS) - 1)).view(np.int64)]
                     part = some_lines(part, np.logical_or.reduceat(marked, np.cumsum(part.n) - part.n))
@@ -280,11 +329,36 @@ def prefix_rows(docs: DataFrame, levels: np.ndarray, only: np.ndarray | None = N
             if len(firsts) > CACHED:
                 firsts.clear()
 
+    def crates(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = np.concatenate([b.column("token").to_numpy() & (1 << TOKEN_BITS) - 1 for b in held]) % shares
+        order = np.argsort(share, kind="stable")
+        columns = [np.concatenate([b.column(n).to_numpy() for b in held])[order] for n in NAMES]
+        at = np.flatnonzero(np.diff(share[order], prepend=-1))
+        for way, a, b in zip(share[order[at]].tolist(), at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
+            crate = b"".join(c[a:b].tobytes() for c in columns)
+            yield pa.RecordBatch.from_arrays([pa.array([way], pa.int32()), pa.array([b - a], pa.int32()), pa.array([crate], pa.binary())], ["share", "n", "crate"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in index(batches):
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= PACKED:
+                yield from crates(held)
+                held, size = [], 0
+        if held:
+            yield from crates(held)
+
     named = docs.select(F.coalesce("doc_id", F.lit(FIRST)).cast("long").alias("doc"), "text")
-    return named.mapInArrow(index, "token long, line long, n int, place int, p0 long, p1 long, doc long, number int")
+    if shares:
+        return named.mapInArrow(packed, "share int, n int, crate binary")
+    return named.mapInArrow(index, INDEXED)
 
 
-NAMES = ["token", "line", "n", "place", "p0", "p1", "doc", "number"]
+ROW = np.dtype([("token", "i8"), ("line", "i8"), ("n", "i4"), ("place", "i4"), ("p0", "i8"), ("p1", "i8"), ("doc", "i8"), ("number", "i4")])
+NAMES = list(ROW.names)
+INDEXED = "token long, line long, n int, place int, p0 long, p1 long, doc long, number int"
 
 
 def _near(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,12 +375,18 @@ def _near(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.nd
 
 
 def compare_lists(a: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
-    """Nearest earlier candidates of each row; a holds whole lists of tokens."""
-    order = np.lexsort(tuple(a[n] for n in ("number", "doc", "line", "n", "token")))
+    """Nearest earlier candidates of each row; a holds whole lists of tokens, in the order of tokens."""
+    # The tokens are in order already: their rank and the size of the line are one key.
+    rank = np.cumsum(np.diff(a["token"], prepend=a["token"][:1]) != 0) << 32 | a["n"]
+    order = np.lexsort((a["line"], rank))
+    fresh = np.r_[True, (np.diff(rank[order]) != 0) | (np.diff(a["line"][order]) != 0)]
+    if not fresh.all():  # equal lines from several tasks: the first place counts
+        again = ~fresh
+        again[:-1] |= ~fresh[1:]
+        run, own = np.cumsum(fresh)[again], order[again]
+        order[again] = own[np.lexsort((a["number"][own], a["doc"][own], run))]
+        order = order[fresh]
     a = {k: v[order] for k, v in a.items()}
-    # Equal lines from several tasks: the first place counts.
-    fresh = np.r_[True, (a["token"][1:] != a["token"][:-1]) | (a["line"][1:] != a["line"][:-1]) | (a["n"][1:] != a["n"][:-1])]
-    a = {k: v[fresh] for k, v in a.items()}
     size = len(a["token"])
     active = np.flatnonzero(a["token"][1:] == a["token"][:-1])
     if not len(active):
@@ -344,9 +424,77 @@ def compare_lists(a: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
         **{n: a[n][late] for n in ("line", "doc", "number")},
         **{f"e_{n}": a[n][early] for n in ("line", "doc", "number")},
         "more": total[late] > NEAREST,
+        "token": a["token"][late],
     }
 
 
+FOUND = "line long, doc long, number int, e_line long, e_doc long, e_number int, more boolean"
+
+
+def packed_candidates(rows: DataFrame, shares: int) -> DataFrame:
+    """The same as `candidates` of rows that are packed by share, and whole lists: a task has those of the tokens of a share.
+
+    (..., n, crate): where a list has a row with more candidates than the nearest, all its rows are packed in a crate.
+    """
+    names = [*(w.split()[0] for w in FOUND.split(", ")), "n", "crate"]
+    types = [pa.int64(), pa.int64(), pa.int32()] * 2 + [pa.bool_(), pa.int32(), pa.binary()]
+
+    def out(found: dict[str, object], n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found[c], t) if c in found else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], names)
+
+    def lists(crates: list[bytes], sizes: list[int]) -> Iterator[pa.RecordBatch]:
+        a: dict[str, np.ndarray] = {}
+        begin = [0] * len(crates)
+        for name in NAMES:
+            kind = ROW[name]
+            a[name] = np.concatenate([np.frombuffer(c, kind, n, at) for c, n, at in zip(crates, sizes, begin, strict=True)])
+            begin = [at + n * kind.itemsize for at, n in zip(begin, sizes, strict=True)]
+            if name == "token":  # rows that are alone with their token go at once
+                order = np.argsort(a["token"], kind="stable")
+                again = np.diff(a["token"][order]) == 0
+                order = order[np.r_[False, again] | np.r_[again, False]]
+            a[name] = a[name][order]
+        tokens = a["token"]
+        at = 0
+        while at < len(tokens):
+            end = int(np.searchsorted(tokens, tokens[min(at + LISTED, len(tokens)) - 1], side="right"))
+            own = {n: v[at:end] for n, v in a.items()}
+            if (found := compare_lists(own)) is not None:
+                yield out(found, len(found["line"]))
+                if found["more"].any():
+                    whole = np.isin(own["token"], found["token"][found["more"]])
+                    crate = b"".join(own[n][whole].tobytes() for n in NAMES)
+                    yield out({"n": [np.count_nonzero(whole)], "crate": [crate]}, 1)
+            at = end
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[bytes], list[int]]] = {}  # of one share, as each has a partition of its own
+        for batch in batches:
+            for way, n, crate in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                crates, sizes = held.setdefault(way, ([], []))
+                crates.append(crate)
+                sizes.append(n)
+        for crates, sizes in held.values():
+            yield from lists(crates, sizes)
+
+    return rows.repartitionById(shares, "share").mapInArrow(pairs, f"{FOUND}, n int, crate binary")
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """The rows in the crates of rows(n, crate)."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, crate in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                at, columns = 0, []
+                for name in NAMES:
+                    columns.append(pa.array(np.frombuffer(crate, ROW[name], n, at)))
+                    at += n * ROW[name].itemsize
+                yield pa.RecordBatch.from_arrays(columns, NAMES)
+
+    return rows.select("n", "crate").mapInArrow(unpack, INDEXED)
+
+
 def candidates(rows: DataFrame) -> DataFrame:
     """(line, doc, number, e_line, e_doc, e_number, more): a late line and an earlier candidate."""
 
@@ -360,6 +508,7 @@ def candidates(rows: DataFrame) -> DataFrame:
                 return
             a = {n: v[shared] for n, v in a.items()}
             if (found := compare_lists(a)) is not None:
+                del found["token"]
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in found.values()], list(found))
 
         for batch in batches:
@@ -369,7 +518,7 @@ def candidates(rows: DataFrame) -> DataFrame:
             if held is not None:
                 a = {n: np.concatenate([held[n], a[n]]) for n in NAMES}
             cut = int(np.searchsorted(a["token"], a["token"][-1]))  # the last list may go on
-            if cut and (cut >= 50_000 or len(a["token"]) - cut > 1000):
+            if cut and (cut >= LISTED or len(a["token"]) - cut > 1000):
                 yield from out({n: v[:cut] for n, v in a.items()})
                 a = {n: v[cut:] for n, v in a.items()}
             held = a
@@ -377,18 +526,16 @@ def candidates(rows: DataFrame) -> DataFrame:
             yield from out(held)
 
     dealt = rows.repartition("token").sortWithinPartitions("token")
-    schema = "line long, doc long, number int, e_line long, e_doc long, e_number int, more boolean"
-    return dealt.mapInArrow(pairs, schema)
+    return dealt.mapInArrow(pairs, FOUND)
 
 
-def all_candidates(docs: DataFrame, levels: np.ndarray, own: DataFrame, late: DataFrame) -> DataFrame:
-    """Every candidate of the lines in `late`(line, doc, number), by a join on the words; `own` has their rows."""
+def all_candidates(own: DataFrame, late: DataFrame, rows_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Every candidate of the lines in `late`(line, doc, number), by a join on the words; `own` has their rows.
+
+    `rows_of` gives the rows of other lines for the words in a table.
+    """
     mine = materialize(own.join(late, ["line", "doc", "number"], "left_semi"), "line-open-rows")
-    tokens = materialize(mine.select("token").distinct(), "line-open-words")
-    if 0 < tokens.count() <= SENT_TOKENS:
-        rows = prefix_rows(docs, levels, np.sort(tokens.toArrow().column("token").to_numpy()))
-    else:
-        rows = prefix_rows(docs, levels)
+    rows = rows_of(materialize(mine.select("token").distinct(), "line-open-words"))
     mine = mine.select(*(F.col(n).alias(f"m_{n}") if n != "token" else F.col(n) for n in NAMES))
     total = F.col("n") + F.col("m_n")
     overlap = F.ceil(total * SHARE / (SHARE + OF))
@@ -451,17 +598,35 @@ def repeats(passed: DataFrame) -> DataFrame:
 def similar_lines(docs: DataFrame, passed: DataFrame) -> DataFrame:
     """(line, doc, number) of the lines that are similar, not equal, to an earlier one; by the first place of equal lines."""
     levels = word_sketch(passed)
-    pairs = materialize(candidates(prefix_rows(docs, levels)).groupBy("line", "doc", "number", "e_line", "e_doc", "e_number").agg(F.max("more").alias("more")), "line-candidates")
+    shares = max(index_shares(passed), 1)
+    if packed := shares <= MOST_SHARES:
+        found = materialize(packed_candidates(prefix_rows(docs, levels, shares=shares), shares), "line-lists")
+        lists = unpacked(found.where("crate IS NOT NULL"))
+        found = found.where("crate IS NULL")
+    else:  # crates would hold few words: rows of words are shuffled and sorted as such
+        found = candidates(prefix_rows(docs, levels))
+    pairs = materialize(found.groupBy("line", "doc", "number", "e_line", "e_doc", "e_number").agg(F.max("more").alias("more")), "line-candidates")
     with settings(docs.sparkSession, BLOOM):  # texts without a candidate line stay out of the shuffle
         settled = materialize(verify(docs, pairs), "line-settled")
     open_ = pairs.where("more").select("line", "doc", "number").distinct()
     open_ = materialize(open_.join(settled, ["line", "doc", "number"], "left_anti"), "line-open")
     if open_.isEmpty():
         return settled
-    key = F.coalesce("doc_id", F.lit(FIRST))
-    holders = docs.join(open_.where("number >= 0").select(F.col("doc").alias("_doc")), key == F.col("_doc"), "left_semi")
+
+    def rows_of(tokens: DataFrame) -> DataFrame:
+        if packed:
+            return lists.join(tokens, "token", "left_semi")
+        if 0 < tokens.count() <= SENT_TOKENS:
+            return prefix_rows(docs, levels, np.sort(tokens.toArrow().column("token").to_numpy()))
+        return prefix_rows(docs, levels)
+
+    if packed:
+        own = lists
+    else:
+        key = F.coalesce("doc_id", F.lit(FIRST))
+        own = prefix_rows(docs.join(open_.where("number >= 0").select(F.col("doc").alias("_doc")), key == F.col("_doc"), "left_semi"), levels)
     with settings(docs.sparkSession, BLOOM):
-        rest = materialize(all_candidates(docs, levels, prefix_rows(holders, levels), open_), "line-candidates")
+        rest = materialize(all_candidates(own, open_, rows_of), "line-candidates")
         return settled.union(materialize(verify(docs, rest), "line-settled"))
 
 
@@ -473,7 +638,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 
 def _without() -> Column:
-    @F.pandas_udf("text string, lines int, removed array<int>")
+    @F.pandas_udf("text string, removed array<int>")
     def without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, removed in batches:
             whole = texts.tolist()
@@ -490,19 +655,29 @@ def _without() -> Column:
                     numbers[i].append(number)
             out = []
             for text, own in zip(whole, numbers, strict=True):
-                n = text.count("\n") + 1
                 if own:
                     drop = set(own)
                     text = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in drop)
-                out.append((text, n, own))
-            yield pd.DataFrame(out, columns=["text", "lines", "removed"])
+                out.append((text, own) if own else (None, None))
+            yield pd.DataFrame(out, columns=["text", "removed"])
 
-    return without(whole_text(), F.col("_removed"))
+    # Texts that no line may leave are not sent.
+    return without(F.when(F.col("_removed").isNotNull(), whole_text()), F.col("_removed"))
 
 
 def _joined(docs: DataFrame) -> DataFrame:
+    """The documents with `_without`(text, lines, removed), what stays of them."""
     gone = materialize(removed_lines(docs), "line-removed").select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed"))
-    return docs.join(gone, F.coalesce("doc_id", F.lit(FIRST)) == F.col("_doc"), "left").withColumn("_without", _without())
+    joined = docs.join(gone, F.coalesce("doc_id", F.lit(FIRST)) == F.col("_doc"), "left").withColumn("_left", _without())
+    newlines = F.octet_length(whole_text()) - F.octet_length(F.replace(whole_text(), F.lit("\n"), F.lit("")))
+    return joined.withColumn(
+        "_without",
+        F.struct(
+            F.coalesce("_left.text", whole_text()).alias("text"),
+            (newlines + 1).alias("lines"),
+            F.coalesce("_left.removed", F.array().cast("array<int>")).alias("removed"),
+        ),
+    )
 
 
 def deduplicate_lines(docs: DataFrame) -> DataFrame:

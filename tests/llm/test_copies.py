@@ -156,6 +156,29 @@ def test_lines_equal_brute_force(frame, monkeypatch, nearest):
         assert r["n_removed"] == len(gone) and r["n_lines"] == by[r["doc_id"]].count("\n") + 1
 
 
+@pytest.mark.parametrize("most", [0, 4096])
+def test_open_lines_in_rows_and_in_crates(frame, monkeypatch, most):
+    """Both placements give the brute force; packed in crates, the texts are indexed once, however many lines stay open."""
+    calls, whole = [], line_dedup.prefix_rows
+    monkeypatch.setattr(line_dedup, "prefix_rows", lambda *a, **k: calls.append(k) or whole(*a, **k))
+    for name, value in (("NEAREST", 1), ("MOST_SHARES", most), ("SHARE_BYTES", 20_000), ("PACKED", 500), ("LISTED", 100)):
+        monkeypatch.setattr(line_dedup, name, value)
+    rows = near_lines(5, 250)
+    got = line_dedup.deduplicate_lines(frame(rows).repartition(3)).collect()
+    assert removed(got) == line_model(rows)
+    assert (len(calls) == 1 and calls[0]["shares"] > 1) if most else len(calls) > 1
+
+
+def test_words_of_any_length_have_hashes_of_their_own():
+    """Eight bytes at a time: sizes around them, words that differ in one byte, zero bytes, the same word at other places."""
+    words = [c * n for c in "ab\0é" for n in range(1, 40)] + ["x" * k + "y" + "x" * (30 - k) for k in range(31)]
+    words = list(dict.fromkeys(words))
+    found = line_dedup.split_lines([" ".join(words), "  \n" + "\t".join(reversed(words))])
+    one, two = found.word[: len(words)].tolist(), found.word[len(words) :].tolist()
+    assert len(set(one)) == len(words) and two == one[::-1]
+    assert found.number.tolist() == [0, 1] and found.text.tolist() == [0, 1] and found.n.tolist() == [len(words)] * 2
+
+
 def test_long_texts_are_split_between_lines():
     text = "\n".join(f"line {i} of many" if i % 3 else "" for i in range(500))
     whole = line_dedup.split_lines([text])
