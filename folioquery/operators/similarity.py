@@ -45,7 +45,7 @@ TILE_PARTITIONS = 10_000  # more tiles than these share partitions
 UNCOUNTED_BYTES = 4 * 1024 * 1024  # questions of this size are sent without counting the vectors
 SENT_PAIRS = 250_000_000  # products for each core, up to which the questions are sent
 KEPT_PAIRS = 1_000_000  # best pairs that one task holds between cuts
-QUESTIONS_PER_PRODUCT, VECTORS_PER_PRODUCT = 512, 4096
+QUESTIONS_PER_PRODUCT, VECTORS_PER_PRODUCT = 512, 1024  # a product stays in a core's cache
 EXACT_PAIRS = 16_384  # computed again at a time
 COLLECTED_SCOPES = 50_000  # scope entries of all questions that are looked through for a literal filter
 PUSHED_SCOPES = 500  # distinct scopes that become a literal filter on the scan
@@ -105,7 +105,7 @@ def candidates(
     if many:
         sims[np.isnan(sims)] = -np.inf
         keep &= sims >= (np.partition(sims, n - k, axis=1)[:, n - k] - np.float32(2 * error))[:, None]
-    rows, cols = np.divmod(np.flatnonzero(keep), n)
+    rows, cols = np.divmod(_true_places(keep), n)
     if len(rows) * 16 > keep.size:
         exact = (questions @ vectors.T)[rows, cols]
     else:
@@ -122,6 +122,17 @@ def candidates(
     return rows, cols, values
 
 
+def _true_places(keep: np.ndarray) -> np.ndarray:
+    """np.flatnonzero, looking at eight values at once where few are true."""
+    flat = np.ascontiguousarray(keep).ravel()
+    whole = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:whole].view(np.uint64) != 0)
+    if len(words) * 32 > whole:
+        return np.flatnonzero(flat)
+    near = (words[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([near[flat[near]], whole + np.flatnonzero(flat[whole:])])
+
+
 def _k_best(rows: np.ndarray, values: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best values per row, ordered by row, value and id."""
     order = np.lexsort((ids, -values, rows))
@@ -171,8 +182,10 @@ class _Search:
                 # Few vectors meet more questions at once, so that products are of similar size.
                 step = QUESTIONS_PER_PRODUCT * max(1, VECTORS_PER_PRODUCT // len(vector_rows))
                 for part in _cut_up(question_rows, step):
+                    # Neighbouring rows are read in place.
+                    at = slice(part[0], part[-1] + 1) if part[-1] - part[0] == len(part) - 1 else part
                     rows, cols, values = candidates(
-                        self.units[part], own, (self.near[part], own_near), self.floor[part], self.k,
+                        self.units[at], own, (self.near[at], own_near), self.floor[at], self.k,
                         lambda: id_rank()[vector_rows],
                     )
                     if not len(rows):

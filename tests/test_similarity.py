@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioquery.operators import similarity
 from folioquery.operators.ivf import (
     build_inverted_file,
     load_inverted_file,
@@ -224,3 +225,15 @@ def test_similarities_nearer_than_single_precision(spark, options):
     hits = top_k(questions, vectors, threshold=0.6, **options).orderBy("rank").collect()
     assert [r["chunk_id"] for r in hits] == ["c080", "c079", "c078"]
     assert similar_pairs(questions, vectors, threshold=0.6, **options).count() == 41
+
+
+def test_places_of_few_and_many_true_values():
+    rng = np.random.default_rng(2)
+    for shape in [(512, 1024), (7, 13), (1, 3), (5, 0)]:
+        for share in (0, 0.0005, 0.02, 0.5, 1):
+            keep = rng.random(shape) < share
+            assert similarity._true_places(keep).tolist() == np.flatnonzero(keep).tolist()
+
+
+def test_product_of_a_search_stays_in_the_cache_of_a_core():
+    assert similarity.QUESTIONS_PER_PRODUCT * similarity.VECTORS_PER_PRODUCT * 4 <= 2 * 1024 * 1024
